@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 
 
+def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), width=2)
+
+
 def op6_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,6 +33,7 @@ def op7_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_chosen_path": op4_chosen_path,
     "op6_rans_ids": op6_rans_ids,
     "op7_bin_slack": op7_bin_slack,
 }
