@@ -34,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _OF_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_POWERS = np.ones(64, np.uint64)
+_POWERS = np.zeros(0, np.uint64)
 
 
 def _powers(n: int) -> np.ndarray:
@@ -106,10 +106,10 @@ def shingles(found: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     if len(short):
         extra = []
         for k in short:
-            h = np.uint64(0x5851F42D4C957F2D)
+            h = np.array([0x5851F42D4C957F2D], np.uint64)
             for w in found.hashes[found.bounds[k] : found.bounds[k + 1]]:
-                h = mix(np.array([h * np.uint64(0x9E3779B97F4A7C15) + w]))[0]
-            extra.append(h)
+                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + w)
+            extra.append(h[0])
         values, owner = np.append(values, np.array(extra, np.uint64)), np.append(owner, short)
         order = np.argsort(owner, kind="stable")
         values, owner = values[order], owner[order]
