@@ -15,6 +15,12 @@ def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=2)
 
 
+def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed_sizes
+
+    return mixed_sizes(documents(spark, sf_dir))
+
+
 def op6_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,6 +40,7 @@ def op7_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chosen_path": op4_chosen_path,
+    "op5_pivotal_mix": op5_pivotal_mix,
     "op6_rans_ids": op6_rans_ids,
     "op7_bin_slack": op7_bin_slack,
 }
