@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 
 
+def op3_wav_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import features, media
+
+    return features(media(documents(spark, sf_dir)), keep_codes=False)
+
+
 def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicates
 
@@ -38,11 +44,34 @@ def op7_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end=1, keep_ids=False)
 
 
+def op9_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .topk import top_k, whole_vectors
+
+    vectors = whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_wav_peaks": op3_wav_peaks,
     "op4_chosen_path": op4_chosen_path,
     "op5_pivotal_mix": op5_pivotal_mix,
     "op6_rans_ids": op6_rans_ids,
     "op7_bin_slack": op7_bin_slack,
+    "op9_impact_top_k": op9_impact_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_impact_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+""",
+}
