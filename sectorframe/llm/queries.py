@@ -44,6 +44,12 @@ def op7_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end=1, keep_ids=False)
 
 
+def op8_automaton_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan
+
+    return scan(documents(spark, sf_dir), keep_spans=False)
+
+
 def op9_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pivotal_mix": op5_pivotal_mix,
     "op6_rans_ids": op6_rans_ids,
     "op7_bin_slack": op7_bin_slack,
+    "op8_automaton_scan": op8_automaton_scan,
     "op9_impact_top_k": op9_impact_top_k,
 }
 
