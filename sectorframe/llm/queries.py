@@ -9,6 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op2_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op3_wav_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import features, media
 
@@ -60,6 +76,8 @@ def op9_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_weak_toxicity": op1_weak_toxicity,
+    "op2_zstd_quality": op2_zstd_quality,
     "op3_wav_peaks": op3_wav_peaks,
     "op4_chosen_path": op4_chosen_path,
     "op5_pivotal_mix": op5_pivotal_mix,
