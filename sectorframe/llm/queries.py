@@ -75,6 +75,26 @@ def op9_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op10_fused_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .language import identify, train
+
+    docs = documents(spark, sf_dir)
+    found = identify(docs, train(docs), ["doc_id"], F.col("source"))
+    return found.withColumnRenamed("known", "kept")
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator with all its evidence: markup, address suffix, domain and host of pages."""
+    from pyspark.sql import functions as F
+
+    from .language import address_host, identify, markup_language, train, visible_text
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("body", visible_text(F.col("html")))
+    return identify(pages, train(documents(spark, sf_dir)), ["page_id"], address_host(F.col("url")), markup_language(F.col("html")), "body")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weak_toxicity": op1_weak_toxicity,
     "op2_zstd_quality": op2_zstd_quality,
@@ -85,6 +105,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bin_slack": op7_bin_slack,
     "op8_automaton_scan": op8_automaton_scan,
     "op9_impact_top_k": op9_impact_top_k,
+    "op10_fused_language": op10_fused_language,
+    "language_of_pages": language_of_pages,
 }
 
 ORACLE_SQL: dict[str, str] = {
