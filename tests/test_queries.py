@@ -1,0 +1,38 @@
+"""Each registered query against its SQL, on the smallest tables."""
+
+import duckdb
+import pytest
+
+from sectorframe.queries import ORACLE_SQL, QUERIES
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    connection = duckdb.connect()
+    for t in TABLES:
+        connection.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    return connection
+
+
+def _canonical(df, columns):
+    return sorted((tuple(r) for r in df[columns].astype(object).where(df[columns].notna(), None).values.tolist()), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_same_rows_as_sql(spark, duck, sf_dir, name):
+    got = QUERIES[name](spark, sf_dir).toPandas()
+    expected = duck.sql(ORACLE_SQL[name]).df()
+    columns = sorted(expected.columns)
+    assert columns == sorted(got.columns)
+    assert _canonical(got, columns) == _canonical(expected, columns)
+
+
+def test_truncated_spectrum_holds_the_largest_values(spark, sf_dir):
+    import numpy as np
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").toPandas()
+    values = np.concatenate([np.linalg.svd(np.stack(x["embedding"]).astype(float), compute_uv=False) for _, x in rows.groupby("label")])
+    got = sorted((r.v for r in QUERIES["l4_truncated_svd"](spark, sf_dir).collect()), reverse=True)
+    assert np.allclose(got, np.sort(values)[::-1][:40], atol=1e-5)
