@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sectorframe.llm.common import documents, stored
+from sectorframe.llm.common import documents, guarded, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,29 +17,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from sectorframe.llm.quality import fit, score
 
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model, docs.columns).where(F.col("score") >= 0.3).select(*docs.columns)
+    return guarded(docs, lambda d: score(d, model, d.columns).where(F.col("score") >= 0.3))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; the declared ``lang`` gives way to the one found."""
     from sectorframe.llm.language import identify, train
 
-    found = identify(docs, train(docs), docs.columns, F.col("source"))
-    return found.where("known").withColumn("lang", F.col("language")).select(*docs.columns)
+    model = train(docs)
+    return guarded(docs, lambda d: identify(d, model, d.columns, F.col("source")).where("known").withColumn("lang", F.col("language")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five words, similarity 0.8 or more."""
     from sectorframe.llm.near_dup import one_of_each
 
-    return one_of_each(docs, width=5)
+    return guarded(docs, lambda d: one_of_each(d, width=5))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     from sectorframe.llm.mixing import mix
 
-    return mix(docs)
+    return guarded(docs, mix)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def guarded(docs: DataFrame, run) -> DataFrame:
+    """``run`` on documents whose further columns have names that can't clash; they get theirs back after.
+
+    ``run`` returns all columns it is given, in any order, and may add others, which are dropped.
+    """
+    own = {"doc_id", "text", "lang", "source"}
+    names = [n if n in own else f"_extra_{k}" for k, n in enumerate(docs.columns)]
+    return run(docs.toDF(*names)).select(*names).toDF(*docs.columns)
+
+
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """A batch's texts as strings with 32-bit offsets; null texts count as empty."""
     import pyarrow.compute as pc

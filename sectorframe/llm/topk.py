@@ -77,16 +77,17 @@ class Index:
         return ids[best], scores[best].astype(np.int64)
 
 
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of one length as an array."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(flat) else np.zeros((len(column), 0))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, rows: int = ROWS, of_queries: int = QUERIES) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the k best of all ``vectors`` for each of ``queries``.
 
-    Both: ``vec_id bigint`` and ``vector array<bigint>``, of one length; callers leave out rows
-    that take no part. A query's candidates are all rows with another id than its own. Repeated
+    Both: ``vec_id bigint`` and ``vector array<bigint>``; callers leave out rows that take no
+    part. A query's candidates are all rows of its length with another id than its own. Repeated
     ids are ranked as rows of their own, by score. An empty side gives an empty table.
 
     Blocks of queries meet blocks of rows in one task each, and only k results leave it for a
@@ -95,21 +96,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, rows: int = ROWS,
     """
     n, m = vectors.count(), queries.count()
     blocks, q_blocks = max(1, -(-n // rows)), max(1, -(-m // of_queries))
-    first = queries.select(F.size("vector").alias("d")).head()
-    if first is None or n == 0:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    dims = first.d
     # A salt by the vector too, lest rows of one id fall together.
     block = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int")
     q_block = F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int")
-    left = vectors.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block"), F.lit(False).alias("query"), "vec_id", "vector")
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), q_block.alias("q_block"), F.lit(True).alias("query"), "vec_id", "vector")
+    left = vectors.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block"), F.lit(False).alias("query"), F.size("vector").alias("d"), "vec_id", "vector")
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), q_block.alias("q_block"), F.lit(True).alias("query"), F.size("vector").alias("d"), "vec_id", "vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
         asks = table["query"].to_numpy(zero_copy_only=False)
-        ids, values = table["vec_id"].to_numpy(), _matrix(table["vector"], dims)
-        if asks.all():
+        ids, values = table["vec_id"].to_numpy(), _matrix(table["vector"])
+        if asks.all() or not asks.any():
             return
         index = Index(ids[~asks], values[~asks])
         found = [(q, *index.search(v, q, k)) for q, v in zip(ids[asks].tolist(), values[asks], strict=True)]
@@ -117,7 +114,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, rows: int = ROWS,
             {"query_id": pa.array(np.repeat([q for q, *_ in found], [len(i) for _, i, _ in found]) if found else [], pa.int64()), "vec_id": pa.array(np.concatenate([i for _, i, _ in found]) if found else [], pa.int64()), "score": pa.array(np.concatenate([s for *_, s in found]) if found else [], pa.int64())}
         )
 
-    met = left.unionByName(right).groupBy("block", "q_block").applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    met = left.unionByName(right).groupBy("block", "q_block", "d").applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

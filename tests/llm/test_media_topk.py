@@ -61,3 +61,10 @@ def test_vectors_that_take_no_part(spark):
     assert sorted(map(tuple, vectors.collect())) == [(0, [128, -1]), (50, [64, 128])]
     assert topk.top_k(vectors.where("vec_id < 0"), vectors.where("vec_id < 0")).count() == 0
     assert topk.top_k(vectors, vectors).count() == 2
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(0, [1, 2]), (1, [3, 4]), (2, [5]), (50, [7]), (100, []), (101, []), (3, [1, -2])]
+    df = spark.createDataFrame(rows, "vec_id bigint, vector array<bigint>")
+    got = sorted(map(tuple, topk.top_k(df, df.where("vec_id % 50 = 0")).collect()))
+    assert got == [(0, 1, 1, 11), (0, 2, 3, -3), (50, 1, 2, 35), (100, 1, 101, 0)]

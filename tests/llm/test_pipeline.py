@@ -56,6 +56,23 @@ def test_packing_holds_each_copys_tokens_once(stages):
     assert pieces["length"].sum() == heads["doc_tokens"].sum()
 
 
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows_and_clashing_columns(spark, stage):
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    extra = ["score", "known", "language", "row", "size", "n", "_row", "_k", "_w"]
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (1, "", "en", None, 0), (-5, "x " * 50_000, None, "src0", 7)], docs.schema)
+    rows = docs.unionByName(odd)
+    for k, name in enumerate(extra):
+        rows = rows.withColumn(name, rows["n_chars"] + k)
+    got = stage(spark, rows, sf_dir)
+    if stage is not corpus_pipeline.packing:
+        assert got.columns == rows.columns
+        assert all(r["_w"] == (None if r.n_chars is None else r.n_chars + 8) for r in got.collect())
+        assert stage(spark, rows.limit(0), sf_dir).columns == rows.columns
+    assert stage(spark, rows.limit(0), sf_dir).count() == 0 < got.count()
+
+
 def test_registered_queries():
     import __spark_entry__
 
