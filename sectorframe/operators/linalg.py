@@ -169,7 +169,10 @@ def large_svd(cells: DataFrame, k: int) -> np.ndarray:
     return RowMatrix(rows, numCols=n).computeSVD(k).s.toArray()
 
 
-def _by_group(df: DataFrame, key: str, values: Callable[[np.ndarray], np.ndarray], schema: str, limit: int) -> DataFrame:
+def values_by_group(df: DataFrame, key: str, values: Callable[[np.ndarray], np.ndarray], schema: str, limit: int = SMALL_SIDE) -> DataFrame:
+    """``key, pos, v``: what a solver of the caller's own finds for each group's square matrix ``(key, i, j, v)``,
+    by magnitude, exact zeros left out. ``schema``: the type of ``v``. A group over ``limit`` indices raises."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         index = np.unique(rows[["i", "j"]])
         if len(index) > limit:
@@ -192,12 +195,12 @@ def _by_group(df: DataFrame, key: str, values: Callable[[np.ndarray], np.ndarray
 
 def eigh_by_group(df: DataFrame, key: str, limit: int = SMALL_SIDE) -> DataFrame:
     """Eigenvalues ``key, pos, v`` of one symmetric matrix ``(key, i, j, v)`` for each group, by magnitude; exact zeros are dropped."""
-    return _by_group(df, key, np.linalg.eigvalsh, "double", limit)
+    return values_by_group(df, key, np.linalg.eigvalsh, "double", limit)
 
 
 def eig_by_group(df: DataFrame, key: str, limit: int = SMALL_SIDE) -> DataFrame:
     """The same for any square matrices, with complex values ``struct<re, im>``."""
-    return _by_group(df, key, lambda m: np.linalg.eigvals(m).astype(complex), "struct<re: double, im: double>", limit)
+    return values_by_group(df, key, lambda m: np.linalg.eigvals(m).astype(complex), "struct<re: double, im: double>", limit)
 
 
 def power_steps(matvec: Callable[[DataFrame], DataFrame], start: DataFrame, steps: int) -> tuple[DataFrame, float]:

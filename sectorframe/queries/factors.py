@@ -97,7 +97,7 @@ def _(t):
     start = g.select("i").distinct().withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))))
     start = start.withColumn("v", F.pmod(F.xxhash64("i", "k"), F.lit(1000)) / 1000.0 - 0.5)
     g = g.checkpoint()
-    values, done = linalg.top_eigen(lambda x: contract(g, x.withColumnRenamed("i", "j"), ["j"], ["i", "k"]), start, 3, tol=1e-6, most=25)
+    values, done = linalg.top_eigen(lambda x: contract(g, x.withColumnRenamed("i", "j"), ["j"], ["i", "k"]), start, 3, tol=1e-6, most=8)
     return t.spark.createDataFrame([(k, float(round(abs(v), 3)), bool(done)) for k, v in enumerate(values)], "pos int, v double, converged boolean")
 
 
