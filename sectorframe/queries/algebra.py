@@ -205,9 +205,10 @@ def _(t):
     return joins.shared_sectors(t.blocks(), some, t.customer.select(F.col("c_nationkey").alias("sector")))[0]
 
 
-@query("j8_grid_neighbours", "SELECT a.x, a.y, a.label, b.x AS nx, b.y AS ny, b.label AS neighbour FROM grid a JOIN grid b ON b.x = (a.x + 1) % 5 AND b.y = (a.y + 4) % 5", "grid")
+@query("j8_grid_neighbours", "SELECT a.x, a.y, a.label, b.x AS nx, b.y AS ny, b.label AS neighbour FROM grid a JOIN grid b ON b.x = (a.x + 1) % 40 AND b.y = (a.y - 1 + a.ly) % a.ly", "grid")
 def _(t):
-    return joins.grid_neighbours(t.grid(), 1, -1, (5, 5))
+    grid, size = t.grid()
+    return joins.grid_neighbours(grid, 1, -1, size)
 
 
 @query("j9_weights_combine", "SELECT sector, pos, dim, v * (v + 1.0) AS product, v - (v + 1.0) AS difference, v + (v + 1.0) AS total FROM weights", "weights")

@@ -76,9 +76,10 @@ class Tables:
     def size_hist(self) -> DataFrame:
         return self.part.groupBy(F.col("p_size").alias("key")).agg(F.count("*").alias("n"))
 
-    def grid(self) -> DataFrame:
-        """Nations on a 5 x 5 grid, labelled by region."""
-        return self.nation.select((F.col("n_nationkey") % 5).alias("x"), F.floor(F.col("n_nationkey") / 5).cast("int").alias("y"), F.col("n_regionkey").cast("string").alias("label"))
+    def grid(self) -> tuple[DataFrame, tuple[int, int]]:
+        """Parts on a grid of 40 columns, labelled by size, and the grid's size."""
+        grid = self.part.select((F.col("p_partkey") % 40).cast("int").alias("x"), F.floor(F.col("p_partkey") / 40).cast("int").alias("y"), F.col("p_size").cast("string").alias("label"))
+        return grid, (40, (grid.agg(F.max("y")).head()[0] or 0) + 1)
 
     def bonds(self) -> DataFrame:
         """Orders as bonds of suppliers."""
@@ -98,7 +99,7 @@ CTES = {
     "weights": "weights AS (SELECT c_nationkey AS sector, c_custkey AS pos, n_regionkey + 1 AS dim, v FROM (SELECT o_custkey, sum(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)",
     "quantity_hist": "quantity_hist AS (SELECT CAST(l_quantity AS INTEGER) AS key, count(*) AS n FROM lineitem GROUP BY 1)",
     "size_hist": "size_hist AS (SELECT p_size AS key, count(*) AS n FROM part GROUP BY 1)",
-    "grid": "grid AS (SELECT n_nationkey % 5 AS x, n_nationkey // 5 AS y, CAST(n_regionkey AS VARCHAR) AS label FROM nation)",
+    "grid": "grid AS (SELECT CAST(p_partkey % 40 AS INTEGER) AS x, CAST(p_partkey // 40 AS INTEGER) AS y, CAST(p_size AS VARCHAR) AS label, CAST(max(p_partkey // 40) OVER () + 1 AS INTEGER) AS ly FROM part)",
     "bonds": "bonds AS (SELECT l_suppkey AS tensor, l_linenumber AS slot, l_orderkey AS bond FROM lineitem)",
     "moves": "moves AS (SELECT i, j, count(*) AS n FROM (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_type AS j FROM events) WHERE i IS NOT NULL GROUP BY 1, 2)",
 }

@@ -185,10 +185,11 @@ def _(t):
     return validation.check_blocks(cells, t.side(0), t.side(1))
 
 
-@query("v6_check_grid", "WITH c AS (SELECT CAST(n_regionkey AS VARCHAR) AS label, n_nationkey % 3 AS q, n_regionkey % 2 = 0 AS out FROM nation WHERE n_nationkey < 10), k AS (SELECT label, min(q) AS q, bool_or(out) AS out FROM c GROUP BY 1) SELECT a.x, a.y, a.label, b.label AS neighbour, p.q, r.q AS other_q FROM grid a JOIN grid b ON b.x = (a.x + 1) % 5 AND b.y = a.y JOIN k p ON p.label = a.label JOIN k r ON r.label = b.label WHERE p.q <> r.q OR p.out = r.out", "grid")
+@query("v6_check_grid", "WITH k AS (SELECT CAST(p_size AS VARCHAR) AS label, CAST(min(p_partkey % 3) AS INTEGER) AS q, bool_or(p_size % 2 = 0) AS out FROM part GROUP BY 1) SELECT a.x, a.y, a.label, b.label AS neighbour, p.q, r.q AS other_q FROM grid a JOIN grid b ON b.x = (a.x + 1) % 40 AND b.y = a.y JOIN k p ON p.label = a.label JOIN k r ON r.label = b.label WHERE p.q <> r.q OR p.out = r.out", "grid")
 def _(t):
-    charges = t.nation.where("n_nationkey < 10").groupBy(F.col("n_regionkey").cast("string").alias("label")).agg(F.min(F.col("n_nationkey") % 3).alias("q"), F.bool_or(F.col("n_regionkey") % 2 == 0).alias("out"))
-    return validation.check_grid(t.grid(), charges, 1, 0, (5, 5))
+    charges = t.part.groupBy(F.col("p_size").cast("string").alias("label")).agg(F.min(F.col("p_partkey") % 3).cast("int").alias("q"), F.bool_or(F.col("p_size") % 2 == 0).alias("out"))
+    grid, size = t.grid()
+    return validation.check_grid(grid, charges, 1, 0, size)
 
 
 @query("v8_check_references", "WITH e AS (SELECT l_orderkey AS bond, min(l_suppkey) AS a, max(l_suppkey) AS b FROM lineitem GROUP BY 1), s AS (SELECT s_suppkey AS tensor FROM supplier WHERE s_suppkey % 10 <> 3), g AS (SELECT o_orderkey AS bond FROM orders WHERE o_orderkey % 4 <> 1), d AS (SELECT bond, a AS tensor FROM e UNION SELECT bond, b FROM e) SELECT DISTINCT tensor AS id, 'unknown tensor' AS problem FROM d WHERE tensor NOT IN (SELECT tensor FROM s) UNION SELECT bond, 'equal ends' FROM e WHERE a = b UNION SELECT tensor, 'unused tensor' FROM s WHERE tensor NOT IN (SELECT tensor FROM d) UNION SELECT bond, 'bond without gate' FROM e WHERE bond NOT IN (SELECT bond FROM g) UNION SELECT bond, 'gate without bond' FROM g WHERE bond NOT IN (SELECT bond FROM e)")
