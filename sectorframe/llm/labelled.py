@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .common import held_out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_bytes: int = 64 << 10) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_bytes: int = 16 << 10) -> DataFrame:
     """``doc_id, text, y``: distinct labelled texts that aren't held out, at most ``per_class`` of each class.
 
     The choice is by a hash of the id, so it is the same each time. Texts of over ``most_bytes``
