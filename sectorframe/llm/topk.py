@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 #: Rows of an indexed block and queries of a block, at most about; both are dealt by a hash.
 ROWS, QUERIES = 8192, 512
 #: Contribution levels, as shares of a query's largest possible contribution, descending.
-LEVELS = (0.5, 0.3, 0.2, 0.12, 0.06, 0.0)
+LEVELS = (0.4, 0.2, 0.1, 0.05, 0.0)
 #: The search stops when at most this share of a block's rows may be members.
-FEW = 0.02
+FEW = 0.2
 
 
 class Index:
@@ -32,7 +32,9 @@ class Index:
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.values = ids[order], np.ascontiguousarray(values[order])
-        by_impact = np.argsort(-self.values, axis=0, kind="stable")
+        by_impact = np.argsort(self.values, axis=0, kind="stable")
+        # Of each dimension, rows by ascending impact: a query's largest contributions stand at the end, or at the
+        # beginning where its own component is negative.
         self.rows = np.ascontiguousarray(by_impact.T)
         self.impacts = np.ascontiguousarray(np.take_along_axis(self.values, by_impact, 0).T)
 
@@ -49,13 +51,17 @@ class Index:
             bound = share * top
             rows, parts = [], []
             for d in np.flatnonzero((q != 0) & (largest > bound)).tolist():
-                impacts = self.impacts[d] if q[d] > 0 else self.impacts[d, ::-1]
-                # Contributions descend along the list; those over the bound end here.
-                to = int(np.searchsorted(-impacts * q[d], -bound, "left"))
+                impacts = self.impacts[d]
+                # Impacts are whole numbers: those whose contribution is over the bound.
+                if q[d] > 0:
+                    to = n - int(np.searchsorted(impacts, np.floor(bound / q[d]), "right"))
+                    part = slice(n - to, n - at[d])
+                else:
+                    to = int(np.searchsorted(impacts, np.ceil(bound / q[d]), "left"))
+                    part = slice(at[d], to)
                 if to > at[d]:
-                    order = self.rows[d] if q[d] > 0 else self.rows[d, ::-1]
-                    rows.append(order[at[d] : to])
-                    parts.append(impacts[at[d] : to] * q[d])
+                    rows.append(self.rows[d, part])
+                    parts.append(impacts[part] * q[d])
                     at[d] = to
             if rows:
                 sums += np.bincount(np.concatenate(rows), np.concatenate(parts), minlength=n)
@@ -67,7 +73,7 @@ class Index:
             if len(exact) < k:
                 continue
             sure = np.partition(exact, len(exact) - k)[len(exact) - k]
-            maybe = np.flatnonzero(sums + rest >= sure)
+            maybe = np.flatnonzero(sums + rest + 0.5 >= sure)  # scores are whole; the half is for rounding of bounds
             if len(maybe) <= FEW * n:
                 break
         scores = self.values[maybe] @ q
