@@ -11,7 +11,8 @@ Links that signatures suggest are confirmed on the full sets, which are told in
 that a group of many near copies needs no row for each of its pairs: first each class's best
 link; then those that still join different components; and for nodes of many classes, in which
 only the links that span clear clusters were told, the sets of what is still apart come together
-in the node and every pair of them is tried.
+in the node and every pair of them is tried. So do those of a cluster of clear links that the full
+sets have taken apart, since its other links weren't told.
 """
 
 from __future__ import annotations
@@ -111,8 +112,9 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _node_links(k1: np.ndarray, n: np.ndarray, tokens: np.ndarray, many: int) -> tuple[list[tuple], np.ndarray]:
-    """A small node's suggested links, and the classes of which more may be linked than these tell."""
-    label, found, rest = np.arange(len(k1)), [], []
+    """A small node's suggested links, the classes of which more may be linked than these tell, and the
+    clusters of clear links that hide further links (each class's cluster by number, or -1)."""
+    label, found, rest, hides = np.arange(len(k1)), [], [], []
     for i in range(len(k1) - 1):
         same = (tokens[i] == tokens[i + 1 :]).mean(1)
         near = np.flatnonzero((same >= LOW) & (100 * np.minimum(n[i], n[i + 1 :]) >= 80 * np.maximum(n[i], n[i + 1 :])))
@@ -124,14 +126,26 @@ def _node_links(k1: np.ndarray, n: np.ndarray, tokens: np.ndarray, many: int) ->
             if label[j] != label[i]:  # a pair that clear links join already adds nothing to them
                 found.append((k1[i], k1[j], alike))
                 label[label == label[j]] = label[i]
+            else:  # unless a clear link turns out to be none
+                hides.append(i)
         rest.append((np.full((~clear).sum(), i), near[~clear], same[~clear]))
     i, j, same = (np.concatenate(x) for x in zip(*rest, strict=True)) if rest else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     apart = label[i] != label[j]
+    hiding = np.union1d(label[np.array(hides, np.int64)], label[i[~apart]])
+    clusters = np.where(np.isin(label, hiding), label, -1)
     i, j, same = i[apart], j[apart], same[apart]
     if len(k1) <= many:
         found += list(zip(k1[i], k1[j], same, strict=True))
-        return found, np.zeros(0, np.int64)
-    return found, k1[np.union1d(i, j)]
+        return found, np.zeros(0, np.int64), clusters
+    return found, k1[np.union1d(i, j)], clusters
+
+
+def _named(k1: np.ndarray, clusters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes in clusters, and their cluster's name, which is the same for the same classes in any node."""
+    own, cluster = k1[clusters >= 0], clusters[clusters >= 0]
+    sums = np.zeros(len(k1), np.uint64)
+    np.add.at(sums, cluster, mix(own.view(np.uint64)))
+    return own, mix(sums[cluster]).view(np.int64)
 
 
 def _compared(many: int):
@@ -142,10 +156,11 @@ def _compared(many: int):
         found, open_, where = [], [], []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if b - a > 1:
-                own, more = _node_links(k1[a:b], n[a:b], tokens[a:b], many)
+                own, more, clusters = _node_links(k1[a:b], n[a:b], tokens[a:b], many)
                 found += own
-                open_.append(more)
-                where.append(np.full(len(more), node[a]))
+                hidden, names = _named(k1[a:b], clusters)
+                open_ += [more, hidden]
+                where += [np.full(len(more), node[a]), names]
         a, b, same = (np.array(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         c, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (open_, where))
         return pa.RecordBatch.from_pydict(
@@ -177,7 +192,7 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 def suggested(classes: DataFrame, small: int = SMALL, many: int = MANY) -> tuple[DataFrame, DataFrame]:
     """Distinct suggested links ``a, b, alike`` of classes ``k1, n, tokens``, and the classes ``node, k1`` of
-    nodes of many, of which more may be linked."""
+    nodes of many and of clusters of clear links, of which more may be linked."""
     row = "node bigint, k1 bigint, n bigint, tokens binary"
     first = _counted(classes.select("k1", "tokens").mapInArrow(_roots, "node bigint, k1 bigint"))
     at = stored(first.join(classes.select("k1", "n", "tokens"), "k1").select("node", "k1", "n", "tokens", "size"), "paths")
@@ -273,10 +288,13 @@ def _settled(table: pa.Table) -> pa.Table:
 
 
 def _between(open_: DataFrame, roots: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """Confirmed links between the components of each node of many classes."""
+    """Confirmed links between the components of each node of many classes, and of each cluster that
+    clear links don't join after all."""
     named = open_.join(roots.toDF("k1", "root"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
     apart = named.groupBy("node").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("node")
-    rows = stored(named.join(apart, "node", "left_semi"), "apart")
+    rows = stored(named.join(apart, "node", "left_semi").distinct(), "apart")
+    if rows.isEmpty():
+        return rows.select(F.col("k1").alias("a"), F.col("k1").alias("b"))
     found = _full_sets(rows.select("k1").distinct(), docs, classes, width)
     out = stored(rows.join(found, "k1").groupBy("node").applyInArrow(_settled, "a bigint, b bigint"), "settled")
     dropped(found)

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sectorframe.llm import near_dup
@@ -73,6 +74,23 @@ def test_large_nodes_branch_on(spark):
     assert sorted(map(tuple, got), key=repr) == _brute(rows, 2)
 
 
+@pytest.mark.parametrize("many", [64, 2])
+def test_refuted_clear_links_give_back_what_they_hid(spark, monkeypatch, many):
+    """All suggested links are taken as clear, so that many are none on the full sets."""
+    from pyspark.sql import functions as F
+
+    def here(classes, small, many):
+        table = classes.select(F.lit(1).cast("bigint").alias("node"), "k1", "n", "tokens").toArrow().combine_chunks()
+        out = spark.createDataFrame(pa.Table.from_batches(near_dup._compared(many)(iter(table.to_batches()))))
+        return out.where("b IS NOT NULL").select("a", "b", "alike"), out.where("b IS NULL").select("node", F.col("a").alias("k1"))
+
+    monkeypatch.setattr(near_dup, "HIGH", near_dup.LOW)
+    monkeypatch.setattr(near_dup, "suggested", here)
+    rows = _rows(5, 10, 14)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=2, many=many).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == _brute(rows, 2)
+
+
 def test_one_of_each_keeps_one_row(spark):
     rows = [(3, "a b c d e f g"), (1, "A b c d e f g"), (None, "a b c d e f g"), (1, "A b c d e f g"), (9, ""), (9, ""), (4, "other words here"), (5, None)]
     table = spark.createDataFrame([(d, t, 1, 1, "x") for d, t in rows], SCHEMA)
