@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored, text_column
@@ -22,8 +22,10 @@ from .words import _LOWER, buffer
 
 BITS = 16
 UNKNOWN = "und"
-#: Labelled texts of a language that are learned from, and languages, at most.
-PER_LANGUAGE, LANGUAGES = 2000, 30
+#: Labelled texts of a language that are learned from, at most; languages, of which more raise.
+PER_LANGUAGE, LANGUAGES = 2000, 200
+#: Languages whose likelihoods are looked up together.
+TOGETHER = 32
 #: Trigrams of a text that count as independent, at most.
 INDEPENDENT = 150
 #: Rows that a parent's share is worth in its child's prior.
@@ -47,12 +49,19 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (code >> np.uint32(32 - BITS)).astype(np.int64), np.append(0, np.cumsum(counts))
 
 
+def base_language(code: Column) -> Column:
+    """A language code without region, script and case; null where nothing is left."""
+    found = F.lower(F.regexp_extract(code, r"^\s*([^-_\s]+)", 1))
+    return F.when(found != "", found)
+
+
 def _trained(languages: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {x: k for k, x in enumerate(languages)}
         total = np.zeros((len(languages), 1 << BITS), np.int64)
         for batch in small_batches(batches, limit=4 << 20):
             found, edges = trigrams(text_column(batch))
-            which = np.array([languages.index(x) for x in batch.column("lang").to_pylist()], np.int64)
+            which = np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
             total += np.bincount(np.repeat(which, np.diff(edges)) * (1 << BITS) + found, minlength=total.size).reshape(total.shape)
         lang, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "n": pa.array(total[lang, bucket], pa.int64())})
@@ -61,17 +70,19 @@ def _trained(languages: list[str]):
 
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities (bucket x language, the unknown one last), from a bounded sample of
-    the rows of ``docs`` (``doc_id``, ``text``, ``lang``) with a language, chosen by a hash of the id."""
-    own = docs.where(F.col("lang").isNotNull() & (F.length("text") > 2))
-    top = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r.lang for r in top)
+    """Languages and log probabilities (bucket x language, the unknown one last), from the rows of ``docs``
+    (``doc_id``, ``text``, ``lang``) with a language: all languages, of each a bounded sample by a hash of the id.
+
+    A language is known without its region and case (``en-GB`` is ``en``). More than LANGUAGES raise.
+    """
+    own = docs.select("doc_id", "text", base_language(F.col("lang")).alias("lang")).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 2))
+    languages = sorted(r.lang for r in own.select("lang").distinct().limit(LANGUAGES + 1).collect())
+    if len(languages) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     total = np.zeros((1 << BITS, len(languages) + 1))
     if languages:
-        ids = None
-        for lang in languages:
-            one = own.where(F.col("lang") == lang).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_LANGUAGE)
-            ids = one if ids is None else ids.union(one)
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+        ids = own.select("doc_id", "lang").distinct().withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE).drop("rank")
         # The sample of ids has a bound: languages times their texts.
         rows = own.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
         found = rows.mapInArrow(_trained(languages), "lang int, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -95,7 +106,8 @@ def likelihoods(rows: DataFrame, table: np.ndarray, keep: list[str], text: str =
             sums = np.zeros((batch.num_rows, own.shape[1]))
             filled = np.flatnonzero(n)
             if len(filled):
-                sums[filled] = np.add.reduceat(own[found], edges[:-1][filled], axis=0)
+                for a in range(0, own.shape[1], TOGETHER):
+                    sums[filled, a : a + TOGETHER] = np.add.reduceat(own[found, a : a + TOGETHER], edges[:-1][filled], axis=0)
                 sums[filled] *= np.minimum(1, INDEPENDENT / n[filled])[:, None]
             sums -= sums.mean(1, keepdims=True)
             logs = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, own.shape[1]), pa.int32()), pa.array(sums.ravel()))
@@ -127,8 +139,8 @@ def host_priors(rows: DataFrame, k: int) -> DataFrame:
     world = [((everything[j] or 0.0) + SMOOTHING * start[j]) / (total + SMOOTHING) for j in range(k)]
 
     def smoothed(df: DataFrame, parent: Column, name: str) -> DataFrame:
-        n = sum((F.col(f"s{j}") for j in range(1, k)), F.col("s0"))
-        return df.withColumn(name, F.array(*[(F.col(f"s{j}") + SMOOTHING * parent[j]) / (n + SMOOTHING) for j in range(k)]))
+        n = F.aggregate(F.array(*[f"s{j}" for j in range(k)]), F.lit(0.0), lambda a, x: a + x)
+        return df.withColumn("_n", n).withColumn(name, F.array(*[(F.col(f"s{j}") + SMOOTHING * parent[j]) / (F.col("_n") + SMOOTHING) for j in range(k)]))
 
     suffix = smoothed(levels.groupBy("suffix").agg(*again), F.array(*[F.lit(x) for x in world]), "by_suffix").select("suffix", "by_suffix")
     domain = levels.groupBy("suffix", "domain").agg(*again).join(suffix, "suffix")
@@ -147,7 +159,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
     """
     languages, table = model
     names, k = [*languages, UNKNOWN], len(languages) + 1
-    source = rows.withColumns({"_host": host, "_declared": F.lit(None).cast("string") if declared is None else F.lower(F.substring_index(declared, "-", 1))})
+    source = rows.withColumns({"_host": host, "_declared": F.lit(None).cast("string") if declared is None else base_language(declared)})
     kept = [f"_keep_{j}" for j in range(len(keep))]
     source = source.select(*[F.col(c).alias(a) for c, a in zip(keep, kept, strict=True)], "_host", "_declared", F.col(text).alias("_body"))
     found = stored(likelihoods(source, table, [*kept, "_host", "_declared"], "_body"), "language")

@@ -81,6 +81,28 @@ def test_languages(spark, tables):
     assert not language.identify(docs, language.train(docs.limit(0)), ["doc_id"], F.col("source")).toPandas()["known"].any()
 
 
+def test_all_languages_and_their_variants(spark, monkeypatch):
+    """40 languages, two of them rare, with regions and case; a repeated id takes one place only."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    alphabets = ["".join(chr(c) for c in rng.choice(np.arange(0x100, 0x240), 12, replace=False)) for _ in range(40)]
+    text = lambda k: " ".join("".join(rng.choice(list(alphabets[k]), 5)) for _ in range(30))
+    rows = []
+    for k in range(40):
+        code = f"q{chr(97 + k // 26)}{chr(97 + k % 26)}"
+        variants = [code, code.upper(), f"{code}-GB", f"{code}_x"]
+        rows += [(len(rows) + i, text(k), variants[i % 4], code, "s") for i in range(4 if k > 37 else 8)]
+    docs = spark.createDataFrame([*rows, *[rows[0]] * 50], "doc_id bigint, text string, lang string, code string, source string")
+    model = language.train(docs)
+    assert model[0] == sorted({r[3] for r in rows})
+    got = language.identify(docs, model, ["doc_id", "code"], F.col("source")).toPandas()
+    assert len(got) == len(rows) + 50 and (got["language"] == got["code"]).all() and got["known"].all()
+    monkeypatch.setattr(language, "LANGUAGES", 39)
+    with pytest.raises(ValueError):
+        language.train(docs)
+
+
 def test_evidence_beyond_the_text(spark, tables):
     """A text that says nothing clear follows its host and its markup."""
     from pyspark.sql import functions as F
