@@ -57,7 +57,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut = cut
         self._forget()
         self.marks = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -137,6 +137,8 @@ class Encoder:
             odd |= pc.match_substring_regex(texts, _RARE).to_numpy(zero_copy_only=False)
         else:
             data = _LOWER[data]
+        for content in self.added:  # the library takes it out of the text before anything is cut
+            odd |= pc.match_substring(texts, content, ignore_case=True).to_numpy(zero_copy_only=False)
         starts = np.flatnonzero(start)
         if self.cut == "words":
             # The blank itself goes to the piece before it, where the tokenizer drops it.

@@ -25,6 +25,20 @@ def test_ids_equal_the_librarys(path, cut):
         assert ids.tolist() == [i for x in expected for i in x]
 
 
+@pytest.mark.parametrize("path,cut", [(BYTES, "blanks"), (WORDS, "words")])
+def test_added_tokens_are_one_id(path, cut):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    added = {x.content: k for k, x in library.get_added_tokens_decoder().items()}
+    texts = [t for x in added for t in (x, f"a {x}b c", f"{x}{x} d", x.upper(), x[:-1], f"e\n{x}\n")] + ["plain words"]
+    ids, counts = encoder(path, cut).encode(pa.array(texts))
+    expected = [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert added and expected[0] == [added[texts[0]]]
+    assert counts.tolist() == [len(x) for x in expected]
+    assert ids.tolist() == [i for x in expected for i in x]
+
+
 def test_scaled_frequencies():
     for counts in ([0, 5, 1, 0, 10**9], [7], [1] * 50257, [0]):
         freq = rans.scaled(np.array(counts))
