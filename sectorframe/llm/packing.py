@@ -80,7 +80,7 @@ def _cut(path: str, end: int, capacity: int, keep_ids: bool):
         coder, row = encoder(path, "words"), 0
         part = TaskContext.get().partitionId()
         for batch in batches:
-            for lo, hi, ids, counts in coder.chunks(batch.column("text").cast(pa.string())):
+            for lo, hi, ids, counts in coder.chunks(batch.column("text")):
                 ids, counts = with_end(ids, counts, end)
                 ends = np.cumsum(counts)
                 pieces = -(-counts // capacity)

@@ -1,9 +1,9 @@
 """Token ids in files: a static range asymmetric numeral system with shared frequencies.
 
 A shard row of the output holds whole documents in ascending ``doc_id`` order. Its ids are
-cut into blocks of ``BLOCK`` ids. A block is dealt to ``LANES`` interleaved coders; its
-directory entry is a checkpoint (each coder's state, where its words begin, how many ids
-stand before it) with a checksum, so that blocks decode alone and in any order.
+cut into blocks of ``BLOCK`` ids, the last as long as is left. A block is dealt to ``LANES``
+interleaved coders; its directory entry and states are a checkpoint (where its words begin,
+each coder's state, a checksum of both), so that blocks decode alone and in any order.
 
 Shards are rows of a Parquet table because Spark's writers and readers reach any store and
 commit whole tasks only.
@@ -53,92 +53,130 @@ def scaled(counts: np.ndarray) -> np.ndarray:
 
 
 class Coder:
-    """Encodes and decodes blocks with one table of frequencies."""
+    """Encodes and decodes blocks with one table of frequencies.
+
+    A stored shard is a header (magic, ids, blocks, its own checksum), a directory (of each block its words and
+    its checksum), the states, and the words. The header's checksum covers header and directory, a block's
+    covers its states and words; so each stored byte is under one, and a block is checked alone.
+    """
 
     def __init__(self, freq: np.ndarray):
         self.freq = freq.astype(np.uint64)
         self.cum = (np.cumsum(freq) - freq).astype(np.uint64)
         self.slots = np.zeros(1 << BITS, np.uint32)
         self.slots[: freq.sum()] = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
-        self.fill = int(np.argmax(freq))
 
-    def encode(self, ids: np.ndarray) -> bytes:
-        n = len(ids)
-        blocks = max(1, -(-n // BLOCK))
-        steps = BLOCK // LANES if blocks > 1 else max(1, -(-n // LANES))
-        padded = np.full(blocks * steps * LANES, self.fill, np.int64)
-        padded[:n] = ids
-        grid = np.ascontiguousarray(padded.reshape(blocks, steps, LANES).transpose(1, 0, 2)).reshape(steps, -1)
-        x = np.full(blocks * LANES, _LOW, np.uint64)
-        words = np.empty((steps, blocks * LANES), np.uint32)
-        full = np.empty((steps, blocks * LANES), bool)
+    def _push(self, grid: np.ndarray, last: int) -> tuple[np.ndarray, list[bytes]]:
+        """States and words of blocks (steps x blocks x lanes); the last step has ids on ``last`` lanes only."""
+        steps, blocks, _ = grid.shape
+        x = np.full((blocks, LANES), _LOW, np.uint64)
+        words = np.empty((steps, blocks, LANES), np.uint32)
+        full = np.zeros((steps, blocks, LANES), bool)
         for s in range(steps - 1, -1, -1):
-            f = self.freq[grid[s]]
-            np.greater_equal(x, f << np.uint64(64 - BITS), out=full[s])
-            words[s] = x.astype(np.uint32)
-            x = np.where(full[s], x >> np.uint64(32), x)
-            q = x // f
-            x = (q << np.uint64(BITS)) + (x - q * f) + self.cum[grid[s]]
-        words = words.reshape(steps, blocks, LANES).transpose(1, 0, 2)
-        full = full.reshape(steps, blocks, LANES).transpose(1, 0, 2)
-        sizes = full.sum((1, 2)).astype(np.uint32)
-        sums = [zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4")) for k in range(blocks)]
-        head = np.array([MAGIC, n, blocks, steps], "<u4").tobytes()
-        return head + sizes.astype("<u4").tobytes() + np.array(sums, "<u4").tobytes() + x.astype("<u8").tobytes() + words[full].astype("<u4").tobytes()
+            n = last if s == steps - 1 else LANES
+            ids, own = grid[s, :, :n], x[:, :n]
+            f = self.freq[ids]
+            np.greater_equal(own, f << np.uint64(64 - BITS), out=full[s, :, :n])
+            words[s, :, :n] = own.astype(np.uint32)
+            own = np.where(full[s, :, :n], own >> np.uint64(32), own)
+            q = own // f
+            x[:, :n] = (q << np.uint64(BITS)) + (own - q * f) + self.cum[ids]
+        return x, [words[:, k][full[:, k]].astype("<u4").tobytes() for k in range(blocks)]
 
-    def decode(self, data: bytes, only: range | None = None) -> np.ndarray:
-        """All ids, or those of the blocks ``only``; raises if a checksum differs."""
-        magic, n, blocks, steps = (int(v) for v in np.frombuffer(data, "<u4", 4))
-        if magic != MAGIC:
-            raise ValueError("not a shard")
-        sizes = np.frombuffer(data, "<u4", blocks, 16).astype(np.int64)
-        sums = np.frombuffer(data, "<u4", blocks, 16 + 4 * blocks)
-        x = np.frombuffer(data, "<u8", blocks * LANES, 16 + 8 * blocks).astype(np.uint64)
-        words = np.frombuffer(data, "<u4", -1, 16 + 8 * blocks + 8 * blocks * LANES).astype(np.uint64)
-        words = np.append(words, np.uint64(0))
-        at = np.cumsum(sizes) - sizes
-        which = np.arange(blocks)[only.start : only.stop] if only is not None else np.arange(blocks)
-        x, at = x.reshape(blocks, LANES)[which].ravel(), at[which]
-        grid = np.empty((steps, len(x)), np.uint32)
+    def encode(self, ids: np.ndarray) -> bytes:
+        n = len(ids)
+        whole, rest = divmod(n, BLOCK)
+        states, words = self._push(ids[: whole * BLOCK].reshape(whole, -1, LANES).transpose(1, 0, 2), LANES) if whole else (np.zeros((0, LANES), np.uint64), [])
+        if rest:
+            padded = np.zeros(-(-rest // LANES) * LANES, ids.dtype)
+            padded[:rest] = ids[whole * BLOCK :]
+            x, more = self._push(padded.reshape(-1, 1, LANES), (rest - 1) % LANES + 1)
+            states, words = np.concatenate([states, x]), words + more
+        states = states.astype("<u8")
+        directory = np.array([[len(w) // 4, zlib.crc32(w, zlib.crc32(x.tobytes()))] for w, x in zip(words, states, strict=True)], "<u4").tobytes()
+        head = np.array([MAGIC, n, len(words)], "<u4").tobytes()
+        return b"".join([head, np.array([zlib.crc32(directory, zlib.crc32(head))], "<u4").tobytes(), directory, states.tobytes(), *words])
+
+    def _pull(self, x: np.ndarray, words: np.ndarray, at: np.ndarray, steps: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (blocks x steps * lanes) and where the words of each block end; raises unless all coders end as they began."""
+        grid = np.zeros((steps, len(x), LANES), np.uint32)
         for s in range(steps):
-            slot = x & _MASK
-            grid[s] = sym = self.slots[slot]
-            x = self.freq[sym] * (x >> np.uint64(BITS)) + slot - self.cum[sym]
-            low = (x < _LOW).reshape(-1, LANES)
+            n = last if s == steps - 1 else LANES
+            own = x[:, :n]
+            slot = own & _MASK
+            grid[s, :, :n] = sym = self.slots[slot]
+            own = self.freq[sym] * (own >> np.uint64(BITS)) + slot - self.cum[sym]
+            low = own < _LOW
             rank = np.cumsum(low, 1)
-            where = np.minimum((at[:, None] + rank - 1).ravel(), len(words) - 1)
-            x = np.where(low.ravel(), (x << np.uint64(32)) | words[where], x)
+            where = np.minimum(at[:, None] + rank - 1, len(words) - 1)
+            x[:, :n] = np.where(low, (own << np.uint64(32)) | words[where], own)
             at = at + rank[:, -1]
-        ids = grid.reshape(steps, -1, LANES).transpose(1, 0, 2).reshape(len(which), -1)
-        out = []
-        for k, row in zip(which.tolist(), ids, strict=True):
-            row = row[: min(BLOCK, n - k * BLOCK)]
-            if zlib.crc32(np.ascontiguousarray(row, "<u4")) != sums[k]:
+        if (x != _LOW).any():
+            raise ValueError("coders don't end as they began")
+        return grid.transpose(1, 0, 2).reshape(len(x), -1), at
+
+    def decode(self, data: bytes, only: range | None = None) -> np.ndarray:
+        """All ids, or those of the blocks ``only``; raises if a checksum, a word count or a final state is wrong."""
+        if len(data) < 16:
+            raise ValueError("not a shard")
+        magic, n, blocks, check = (int(v) for v in np.frombuffer(data, "<u4", 4))
+        first = 16 + 8 * blocks
+        if magic != MAGIC or blocks != -(-n // BLOCK) or len(data) < first + 8 * blocks * LANES or zlib.crc32(data[16:first], zlib.crc32(data[:12])) != check:
+            raise ValueError("not a shard, or its directory is damaged")
+        directory = np.frombuffer(data, "<u4", 2 * blocks, 16).reshape(-1, 2).astype(np.int64)
+        states = np.frombuffer(data, "<u8", blocks * LANES, first).reshape(-1, LANES)
+        begin = first + 8 * blocks * LANES
+        ends = np.cumsum(directory[:, 0])
+        if len(data) != begin + 4 * (int(ends[-1]) if blocks else 0):
+            raise ValueError("a shard of another length than its directory says")
+        which = range(blocks)[only.start : only.stop] if only is not None else range(blocks)
+        for k in which:
+            raw = memoryview(data)[begin + 4 * int(ends[k] - directory[k, 0]) : begin + 4 * int(ends[k])]
+            if zlib.crc32(raw, zlib.crc32(states[k].tobytes())) != directory[k, 1]:
                 raise ValueError(f"checksum of block {k}")
-            out.append(row)
+        words = np.append(np.frombuffer(data, "<u4", -1, begin), np.uint32(0)).astype(np.uint64)
+        out = []
+        for own, size in ((which if n % BLOCK == 0 else range(which.start, min(which.stop, blocks - 1)), BLOCK), (range(max(which.start, blocks - 1), which.stop) if n % BLOCK else range(0), n % BLOCK)):
+            if len(own):
+                at = slice(own.start, own.stop)
+                ids, to = self._pull(states[at].copy(), words, ends[at] - directory[at, 0], -(-size // LANES), (size - 1) % LANES + 1)
+                if (to != ends[at]).any():
+                    raise ValueError("words are left over")
+                out.append(ids[:, :size].ravel())
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+def _check(start: int, doc_ids: pa.Array, counts: np.ndarray) -> int:
+    """Checksum of what a shard row holds besides its ids."""
+    known = np.asarray(doc_ids.is_valid())
+    raw = [np.array([start, len(counts)], "<i8"), known, doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), counts.astype("<i8")]
+    out = 0
+    for x in raw:
+        out = zlib.crc32(np.ascontiguousarray(x).tobytes(), out)
+    return out
+
+
 def _tokenise(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = encoder(path, "blanks"), TaskContext.get().partitionId()
+        if max(coder.tokenizer.get_vocab_size(), end + 1) > 1 << 16:
+            raise ValueError("ids over 65,535")
         docs, counts, ids, seq, before, held = [], [], [], 0, 0, 0
 
         def shard() -> pa.RecordBatch:
             each = np.concatenate(counts)
-            all_ids = np.concatenate(ids).astype("<u4" if end > 0xFFFF else "<u2")
+            all_ids = np.concatenate(ids).astype("<u2")
             return pa.RecordBatch.from_pydict(
                 {"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "before": pa.array([before], pa.int64()), "n_ids": pa.array([len(all_ids)], pa.int64()),
                  "doc_ids": pa.array([pa.concat_arrays(docs)], pa.list_(pa.int64())), "counts": pa.array([each], pa.list_(pa.int64())), "ids": pa.array([all_ids.tobytes()], pa.binary())}
             )
 
         for batch in batches:
-            column = batch.column("text").cast(pa.string())
-            for lo, hi, found, each in coder.chunks(column):
+            for lo, hi, found, each in coder.chunks(batch.column("text")):
                 found, each = with_end(found, each, end)
                 docs.append(batch.column("doc_id").cast(pa.int64()).slice(lo, hi - lo))
                 counts.append(each)
-                ids.append(found.astype(np.uint16 if coder.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32))
+                ids.append(found.astype(np.uint16))
                 held += len(found)
                 if held >= SHARD_IDS:
                     yield shard()
@@ -167,7 +205,8 @@ def write(docs: DataFrame, tokenizer: str, end: int = 0, path: str | None = None
     docs: columns ``doc_id`` and ``text``; others are ignored. Null texts are empty; a null
     ``doc_id`` comes first; rows with one ``doc_id`` stand by their text, and repeated rows
     are all written. An empty table gives no shards. Returns the folder, which holds
-    ``shards`` and ``frequencies``. The vocabulary must have at most 65,536 ids.
+    ``shards`` and ``frequencies``. A vocabulary or end id over 65,536 ids raises. A text of any
+    length is one document of one shard, so its ids are held whole by a task (two bytes each).
 
     The driver gets the frequencies (one row for an id of the vocabulary) and one count for
     a shuffle partition.
@@ -193,10 +232,11 @@ def write(docs: DataFrame, tokenizer: str, end: int = 0, path: str | None = None
                 one = batch.slice(k, 1)
                 data = coder.encode(np.frombuffer(one.column("ids")[0].as_buffer(), "<u2"))
                 start = first[one.column("part")[0].as_py()] + one.column("before")[0].as_py()
-                yield pa.RecordBatch.from_pydict({"start": pa.array([start], pa.int64()), "doc_ids": one.column("doc_ids"), "counts": one.column("counts"), "data": pa.array([data], pa.binary())})
+                check = _check(start, one.column("doc_ids")[0].values, one.column("counts")[0].values.to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_pydict({"start": pa.array([start], pa.int64()), "doc_ids": one.column("doc_ids"), "counts": one.column("counts"), "check": pa.array([check], pa.int64()), "data": pa.array([data], pa.binary())})
 
     spark.createDataFrame([(freq_bytes,)], "freq binary").coalesce(1).write.parquet(f"{path}/frequencies")
-    tokens.select("part", "before", "doc_ids", "counts", "ids").mapInArrow(encode, "start bigint, doc_ids array<bigint>, counts array<bigint>, data binary").write.option("compression", "none").parquet(f"{path}/shards")
+    tokens.select("part", "before", "doc_ids", "counts", "ids").mapInArrow(encode, "start bigint, doc_ids array<bigint>, counts array<bigint>, check bigint, data binary").write.option("compression", "none").parquet(f"{path}/shards")
     dropped(tokens)
     return path
 
@@ -215,11 +255,14 @@ def read(spark, path: str, keep_ids: bool = True) -> DataFrame:
                 ids = coder.decode(batch.column("data")[k].as_py())
                 counts = batch.column("counts")[k].values.to_numpy(zero_copy_only=False)
                 ends = np.cumsum(counts)
+                start, docs = batch.column("start")[k].as_py(), batch.column("doc_ids")[k].values
+                if _check(start, docs, counts) != batch.column("check")[k].as_py() or (ends[-1] if len(ends) else 0) != len(ids):
+                    raise ValueError("checksum of a shard's documents")
                 raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
                 spans = [(4 * int(b - n), 4 * int(b)) for b, n in zip(ends, counts, strict=True)]
                 out = {
-                    "doc_id": batch.column("doc_ids")[k].values,
-                    "start": pa.array(batch.column("start")[k].as_py() + ends - counts, pa.int64()),
+                    "doc_id": docs,
+                    "start": pa.array(start + ends - counts, pa.int64()),
                     "n_tokens": pa.array(counts, pa.int64()),
                     "ids_crc32": pa.array([zlib.crc32(raw[a:b]) for a, b in spans], pa.int64()),
                 }

@@ -18,12 +18,14 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Encoded pieces that a Python worker keeps; when there would be more, it starts anew.
-CACHE_PIECES = 600_000
-#: Bytes of text that are encoded together.
-CHUNK_BYTES = 8 << 20
+#: Bytes that the encoded pieces take which a Python worker keeps; when there would be more, it starts anew.
+CACHE_BYTES = 64 << 20
+#: Bytes of text that are encoded together; a longer text is encoded in parts of about this size.
+CHUNK_BYTES = 1 << 20
 #: Pieces that are given to the library in one string.
 JOINED = 500
+#: Bytes of a kept piece besides its text and ids: string, place in the table, two numbers.
+_ENTRY = 180
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = True
@@ -67,8 +69,9 @@ class Encoder:
     def _forget(self) -> None:
         """Kept pieces by number; the ids of number k stand in ``pool`` from ``starts[k]`` on."""
         self.known: dict[str, int] = {}
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
+        self.held = 0
+        self.starts = np.zeros(0, np.int32)
+        self.lengths = np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.int32)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
@@ -104,13 +107,15 @@ class Encoder:
         out = np.fromiter(map(get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(out < 0)
         if len(new):
-            if len(self.known) and len(self.known) + len(new) > CACHE_PIECES:
+            fresh = list(dict.fromkeys(pieces[k] for k in new.tolist()))
+            more = sum(_ENTRY + 5 * len(x) for x in fresh)
+            if len(self.known) and self.held + more > CACHE_BYTES:
                 self._forget()
                 return self._numbers(pieces)
-            fresh = list(dict.fromkeys(pieces[k] for k in new.tolist()))
+            self.held += more
             ids, lengths = self._fresh(fresh)
-            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
+            self.starts = np.concatenate([self.starts, (len(self.pool) + np.cumsum(lengths) - lengths).astype(np.int32)])
+            self.lengths = np.concatenate([self.lengths, lengths.astype(np.int32)])
             self.pool = np.concatenate([self.pool, ids])
             get = self.known.get
             out[new] = np.fromiter((get(pieces[k]) for k in new.tolist()), np.int64, len(new))
@@ -158,7 +163,7 @@ class Encoder:
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         numbers = self._numbers([x.strip(" ") for x in distinct] if self.cut == "words" else distinct)[coded.indices.to_numpy()]
         each = self.lengths[numbers]
-        ends = np.cumsum(each)
+        ends = np.cumsum(each, dtype=np.int64)
         where = np.repeat(self.starts[numbers] - (ends - each), each)
         where += np.arange(ends[-1])
         out = self.pool[where]
@@ -174,14 +179,38 @@ class Encoder:
             out = np.concatenate(parts)
         return out, counts
 
+    def _long(self, text: pa.Scalar) -> np.ndarray:
+        """Ids of one long text, by parts cut between a letter and the blank of a next word, where both kinds of
+        tokenizer always cut and no added token can stand."""
+        data = np.frombuffer(text.as_buffer(), np.uint8)
+        cuts = [0]
+        while len(data) - cuts[-1] > CHUNK_BYTES:
+            at = cuts[-1] + CHUNK_BYTES
+            while at < len(data) - 2:  # further on where a part has no such place
+                own = data[at - CHUNK_BYTES // 8 : at + CHUNK_BYTES // 8]
+                found = np.flatnonzero(_LETTER[own[:-2]] & (own[1:-1] == 32) & _LETTER[own[2:]])
+                if len(found):
+                    break
+                at += CHUNK_BYTES // 8
+            else:
+                break
+            cuts.append(at - CHUNK_BYTES // 8 + int(found[-1]) + 1)
+        edges = pa.array([*cuts, len(data)], pa.int64())
+        parts = pa.LargeStringArray.from_buffers(len(cuts), edges.buffers()[1], text.as_buffer())
+        return np.concatenate([self.encode(parts.slice(k, 1))[0] for k in range(len(cuts))])
+
     def chunks(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """A column by CHUNK_BYTES: first row, row after the last, ids, counts."""
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < len(texts):
             before = int(sizes[at - 1]) if at else 0
             to = max(at + 1, int(np.searchsorted(sizes, before + CHUNK_BYTES, "right")))
-            yield at, to, *self.encode(texts.slice(at, to - at))
+            if sizes[to - 1] - before > CHUNK_BYTES:
+                ids = self._long(texts[at])
+                yield at, to, ids, np.array([len(ids)])
+            else:
+                yield at, to, *self.encode(texts.slice(at, to - at))
             at = to
 
 

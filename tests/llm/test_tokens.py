@@ -15,21 +15,26 @@ ODD = ["", None, " a", "a ", "a  b", "a\n\nb", "a \n b", "\n", "x\nd y", "a\tb",
 SCHEMA = "doc_id bigint, text string, length int, start string"
 
 
+def _library(path):
+    """The library as it is, with no setting of ours."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @pytest.mark.parametrize("path,cut", [(BYTES, "blanks"), (WORDS, "words")])
 def test_ids_equal_the_librarys(path, cut):
     coder = encoder(path, cut)
     for _ in range(2):
         ids, counts = coder.encode(pa.array(ODD, pa.string()))
-        expected = [coder.tokenizer.encode(x or "", add_special_tokens=False).ids for x in ODD]
+        expected = [_library(path).encode(x or "", add_special_tokens=False).ids for x in ODD]
         assert counts.tolist() == [len(x) for x in expected]
         assert ids.tolist() == [i for x in expected for i in x]
 
 
 @pytest.mark.parametrize("path,cut", [(BYTES, "blanks"), (WORDS, "words")])
 def test_added_tokens_are_one_id(path, cut):
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
+    library = _library(path)
     added = {x.content: k for k, x in library.get_added_tokens_decoder().items()}
     texts = [t for x in added for t in (x, f"a {x}b c", f"{x}{x} d", x.upper(), x[:-1], f"e\n{x}\n")] + ["plain words"]
     ids, counts = encoder(path, cut).encode(pa.array(texts))
@@ -39,6 +44,20 @@ def test_added_tokens_are_one_id(path, cut):
     assert ids.tolist() == [i for x in expected for i in x]
 
 
+@pytest.mark.parametrize("path,cut", [(BYTES, "blanks"), (WORDS, "words")])
+def test_long_texts_are_cut_and_a_small_cache_starts_anew(monkeypatch, path, cut):
+    """Parts of a text of 300 times a chunk; one part has no place to cut, one holds an added token and odd blanks."""
+    from sectorframe.llm import tokens
+
+    monkeypatch.setattr(tokens, "CHUNK_BYTES", 1 << 10)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 20_000)
+    rng = np.random.default_rng(4)
+    prose = " ".join("".join(rng.choice(list("abcdefgh'\u00e9\u03a31,"), rng.integers(1, 9))) for _ in range(50_000))
+    texts = [prose, "short", "1 2 " * 3000, None, "x" * 5000 + " y z" * 700, prose[:3000] + "<|endoftext|>  \n a" + prose[:3000]]
+    got = [x for _, _, ids, counts in tokens.Encoder(path, cut).chunks(pa.array(texts)) for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert [x.tolist() for x in got] == [_library(path).encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_scaled_frequencies():
     for counts in ([0, 5, 1, 0, 10**9], [7], [1] * 50257, [0]):
         freq = rans.scaled(np.array(counts))
@@ -55,15 +74,44 @@ def test_round_trip_and_single_blocks(n, kinds):
     assert (coder.decode(data) == ids).all()
     if n > rans.BLOCK:
         assert (coder.decode(data, range(1, 2)) == ids[rans.BLOCK : 2 * rans.BLOCK]).all()
-    if kinds > 100 and n > 100:  # with few kinds the ids may come out right all the same
+
+
+def test_each_flipped_bit_is_found():
+    ids = np.random.default_rng(3).pareto(1, 50_001).astype(np.int64) % 3000
+    coder = rans.Coder(rans.scaled(np.bincount(ids, minlength=3000)))
+    data = coder.encode(ids)
+    places = [*range(16 * 8), *np.random.default_rng(5).integers(0, 8 * len(data), 1000).tolist(), *range(8 * len(data) - 32, 8 * len(data))]
+    for place in places:
         broken = bytearray(data)
-        broken[-9] ^= 1
+        broken[place // 8] ^= 1 << place % 8
         with pytest.raises(ValueError):
             coder.decode(bytes(broken))
+    for broken in (data[:-4], data + b"1234", data[:9], b""):
+        with pytest.raises(ValueError):
+            coder.decode(broken)
+
+
+def test_changed_documents_of_a_shard_are_found(spark):
+    from pyspark.sql import functions as F
+
+    path = rans.write(spark.createDataFrame([(k, t, 1, "x") for k, t in enumerate(ODD)], SCHEMA), BYTES)
+    shards = spark.read.parquet(f"{path}/shards")
+    changes = {"doc_ids": F.transform("doc_ids", lambda x: x + 1), "counts": F.reverse("counts"), "start": F.col("start") + 1}
+    for column, value in changes.items():
+        other = f"{path}-{column}"
+        shards.withColumn(column, value).write.parquet(f"{other}/shards")
+        spark.read.parquet(f"{path}/frequencies").write.parquet(f"{other}/frequencies")
+        with pytest.raises(Exception, match="checksum of a shard's documents"):
+            rans.read(spark, other).collect()
+
+
+def test_ids_over_16_bits_raise(spark):
+    with pytest.raises(Exception, match="ids over 65,535"):
+        rans.write(spark.createDataFrame([(1, "a", 1, "x")], SCHEMA), BYTES, end=70_000)
 
 
 def _rows(path, texts, end):
-    tokenizer = encoder(path, "words").tokenizer
+    tokenizer = _library(path)
     return [[*tokenizer.encode(t or "", add_special_tokens=False).ids, end] for t in texts]
 
 
