@@ -2,9 +2,9 @@
 
 A payload is a text's UTF-8 bytes with zeros up to a positive multiple of 64. The wave module
 writes it as mono samples of 8 bits into a table, whose stored bytes are read again for all
-that follows. Features: short-time Fourier transforms with a window, the strongest bin of each
-of three bands in each frame, and pairs of a peak with those of the next frames as codes of
-both bins and their distance, each with the time of its first frame.
+that follows. Features: short-time Fourier transforms with a window, a peak in each of three
+bands of each frame where there is one, and pairs of a peak with those of the next frames as
+codes of both bins and their distance, each with the time of its first frame.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ FRAME, HOP = 256, 128
 BANDS = ((1, 16), (16, 48), (48, FRAME // 2 + 1))
 #: Frames after a peak's own in which it finds partners.
 REACH = 2
+#: A peak's least share of its frame's mean magnitude.
+FLOOR = 1.5
+#: Frames that are transformed together.
+TOGETHER = 2048
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
@@ -49,40 +53,53 @@ def from_wav(data: bytes) -> bytes:
 
 
 def peaks(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The strongest bin of each band in each frame of all payloads (frames x bands), and each payload's frames."""
-    frames = [max(1, -(-max(0, len(p) - FRAME) // HOP) + 1) for p in payloads]
-    rows = np.zeros((sum(frames), FRAME), np.float32)
-    at = 0
-    for p, n in zip(payloads, frames, strict=True):
-        signal = np.zeros(HOP * (n - 1) + FRAME, np.float32)
-        signal[: len(p)] = np.frombuffer(p, np.uint8)
-        signal[: len(p)] -= 128
-        rows[at : at + n] = np.lib.stride_tricks.sliding_window_view(signal, FRAME)[::HOP]
-        at += n
-    power = np.abs(np.fft.rfft(rows * _WINDOW, axis=1))
-    return np.stack([lo + power[:, lo:hi].argmax(1) for lo, hi in BANDS], 1).astype(np.int64), np.array(frames, np.int64)
-
-
-def codes(bins: np.ndarray) -> np.ndarray:
-    """Time-coded pairs of one payload: frame, first bin, second bin and distance in one number, by time."""
-    out = []
+    """The peak of each band in each frame of all payloads (frames x bands, -1 where a band has none), and each
+    payload's frames. A band's strongest bin is a peak if it is over both its neighbours and over FLOOR times the
+    frame's mean; silence has none. Frames are looked at TOGETHER at a time, whatever a payload's length."""
+    frames = np.array([max(1, -(-max(0, len(p) - FRAME) // HOP) + 1) for p in payloads], np.int64)
+    lengths = HOP * (frames - 1) + FRAME
+    signal = np.frombuffer(b"".join(p.ljust(n, b"\x80") for p, n in zip(payloads, lengths.tolist(), strict=True)), np.uint8)
+    begins = np.repeat(np.cumsum(lengths) - lengths - HOP * (np.cumsum(frames) - frames), frames) + HOP * np.arange(frames.sum())
+    bins = np.full((len(begins), len(BANDS)), -1, np.int64)
+    for a in range(0, len(begins), TOGETHER):
+        rows = signal[begins[a : a + TOGETHER, None] + np.arange(FRAME)].astype(np.float32) - np.float32(128)
+        power = np.abs(np.fft.rfft(rows * _WINDOW, axis=1))
+        power = np.pad(power, ((0, 0), (0, 1)))  # a bin beyond the last, so that it has a neighbour
+        floor, row = FLOOR * power.mean(1), np.arange(len(rows))
+        for k, (lo, hi) in enumerate(BANDS):
+            top = lo + power[:, lo:hi].argmax(1)
+            most = power[row, top]
+            bins[a : a + TOGETHER, k] = np.where((most > floor) & (most > power[row, top - 1]) & (most > power[row, top + 1]), top, -1)
+    return bins, frames
+
+
+def codes(bins: np.ndarray, frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Time-coded pairs of peaks, payload by payload: a pair's frame, first bin, second bin and distance in one
+    number, ascending; and the count of each payload."""
+    owner = np.repeat(np.arange(len(frames)), frames)
+    time = np.arange(len(owner)) - np.repeat(np.cumsum(frames) - frames, frames)
+    out, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for distance in range(REACH + 1):
-        first, second = bins[: len(bins) - distance], bins[distance:]
-        time = np.arange(len(first))
+        n = max(0, len(bins) - distance)
         for i in range(len(BANDS)):
             for j in range(i + 1 if distance == 0 else 0, len(BANDS)):
-                out.append((time << 24) | (first[:, i] << 14) | (second[:, j] << 4) | distance)
-    return np.sort(np.concatenate(out))
+                at = np.flatnonzero((owner[:n] == owner[distance:]) & (bins[:n, i] >= 0) & (bins[distance:, j] >= 0))
+                out.append((time[at] << 24) | (bins[at, i] << 14) | (bins[at + distance, j] << 4) | distance)
+                owners.append(owner[at])
+    found, owners = np.concatenate(out), np.concatenate(owners)
+    order = np.lexsort((found, owners))
+    return found[order], np.bincount(owners, minlength=len(frames))
 
 
 def media(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, media`` of every row of ``docs`` (``doc_id``, ``text``), stored and read again.
 
-    A null text is empty; null ids and repeated rows are kept; other columns are ignored.
+    A null text is empty; null ids and repeated rows are kept; other columns are ignored; an empty table stays
+    empty. A long text is one row of one file in the column, so a task holds it a few times over.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, limit=4 << 20):
+        for batch in small_batches(batches):
             texts = [t.encode() for t in text_column(batch).to_pylist()]
             wavs = [to_wav(t + bytes(max(1, -(-len(t) // UNIT)) * UNIT - len(t))) for t in texts]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "media": pa.array(wavs, pa.binary())})
@@ -98,12 +115,13 @@ def features(table: DataFrame, keep_codes: bool = True) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "media", limit=1 << 20):
+        for batch in small_batches(batches, "media"):
             wavs = batch.column("media").to_pylist()
             payloads = [from_wav(w) for w in wavs]
             bins, frames = peaks(payloads)
-            ends = np.cumsum(frames)
-            found = [codes(bins[e - n : e]) for e, n in zip(ends.tolist(), frames.tolist(), strict=True)]
+            pairs, n_pairs = codes(bins, frames)
+            edges = np.append(0, np.cumsum(n_pairs))
+            digests = [hashlib.sha256(pairs[a:b].astype("<i8")).hexdigest()[:32] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
             out = {
                 "doc_id": batch.column("doc_id"),
                 "n_bytes": batch.column("n_bytes"),
@@ -112,10 +130,10 @@ def features(table: DataFrame, keep_codes: bool = True) -> DataFrame:
                 "tail_crc32": pa.array([zlib.crc32(p[-UNIT:]) for p in payloads], pa.int64()),
                 "media_bytes": pa.array([len(w) for w in wavs], pa.int64()),
                 "media_sha256": pa.array([hashlib.sha256(w).hexdigest() for w in wavs], pa.string()),
-                "feature": pa.array([f"{n}:{len(c)}:{hashlib.sha256(c.astype('<i8')).hexdigest()[:32]}" for n, c in zip(frames.tolist(), found, strict=True)], pa.string()),
+                "feature": pa.array([f"{n}:{c}:{d}" for n, c, d in zip(frames.tolist(), n_pairs.tolist(), digests, strict=True)], pa.string()),
             }
             if keep_codes:
-                out["codes"] = pa.array(found, pa.list_(pa.int64()))
+                out["codes"] = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(pairs, pa.int64()))
             yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string" + ", codes array<bigint>" * keep_codes

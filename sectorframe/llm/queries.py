@@ -28,7 +28,7 @@ def op2_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_wav_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import features, media
 
-    return features(media(documents(spark, sf_dir)), keep_codes=False)
+    return features(media(documents(spark, sf_dir)))
 
 
 def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:

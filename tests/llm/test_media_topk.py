@@ -28,8 +28,31 @@ def test_media_round_trip(spark):
 
 def test_a_tones_peak_is_its_bin():
     tone = (128 + 60 * np.sin(2 * np.pi * 10 * np.arange(1024) / media.FRAME)).astype(np.uint8).tobytes()
-    bins, frames = media.peaks([tone])
-    assert (bins[:, 0] == 10).all() and frames.tolist() == [7]
+    bins, frames = media.peaks([tone, b"\x80" * 300, b""])
+    assert (bins[:7, 0] == 10).all() and frames.tolist() == [7, 2, 1] and (bins[7:] == -1).all()
+
+
+def test_fingerprints_equal_a_plain_loop(monkeypatch):
+    """Frame by frame and pair by pair, with the transforms cut anywhere; equal slices of sound have equal codes."""
+    monkeypatch.setattr(media, "TOGETHER", 5)
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.integers(32, 120, n, np.uint8)) for n in (64, 1280, 4096)]
+    texts.append(texts[1] + texts[1])
+    bins, frames = media.peaks(texts)
+    found, counts = media.codes(bins, frames)
+    expected = []
+    for text in texts:
+        own = []
+        for t in range(max(1, -(-max(0, len(text) - 256) // 128) + 1)):
+            x = np.array([text[k] - 128.0 if k < len(text) else 0.0 for k in range(128 * t, 128 * t + 256)])
+            power = np.append(np.abs(np.fft.rfft(x * np.hanning(256))), 0)
+            best = [max(range(lo, hi), key=power.__getitem__) for lo, hi in media.BANDS]
+            own.append([k if power[k] > max(media.FLOOR * power.mean(), power[k - 1], power[k + 1]) else -1 for k in best])
+        pairs = [(t, own[t][i], own[t + d][j], d) for d in range(3) for t in range(len(own) - d) for i in range(3) for j in range(3) if (d or i < j) and own[t][i] >= 0 and own[t + d][j] >= 0]
+        expected.append(sorted((t << 24) | (a << 14) | (b << 4) | d for t, a, b, d in pairs))
+    assert counts.tolist() == [len(x) for x in expected] and found.tolist() == [c for x in expected for c in x]
+    shifted = {(c & 0xFFFFFF, (c >> 24) - 10) for c in expected[3] if c >> 24 >= 10}
+    assert {(c & 0xFFFFFF, c >> 24) for c in expected[1] if c >> 24 < 7} <= shifted
 
 
 def _brute(vectors, queries, k):
