@@ -10,13 +10,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+#: Bytes of a record batch that Spark gives to Python, about, while a table is made by :func:`stored`.
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one where it is unset (tests on one machine)."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
+    """This application's folder in the one named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder of this machine serves a local master only; a cluster raises.
+    """
     if not (own := spark.conf.get("sectorframe.scratch", None)):
-        own = tempfile.mkdtemp(prefix="spark-")
+        if found := spark.conf.get("spark.checkpoint.dir", None):
+            own = f"{found.rstrip('/')}/sectorframe-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
+        elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            own = tempfile.mkdtemp(prefix="spark-")
+        else:
+            raise ValueError("spark.checkpoint.dir names no folder that all machines of the cluster share")
         spark.conf.set("sectorframe.scratch", own)
     return own
 
@@ -28,17 +39,31 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`stored`, when nothing reads it again."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`stored`, when nothing reads them again."""
+    for df in tables:
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, name)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that the operators keep in the shared folder; results that weren't read yet are lost."""
+    _delete(spark, shared_dir(spark))
+    spark.conf.unset("sectorframe.scratch")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +87,7 @@ def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(name).cast(pa.string()), "")
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``limit`` bytes of text (or one row)."""
     import numpy as np
     import pyarrow.compute as pc

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored, text_column
-from .words import _LOWER, buffer
+from .words import _LOWER, SLICE, buffer
 
 BITS = 16
 UNKNOWN = "und"
@@ -34,19 +34,19 @@ SMOOTHING = 20.0
 UNKNOWN_PRIOR, FLOOR = 0.005, 0.002
 
 
-def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all byte trigrams, one text after another, and where each text's begin. A text of
-    one or two bytes has none."""
+def trigrams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of all byte trigrams of whole texts, slice by slice of their bytes: one text after another, and where
+    each text's begin in the slice. A text of one or two bytes has none."""
     data, bounds = buffer(texts)
-    low = _LOWER[data].astype(np.uint32)
-    code = (low[:-2] << 16) | (low[1:-1] << 8) | low[2:] if len(low) > 2 else np.zeros(0, np.uint32)
-    whole = np.ones(len(code), bool)
-    for back in (1, 2):
-        at = bounds[1:-1] - back
-        whole[at[(at >= 0) & (at < len(code))]] = False
-    counts = np.add.reduceat(np.append(whole, False).astype(np.int64), np.minimum(bounds[:-1], len(code))) * (np.diff(bounds) > 2) if len(bounds) > 1 else np.zeros(0, np.int64)
-    code = code[whole] * np.uint32(0x9E3779B1)
-    return (code >> np.uint32(32 - BITS)).astype(np.int64), np.append(0, np.cumsum(counts))
+    for a in range(0, max(0, len(data) - 2), SLICE):
+        low = _LOWER[data[a : a + SLICE + 2]].astype(np.uint32)
+        code = (low[:-2] << 16) | (low[1:-1] << 8) | low[2:]
+        whole = np.ones(len(code), bool)
+        for back in (1, 2):
+            at = bounds[1:-1] - back - a
+            whole[at[(at >= 0) & (at < len(code))]] = False
+        edges = np.append(0, np.cumsum(whole))[np.clip(bounds - a, 0, len(code))]
+        yield ((code[whole] * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64), edges
 
 
 def base_language(code: Column) -> Column:
@@ -59,10 +59,12 @@ def _trained(languages: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {x: k for k, x in enumerate(languages)}
         total = np.zeros((len(languages), 1 << BITS), np.int64)
-        for batch in small_batches(batches, limit=4 << 20):
-            found, edges = trigrams(text_column(batch))
+        for batch in small_batches(batches):
             which = np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
-            total += np.bincount(np.repeat(which, np.diff(edges)) * (1 << BITS) + found, minlength=total.size).reshape(total.shape)
+            for found, edges in trigrams(text_column(batch)):
+                owner = np.repeat(which, np.diff(edges))
+                for k in np.unique(owner).tolist():
+                    total[k] += np.bincount(found[owner == k], minlength=1 << BITS)
         lang, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "n": pa.array(total[lang, bucket], pa.int64())})
 
@@ -100,15 +102,15 @@ def likelihoods(rows: DataFrame, table: np.ndarray, keep: list[str], text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in small_batches(batches, "_text", limit=1 << 20):
-            found, edges = trigrams(text_column(batch, "_text"))
-            n = np.diff(edges)
-            sums = np.zeros((batch.num_rows, own.shape[1]))
-            filled = np.flatnonzero(n)
-            if len(filled):
-                for a in range(0, own.shape[1], TOGETHER):
-                    sums[filled, a : a + TOGETHER] = np.add.reduceat(own[found, a : a + TOGETHER], edges[:-1][filled], axis=0)
-                sums[filled] *= np.minimum(1, INDEPENDENT / n[filled])[:, None]
+        for batch in small_batches(batches, "_text"):
+            n, sums = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, own.shape[1]))
+            for found, edges in trigrams(text_column(batch, "_text")):
+                here = np.flatnonzero(np.diff(edges))
+                n += np.diff(edges)
+                if len(here):
+                    for a in range(0, own.shape[1], TOGETHER):
+                        sums[here, a : a + TOGETHER] += np.add.reduceat(own[found, a : a + TOGETHER], edges[:-1][here], axis=0)
+            sums *= np.minimum(1, INDEPENDENT / np.maximum(n, 1))[:, None]
             sums -= sums.mean(1, keepdims=True)
             logs = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, own.shape[1]), pa.int32()), pa.array(sums.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), logs], [*keep, "logs"])

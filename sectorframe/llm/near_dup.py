@@ -56,7 +56,7 @@ def _sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np
 
 def _prints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, limit=2 << 20):
+        for batch in small_batches(batches):
             values, edges, k1, k2 = _sets(batch, width)
             sizes = np.diff(edges)
             filled = np.flatnonzero(sizes)
@@ -248,7 +248,7 @@ def _full_sets(ends: DataFrame, docs: DataFrame, classes: DataFrame, width: int)
             row = batch.column("row").to_numpy()
             hit = bits[row % FILTER_WORDS] >> ((row >> 24) % 64) & 1
             batch = batch.filter(pa.array(hit == 1))
-            for part in small_batches(iter([batch]), limit=2 << 20):
+            for part in small_batches(iter([batch])):
                 values, edges, k1, _ = _sets(part, width)
                 raw = memoryview(np.ascontiguousarray(values)).cast("B")
                 yield pa.RecordBatch.from_pydict({"k1": pa.array(k1), "set": pa.array([raw[8 * a : 8 * b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())})

@@ -99,7 +99,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] = ["doc_id"]) -> DataFr
     fields = docs.select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "_text", limit=4 << 20):
+        for batch in small_batches(batches, "_text"):
             texts = [t.encode() for t in text_column(batch, "_text").to_pylist()]
             x = measures(texts, good, bad) if good else np.zeros((len(texts), 3))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(logistic(x, weights))], [*keep, "score"])

@@ -23,6 +23,8 @@ ALPHANUMERIC[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = Tr
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _BASE = 0x9E3779B97F4A7C13
+#: Bytes that are looked at together.
+SLICE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,25 +65,38 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(texts: pa.Array, kind: np.ndarray = NOT_BLANK, lower: bool = True) -> Words:
+    """The words of whole texts, found slice by slice: beyond the bytes and the words themselves, memory doesn't
+    grow with a text. A word over the end of a slice goes on in the next."""
     data, bounds = buffer(texts)
     if lower:
         data = _LOWER[data]
-    inside = kind[data]
-    start = inside.copy()
-    start[1:] &= ~inside[:-1]
-    cuts = bounds[:-1][np.diff(bounds) > 0]
-    start[cuts] = inside[cuts]
-    end = inside.copy()
-    end[:-1] &= ~inside[1:]
-    end[cuts[1:] - 1] = inside[cuts[1:] - 1]
-    starts = np.flatnonzero(start)
-    lengths = np.flatnonzero(end) + 1 - starts
-    if not len(starts):
-        return Words(data, starts, lengths, np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64))
-    own = data[inside]
-    firsts = np.cumsum(lengths) - lengths
-    place = np.arange(len(own)) - np.repeat(firsts, lengths)
-    sums = np.add.reduceat(_OF_BYTE[own] * _powers(int(lengths.max()))[place], firsts)
+    starts, lengths, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    goes_on = False
+    for a in range(0, len(data), SLICE):
+        own = data[a : a + SLICE]
+        inside = kind[own]
+        start = inside.copy()
+        start[1:] &= ~inside[:-1]
+        cuts = bounds[np.searchsorted(bounds, a) : np.searchsorted(bounds, a + len(own))] - a  # texts that begin here
+        start[cuts] = inside[cuts]
+        first = np.flatnonzero(start)
+        if not len(first):
+            goes_on = False
+            continue
+        of = np.cumsum(start)[inside] - 1
+        place = np.flatnonzero(inside) - first[of]
+        n = np.bincount(of, minlength=len(first))
+        total = np.add.reduceat(_OF_BYTE[own[inside]] * _powers(int(n.max()))[place], np.cumsum(n) - n)
+        if goes_on and first[0] == 0 and not (len(cuts) and cuts[0] == 0):
+            sums[-1][-1] += np.uint64(pow(_BASE, int(lengths[-1][-1]), 1 << 64) * int(total[0]) % (1 << 64))
+            lengths[-1][-1] += n[0]
+            first, n, total = first[1:], n[1:], total[1:]
+        if len(first):
+            starts.append(first + a)
+            lengths.append(n)
+            sums.append(total)
+        goes_on = bool(inside[-1])
+    starts, lengths, sums = (np.concatenate(x) for x in (starts, lengths, sums))
     return Words(data, starts, lengths, mix(sums + lengths.astype(np.uint64)), np.searchsorted(starts, bounds))
 
 

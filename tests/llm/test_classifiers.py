@@ -117,11 +117,14 @@ def test_evidence_beyond_the_text(spark, tables):
     assert {r.url: r.language for r in got.collect()} == {"https://other.a.example.de/": "de", "http://b.example.org": "en"}
 
 
-def test_trigrams_stay_within_texts():
+@pytest.mark.parametrize("size", [3, 1 << 18])
+def test_trigrams_stay_within_texts(monkeypatch, size):
     import pyarrow as pa
 
-    texts = ["", "a", "ab", "abc", "", "abcd", "é"]
-    found, edges = language.trigrams(pa.array(texts))
-    assert np.diff(edges).tolist() == [0, 0, 0, 1, 0, 2, 0]
-    one, _ = language.trigrams(pa.array(["ABC"]))
-    assert found[0] == found[1] == one[0]
+    monkeypatch.setattr(language, "SLICE", size)
+    texts = ["", "a", "ab", "abc", "", "abcd", "\u00e9", "abcdefghij", ""]
+    parts = list(language.trigrams(pa.array(texts)))
+    assert sum(np.diff(edges) for _, edges in parts).tolist() == [0, 0, 0, 1, 0, 2, 0, 8, 0]
+    found = np.concatenate([x for x, _ in parts])
+    ((one, _),) = language.trigrams(pa.array(["ABC"]))
+    assert found[0] == found[1] == found[3] == one[0]

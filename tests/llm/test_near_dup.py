@@ -118,3 +118,15 @@ def test_words_and_hashes():
     found = words(pa.array(texts), NOT_BLANK)
     assert np.diff(found.bounds).tolist() == [2, 0, 2, 1, 1]
     assert found.hashes[0] == found.hashes[2] != found.hashes[1] and len(set(found.hashes.tolist())) == 5
+
+
+@pytest.mark.parametrize("size", [1, 4, 7, 1000])
+def test_words_of_slices_are_those_of_whole_texts(monkeypatch, size):
+    from sectorframe.llm import words as own
+
+    texts = ["ab ba", "", "AB\tx", " é\n", "ab" * 300 + " z", "xyz", "", "w", "  ", "q" * 50]
+    whole = words(pa.array(texts))
+    monkeypatch.setattr(own, "SLICE", size)
+    found = words(pa.array(texts))
+    assert all((a == b).all() for a, b in zip(whole, found, strict=True))
+    assert [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in texts] == np.diff(whole.bounds).tolist()
