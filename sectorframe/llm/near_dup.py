@@ -1,41 +1,47 @@
 """Near-duplicates of whole texts by chosen paths.
 
 A text's set holds its distinct word shingles. Texts of equal sets form a class, which goes
-on as one. In each of several independent trees a class follows a path: a node picks one of
-the minwise tokens at random (a root two at once), and the class goes to the child that belongs
-to its own token there. Nodes of a bounded number of classes are compared exhaustively, by
-signature. In a larger node all are compared with one pivot, those very like it leave (their
-link to it stays), and the rest branches on, until all nodes are small.
-
-Links that signatures suggest are confirmed on the full sets, which are told in three steps so
-that a group of many near copies needs no row for each of its pairs: first each class's best
-link; then those that still join different components; and for nodes of many classes, in which
-only the links that span clear clusters were told, the sets of what is still apart come together
-in the node and every pair of them is tried. So do those of a cluster of clear links that the full
-sets have taken apart, since its other links weren't told.
+on as one. In each of several independent trees a class follows a path: a node picks some of
+the minwise tokens at random (a root two), and the class goes to the child that belongs to its
+own tokens there. Nodes of a bounded number of classes are compared exhaustively, by signature.
+In a larger node all are compared with a few pivots, those very like one leave (their link to it
+stays), and the rest branches on, until all nodes are small.
+
+What signatures suggest is confirmed on the full sets, so that a group of many near copies needs
+no row for each of its pairs. A node tells the heaviest spanning forest of its pairs; full sets
+confirm each class's best link, then those that still join different components. With the components
+known, nodes that hold several and have pairs beyond their forest are compared once more, and every
+pair between two components is tried on full sets, singly or, where there are many, set by set in
+blocks. What left with a pivot is compared like that with all that is near the pivot and not joined
+to it. So each pair of like signatures that stood in a node is joined by confirmed links, or refuted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, small_batches, stored, text_column
+from .common import dropped, guarded, small_batches, stored, text_column
 from .components import components
 from .words import mix, shingles, words
 
 #: Minwise tokens of a signature.
 TOKENS = 96
 TREES = 16
-#: Classes of a node that are compared exhaustively, at most, and those from which on its pairs aren't told singly.
-SMALL, MANY = 2048, 64
-#: Of a link at similarity 0.8, the equal tokens number under LOW (not seen) once in 15,000; a pair with HIGH or
-#: more is a link but for few, and one with ALIKE all but surely.
-LOW, HIGH, ALIKE = 0.646, 0.88, 0.95
+#: Classes of a node that are compared exhaustively, at most; pivots of a larger node.
+SMALL, PIVOTS = 2048, 16
+#: Equal tokens: of a link at similarity 0.8 there are fewer than LOW (not seen) once in 15,000; a pair with ALIKE
+#: is a link all but surely, and what is linked to it has NEAR with its pivot, but for one in thousands.
+LOW, ALIKE, NEAR = 63, 92, 56
+#: Pairs for each class of a node that are told singly, at most; beyond, its sets come together.
+SINGLY = 8
+#: Shingles of a block of sets, about, and sets of a shingle that is counted pair by pair, at most.
+BLOCK, FEW = 1 << 20, 16
 #: Bits of the filter by which the texts of suggested links are found again: 4 MB, whatever the number of texts.
 FILTER_WORDS = 1 << 19
 
@@ -76,17 +82,17 @@ def _tokens(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, TOKENS)
 
 
-def _child(node: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Where each class goes from its node, whose pick is the same for all classes there."""
-    seed = mix(node ^ np.uint64(0xABCD))
-    place = (mix(seed) % np.uint64(TOKENS)).astype(np.int64)
-    return mix(seed * np.uint64(0x9E3779B97F4A7C15) + tokens[np.arange(len(tokens)), place].astype(np.uint64) + np.uint64(1))
+def _path(seed: np.ndarray, tokens: np.ndarray, places: Sequence[int]) -> np.ndarray:
+    """The children that belong to tokens at some places; ``seed`` is the node's, the same for all classes there."""
+    child = np.full(len(tokens), seed)
+    for place in places:
+        child = mix(child * np.uint64(0x9E3779B97F4A7C15) + tokens[:, place].astype(np.uint64) + np.uint64(1))
+    return child
 
 
-def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        child = _child(batch.column("node").to_numpy().view(np.uint64), _tokens(batch.column("tokens")))
-        yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(batch.column(c) for c in ("k1", "n", "tokens"))], ["node", "k1", "n", "tokens"])
+def _picks(seed: np.uint64, n: int) -> list[int]:
+    """``n`` places that a node picks."""
+    return [int(x) for x in mix(seed + np.arange(1, n + 1, dtype=np.uint64)) % np.uint64(TOKENS)]
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,94 +100,161 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tokens = _tokens(batch.column("tokens"))
         for tree in range(TREES):
-            root = np.full(len(tokens), mix(np.array([tree + 77], np.uint64))[0])
-            # The second pick is the tree's own, not the first token's, so that a path is two places.
-            places = [int(x) for x in mix(np.array([2 * tree + 1001, 2 * tree + 1002], np.uint64)) % np.uint64(TOKENS)]
-            child = root
-            for place in places:
-                child = mix(child * np.uint64(0x9E3779B97F4A7C15) + tokens[:, place].astype(np.uint64) + np.uint64(1))
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("k1")], ["node", "k1"])
+            seed = mix(np.array([tree + 77], np.uint64))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(_path(seed, tokens, _picks(seed, 2)).view(np.int64)), batch.column("k1")], ["node", "k1"])
+
+
+def _like(n: np.ndarray, m: np.ndarray, equal: np.ndarray, least: int = LOW) -> np.ndarray:
+    """Pairs of sets of sizes n and m that may be links by their equal tokens and sizes."""
+    return (equal >= least) & (100 * np.minimum(n, m) >= 80 * np.maximum(n, m))
+
 
+def _equal(columns: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Equal tokens of one class and each column's."""
+    return (columns == one[:, None]).sum(0, dtype=np.uint8)
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the share of equal tokens of a row's class and its node's pivot."""
+
+def _forest(n: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A node's heaviest spanning forest (ends, equal tokens), and the classes of trees that have further pairs.
+
+    Prim's way: a class joins by the best pair it has with one that has joined.
+    """
+    m, columns = len(n), np.ascontiguousarray(tokens.T)
+    best, parent = np.zeros(m, np.int16), np.zeros(m, np.int64)
+    tree, pairs, i, k = np.zeros(m, np.int64), np.zeros(m, np.int64), 0, -1
+    ends, weights = [], []
+    for _ in range(m):
+        i = int(best.argmax())
+        if best[i] > 0:
+            ends.append((parent[i], i))
+            weights.append(best[i])
+        else:  # nothing joins a tree; -1 marks those that have
+            i = int(np.flatnonzero(best == 0)[0])
+            k += 1
+        tree[i], best[i] = k, -1
+        equal = _equal(columns, tokens[i])
+        like = _like(n, n[i], equal)
+        pairs[i] = like.sum() - 1
+        better = np.flatnonzero(like & (best >= 0) & (equal > best))
+        best[better], parent[better] = equal[better], i
+    size, found = np.bincount(tree), np.bincount(tree, pairs)
+    more = found > 2 * (size - 1)
+    ends = np.array(ends, np.int64).reshape(-1, 2)
+    return ends[:, 0], ends[:, 1], np.array(weights, np.int64), np.flatnonzero(more[tree])
+
+
+def _by_node(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole nodes of rows in which a node's stand together, some at a time, and where each begins."""
+    held: pa.Table | None = None
     for batch in batches:
-        if batch.num_rows:
-            same = (_tokens(batch.column("tokens")) == _tokens(batch.column("p_tokens"))).mean(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(same)], [*batch.schema.names, "alike"])
-
-
-def _node_links(k1: np.ndarray, n: np.ndarray, tokens: np.ndarray, many: int) -> tuple[list[tuple], np.ndarray]:
-    """A small node's suggested links, the classes of which more may be linked than these tell, and the
-    clusters of clear links that hide further links (each class's cluster by number, or -1)."""
-    label, found, rest, hides = np.arange(len(k1)), [], [], []
-    for i in range(len(k1) - 1):
-        same = (tokens[i] == tokens[i + 1 :]).mean(1)
-        near = np.flatnonzero((same >= LOW) & (100 * np.minimum(n[i], n[i + 1 :]) >= 80 * np.maximum(n[i], n[i + 1 :])))
-        if not len(near):
-            continue
-        same, near = same[near], near + i + 1
-        clear = same >= HIGH
-        for j, alike in zip(near[clear].tolist(), same[clear].tolist(), strict=True):
-            if label[j] != label[i]:  # a pair that clear links join already adds nothing to them
-                found.append((k1[i], k1[j], alike))
-                label[label == label[j]] = label[i]
-            else:  # unless a clear link turns out to be none
-                hides.append(i)
-        rest.append((np.full((~clear).sum(), i), near[~clear], same[~clear]))
-    i, j, same = (np.concatenate(x) for x in zip(*rest, strict=True)) if rest else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    apart = label[i] != label[j]
-    hiding = np.union1d(label[np.array(hides, np.int64)], label[i[~apart]])
-    clusters = np.where(np.isin(label, hiding), label, -1)
-    i, j, same = i[apart], j[apart], same[apart]
-    if len(k1) <= many:
-        found += list(zip(k1[i], k1[j], same, strict=True))
-        return found, np.zeros(0, np.int64), clusters
-    return found, k1[np.union1d(i, j)], clusters
-
-
-def _named(k1: np.ndarray, clusters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes in clusters, and their cluster's name, which is the same for the same classes in any node."""
-    own, cluster = k1[clusters >= 0], clusters[clusters >= 0]
-    sums = np.zeros(len(k1), np.uint64)
-    np.add.at(sums, cluster, mix(own.view(np.uint64)))
-    return own, mix(sums[cluster]).view(np.int64)
-
-
-def _compared(many: int):
-    def links(table: pa.Table) -> pa.RecordBatch:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        node = held["node"].to_numpy()
+        last = int(np.flatnonzero(node != node[-1])[-1]) + 1 if len(node) and node[0] != node[-1] else 0
+        if last:
+            yield held.slice(0, last), np.append(np.flatnonzero(np.append(True, node[1:last] != node[: last - 1])), last)
+            held = held.slice(last)
+    if held is not None and len(held):
+        yield held, np.array([0, len(held)])
+
+
+#: What a comparison tells: a link ``a, b, alike``, or (b null) a class ``a`` of a node to be looked at again.
+_TOLD = "a bigint, b bigint, alike int, node bigint"
+
+
+def _told(a: list, b: list, alike: list, left: list, node: list) -> pa.RecordBatch:
+    a, b, alike, left, node = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b, alike, left, node))
+    nulls = np.append(np.zeros(len(a), bool), np.ones(len(left), bool))
+    pad = np.zeros(len(left), np.int64)
+    return pa.RecordBatch.from_pydict(
+        {
+            "a": pa.array(np.append(np.minimum(a, b), left), pa.int64()),
+            "b": pa.array(np.append(np.maximum(a, b), pad), pa.int64(), mask=nulls),
+            "alike": pa.array(np.append(alike, pad).astype(np.int32), pa.int32(), mask=nulls),
+            "node": pa.array(np.append(np.zeros(len(a), np.int64), node), pa.int64(), mask=~nulls),
+        }
+    )
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each node, its forest and the classes of trees with further pairs."""
+    for table, edges in _by_node(batches):
         node, k1, n = (table[c].to_numpy() for c in ("node", "k1", "n"))
         tokens = _tokens(table["tokens"].combine_chunks())
-        edges = np.append(np.flatnonzero(np.append(True, node[1:] != node[:-1])), len(node))
-        found, open_, where = [], [], []
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if b - a > 1:
-                own, more, clusters = _node_links(k1[a:b], n[a:b], tokens[a:b], many)
-                found += own
-                hidden, names = _named(k1[a:b], clusters)
-                open_ += [more, hidden]
-                where += [np.full(len(more), node[a]), names]
-        a, b, same = (np.array(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        c, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (open_, where))
-        return pa.RecordBatch.from_pydict(
-            {"a": pa.array(np.append(np.minimum(a, b), c), pa.int64()), "b": pa.array([*np.maximum(a, b).tolist(), *[None] * len(c)], pa.int64()), "alike": pa.array(np.append(same, np.zeros(len(c))), pa.float64()), "node": pa.array([*[None] * len(a), *d.tolist()], pa.int64())}
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a node stand together."""
-        held: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            node = held["node"].to_numpy()
-            last = int(np.flatnonzero(node != node[-1])[-1]) + 1 if len(node) and node[0] != node[-1] else 0
-            if last:
-                yield links(held.slice(0, last))
-                held = held.slice(last)
-        if held is not None and len(held):
-            yield links(held)
-
-    return run
+        two = edges[:-1][np.diff(edges) == 2]  # most nodes; all at once
+        equal = (tokens[two] == tokens[two + 1]).sum(1)
+        like = _like(n[two], n[two + 1], equal)
+        a, b, alike, left, where = [k1[two[like]]], [k1[two[like] + 1]], [equal[like]], [], []
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if hi - lo > 2:
+                i, j, weight, more = _forest(n[lo:hi], tokens[lo:hi])
+                a.append(k1[lo + i])
+                b.append(k1[lo + j])
+                alike.append(weight)
+                left.append(k1[lo + more])
+                where.append(np.full(len(more), node[lo]))
+        yield _told(a, b, alike, left, where)
+
+
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each node, all pairs between components: singly where they are few, else the classes that have any."""
+    for table, edges in _by_node(batches):
+        node, k1, n = (table[c].to_numpy() for c in ("node", "k1", "n"))
+        tokens, root = _tokens(table["tokens"].combine_chunks()), np.unique(table["root"].to_numpy(), return_inverse=True)[1]
+        a, b, left, where = [], [], [], []
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own, columns = root[lo:hi], np.ascontiguousarray(tokens[lo:hi].T)
+            largest, found = np.bincount(own).argmax(), [np.zeros((0, 2), np.int64)]
+            done = np.zeros(hi - lo, bool)
+            for i in np.flatnonzero(own != largest).tolist():  # pairs of the largest with others are among these
+                done[i] = True
+                j = np.flatnonzero(_like(n[lo:hi], n[lo + i], _equal(columns, tokens[lo + i])) & (own != own[i]) & ~done)
+                found.append(np.stack([np.full(len(j), i), j], 1))
+            pairs = np.concatenate(found)
+            if len(pairs) <= SINGLY * (hi - lo):
+                a.append(k1[lo + pairs[:, 0]])
+                b.append(k1[lo + pairs[:, 1]])
+            else:
+                more = np.unique(pairs)
+                left.append(k1[lo + more])
+                where.append(np.full(len(more), node[lo]))
+        yield _told(a, b, [np.zeros(len(x), np.int64) for x in a], left, where)
+
+
+def _branched(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+    """A part of a large node: each class's pivots with their equal tokens, and the children it goes on to.
+
+    The node picks as many tokens at once as should bring its children to half of SMALL, by the pivots' own
+    likeness. Where most of the node is unlike, that loses links, so a class goes on several paths.
+    """
+    node, size = np.uint64(rows["node"][0].as_py() % (1 << 64)), rows["size"][0].as_py()
+    k1, n, tokens = rows["k1"].to_numpy(), rows["n"].to_numpy(), _tokens(rows["tokens"].combine_chunks())
+    order = np.argsort(pivots["p"].to_numpy())
+    p, p_n = pivots["p"].to_numpy()[order], pivots["p_n"].to_numpy()[order]
+    p_tokens = _tokens(pivots["p_tokens"].combine_chunks())[order]
+    equal = np.stack([(tokens == x).sum(1) for x in p_tokens], 1)
+    among = [(p_tokens[i] == p_tokens[j]).mean() for i in range(len(p)) for j in range(i)]
+    likeness = min(0.99, max(0.05, float(np.mean(among)) if among else 0.5))
+    deep = int(np.clip(np.ceil(np.log(2 * size / rows["small"][0].as_py()) / -np.log(likeness)), 1, TOKENS))
+    paths = 1 if likeness > 0.7 else min(8, int(np.ceil(0.8**-deep)))
+    stays = (equal.max(1) < ALIKE) & ~np.isin(k1, p)
+    at = np.flatnonzero(stays)
+    seeds = mix(np.array([node ^ np.uint64(0xABCD + k) for k in range(paths)], np.uint64))
+    nodes = np.stack([_path(x, tokens[at], _picks(x, deep)) for x in seeds], 1).view(np.int64)
+    near = (equal >= NEAR) & (k1[:, None] != p)
+    where, which = np.nonzero(near)
+    lists = [np.append(0, np.cumsum(x)) for x in (near.sum(1), stays * paths)]
+    ratio = 100 * np.minimum(n[where], p_n[which]) >= 80 * np.maximum(n[where], p_n[which])
+    return pa.table(
+        {
+            "k1": rows["k1"],
+            "n": rows["n"],
+            "tokens": rows["tokens"],
+            "pivots": pa.ListArray.from_arrays(pa.array(lists[0], pa.int32()), pa.array(p[which], pa.int64())),
+            "alike": pa.ListArray.from_arrays(pa.array(lists[0], pa.int32()), pa.array(np.where(ratio, 1, -1) * equal[where, which], pa.int32())),
+            "nodes": pa.ListArray.from_arrays(pa.array(lists[1], pa.int32()), pa.array(nodes.ravel(), pa.int64())),
+        }
+    )
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -190,36 +263,56 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.join(counts, "node")
 
 
-def suggested(classes: DataFrame, small: int = SMALL, many: int = MANY) -> tuple[DataFrame, DataFrame]:
-    """Distinct suggested links ``a, b, alike`` of classes ``k1, n, tokens``, and the classes ``node, k1`` of
-    nodes of many and of clusters of clear links, of which more may be linked."""
-    row = "node bigint, k1 bigint, n bigint, tokens binary"
+def _one_level(large: DataFrame, small: int) -> DataFrame:
+    """:func:`_branched` of all large nodes, each dealt to parts of about ``small`` classes."""
+    # The same classes are pivots in all trees, so that what they tell is mostly told once.
+    bucket = F.pmod(F.xxhash64("k1"), F.lit(PIVOTS))
+    own = F.struct(F.col("k1").alias("p"), F.col("n").alias("p_n"), F.col("tokens").alias("p_tokens"))
+    parts = F.ceil(F.col("size") / small).cast("bigint")
+    pivots = large.groupBy("node", bucket.alias("bucket")).agg(F.min_by(own, F.xxhash64("k1", F.lit(1))).alias("pivot"), F.first("size").alias("size"))
+    pivots = pivots.select("node", "pivot.*", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"))
+    dealt = large.withColumns({"part": F.pmod(F.xxhash64("k1", F.lit(2)), parts), "small": F.lit(small)})
+    schema = "k1 bigint, n bigint, tokens binary, pivots array<bigint>, alike array<int>, nodes array<bigint>"
+    return stored(dealt.groupBy("node", "part").cogroup(pivots.groupBy("node", "part")).applyInArrow(_branched, schema), "branched")
+
+
+class Suggested(NamedTuple):
+    links: DataFrame  # distinct a, b, alike
+    open: DataFrame  # node, k1: classes of trees of which nodes have further pairs
+    near: DataFrame | None  # distinct k1, p, alike: classes near pivots
+
+
+def suggested(classes: DataFrame, small: int = SMALL) -> Suggested:
+    """What nodes of all trees tell of classes ``k1, n, tokens``."""
     first = _counted(classes.select("k1", "tokens").mapInArrow(_roots, "node bigint, k1 bigint"))
     at = stored(first.join(classes.select("k1", "n", "tokens"), "k1").select("node", "k1", "n", "tokens", "size"), "paths")
-    links, levels = [], []
+    levels, near, done = [], [], [at]
     while True:
         levels.append(at.where(F.col("size") <= small).drop("size"))
-        large = at.where(F.col("size") > small).drop("size")
+        large = at.where(F.col("size") > small)
         if large.isEmpty():
             break
-        own = F.struct(F.col("k1").alias("p"), F.col("n").alias("p_n"), F.col("tokens").alias("p_tokens"))
-        pivots = large.groupBy("node").agg(F.min_by(own, F.xxhash64("k1", "node")).alias("pivot")).select("node", "pivot.*")
-        near = stored(large.join(pivots, "node").mapInArrow(_alike, f"{row}, p bigint, p_n bigint, p_tokens binary, alike double").drop("p_tokens"), "pivots")
-        other = F.col("k1") != F.col("p")
-        like = (F.col("alike") >= LOW) & (100 * F.least("n", "p_n") >= 80 * F.greatest("n", "p_n"))
-        links.append(near.where(other & like).select(F.least("k1", "p").alias("a"), F.greatest("k1", "p").alias("b"), "alike", F.lit(None).cast("bigint").alias("node")))
-        large = near.where(other & (F.col("alike") < ALIKE)).select("node", "k1", "n", "tokens")
-        at = stored(_counted(large.mapInArrow(_children, row)), "paths")
-    together = levels[0]
-    for more in levels[1:]:
-        together = together.union(more)
-    links.append(together.repartition("node").sortWithinPartitions("node").mapInArrow(_compared(many), "a bigint, b bigint, alike double, node bigint"))
-    out = links[0]
-    for more in links[1:]:
+        branched = _one_level(large, small)
+        pairs = F.explode(F.arrays_zip("pivots", "alike")).alias("x")
+        near.append(branched.select("k1", pairs).select("k1", F.col("x.pivots").alias("p"), F.col("x.alike").alias("alike")))
+        at = stored(_counted(branched.select(F.explode("nodes").alias("node"), "k1", "n", "tokens")), "paths")
+        done += [branched, at]
+    told = stored(_union(levels).repartition("node").sortWithinPartitions("node").mapInArrow(_compared, _TOLD), "compared")
+    links, around = told.where("b IS NOT NULL").select("a", "b", "alike"), None
+    if near:
+        around = stored(_union(near).distinct(), "near")
+        best = around.where(F.col("alike") >= LOW).groupBy("k1").agg(F.max_by("p", F.struct("alike", "p")).alias("p"), F.max("alike").alias("alike"))
+        links = links.union(best.select(F.least("k1", "p"), F.greatest("k1", "p"), "alike"))
+    links = stored(links.groupBy("a", "b").agg(F.first("alike").alias("alike")), "suggested")
+    dropped(*done)
+    return Suggested(links, told.where("b IS NULL").select("node", F.col("a").alias("k1")), around)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
         out = out.union(more)
-    out = stored(out, "compared")
-    told = stored(out.where("b IS NOT NULL").groupBy("a", "b").agg(F.first("alike").alias("alike")), "suggested")
-    return told, out.where("b IS NULL").select("node", F.col("a").alias("k1"))
+    return out
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,92 +360,154 @@ def confirmed(links: DataFrame, docs: DataFrame, classes: DataFrame, width: int)
 
 
 def _settled(table: pa.Table) -> pa.Table:
-    """Links between the components of a node, tried on the full sets, the largest component's own pairs left out."""
-    k1, root = table["k1"].to_numpy(), np.unique(table["root"].to_numpy(), return_inverse=True)[1]
+    """Links between different components of a block, or of two blocks, by the full sets.
+
+    Shingles of many sets are counted by products of 0-1 matrices, those of few pair by pair; those of one
+    set are in no intersection.
+    """
+    k1, root, block = table["k1"].to_numpy(), np.unique(table["root"].to_numpy(), return_inverse=True)[1], table["block"].to_numpy()
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["set"]]
-    sizes = np.array([len(x) for x in sets])
-    values, starts = np.concatenate(sets), np.cumsum(sizes) - sizes
-    largest, a, b = np.bincount(root).argmax(), [], []
-    for i in np.flatnonzero(root != largest).tolist():
-        if (root == root[i]).all():
-            break
-        own = sets[i]
-        both = np.add.reduceat((own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values).astype(np.int64), starts)
-        hit = np.flatnonzero((100 * both >= 80 * (sizes + sizes[i] - both)) & (root != root[i]))
-        for j in hit.tolist():
-            if root[j] != root[i]:
-                a.append(k1[i])
-                b.append(k1[j])
-                root[root == root[i]] = root[j]
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def _between(open_: DataFrame, roots: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """Confirmed links between the components of each node of many classes, and of each cluster that
-    clear links don't join after all."""
-    named = open_.join(roots.toDF("k1", "root"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
-    apart = named.groupBy("node").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("node")
-    rows = stored(named.join(apart, "node", "left_semi").distinct(), "apart")
-    if rows.isEmpty():
-        return rows.select(F.col("k1").alias("a"), F.col("k1").alias("b"))
+    m, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    values, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    starts = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    counts = np.diff(np.append(starts, len(values)))
+    both = np.zeros((m, m), np.float32)
+    often = np.flatnonzero(counts > FEW)
+    for k in range(0, len(often), 1024):
+        own = often[k : k + 1024]
+        x = np.zeros((m, len(own)), np.float32)
+        at = np.repeat(starts[own] - (np.cumsum(counts[own]) - counts[own]), counts[own]) + np.arange(counts[own].sum())
+        x[owner[at], np.repeat(np.arange(len(own)), counts[own])] = 1
+        both += x @ x.T
+    rank, n = np.arange(len(values)) - np.repeat(starts, counts), np.repeat(counts, counts)
+    for step in range(1, FEW):
+        at = np.flatnonzero((n <= FEW) & (rank >= step))
+        if len(at):
+            both += np.bincount(owner[at - step] * m + owner[at], minlength=m * m).reshape(m, m)
+    both = both.astype(np.int64)
+    hit = 100 * both >= 80 * (sizes[:, None] + sizes - both)
+    hit &= (root[:, None] != root) & ((block[:, None] != block) | (block.min() == block.max()))
+    i, j = np.nonzero(np.triu(hit, 1))
+    _, one = np.unique(np.minimum(root[i], root[j]) * m + np.maximum(root[i], root[j]), return_index=True)
+    return pa.table({"a": pa.array(k1[i[one]], pa.int64()), "b": pa.array(k1[j[one]], pa.int64())})
+
+
+def _settle(rows: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """Confirmed links between components of each node of ``node, k1, root``: every pair is tried.
+
+    A node is dealt to blocks of about BLOCK shingles and 1,024 classes, and each two blocks meet in a task.
+    """
+    sized = rows.join(classes.select("k1", "n"), "k1")
+    of = sized.groupBy("node").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / 1024)).cast("bigint").alias("blocks"))
+    placed = sized.join(of, "node").withColumn("block", F.pmod(F.xxhash64("k1"), "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
+    dealt = placed.select("node", "k1", "root", "block", other).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
     found = _full_sets(rows.select("k1").distinct(), docs, classes, width)
-    out = stored(rows.join(found, "k1").groupBy("node").applyInArrow(_settled, "a bigint, b bigint"), "settled")
+    out = stored(dealt.drop("other").join(found, "k1").groupBy("node", "x", "y").applyInArrow(_settled, "a bigint, b bigint"), "settled")
     dropped(found)
     return out
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, small: int = SMALL, many: int = MANY) -> DataFrame:
+def _around(near: DataFrame, roots: DataFrame) -> DataFrame:
+    """``node, k1``: a pivot and what left with it, block by block with what is near the pivot and not joined to it."""
+    named = near.join(roots.toDF("k1", "root"), "k1", "left").join(roots.toDF("p", "p_root"), "p", "left")
+    apart = F.coalesce("root", "k1") != F.coalesce("p_root", "p")
+    others = stored(named.where(apart).select("p", "k1"), "beside")
+    if others.isEmpty():
+        return others.select(F.col("p").alias("node"), "k1")
+    wanted = others.select("p").distinct()
+    own = named.where((F.col("alike") >= ALIKE) & ~apart).select("p", "k1").join(wanted, "p", "left_semi")
+    both = own.union(wanted.select("p", F.col("p").alias("k1"))).withColumn("side", F.lit(0)).union(others.withColumn("side", F.lit(1)))
+    counts = both.groupBy("p").agg(*[F.ceil(F.count_if(F.col("side") == k) / 1024).cast("bigint").alias(f"n{k}") for k in (0, 1)])
+    dealt = both.join(counts, "p").withColumn("block", F.pmod(F.xxhash64("k1"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))))
+    meets = F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0")) - 1)).alias("other")
+    dealt = dealt.select("p", "k1", "side", "block", meets)
+    pair = [F.when(F.col("side") == k, F.col("block")).otherwise(F.col("other")) for k in (0, 1)]
+    return dealt.select(F.xxhash64("p", *pair).alias("node"), "k1")
+
+
+def _between(found: Suggested, roots: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame | None:
+    """Confirmed links between components in nodes that have pairs beyond their forests."""
+    rows = found.open if found.near is None else found.open.union(_around(found.near, roots))
+    named = rows.distinct().join(roots.toDF("k1", "root"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
+    apart = named.groupBy("node").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("node")
+    again = stored(named.join(apart, "node", "left_semi"), "apart")
+    if again.isEmpty():
+        return None
+    again = again.join(classes.select("k1", "n", "tokens"), "k1").repartition("node").sortWithinPartitions("node")
+    told = stored(again.select("node", "k1", "n", "tokens", "root").mapInArrow(_crossing, _TOLD), "crossing")
+    out = []
+    single = stored(told.where("b IS NOT NULL").select("a", "b").distinct().join(found.links, ["a", "b"], "left_anti"), "singly")
+    if not single.isEmpty():
+        out.append(confirmed(single, docs, classes, width))
+    many = told.where("b IS NULL").select("node", F.col("a").alias("k1"))
+    if not many.isEmpty():
+        many = many.join(roots.toDF("k1", "root"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
+        out.append(_settle(many, docs, classes, width))
+    return _union(out) if out else None
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row of ``docs`` (``doc_id``, ``text``).
 
     Links join texts whose sets have a similarity of 0.8 or more; ``component_id`` is the
     smallest ``doc_id`` reachable by links. A null or empty text, or one without words, has
     an empty set and no links; its component is its own id. Of rows with one ``doc_id`` all
     are given back and ``kept`` alike; null ids take part, and give way to any other as a
-    component's id. Other columns are ignored. An empty table gives an empty table.
+    component's id. Other columns are ignored. An empty table gives an empty table. A very long
+    text's set is held whole by a task, eight bytes a shingle.
     """
-    out = _classed(docs, width, small, many)
+    out = _classed(docs, width, small)
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, width: int = 5, small: int = SMALL, many: int = MANY) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 5, small: int = SMALL) -> DataFrame:
     """The rows of ``docs`` with one of each group of near-duplicates: that of the smallest id, null last.
 
-    Rows without words all stay. All columns are kept.
+    Rows without words all stay. All columns are kept, whatever their names. Of rows that repeat with id and
+    text any one stays, whatever further columns hold.
     """
-    out = stored(_classed(docs, width, small, many).where("n > 0"), "grouped")
+    out = stored(_classed(docs, width, small).where("n > 0"), "grouped")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     chosen = out.groupBy("root").agg(F.min(own)["row"].alias("chosen"))
     rows = out.join(chosen, "root").groupBy("row").agg(F.count("*").alias("n"), F.max(F.col("row") == F.col("chosen")).alias("stays"))
     rows = stored(rows.where(~F.col("stays") | (F.col("n") > 1)), "gone")
-    named = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    left = named.join(rows.where(~F.col("stays")).select(F.col("row").alias("_row")), "_row", "left_anti")
-    again = rows.where("stays").select(F.col("row").alias("_row"))
-    if not again.isEmpty():  # rows that repeat with id and text
-        one = Window.partitionBy("_row").orderBy("_row")
-        repeated = left.join(again, "_row", "left_semi").withColumn("_k", F.row_number().over(one)).where("_k = 1").drop("_k")
-        left = left.join(again, "_row", "left_anti").unionByName(repeated)
-    return left.select(*docs.columns)
+
+    def chosen_of(d: DataFrame) -> DataFrame:
+        named = d.withColumn("_row", F.xxhash64("doc_id", "text"))
+        left = named.join(rows.where(~F.col("stays")).select(F.col("row").alias("_row")), "_row", "left_anti")
+        again = rows.where("stays").select(F.col("row").alias("_row"))
+        if not again.isEmpty():  # rows that repeat with id and text
+            repeated = left.join(again, "_row", "left_semi").dropDuplicates(["_row"])
+            left = left.join(again, "_row", "left_anti").unionByName(repeated)
+        return left
+
+    return guarded(docs, chosen_of)
 
 
-def _classed(docs: DataFrame, width: int, small: int, many: int) -> DataFrame:
+def _classed(docs: DataFrame, width: int, small: int) -> DataFrame:
     """``doc_id, row, n, root, component_id`` of each row."""
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     prints = stored(rows.mapInArrow(_prints(width), "doc_id bigint, row bigint, n bigint, k1 bigint, k2 bigint, tokens binary"), "prints")
     # A set is known by a 64-bit hash from here on; the second hash and the size tell sets apart that share it.
     classes = stored(prints.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("tokens").alias("tokens")), "classes")
-    links, open_ = suggested(classes, small, many)
-    ends = links.union(links.select("b", "a", "alike"))
+    found = suggested(classes, small)
+    ends = found.links.union(found.links.select("b", "a", "alike"))
     best = ends.groupBy(F.col("a").alias("u")).agg(F.max_by("b", F.struct("alike", "b")).alias("v"))
     sure = confirmed(best.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), docs, classes, width)
     roots = stored(components(sure), "roots")
-    named = links.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left")
+    named = found.links.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left")
     rest = stored(named.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "rest")
     if not rest.isEmpty():
         sure = sure.union(confirmed(rest, docs, classes, width))
         roots = stored(components(sure), "roots")
-    if not open_.isEmpty():
-        roots = stored(components(sure.union(_between(open_, roots, docs, classes, width))), "roots")
+    more = _between(found, roots, docs, classes, width)
+    if more is not None:
+        roots = stored(components(sure.union(more)), "roots")
+    dropped(found.links, rest)
     member = classes.select("k1", "k2", "n", "doc_id").join(roots.toDF("k1", "root"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
     least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     names = member.join(least, "root").select("k1", "k2", "n", "root", "component_id")

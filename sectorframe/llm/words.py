@@ -88,8 +88,9 @@ def words(texts: pa.Array, kind: np.ndarray = NOT_BLANK, lower: bool = True) ->
         n = np.bincount(of, minlength=len(first))
         total = np.add.reduceat(_OF_BYTE[own[inside]] * _powers(int(n.max()))[place], np.cumsum(n) - n)
         if goes_on and first[0] == 0 and not (len(cuts) and cuts[0] == 0):
-            sums[-1][-1] += np.uint64(pow(_BASE, int(lengths[-1][-1]), 1 << 64) * int(total[0]) % (1 << 64))
-            lengths[-1][-1] += n[0]
+            before = int(lengths[-1][-1])
+            sums[-1][-1] = (int(sums[-1][-1]) + pow(_BASE, before, 1 << 64) * int(total[0])) % (1 << 64)
+            lengths[-1][-1] = before + n[0]
             first, n, total = first[1:], n[1:], total[1:]
         if len(first):
             starts.append(first + a)

@@ -58,37 +58,73 @@ def _rows(seed, groups, copies):
 ODD = [None, "", " \t\n", "one", "ONE", "one two", "One  two", "É é", "é É", "x " * 3000, "x " * 3001, "a b c d e", "a b c d e"]
 
 
-@pytest.mark.parametrize("width,small,many", [(2, 2048, 64), (5, 2048, 2), (2, 2048, 2)])
-def test_components_equal_brute_force(spark, width, small, many):
+@pytest.mark.parametrize("width,small,singly", [(2, 2048, 8), (5, 2048, 0), (2, 2048, 0)])
+def test_components_equal_brute_force(spark, monkeypatch, width, small, singly):
+    monkeypatch.setattr(near_dup, "SINGLY", singly)
     rows = _rows(width, 12, 12)
     rows += [(1000 + k if k % 4 else None, t) for k, t in enumerate(ODD)] + rows[:5]
     table = spark.createDataFrame([(d, t, 7, 7, "x") for d, t in rows], SCHEMA).repartition(3)
-    got = near_dup.near_duplicates(table, width, small, many).collect()
+    got = near_dup.near_duplicates(table, width, small).collect()
     assert sorted(map(tuple, got), key=repr) == _brute(rows, width)
 
 
-def test_large_nodes_branch_on(spark):
-    """Nodes over the bound keep what is very like, and lose at most single weak links."""
+def test_large_nodes_branch_on(spark, monkeypatch):
+    """Nodes over the bound keep what is very like, and compare it with what is near."""
     rows = [(k, " ".join(f"w{j}" for j in range(60)) + f" x{k}") for k in range(60)] + [(100 + k, f"y{k} " * 9 + f"z{k} u v w") for k in range(9)]
-    got = near_dup.near_duplicates(spark.createDataFrame([(d, t, 7, 7, "x") for d, t in rows], SCHEMA), 2, 4, 2).collect()
+    got = near_dup.near_duplicates(spark.createDataFrame([(d, t, 7, 7, "x") for d, t in rows], SCHEMA), 2, 4).collect()
     assert sorted(map(tuple, got), key=repr) == _brute(rows, 2)
 
 
-@pytest.mark.parametrize("many", [64, 2])
-def test_refuted_clear_links_give_back_what_they_hid(spark, monkeypatch, many):
-    """All suggested links are taken as clear, so that many are none on the full sets."""
+def _shifted(triples):
+    """Windows of 401 words, each 23 on from the last: neighbours are links at 0.89, the ends of three aren't at 0.794."""
+    return [(3 * k + j, " ".join(f"t{k}w{i}" for i in range(23 * j, 23 * j + 401))) for k in range(triples) for j in range(3)]
+
+
+def test_links_that_refuted_ones_seem_to_make_needless(spark):
+    rows = _shifted(300)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=2).collect()
+    assert all(r.component_id == r.doc_id - r.doc_id % 3 for r in got) and len(got) == 900
+
+
+def test_each_pair_between_components_is_tried(spark, monkeypatch):
+    """One node of all classes, whose forest is of no use: every link comes of the second look."""
     from pyspark.sql import functions as F
 
-    def here(classes, small, many):
-        table = classes.select(F.lit(1).cast("bigint").alias("node"), "k1", "n", "tokens").toArrow().combine_chunks()
-        out = spark.createDataFrame(pa.Table.from_batches(near_dup._compared(many)(iter(table.to_batches()))))
-        return out.where("b IS NOT NULL").select("a", "b", "alike"), out.where("b IS NULL").select("node", F.col("a").alias("k1"))
+    def here(classes, small):
+        open_ = classes.select(F.lit(1).cast("bigint").alias("node"), "k1")
+        none = classes.where("false").select(F.col("k1").alias("a"), F.col("k1").alias("b"), F.lit(1).alias("alike"))
+        return near_dup.Suggested(near_dup.stored(none, "none"), open_, None)
 
-    monkeypatch.setattr(near_dup, "HIGH", near_dup.LOW)
     monkeypatch.setattr(near_dup, "suggested", here)
     rows = _rows(5, 10, 14)
-    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=2, many=many).collect()
-    assert sorted((tuple(r) for r in got), key=repr) == _brute(rows, 2)
+    for singly, block in ((10**9, 1 << 20), (0, 1 << 20), (0, 2000)):
+        monkeypatch.setattr(near_dup, "SINGLY", singly)
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=2).collect()
+        assert sorted((tuple(r) for r in got), key=repr) == _brute(rows, 2)
+
+
+def test_what_left_with_a_pivot_meets_what_is_near_it(spark):
+    near = spark.createDataFrame([(2, 1, 95), (3, 1, 93), (4, 1, 70), (5, 1, 94), (6, 9, 95), (7, 1, -80)], "k1 bigint, p bigint, alike int")
+    roots = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (6, 6), (9, 6)], "node bigint, root bigint")
+    got = near_dup._around(near, roots).collect()
+    assert len({r.node for r in got}) == 1 and sorted(r.k1 for r in got) == [1, 2, 3, 4, 5, 7]
+
+
+def test_heaviest_forest():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 50_000, (5, 96)).astype(np.uint16)
+    tokens = np.where(rng.random((60, 96)) < 0.12, rng.integers(0, 50_000, (60, 96)).astype(np.uint16), base[rng.integers(0, 5, 60)])
+    i, j, weight, more = near_dup._forest(np.full(60, 100), tokens)
+    equal = (tokens[:, None] == tokens).sum(2)
+    edges = sorted(((equal[a, b], a, b) for a in range(60) for b in range(a) if equal[a, b] >= near_dup.LOW), reverse=True)
+    root, total = list(range(60)), []
+    for w, a, b in edges:
+        if root[a] != root[b]:
+            root = [root[b] if r == root[a] else r for r in root]
+            total.append(w)
+    assert sorted(weight.tolist()) == sorted(total) and (equal[i, j] == weight).all()
+    assert set(more.tolist()) == {a for w, a, b in edges} | {b for w, a, b in edges}
 
 
 def test_one_of_each_keeps_one_row(spark):
