@@ -6,7 +6,7 @@ about half a round. All rounds are joins and sums over links; the driver sees tw
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -33,9 +33,19 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     at = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = None
     for _ in range(rounds):
-        at = stored(_small_star(_large_star(at)).where("a <> b").distinct(), "links")
-        now = tuple(at.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
+        seen = Observation()
+        step = _small_star(_large_star(at)).where("a <> b").distinct()
+        at = stored(step.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "links")
+        now = (seen.get["n"], seen.get["sum"])
         if now == mark:
             return at.select(F.col("a").alias("node"), F.col("b").alias("root")).union(at.select("b", "b")).distinct()
         mark = now
     raise RuntimeError(f"components after {rounds} rounds")
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components ``node, root`` after further links ``a, b``, whose ends may be new."""
+    ends = links.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left")
+    over = stored(components(ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))), "over")
+    moved = roots.join(over.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return stored(moved.union(over.join(roots, "node", "left_anti")), "roots")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, guarded, small_batches, stored, text_column
-from .components import components
+from .components import components, joined
 from .words import mix, shingles, words
 
 #: Minwise tokens of a signature.
@@ -39,12 +39,15 @@ SMALL, PIVOTS = 2048, 16
 #: is a link all but surely, and what is linked to it has NEAR with its pivot, but for one in thousands.
 LOW, ALIKE, NEAR = 63, 92, 56
 #: Pairs for each class of a node that are told singly, at most; beyond, its sets come together.
-SINGLY = 8
+SINGLY = 2
 #: Shingles of a block of sets, about, and sets of a shingle that is counted pair by pair, at most.
 BLOCK, FEW = 1 << 20, 16
 #: Bits of the filter by which the texts of suggested links are found again: 4 MB, whatever the number of texts.
 FILTER_WORDS = 1 << 19
 
+#: Bits of a node's number that tell its tree.
+_TREE_BITS = np.uint64(6)
+
 _random = np.random.Generator(np.random.PCG64(20))
 _TIMES = (_random.integers(0, 1 << 32, TOKENS) | 1).astype(np.uint32)
 _PLUS = _random.integers(0, 1 << 32, TOKENS).astype(np.uint32)
@@ -96,12 +99,13 @@ def _picks(seed: np.uint64, n: int) -> list[int]:
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first nodes of all trees, two tokens deep, without the tokens."""
+    """The first nodes of all trees, two tokens deep, without the tokens. A node's number begins with its tree's."""
     for batch in batches:
         tokens = _tokens(batch.column("tokens"))
         for tree in range(TREES):
             seed = mix(np.array([tree + 77], np.uint64))[0]
-            yield pa.RecordBatch.from_arrays([pa.array(_path(seed, tokens, _picks(seed, 2)).view(np.int64)), batch.column("k1")], ["node", "k1"])
+            node = _path(seed, tokens, _picks(seed, 2)) >> _TREE_BITS | np.uint64(tree << 58)
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column("k1")], ["node", "k1"])
 
 
 def _like(n: np.ndarray, m: np.ndarray, equal: np.ndarray, least: int = LOW) -> np.ndarray:
@@ -197,10 +201,16 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each node, all pairs between components: singly where they are few, else the classes that have any."""
+    """Of each node, all pairs between components that stand together in no node before it (``nodes`` has those
+    of a class): singly where they are few, else the classes that have any."""
     for table, edges in _by_node(batches):
         node, k1, n = (table[c].to_numpy() for c in ("node", "k1", "n"))
         tokens, root = _tokens(table["tokens"].combine_chunks()), np.unique(table["root"].to_numpy(), return_inverse=True)[1]
+        nodes = table["nodes"].combine_chunks()
+        begin, each = nodes.offsets.to_numpy(), nodes.value_lengths().to_numpy()
+        before = np.full((len(k1), max(1, each.max())), np.iinfo(np.int64).max)
+        before[np.repeat(np.arange(len(k1)), each), np.arange(each.sum()) - np.repeat(begin[:-1] - begin[0], each)] = nodes.values.to_numpy()[begin[0] : begin[-1]]
+        before[before >= node[:, None]] = np.iinfo(np.int64).max
         a, b, left, where = [], [], [], []
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             own, columns = root[lo:hi], np.ascontiguousarray(tokens[lo:hi].T)
@@ -209,6 +219,8 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in np.flatnonzero(own != largest).tolist():  # pairs of the largest with others are among these
                 done[i] = True
                 j = np.flatnonzero(_like(n[lo:hi], n[lo + i], _equal(columns, tokens[lo + i])) & (own != own[i]) & ~done)
+                for other in before[lo + i][before[lo + i] < node[lo]]:
+                    j = j[(before[lo + j] != other).all(1)]
                 found.append(np.stack([np.full(len(j), i), j], 1))
             pairs = np.concatenate(found)
             if len(pairs) <= SINGLY * (hi - lo):
@@ -240,7 +252,8 @@ def _branched(rows: pa.Table, pivots: pa.Table) -> pa.Table:
     stays = (equal.max(1) < ALIKE) & ~np.isin(k1, p)
     at = np.flatnonzero(stays)
     seeds = mix(np.array([node ^ np.uint64(0xABCD + k) for k in range(paths)], np.uint64))
-    nodes = np.stack([_path(x, tokens[at], _picks(x, deep)) for x in seeds], 1).view(np.int64)
+    tree = node >> np.uint64(58) << np.uint64(58)
+    nodes = (np.stack([_path(x, tokens[at], _picks(x, deep)) for x in seeds], 1) >> _TREE_BITS | tree).view(np.int64)
     near = (equal >= NEAR) & (k1[:, None] != p)
     where, which = np.nonzero(near)
     lists = [np.append(0, np.cumsum(x)) for x in (near.sum(1), stays * paths)]
@@ -425,7 +438,8 @@ def _around(near: DataFrame, roots: DataFrame) -> DataFrame:
     meets = F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0")) - 1)).alias("other")
     dealt = dealt.select("p", "k1", "side", "block", meets)
     pair = [F.when(F.col("side") == k, F.col("block")).otherwise(F.col("other")) for k in (0, 1)]
-    return dealt.select(F.xxhash64("p", *pair).alias("node"), "k1")
+    # These nodes come after those of all trees.
+    return dealt.select(F.shiftrightunsigned(F.xxhash64("p", *pair), 6).bitwiseOR(F.lit(31 << 58)).alias("node"), "k1")
 
 
 def _between(found: Suggested, roots: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame | None:
@@ -436,8 +450,11 @@ def _between(found: Suggested, roots: DataFrame, docs: DataFrame, classes: DataF
     again = stored(named.join(apart, "node", "left_semi"), "apart")
     if again.isEmpty():
         return None
-    again = again.join(classes.select("k1", "n", "tokens"), "k1").repartition("node").sortWithinPartitions("node")
-    told = stored(again.select("node", "k1", "n", "tokens", "root").mapInArrow(_crossing, _TOLD), "crossing")
+    # Nodes of trees that a class is in are as many as its paths, at most.
+    nodes = again.where(F.col("node") < TREES << 58).groupBy("k1").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    known = classes.select("k1", "n", "tokens").join(nodes, "k1", "left").withColumn("nodes", F.coalesce("nodes", F.array().cast("array<bigint>")))
+    looked = again.join(known, "k1").select("node", "k1", "n", "tokens", "root", "nodes").repartition("node").sortWithinPartitions("node")
+    told = stored(looked.mapInArrow(_crossing, _TOLD), "crossing")
     out = []
     single = stored(told.where("b IS NOT NULL").select("a", "b").distinct().join(found.links, ["a", "b"], "left_anti"), "singly")
     if not single.isEmpty():
@@ -502,11 +519,10 @@ def _classed(docs: DataFrame, width: int, small: int) -> DataFrame:
     named = found.links.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left")
     rest = stored(named.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "rest")
     if not rest.isEmpty():
-        sure = sure.union(confirmed(rest, docs, classes, width))
-        roots = stored(components(sure), "roots")
+        roots = joined(roots, confirmed(rest, docs, classes, width))
     more = _between(found, roots, docs, classes, width)
     if more is not None:
-        roots = stored(components(sure.union(more)), "roots")
+        roots = joined(roots, more)
     dropped(found.links, rest)
     member = classes.select("k1", "k2", "n", "doc_id").join(roots.toDF("k1", "root"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
     least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from sectorframe.llm import near_dup
-from sectorframe.llm.components import components
+from sectorframe.llm.components import components, joined
 from sectorframe.llm.words import NOT_BLANK, words
 
 SCHEMA = "doc_id bigint, text string, n bigint, row bigint, tokens string"
@@ -91,7 +91,7 @@ def test_each_pair_between_components_is_tried(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     def here(classes, small):
-        open_ = classes.select(F.lit(1).cast("bigint").alias("node"), "k1")
+        open_ = classes.select(F.lit(1).cast("bigint").alias("node"), "k1").union(classes.where("k1 % 3 > 0").select(F.lit(2).cast("bigint"), "k1"))
         none = classes.where("false").select(F.col("k1").alias("a"), F.col("k1").alias("b"), F.lit(1).alias("alike"))
         return near_dup.Suggested(near_dup.stored(none, "none"), open_, None)
 
@@ -147,6 +147,12 @@ def test_long_chain_is_one_component(spark):
     assert got == {**dict.fromkeys(range(300), 0), 1000: 1000, 1001: 1000}
 
 
+def test_further_links_join_components(spark):
+    roots = components(spark.createDataFrame([(1, 2), (2, 3), (5, 6), (8, 9)], "a bigint, b bigint"))
+    got = joined(roots, spark.createDataFrame([(3, 6), (7, 9), (20, 21)], "a bigint, b bigint"))
+    assert {r.node: r.root for r in got.collect()} == {1: 1, 2: 1, 3: 1, 5: 1, 6: 1, 7: 7, 8: 7, 9: 7, 20: 20, 21: 20}
+
+
 def test_words_and_hashes():
     import pyarrow as pa
 
