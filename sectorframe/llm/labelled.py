@@ -9,19 +9,19 @@ from pyspark.sql import functions as F
 from .common import held_out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_bytes: int = 16 << 10) -> DataFrame:
-    """``doc_id, text, y``: distinct labelled texts that aren't held out, at most ``per_class`` of each class.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
+    """``doc_id, text, y``: distinct labelled texts that aren't held out, at most ``per_class`` of each class, whole.
 
-    The choice is by a hash of the id, so it is the same each time. Texts of over ``most_bytes``
-    aren't learned from. Rows whose label is null or neither 0 nor 1 count as unlabelled; where
-    an id has several labels, the smallest holds.
+    The choice is by a hash of the id, so it is the same each time; an id's rows with several texts count as one
+    of them, by a hash too. Rows whose label is null or neither 0 nor 1 count as unlabelled, as do null texts;
+    where an id has several labels, the smallest holds.
     """
     own = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
     ranked = [own.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= most_bytes)
     # The sample of ids has a bound, at most 2 * per_class rows of 12 bytes.
-    chosen = rows.join(F.broadcast(ranked[0].union(ranked[1])), "doc_id")
-    return chosen.groupBy(F.xxhash64("text").alias("t")).agg(F.min(F.struct("doc_id", "text", "y")).alias("r")).select("r.*")
+    chosen = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ranked[0].union(ranked[1])), "doc_id")
+    one = chosen.groupBy("doc_id").agg(F.min_by(F.struct("text", "y"), F.xxhash64("text")).alias("r")).select("doc_id", "r.*")
+    return one.groupBy(F.xxhash64("text").alias("t")).agg(F.min_by(F.struct("doc_id", "text", "y"), "doc_id").alias("r")).select("r.*")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
