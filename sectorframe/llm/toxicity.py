@@ -1,12 +1,13 @@
 """Toxicity of whole texts by weak supervision.
 
-Terms (whole words and beginnings of words) that mark toxic texts among labelled ones are dealt
-to voters: lexicons of words, patterns of word beginnings. A voter votes for toxic or not at
-all. A generative model explains the votes of all documents, labelled or not: for each class,
-each voter's rate of voting, where a voter may lean on another with which it is correlated
-beyond the class. It is fitted by expectation maximisation on the counts of vote patterns,
-which number 2 to the voters at most. A linear classifier on the single terms is then trained
-on the posterior labels of a bounded sample of documents, and scores all of them.
+Named voters vote on a document: lexicons of words, each mined from its own slice of the labelled
+texts; lexicons of beginnings of words; patterns of characters that no label has a part in (letters
+repeated, digits among letters, shouting, runs of marks); and lexicons of what marks clean texts. A
+generative model explains the votes of all documents, labelled or not: for each class, each voter's
+rate of voting, where a voter may lean on another with which it is correlated beyond the class. It is
+fitted by expectation maximisation on the counts of vote patterns, which number 2 to the voters at
+most. A linear classifier on the single terms and patterns is then trained on the posterior labels
+of a bounded sample of documents, and scores all of them.
 """
 
 from __future__ import annotations
@@ -20,16 +21,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, small_batches, stored, text_column
-from .labelled import fit_logistic, labelled_sample, logistic
-from .words import ALPHANUMERIC, mix, words
+from .labelled import fit_logistic, labelled_sample
+from .words import ALPHANUMERIC, buffer, mix, words
 
 #: Bytes of word beginnings that may be terms; 0 is the whole word.
 BEGINNINGS = (0, 4, 5)
-#: Labelled texts of each class that terms are mined from, at most.
-PER_CLASS = 10_000
-#: Terms and voters, at most. Patterns of votes number at most 2**VOTERS, the bound of what the driver gets.
-TERMS, VOTERS = 256, 12
-#: A term occurs in this many toxic texts, at least, and its G2 statistic is at least this.
+#: Labelled texts of each class that terms are mined from, at most, and slices of them that have lexicons of their own.
+PER_CLASS, SLICES = 10_000, 4
+#: Terms that mark toxic texts, and those that mark clean ones, at most.
+TERMS, CLEAN_TERMS = 256, 64
+#: Patterns of characters.
+PATTERNS = ("repeats", "digits", "shouts", "marks")
+#: Patterns of votes number 2 to the number of voters at most, the bound of what the driver gets.
+VOTERS = (*(f"words_{k}" for k in range(SLICES)), *(f"beginnings_{k}" for k in BEGINNINGS[1:]), *PATTERNS, "clean_words", "clean_beginnings")
+CLEAN = np.array([v.startswith("clean") for v in VOTERS])
+#: A term occurs in this many texts of its class, at least, and its G2 statistic is at least this.
 LEAST_TEXTS, LEAST_G2 = 4, 16.0
 #: Documents whose posterior labels the classifier learns from, at most.
 LEARNED = 20_000
@@ -38,58 +44,97 @@ ROUNDS = 60
 LEANING = 0.1
 
 
-def term_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all terms of all texts, and the text of each."""
+def patterns(texts: pa.Array) -> list[np.ndarray]:
+    """Which texts have each of PATTERNS."""
+    data, bounds = buffer(texts)
+    low = data | 32
+    letter, digit = (low >= 97) & (low <= 122), (data >= 48) & (data <= 57)
+    upper, mark = (data >= 65) & (data <= 90), (data == 33) | (data == 63)
+    found = [
+        (letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]), 3),
+        (letter[:-2] & digit[1:-1] & letter[2:], 3),
+        (upper[:-3] & upper[1:-2] & upper[2:-1] & upper[3:], 4),
+        (mark[:-1] & mark[1:], 2),
+    ]
+    out = []
+    for hit, width in found:
+        at = np.flatnonzero(hit)
+        owner = np.searchsorted(bounds, at, "right") - 1
+        out.append(np.unique(owner[at + width <= bounds[owner + 1]]))
+    return out
+
+
+def term_hashes(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of BEGINNINGS: hashes of all terms of all texts, and the text of each."""
     found = words(texts, ALPHANUMERIC)
     owner = np.repeat(np.arange(len(texts)), np.diff(found.bounds))
-    out, owners = [mix(found.hashes ^ np.uint64(1))], [owner]
+    out = [(mix(found.hashes ^ np.uint64(1)), owner)]
     for size in BEGINNINGS[1:]:
         long = np.flatnonzero(found.lengths > size)
-        if len(long):
-            h = np.zeros(len(long), np.uint64)
-            for k in range(size):
-                h = (h << np.uint64(8)) | found.data[found.starts[long] + k].astype(np.uint64)
-            out.append(mix(h * np.uint64(16) + np.uint64(size)))
-            owners.append(owner[long])
-    return np.concatenate(out), np.concatenate(owners)
+        h = np.zeros(len(long), np.uint64)
+        for k in range(size):
+            h = (h << np.uint64(8)) | found.data[found.starts[long] + k].astype(np.uint64)
+        out.append((mix(h * np.uint64(16) + np.uint64(size)), owner[long]))
+    return out
+
+
+_COUNTS = "term bigint, size int, " + ", ".join(f"{x}{k} bigint" for k in range(SLICES) for x in ("pos", "neg"))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each term in a batch: toxic and other texts that have it."""
-    for batch in small_batches(batches, limit=4 << 20):
-        terms, owner = term_hashes(text_column(batch))
-        y = batch.column("y").to_numpy()
-        order = np.lexsort((owner, terms))
-        terms, owner = terms[order], owner[order]
-        first = np.append(True, (terms[1:] != terms[:-1]) | (owner[1:] != owner[:-1])) if len(terms) else np.zeros(0, bool)
-        terms, toxic = terms[first], y[owner[first]]
-        starts = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])) if len(terms) else np.zeros(0, np.int64)
-        if len(starts):
-            n = np.diff(np.append(starts, len(terms)))
-            pos = np.add.reduceat(toxic, starts)
-            yield pa.RecordBatch.from_pydict({"term": pa.array(terms[starts].view(np.int64)), "pos": pa.array(pos, pa.int64()), "neg": pa.array(n - pos, pa.int64())})
-
-
-def mine(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Terms that mark toxic texts, the most telling first, the share of toxic texts that have each,
-    and the share of toxic texts among the labelled ones."""
-    sample = stored(labelled_sample(docs, labels, "toxic", per_class), "toxic-sample")
-    n = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    own = labels.where(F.col("toxic").isin(0, 1) & ~held_out())
-    rate = own.agg(F.avg("toxic")).head()[0]
-    if not n.get(1) or not n.get(0):
-        return np.zeros(0, np.uint64), np.zeros(0), float(rate or 0.0)
-    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
-    share = (pos + neg) / (n[0] + n[1])
-
-    def part(k, of):
-        return F.when(k > 0, k * F.ln(k / (share * of))).otherwise(0.0)
-
-    g2 = 2 * (part(pos, n[1]) + part(neg, n[0]) + part(n[1] - pos, n[1]) + part(n[0] - neg, n[0]) - F.when((n[1] - pos) > 0, (n[1] - pos) * F.ln((1 - share) / share)).otherwise(0.0) - F.when((n[0] - neg) > 0, (n[0] - neg) * F.ln((1 - share) / share)).otherwise(0.0))
-    found = sample.mapInArrow(_counts, "term bigint, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    telling = found.where((F.col("pos") >= LEAST_TEXTS) & (F.col("pos") * n[0] > 8 * F.col("neg") * n[1])).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2)
-    best = telling.orderBy(F.desc("g2"), "term").limit(TERMS).collect()
-    return np.array([r.term for r in best], np.int64).view(np.uint64), np.array([r.pos / n[1] for r in best]), float(rate)
+    """Of each term in a batch: toxic and other texts of each slice that have it."""
+    for batch in small_batches(batches):
+        kind = 2 * batch.column("slice").to_numpy() + 1 - batch.column("y").to_numpy()
+        for size, (terms, owner) in zip(BEGINNINGS, term_hashes(text_column(batch)), strict=True):
+            if not len(terms):
+                continue
+            order = np.lexsort((owner, terms))
+            terms, owner = terms[order], owner[order]
+            first = np.append(True, (terms[1:] != terms[:-1]) | (owner[1:] != owner[:-1]))
+            terms, own = terms[first], kind[owner[first]]
+            starts = np.flatnonzero(np.append(True, terms[1:] != terms[:-1]))
+            n = [np.add.reduceat((own == k).astype(np.int64), starts) for k in range(2 * SLICES)]
+            names = [f"{x}{k}" for k in range(SLICES) for x in ("pos", "neg")]
+            yield pa.RecordBatch.from_pydict({"term": pa.array(terms[starts].view(np.int64)), "size": pa.array(np.full(len(starts), size), pa.int32()), **dict(zip(names, map(pa.array, n), strict=True))})
+
+
+class Terms(NamedTuple):
+    hashes: np.ndarray
+    voters: np.ndarray  # terms and patterns x voters: whether it makes the voter vote
+
+
+def mine(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Terms, float]:
+    """Terms that mark toxic or clean texts with the voters that they belong to, and the share of toxic labels."""
+    part = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SLICES)).cast("int")
+    sample = stored(labelled_sample(docs, labels, "toxic", per_class).withColumn("slice", part), "toxic-sample")
+    n = {(r.y, r.slice): r.n for r in sample.groupBy("y", "slice").agg(F.count("*").alias("n")).collect()}
+    toxic, clean = (sum(v for (y, _), v in n.items() if y == q) for q in (1, 0))
+    rate = float(labels.where(F.col("toxic").isin(0, 1) & ~held_out()).agg(F.avg("toxic")).head()[0] or 0.0)
+    found = sample.mapInArrow(_counts, _COUNTS).groupBy("term", "size").agg(*[F.sum(f"{x}{k}").alias(f"{x}{k}") for k in range(SLICES) for x in ("pos", "neg")])
+    pos, neg = (sum((F.col(f"{x}{k}") for k in range(1, SLICES)), F.col(f"{x}0")).cast("double") for x in ("pos", "neg"))
+    found = found.withColumns({"pos": pos, "neg": neg})
+    pos, neg, share = F.col("pos"), F.col("neg"), (F.col("pos") + F.col("neg")) / max(1, toxic + clean)
+
+    def part_of(k, of, expected):
+        return F.when((k > 0) & (expected > 0), k * F.ln(k / (expected * of))).otherwise(0.0)
+
+    found = found.withColumn("g2", 2 * (part_of(pos, toxic, share) + part_of(neg, clean, share) + part_of(toxic - pos, toxic, 1 - share) + part_of(clean - neg, clean, 1 - share)))
+    telling = found.where((F.col("g2") >= LEAST_G2) & F.lit(toxic > 0 and clean > 0))
+    marks_toxic = telling.where((pos >= LEAST_TEXTS) & (pos * clean > 8 * neg * toxic)).orderBy(F.desc("g2"), "term").limit(TERMS)
+    marks_clean = telling.where((neg >= LEAST_TEXTS) & (neg * toxic > 8 * pos * clean)).orderBy(F.desc("g2"), "term").limit(CLEAN_TERMS)
+    best = [(r, False) for r in marks_toxic.collect()] + [(r, True) for r in marks_clean.collect()]
+    voters = np.zeros((len(best) + len(PATTERNS), len(VOTERS)), bool)
+    for k, (r, is_clean) in enumerate(best):
+        if is_clean:
+            voters[k, VOTERS.index("clean_beginnings" if r["size"] else "clean_words")] = True
+        elif r["size"]:
+            voters[k, VOTERS.index(f"beginnings_{r['size']}")] = True
+        else:
+            for s in range(SLICES):
+                voters[k, s] = r[f"pos{s}"] >= 2 and r[f"pos{s}"] * n.get((0, s), 0) > 8 * r[f"neg{s}"] * n.get((1, s), 0)
+    for k, name in enumerate(PATTERNS):
+        voters[len(best) + k, VOTERS.index(name)] = True
+    return Terms(np.array([r.term for r, _ in best], np.int64).view(np.uint64), voters), rate
 
 
 class LabelModel(NamedTuple):
@@ -108,26 +153,32 @@ class LabelModel(NamedTuple):
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -60, 60)))
 
 
-def _rates(votes: np.ndarray, n: np.ndarray, toxic: np.ndarray, leans: np.ndarray) -> np.ndarray:
+def _rates(votes: np.ndarray, n: np.ndarray, toxic: np.ndarray, leans: np.ndarray, clean: np.ndarray) -> np.ndarray:
     out = np.zeros((2, 2, votes.shape[1]))
     for y, weight in ((0, n * (1 - toxic)), (1, n * toxic)):
         for j, on in enumerate(leans):
+            # As if seen before: documents of a voter's own class vote more often than others.
+            voted, of = (0.5, 2.0) if bool(y) != bool(clean[j]) else (0.05, 10.0)
             for value in (0, 1):
                 w = weight * (votes[:, on] == value) if on >= 0 else weight
-                # Toxic documents vote more often than others, or a voter says nothing.
-                out[y, value, j] = ((w * votes[:, j]).sum() + (0.05, 0.5)[y]) / (w.sum() + (10.0, 2.0)[y])
+                out[y, value, j] = ((w * votes[:, j]).sum() + voted) / (w.sum() + of)
     return np.clip(out, 1e-5, 1 - 1e-5)
 
 
-def fit_label_model(votes: np.ndarray, n: np.ndarray, prior: float) -> LabelModel:
+def fit_label_model(votes: np.ndarray, n: np.ndarray, prior: float, clean: np.ndarray | None = None, first: np.ndarray | None = None) -> LabelModel:
     """Expectation maximisation on counted patterns: first with independent voters, then with the
-    strongest correlations within a class, which form a forest."""
+    strongest correlations within a class, which form a forest.
+
+    ``clean``: voters that vote for clean; ``first``: those whose votes are the first guess.
+    """
+    clean = np.zeros(votes.shape[1], bool) if clean is None else clean
+    first = ~clean if first is None else first
     prior = float(np.clip(prior, 1e-4, 1 - 1e-4))
     leans = np.full(votes.shape[1], -1)
-    toxic = np.where(votes.any(1), 0.9, 0.01)
+    toxic = np.where(votes[:, first].any(1), 0.9, 0.01)
     for stage in range(2):
         for _ in range(ROUNDS):
-            model = LabelModel(prior, leans, _rates(votes, n, toxic, leans))
+            model = LabelModel(prior, leans, _rates(votes, n, toxic, leans, clean))
             now = model.posterior(votes)
             done, toxic = np.abs(now - toxic).max() < 1e-7, now
             if done:
@@ -154,27 +205,28 @@ def fit_label_model(votes: np.ndarray, n: np.ndarray, prior: float) -> LabelMode
     return model
 
 
-class Model(NamedTuple):
-    terms: np.ndarray
-    weights: np.ndarray
+def accuracies(model: LabelModel) -> np.ndarray:
+    """Each voter's estimated chance that a document it votes on is of its class, leaning voters' as if none had voted."""
+    ones = model.rates[:, 0] * np.array([[1 - model.prior], [model.prior]])
+    return np.where(CLEAN[: ones.shape[1]], ones[0], ones[1]) / ones.sum(0)
 
 
-def hits(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """``doc_id, n, hits``: words of each row's whole text and the numbers of the terms it has, ascending."""
-    order = np.argsort(terms)
-    ordered = terms[order]
+def hits(docs: DataFrame, terms: Terms) -> DataFrame:
+    """``doc_id, n, hits``: words of each row's whole text and the numbers of the terms and patterns it has, ascending."""
+    order = np.argsort(terms.hashes)
+    ordered, all_ = terms.hashes[order], len(terms.voters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, limit=2 << 20):
-            found, owner = term_hashes(text_column(batch))
-            n = np.bincount(owner[: len(owner)], minlength=batch.num_rows)
-            if len(ordered):
-                at = np.minimum(np.searchsorted(ordered, found), len(ordered) - 1)
-                ok = np.flatnonzero(ordered[at] == found)
-                pairs = np.unique(owner[ok] * np.int64(len(terms)) + order[at[ok]])
-            else:
-                pairs = np.zeros(0, np.int64)
-            owners, which = np.divmod(pairs, max(1, len(terms)))
+        for batch in small_batches(batches):
+            texts = text_column(batch)
+            found = term_hashes(texts)
+            n = np.bincount(found[0][1], minlength=batch.num_rows)
+            pairs = [own * np.int64(all_) + len(ordered) + k for k, own in enumerate(patterns(texts))]
+            for own, owner in found if len(ordered) else []:
+                at = np.minimum(np.searchsorted(ordered, own), len(ordered) - 1)
+                ok = np.flatnonzero(ordered[at] == own)
+                pairs.append(np.unique(owner[ok] * np.int64(all_) + order[at[ok]]))
+            owners, which = np.divmod(np.unique(np.concatenate(pairs)), all_)
             edges = np.searchsorted(owners, np.arange(batch.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(which, pa.int32()))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "n": pa.array(n, pa.int64()), "hits": lists})
@@ -182,31 +234,32 @@ def hits(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, hits array<int>")
 
 
-def _voter(k: int) -> int:
-    return k % VOTERS
-
-
-def fit(found: DataFrame, terms: np.ndarray, prior: float) -> Model:
-    """The classifier, from the terms found in all documents."""
-    masks = F.array(*[F.lit(1 << _voter(k)) for k in range(max(1, len(terms)))])
+def label_model(found: DataFrame, terms: Terms, prior: float) -> LabelModel | None:
+    """The generative model, from the votes on all documents; none where no voter mined from labels votes."""
+    masks = F.array(*[F.lit(int(v @ (1 << np.arange(len(VOTERS))))) for v in terms.voters])
     pattern = F.aggregate("hits", F.lit(0), lambda a, k: a.bitwiseOR(F.element_at(masks, k + 1)))
     counted = found.select(pattern.alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")).toPandas()
-    if not len(terms) or not len(counted):
+    votes = (counted["pattern"].to_numpy(np.int64)[:, None] >> np.arange(len(VOTERS))) & 1
+    first = np.array([v.startswith(("words", "beginnings")) for v in VOTERS])
+    if not len(terms.hashes) or not votes[:, first].any():
+        return None
+    return fit_label_model(votes, counted["n"].to_numpy(np.float64), prior, CLEAN, first)
+
+
+def fit(found: DataFrame, terms: Terms, prior: float) -> np.ndarray:
+    """The classifier's weights (the last is the constant), from the terms found in all documents."""
+    model, width = label_model(found, terms, prior), len(terms.voters)
+    if model is None:
         p = float(np.clip(prior, 1e-4, 0.4))
-        return Model(terms, np.append(np.zeros(len(terms)), np.log(p / (1 - p))))
-    votes = (counted["pattern"].to_numpy()[:, None] >> np.arange(VOTERS)) & 1
-    model = fit_label_model(votes, counted["n"].to_numpy(np.float64), prior)
-    # Half of the sample is of texts with votes, as far as there are any.
-    by = F.xxhash64("doc_id", "hits")
-    some, none = (found.where(c).orderBy(by).limit(LEARNED // 2) for c in (F.size("hits") > 0, F.size("hits") == 0))
+        return np.append(np.zeros(width), np.log(p / (1 - p)))
+    # Half of the sample is of texts with terms, as far as there are any.
+    by, marked = F.xxhash64("doc_id", "hits"), F.exists("hits", lambda k: k < len(terms.hashes))
+    some, none = (found.where(c).orderBy(by).limit(LEARNED // 2) for c in (marked, ~marked))
     sample = some.union(none).select("hits").toPandas()["hits"]
-    x = np.zeros((len(sample), len(terms)))
+    x = np.zeros((len(sample), width))
     for row, own in zip(x, sample, strict=True):
         row[np.asarray(own, np.int64)] = 1
-    cast = np.zeros((len(sample), VOTERS), np.int64)
-    for k in range(len(terms)):
-        cast[:, _voter(k)] |= x[:, k].astype(np.int64)
-    return Model(terms, fit_logistic(x, model.posterior(cast), ridge=0.05))
+    return fit_logistic(x, model.posterior((x @ terms.voters > 0).astype(np.int64)), ridge=0.05)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -214,13 +267,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 
     A null or empty text has no term and gets the score of such texts. Null ids count as not
     held out and are never labelled; repeated rows and other columns change nothing. Without
-    labels of both kinds there are no terms, and all scores are the share of toxic labels.
+    labels of both kinds there are no terms, and all scores are the share of toxic labels. A long
+    text's words are looked at whole, slice by slice.
     """
-    terms, _, prior = mine(docs, labels)
+    terms, prior = mine(docs, labels)
     found = stored(hits(docs, terms), "hits")
-    weights = fit(found, terms, prior).weights
-    # 256 weights at most, as a literal of the plan.
-    each = F.array(*[F.lit(float(w)) for w in (weights[:-1] if len(terms) else [0.0])])
+    weights = fit(found, terms, prior)
+    # 324 weights at most, as a literal of the plan.
+    each = F.array(*[F.lit(float(w)) for w in weights[:-1]])
     total = F.aggregate("hits", F.lit(float(weights[-1])), lambda a, k: a + F.element_at(each, k + 1))
     score = 1 / (1 + F.exp(-total))
     return found.select("doc_id", held_out().alias("held_out"), score.alias("score")).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

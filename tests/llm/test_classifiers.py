@@ -68,6 +68,77 @@ def test_label_model_finds_accuracies_and_correlations():
     assert ((toxic > 0.5) == y).mean() > 0.95
 
 
+def test_voters_accuracies_against_the_labels(spark, tables):
+    """What the model estimates without labels is near what labels say of voters that vote often."""
+    docs, labels, _ = tables
+    terms, prior = toxicity.mine(docs, spark.createDataFrame(labels))
+    found = toxicity.hits(docs, terms).cache()
+    model = toxicity.label_model(found, terms, prior)
+    estimated = toxicity.accuracies(model)
+    own = found.where("doc_id IS NOT NULL").toPandas().drop_duplicates("doc_id").merge(labels, on="doc_id")
+    votes = np.array([[any(terms.voters[k, v] for k in hit) for v in range(len(toxicity.VOTERS))] for hit in own["hits"]])
+    often = 0
+    for v, name in enumerate(toxicity.VOTERS):
+        if votes[:, v].sum() >= 20 and not name.startswith("clean") and name not in toxicity.PATTERNS:
+            often += 1
+            assert abs(own["toxic"][votes[:, v]].mean() - estimated[v]) < 0.15, name
+    assert often >= 3 and votes[:, toxicity.VOTERS.index("words_0")].any()
+
+
+def test_patterns_stay_within_texts():
+    import pyarrow as pa
+
+    texts = ["sooo bad", "so", "oo", "a1b", "ab1", "c", "STOP", "STO", "P!?", "!", "?"]
+    assert [x.tolist() for x in toxicity.patterns(pa.array(texts))] == [[0], [3], [6], [8]]
+    assert all(not len(x) for x in toxicity.patterns(pa.array([], pa.string())))
+
+
+def test_posteriors_equal_enumeration():
+    """Of leaning voters, by the joint probability of class and votes, voter by voter."""
+    rng = np.random.default_rng(2)
+    model = toxicity.LabelModel(0.2, np.array([-1, 0, -1, 2]), rng.uniform(0.05, 0.9, (2, 2, 4)))
+    votes = np.array([[a >> k & 1 for k in range(4)] for a in range(16)])
+    for row, got in zip(votes, model.posterior(votes), strict=True):
+        joint = [0.8, 0.2]
+        for y in (0, 1):
+            for j, on in enumerate(model.leans):
+                p = model.rates[y, row[on] if on >= 0 else 0, j]
+                joint[y] *= p if row[j] else 1 - p
+        assert np.isclose(got, joint[1] / sum(joint))
+    assert np.isclose(sum(np.prod([model.rates[1, r[on] if on >= 0 else 0, j] if r[j] else 1 - model.rates[1, r[on] if on >= 0 else 0, j] for j, on in enumerate(model.leans)]) for r in votes), 1)
+
+
+def test_sizes_equal_a_plain_zstandard_loop(spark, tables):
+    import zstandard
+
+    docs, labels, _ = tables
+    model = quality.fit(docs, spark.createDataFrame(labels))
+    rows = docs.where("text IS NOT NULL").limit(150)
+    texts = [r.text for r in rows.collect()]
+    expected = []
+    for text in texts:
+        raw, total = text.encode(), 0
+        for k in range(0, len(raw), 1024):
+            sizes = [len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False).compress(raw[k : k + 1024])) for d in (model.bad, model.good)]
+            total += sizes[0] - sizes[1]
+        x = [total / len(raw), np.log(len(raw)) / 10, total / len(raw) * np.log(len(raw)) / 10] if raw else [0, 0, 0]
+        expected.append(1 / (1 + np.exp(-np.clip(np.dot(x, model.weights[:-1]) + model.weights[-1], -30, 30))))
+    got = [r.score for r in quality.score(rows, model).collect()]
+    assert np.allclose(got, expected, atol=0.02) and np.mean(np.abs(np.array(got) - expected)) < 1e-3
+
+
+def test_samples_are_bounded_by_rows_and_hold_long_texts(spark):
+    from sectorframe.llm.labelled import labelled_sample
+
+    rows = [(k, f"{k} " + "long " * 10_000) for k in range(40)] + [(1, f"other {j}") for j in range(50)] + [(50, None)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id bigint, toxic int")
+    got = labelled_sample(spark.createDataFrame(rows, "doc_id bigint, text string"), labels, "toxic", 10).toPandas()
+    assert got["y"].value_counts().le(10).all() and len(got) == len(set(got["doc_id"])) > 10
+    assert (got["text"].str.len() > 16 << 10).sum() >= len(got) - 1
+    text = bytes(range(256)) * 100
+    assert [text.find(p) >= 0 and len(p) for p in quality.spread(text)] == [1024] * 4 and quality.spread(text)[-1] == text[-1024:] and quality.spread(b"") == []
+
+
 def test_languages(spark, tables):
     docs, _, n = tables
     from pyspark.sql import functions as F
