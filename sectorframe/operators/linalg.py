@@ -10,12 +10,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import scale
 from .aggregates import normalise
-from .joins import add, contract
+from .joins import add, contract, shared_sectors, sub
 from .ranking import cut_multiplets
 
 #: Indices of the short side, at most; more raises.
@@ -51,15 +53,48 @@ def gram_of_arrays(df: DataFrame, array: str, by: Sequence[str] = ()) -> DataFra
     return partial.groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
 
 
-def _matrix(g: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """A small square matrix and its indices; raises beyond the bound before anything large is collected."""
-    rows = g.limit(SMALL_SIDE * SMALL_SIDE + 1).toPandas()
-    index = np.unique(np.concatenate([rows["i"], rows["j"]])) if len(rows) else np.zeros(0, np.int64)
-    if len(index) > SMALL_SIDE or len(rows) > SMALL_SIDE * SMALL_SIDE:
-        raise ValueError(f"short side over {SMALL_SIDE}")
+def small_gram(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The same as :func:`gram` for matrices of a short column side: a row's cells come together once, products are
+    summed within each batch, then over batches. A batch with over ``SMALL_SIDE`` columns of one group raises."""
+    keys = list(by)
+    packed = cells.groupBy(*keys, "i").agg(F.collect_list(F.struct("j", F.col("v").cast("double").alias("v"))).alias("_row")).drop("i")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_row")
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            j, v = (pc.struct_field(lists.flatten(), k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            group = pd.MultiIndex.from_arrays([batch.column(k).to_pandas() for k in keys]).factorize()[0] if keys else np.zeros(batch.num_rows, np.int64)
+            for g in range(int(group.max(initial=-1)) + 1):
+                own = group[row] == g
+                index, place = np.unique(j[own], return_inverse=True)
+                if len(index) > SMALL_SIDE:
+                    raise ValueError(f"short side over {SMALL_SIDE}")
+                rows, line = np.unique(row[own], return_inverse=True)
+                total = np.zeros((len(index), len(index)))
+                for k in range(0, len(rows), 1024):
+                    here = (line >= k) & (line < k + 1024)
+                    x = np.zeros((min(1024, len(rows) - k), len(index)))
+                    np.add.at(x, (line[here] - k, place[here]), v[own][here])
+                    total += x.T @ x
+                a, b = np.nonzero(total)
+                one = int(np.flatnonzero(group == g)[0])
+                columns = [pa.array([batch.column(c)[one].as_py()] * len(a), batch.schema.field(c).type) for c in keys]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(index[a], pa.int64()), pa.array(index[b], pa.int64()), pa.array(total[a, b])], [*keys, "i", "j", "v"])
+
+    fields = "".join(f"{k} {cells.schema[k].dataType.simpleString()}, " for k in keys)
+    partial = packed.select(*keys, "_row").mapInArrow(run, f"{fields}i bigint, j bigint, v double")
+    return partial.groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
+
+
+def _square(rows: pd.DataFrame, limit: int = SMALL_SIDE) -> tuple[np.ndarray, np.ndarray]:
+    """A group's square matrix from its cells ``i, j, v``, and its indices; raises beyond the bound."""
+    index = np.unique(rows[["i", "j"]]).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
+    if len(index) > limit:
+        raise ValueError(f"a group's matrix has over {limit} indices")
     out = np.zeros((len(index), len(index)))
     out[np.searchsorted(index, rows["i"]), np.searchsorted(index, rows["j"])] = rows["v"]
-    return out, index.astype(np.int64)
+    return out, index
 
 
 def _cells(spark, matrix: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> DataFrame:
@@ -68,94 +103,119 @@ def _cells(spark, matrix: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> Dat
     return spark.createDataFrame(table, "i bigint, j bigint, v double")
 
 
-def qr(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Orthonormal ``Q`` (rows x columns) and upper triangular ``R`` of one matrix of full column rank.
+def _sectors(cells: DataFrame, by: str | None) -> DataFrame:
+    return cells.select(F.lit(0).alias("sector") if by is None else F.col(by).alias("sector"), "i", "j", F.col("v").cast("double").alias("v"))
+
+
+def _bare(cells: DataFrame, by: str | None) -> DataFrame:
+    return cells.drop("sector") if by is None else cells.withColumnRenamed("sector", by)
+
+
+def _times(cells: DataFrame, small: DataFrame) -> DataFrame:
+    """``sector, i, j, v``: cells times small matrices of their sectors."""
+    right = small.select("sector", F.col("i").alias("_k"), "j", F.col("v").alias("_b"))
+    joined = cells.select("sector", "i", F.col("j").alias("_k"), F.col("v").alias("_a")).join(right, ["sector", "_k"])
+    return joined.groupBy("sector", "i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("v"))
+
+
+def _half_qr(rows: pd.DataFrame) -> pd.DataFrame:
+    """``R`` and its inverse of one sector, from its Gram matrix."""
+    g, index = _square(rows)
+    scale_ = np.sqrt(np.maximum(np.diag(g), 0))
+    even = g / np.outer(np.where(scale_ > 0, scale_, 1), np.where(scale_ > 0, scale_, 1))
+    rank = int((np.linalg.eigvalsh(even) > len(g) * np.finfo(float).eps * 16).sum())
+    if rank < len(g):
+        raise ValueError(f"sector {rows['sector'].iloc[0]} has rank {rank} of {len(g)} columns")
+    r = np.linalg.cholesky(even).T * scale_
+    out = []
+    for name, m in (("r", r), ("inverse", np.linalg.inv(r))):
+        i, j = np.nonzero(np.triu(m))
+        out.append(pd.DataFrame({"sector": rows["sector"].iloc[0], "what": name, "i": index[i], "j": index[j], "v": m[i, j]}))
+    return pd.concat(out)
+
+
+def qr(cells: DataFrame, by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Orthonormal ``Q`` (rows x columns) and upper triangular ``R`` of full column rank, of one matrix or of each sector.
 
     From the Cholesky factor of the Gram matrix, applied twice: the second pass mends what the
-    first loses by squaring the condition number. Runs two Gram matrices at once.
+    first loses by squaring the condition number. A sector whose columns aren't independent raises a
+    ``ValueError`` that names its rank. An empty table gives empty factors. Small factors are checkpointed.
     """
-    spark = cells.sparkSession
-    q, total, index = cells.select("i", "j", "v"), None, None
+    q, total = _sectors(cells, by), None
+    kind = q.schema["sector"].dataType.simpleString()
     for _ in range(2):
-        g, index = _matrix(gram(q))
-        r = np.linalg.cholesky(g).T
-        q = contract(q.withColumnRenamed("j", "_k"), _cells(spark, np.linalg.inv(r), index, index).withColumnRenamed("i", "_k"), ["_k"], ["i", "j"])
-        total = r if total is None else r @ total
-    return q, _cells(spark, np.triu(total), index, index)
+        both = small_gram(q, ["sector"]).groupBy("sector").applyInPandas(_half_qr, f"sector {kind}, what string, i bigint, j bigint, v double").checkpoint()
+        q = _times(q, both.where("what = 'inverse'").drop("what"))
+        r = both.where("what = 'r'").drop("what")
+        total = r if total is None else _times(r, total)
+    return _bare(q, by), _bare(total, by)
 
 
-def rq(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+def rq(cells: DataFrame, by: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Lower triangular ``R`` and ``Q`` with orthonormal rows, such that ``R Q`` is the matrix: its transpose's QR."""
-    flipped = cells.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
-    q, r = qr(flipped)
 
-    def back(x: DataFrame) -> DataFrame:
-        return x.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+    def flipped(x: DataFrame) -> DataFrame:
+        return x.select(*([by] if by else []), F.col("j").alias("i"), F.col("i").alias("j"), "v")
 
-    return back(r), back(q)
+    q, r = qr(flipped(cells), by)
+    return flipped(r), flipped(q)
 
 
 def _signed(vectors: np.ndarray) -> np.ndarray:
     """Columns with their largest component positive, so that results don't hang on the solver."""
-    top = np.abs(vectors).argmax(0)
-    return vectors * np.where(vectors[top, np.arange(vectors.shape[1])] < 0, -1, 1)
+    if not vectors.size:
+        return vectors
+    top = vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])]
+    return vectors * (np.abs(top) / np.where(top == 0, 1, top))
 
 
-def _gram_values(cells: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    g, index = _matrix(gram(cells.select("i", "j", "v")))
-    if not len(g):
-        return np.zeros(0), np.zeros((0, 0)), index
+def _right_vectors(rows: pd.DataFrame) -> pd.DataFrame:
+    """Singular values and right vectors of one sector, from its Gram matrix."""
+    g, index = _square(rows)
     values, vectors = np.linalg.eigh(g)
     values, vectors = np.sqrt(np.maximum(values[::-1], 0)), _signed(vectors[:, ::-1])
-    kept = values > GRAM_FLOOR * values.max(initial=0)
-    return values[kept], vectors[:, kept], index
+    n = int((values > GRAM_FLOOR * values.max(initial=0)).sum())
+    return pd.DataFrame({"sector": rows["sector"].iloc[0], "pos": np.repeat(np.arange(n), len(index)), "s": np.repeat(values[:n], len(index)), "j": np.tile(index, n), "v": vectors[:, :n].T.ravel()})
 
 
-def svd(cells: DataFrame, sector: int = 0, keep: Sequence[int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``U`` cells ``(i, j)``, weights ``(sector, pos, dim, v)`` descending, and ``V`` cells of one matrix.
+def _decomposed(cells: DataFrame) -> DataFrame:
+    """``sector, pos, s, j, v``: right vectors of each sector with their values."""
+    kind = cells.schema["sector"].dataType.simpleString()
+    return small_gram(cells, ["sector"]).groupBy("sector").applyInPandas(_right_vectors, f"sector {kind}, pos bigint, s double, j bigint, v double").checkpoint()
 
-    Values under ``GRAM_FLOOR`` times the largest can't be told from 0 this way and are dropped;
-    use ``qr`` first where they matter. Runs the Gram matrix at once.
-    """
-    spark = cells.sparkSession
-    values, vectors, index = _gram_values(cells)
-    if keep is not None:
-        values, vectors = values[list(keep)], vectors[:, list(keep)]
-    pos = np.arange(len(values), dtype=np.int64)
-    weights = spark.createDataFrame(pd.DataFrame({"sector": np.full(len(pos), sector, np.int32), "pos": pos, "dim": np.ones(len(pos), np.int32), "v": values}), "sector int, pos bigint, dim int, v double")
-    right = _cells(spark, vectors, index, pos)
-    scaled = _cells(spark, vectors / values, index, pos)
-    left = contract(cells.select("i", F.col("j").alias("_k"), "v"), scaled.withColumnRenamed("i", "_k"), ["_k"], ["i", "j"])
-    return left, weights, right
 
+def _weights(found: DataFrame) -> DataFrame:
+    return found.groupBy("sector", "pos").agg(F.first("s").alias("v")).select("sector", "pos", F.lit(1).alias("dim"), "v")
 
-def singular_values(cells: DataFrame, by: str = "sector") -> DataFrame:
-    """Weights of every sector: one Gram matrix for each, its values found in a task of its own."""
-    g = gram(cells, [by])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        index = np.unique(rows[["i", "j"]])
-        if len(index) > SMALL_SIDE:
-            raise ValueError(f"short side over {SMALL_SIDE}")
-        m = np.zeros((len(index), len(index)))
-        m[np.searchsorted(index, rows["i"]), np.searchsorted(index, rows["j"])] = rows["v"]
-        values = np.sqrt(np.maximum(np.linalg.eigvalsh(m)[::-1], 0))
-        values = values[values > GRAM_FLOOR * values.max(initial=0)]
-        return pd.DataFrame({"sector": rows[by].iloc[0], "pos": np.arange(len(values)), "dim": 1, "v": values})
+def _three(cells: DataFrame, found: DataFrame, by: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    right = found.select("sector", F.col("j").alias("i"), F.col("pos").alias("j"), "v")
+    left = _times(cells, found.select("sector", F.col("j").alias("i"), F.col("pos").alias("j"), (F.col("v") / F.col("s")).alias("v")))
+    return _bare(left, by), _weights(found), _bare(right, by)
 
-    return g.groupBy(by).applyInPandas(run, "sector int, pos bigint, dim int, v double")
 
+def svd(cells: DataFrame, by: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``U`` cells ``(i, j)``, weights ``(sector, pos, dim, v)`` descending, and ``V`` cells, of one matrix (sector 0) or of each sector.
 
-def truncated_svd(cells: DataFrame, target: int, by: str = "sector", atol: float = 0.0, rtol: float | None = None, ratio: float = 1.0) -> DataFrame:
-    """The largest singular values over all sectors, ties kept together. Runs at once as ``cut_multiplets`` does."""
-    return cut_multiplets(singular_values(cells, by), target, atol, rtol, ratio)
+    Values under ``GRAM_FLOOR`` times the largest can't be told from 0 this way and are dropped;
+    use ``qr`` first where they matter. The right vectors are checkpointed.
+    """
+    own = _sectors(cells, by)
+    return _three(own, _decomposed(own), by)
+
+
+def singular_values(cells: DataFrame, by: str = "sector") -> DataFrame:
+    """Weights of every sector: one Gram matrix for each, its values found in a task of its own."""
+    return _weights(_decomposed(_sectors(cells, by)))
 
 
-def truncated_vectors(cells: DataFrame, target: int, **cut) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """U, weights and V of one matrix, cut to the largest values; see :func:`svd`."""
-    _, weights, _ = svd(cells)
-    kept = sorted(r.pos for r in cut_multiplets(weights, target, **cut).select("pos").collect())
-    return svd(cells, keep=kept)
+def truncated_svd(cells: DataFrame, target: int, by: str | None = "sector", **cut) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``U``, weights and ``V`` of the largest singular values over all sectors, ties kept together (see
+    ``cut_multiplets``, which runs small jobs at once). Sectors without a kept value vanish."""
+    own = _sectors(cells, by)
+    found = _decomposed(own)
+    kept = cut_multiplets(_weights(found), target, **cut)
+    return _three(own, found.join(kept.select("sector", "pos"), ["sector", "pos"], "left_semi").checkpoint(), by)
 
 
 def large_svd(cells: DataFrame, k: int) -> np.ndarray:
@@ -169,38 +229,44 @@ def large_svd(cells: DataFrame, k: int) -> np.ndarray:
     return RowMatrix(rows, numCols=n).computeSVD(k).s.toArray()
 
 
-def values_by_group(df: DataFrame, key: str, values: Callable[[np.ndarray], np.ndarray], schema: str, limit: int = SMALL_SIDE) -> DataFrame:
-    """``key, pos, v``: what a solver of the caller's own finds for each group's square matrix ``(key, i, j, v)``,
-    by magnitude, exact zeros left out. ``schema``: the type of ``v``. A group over ``limit`` indices raises."""
+def pairs_by_group(df: DataFrame, key: str, solve: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], schema: str, limit: int = SMALL_SIDE) -> DataFrame:
+    """``key, pos, v, index, vector``: what a solver of the caller's own finds for each group's square matrix
+    ``(key, i, j, v)``, by magnitude, exact zeros left out; ``vector`` has a component for each of ``index``.
+
+    ``solve`` returns values and vectors as columns; ``schema`` is the type of a number. A group over ``limit``
+    indices raises.
+    """
+
+    def told(x: np.ndarray) -> list:
+        return [{"re": float(c.real), "im": float(c.imag)} for c in x] if schema.startswith("struct") else x.tolist()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        index = np.unique(rows[["i", "j"]])
-        if len(index) > limit:
-            raise ValueError(f"a group's matrix has over {limit} indices")
-        m = np.zeros((len(index), len(index)))
-        m[np.searchsorted(index, rows["i"]), np.searchsorted(index, rows["j"])] = rows["v"]
-        found = values(m)
-        found = found[np.argsort(-np.abs(found), kind="stable")]
-        found = found[np.abs(found) > 0]
-        out = {"key": rows["key"].iloc[0], "pos": np.arange(len(found))}
-        if np.iscomplexobj(found):
-            out["v"] = [{"re": float(x.real), "im": float(x.imag)} for x in found]
-        else:
-            out["v"] = found
+        m, index = _square(rows, limit)
+        values, vectors = solve(m)
+        order = np.argsort(-np.abs(values), kind="stable")
+        values, vectors = values[order], _signed(vectors[:, order])
+        n = int((np.abs(values) > 0).sum())
+        out = {"key": rows["key"].iloc[0], "pos": np.arange(n), "v": told(values[:n]), "index": [index.tolist()] * n, "vector": [told(vectors[:, k]) for k in range(n)]}
         return pd.DataFrame(out)
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), "i", "j", "v").groupBy("key").applyInPandas(run, f"key {kind}, pos bigint, v {schema}").withColumnRenamed("key", key)
+    found = df.select(F.col(key).alias("key"), "i", "j", "v").groupBy("key").applyInPandas(run, f"key {kind}, pos bigint, v {schema}, index array<bigint>, vector array<{schema}>")
+    return found.withColumnRenamed("key", key)
 
 
 def eigh_by_group(df: DataFrame, key: str, limit: int = SMALL_SIDE) -> DataFrame:
-    """Eigenvalues ``key, pos, v`` of one symmetric matrix ``(key, i, j, v)`` for each group, by magnitude; exact zeros are dropped."""
-    return values_by_group(df, key, np.linalg.eigvalsh, "double", limit)
+    """Eigenvalues and unit vectors ``key, pos, v, index, vector`` of one symmetric matrix ``(key, i, j, v)`` for each group, by magnitude; exact zeros are dropped."""
+    return pairs_by_group(df, key, np.linalg.eigh, "double", limit)
 
 
 def eig_by_group(df: DataFrame, key: str, limit: int = SMALL_SIDE) -> DataFrame:
-    """The same for any square matrices, with complex values ``struct<re, im>``."""
-    return values_by_group(df, key, lambda m: np.linalg.eigvals(m).astype(complex), "struct<re: double, im: double>", limit)
+    """The same for any square matrices, with complex numbers ``struct<re, im>``."""
+
+    def solve(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        values, vectors = np.linalg.eig(m)
+        return values.astype(complex), vectors.astype(complex)
+
+    return pairs_by_group(df, key, solve, "struct<re: double, im: double>", limit)
 
 
 def power_steps(matvec: Callable[[DataFrame], DataFrame], start: DataFrame, steps: int) -> tuple[DataFrame, float]:
@@ -214,40 +280,88 @@ def power_steps(matvec: Callable[[DataFrame], DataFrame], start: DataFrame, step
     return x, size
 
 
-def top_eigen(matvec: Callable[[DataFrame], DataFrame], start: DataFrame, n: int, tol: float = 1e-10, most: int = 200) -> tuple[np.ndarray, bool]:
-    """The n eigenvalues of largest magnitude of an operator on columns ``(i, k, v)``, and whether they converged.
+#: Indices of an operator that is applied to each unit vector and solved whole, at most.
+DENSE = 256
+
 
-    Subspace iteration from ``start``, n columns k = 0..n-1: each step applies the operator to all
-    columns, makes them orthonormal by their n x n Gram matrix, and finds the eigenvalues of the
-    n x n projection. Lineage is cut by a checkpoint each step.
+def top_eigen(matvec: Callable[[DataFrame], DataFrame], start: DataFrame, n: int, tol: float = 1e-10, most: int = 200, dense: int = DENSE) -> tuple[DataFrame, DataFrame]:
+    """The n eigenpairs of largest magnitude of an operator on columns ``(i, k, v)``: values ``pos, re, im`` and
+    vectors ``i, k, re, im`` of unit length (k is the value's pos). Exact zeros are dropped. Runs at once.
+
+    ``start``: columns k = 0, 1, ... on all indices i that the operator may reach. With ``dense`` indices or fewer
+    the operator is applied to all unit vectors. Otherwise a Krylov basis grows block by block, orthonormal by its
+    small Gram matrices, until the residuals of its n best pairs are under ``tol`` times the largest value;
+    a basis of over ``SMALL_SIDE`` columns, or ``most`` steps without that, raise. What reaches the driver are
+    matrices of the basis' side. An operator on nothing has no pairs.
     """
     spark = start.sparkSession
 
-    def small(a: DataFrame, b: DataFrame) -> np.ndarray:
-        got = contract(a.withColumnRenamed("k", "i2"), b.withColumnRenamed("k", "j2"), ["i"], ["i2", "j2"]).collect()
-        m = np.zeros((n, n))
-        for r in got:
+    def small(a: DataFrame, b: DataFrame, rows: int, cols: int) -> np.ndarray:
+        m = np.zeros((rows, cols))
+        for r in contract(a.withColumnRenamed("k", "i2"), b.withColumnRenamed("k", "j2"), ["i"], ["i2", "j2"]).collect():
             m[r.i2, r.j2] = r.v
         return m
 
     def turned(x: DataFrame, m: np.ndarray) -> DataFrame:
-        step = _cells(spark, m, np.arange(n), np.arange(n)).toDF("k", "_n", "v")
-        return contract(x, step, ["k"], ["i", "_n"]).withColumnRenamed("_n", "k")
-
-    def orthonormal(x: DataFrame) -> DataFrame:
-        values, vectors = np.linalg.eigh(small(x, x))
-        ok = values > values.max() * 1e-28
-        return turned(x, vectors[:, ok] @ np.diag(values[ok] ** -0.5) @ vectors[:, ok].T).checkpoint()
-
-    x, before = orthonormal(start), None
+        step = _cells(spark, m, np.arange(len(m)), np.arange(m.shape[1])).toDF("k", "_n", "v")
+        return contract(x, step, ["k"], ["i", "_n"]).withColumnRenamed("_n", "k").select("i", "k", "v")
+
+    def orthonormal(x: DataFrame, width: int, floor: float) -> tuple[DataFrame, int]:
+        values, vectors = np.linalg.eigh(small(x, x, width, width))
+        ok = values > max(values.max(initial=0) * 1e-20, floor)
+        return turned(x, vectors[:, ok] * values[ok] ** -0.5).checkpoint(), int(ok.sum())
+
+    def told(values: np.ndarray, basis: DataFrame, weights: np.ndarray) -> tuple[DataFrame, DataFrame]:
+        weights = _signed(weights)
+        table = pd.DataFrame({"pos": np.arange(len(values)), "re": values.real.astype(float), "im": values.imag.astype(float)})
+        real, imaginary = (turned(basis, np.ascontiguousarray(part)) for part in (weights.real, weights.imag))
+        parts = real.select("i", "k", F.col("v").alias("re"), F.lit(0.0).alias("im")).union(imaginary.select("i", "k", F.lit(0.0), "v"))
+        return spark.createDataFrame(table, "pos bigint, re double, im double"), parts.groupBy("i", "k").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).checkpoint()
+
+    def best(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        values, vectors = np.linalg.eigh(m) if np.allclose(m, m.T, atol=1e-12 * np.abs(m).max(initial=0)) else np.linalg.eig(m)
+        order = [k for k in np.argsort(-np.abs(values), kind="stable")[:n] if abs(values[k]) > 0]
+        return values[order], vectors[:, order]
+
+    index = [r.i for r in start.select("i").distinct().limit(dense + 1).collect()]
+    if len(index) <= dense:
+        index = np.sort(np.array(index, np.int64))
+        unit = _cells(spark, np.eye(len(index)), index, np.arange(len(index))).toDF("i", "k", "v").checkpoint()
+        values, vectors = best(small(unit, matvec(unit), len(index), len(index)))
+        return told(values, unit, vectors)
+    width = int(start.agg(F.max("k")).head()[0]) + 1
+    block, width = orthonormal(start.select("i", "k", "v"), width, 0.0)
+    basis, side, held = block, width, np.zeros((0, 0))
     for _ in range(most):
-        y = matvec(x).checkpoint()
-        values = np.linalg.eigvals(small(x, y))
-        values = values[np.argsort(-np.abs(values), kind="stable")]
-        if before is not None and np.abs(np.abs(values) - np.abs(before)).max() <= tol * np.abs(values).max():
-            return values, True
-        before, x = values, orthonormal(y)
-    return before, False
+        image = matvec(block).select("i", "k", "v").checkpoint()
+        held = np.pad(held, ((0, side - len(held)), (0, side - len(held))))
+        held[:, side - width :] = small(basis, image, side, width)
+        held[side - width :, : side - width] = small(block, images, width, side - width) if side > width else np.zeros((width, 0))
+        images = image if side == width else images.union(image.withColumn("k", F.col("k") + side - width)).checkpoint()
+        values, vectors = best(held)
+        residual = small_norms(turned(images, vectors.real), turned(basis, (vectors * values).real), turned(images, vectors.imag), turned(basis, (vectors * values).imag), len(values))
+        if len(values) == min(n, side) and residual.max(initial=0) <= tol * np.abs(values).max(initial=1e-300) and side >= n:
+            return told(values, basis, vectors)
+        rest = image
+        for _ in range(2):  # once more, as rounding leaves a share of the basis in
+            rest = sub(rest, turned(basis, small(basis, rest, side, width)), ["i", "k"]).checkpoint()
+        block, width = orthonormal(rest, width, (1e-13 * np.abs(held).max(initial=0)) ** 2)
+        if not width:  # the basis holds all that the operator makes of it
+            return told(values, basis, vectors)
+        if side + width > SMALL_SIDE:
+            raise ValueError(f"no convergence within a basis of {SMALL_SIDE}")
+        basis = basis.union(block.withColumn("k", F.col("k") + side)).checkpoint()
+        side += width
+    raise ValueError(f"no convergence within {most} steps")
+
+
+def small_norms(a: DataFrame, b: DataFrame, c: DataFrame, d: DataFrame, n: int) -> np.ndarray:
+    """Norms of the columns of ``(a - b) + i (c - d)``."""
+    out = np.zeros(n)
+    for x, y in ((a, b), (c, d)):
+        for r in sub(x, y, ["i", "k"]).groupBy("k").agg(F.sum(F.col("v") * F.col("v")).alias("v")).collect():
+            out[r.k] += r.v
+    return np.sqrt(out)
 
 
 def solve_by_group(df: DataFrame, key: Sequence[str], xs: Sequence[str], y: str, targets: DataFrame | None = None) -> DataFrame:
@@ -283,59 +397,73 @@ def _solve_udf(pairs: list[tuple[int, int]], m: int):
 
 def pinv_fit(cells: DataFrame, b: DataFrame, rtol: float = GRAM_FLOOR) -> DataFrame:
     """Coefficients ``j, v`` of the least-norm fit of ``b(i, v)``: ``V s^-1 U^T b`` over values above ``rtol`` times the largest."""
-    values, vectors, index = _gram_values(cells)
-    ok = values > rtol * values.max(initial=0)
-    inverse = vectors[:, ok] @ np.diag(values[ok] ** -2) @ vectors[:, ok].T
-    products = contract(cells.select("i", F.col("j").alias("_k"), "v"), b.select("i", "v"), ["i"], ["_k"])
-    return contract(products, _cells(cells.sparkSession, inverse, index, index).withColumnRenamed("i", "_k"), ["_k"], ["j"])
+    found = _decomposed(_sectors(cells, None))
+    kept = found.crossJoin(F.broadcast(found.agg(F.max("s").alias("_top")))).where(F.col("s") > rtol * F.col("_top"))  # one row
+    products = contract(cells.select("i", "j", "v"), b.select("i", "v"), ["i"], ["j"])
+    along = kept.join(products.select("j", F.col("v").alias("_b")), "j").groupBy("pos").agg((F.sum(F.col("v") * F.col("_b")) / F.pow(F.first("s"), 2)).alias("_c"))
+    return kept.join(along, "pos").groupBy("j").agg(F.sum(F.col("v") * F.col("_c")).alias("v"))
 
 
 def expm_apply(edges: DataFrame, x: DataFrame, tau: float, terms: int) -> DataFrame:
-    """``exp(tau M) x`` by its first terms, for ``M`` as edges ``(i, j, v)`` and ``x`` as ``(i, v)``."""
-    term, total = x.select("i", "v"), x.select("i", "v")
-    for k in range(1, terms + 1):
-        term = scale(contract(edges.select("i", "j", "v"), term.withColumnRenamed("i", "j"), ["j"], ["i"]), tau / k)
-        total = add(total, term, ["i"])
-    return total
+    """``exp(tau M) x`` for ``M`` as edges ``(i, j, v)`` and ``x`` as ``(i, v)``, by Taylor series.
 
+    ``tau`` is divided into steps in which the largest row sum of ``|tau M|`` is at most 1, each by ``terms`` terms;
+    so a step's relative error is under ``e / (terms + 1)!`` in the maximum norm. With several steps, each one's
+    result is checkpointed. Sums the rows at once.
+    """
+    rows = edges.groupBy("i").agg(F.sum(F.abs("v")).alias("v")).agg(F.max("v")).head()[0] or 0.0
+    steps = max(1, int(np.ceil(abs(tau) * rows - 1e-9)))
+    total = x.select("i", "v")
+    for _ in range(steps):
+        term = total
+        for k in range(1, terms + 1):
+            term = scale(contract(edges.select("i", "j", "v"), term.withColumnRenamed("i", "j"), ["j"], ["i"]), tau / steps / k)
+            total = add(total, term, ["i"])
+        total = total.checkpoint() if steps > 1 else total
+    return total
 
-def transitions(events: DataFrame, entity: str, state: str, order: Sequence[str | Column]) -> DataFrame:
-    """``i, j, n, v``: counts of moves from one state to the next of an entity, and their share of the row's moves."""
-    before = F.lag(state).over(Window.partitionBy(entity).orderBy(*order))
-    counts = events.select(before.alias("i"), F.col(state).alias("j")).where(F.col("i").isNotNull()).groupBy("i", "j").agg(F.count("*").alias("n"))
-    total = counts.groupBy("i").agg(F.sum("n").alias("_n"))
-    return counts.join(total, "i").select("i", "j", "n", (F.col("n") / F.col("_n")).alias("v"))
 
+def transitions(events: DataFrame, entity: str, state: str, order: Sequence[str | Column], by: Sequence[str] = ()) -> DataFrame:
+    """``i, j, n, v``: counts of moves from one state to the next of an entity, and their share of the row's moves;
+    for each group ``by``, of which an entity has one."""
+    before = F.lag(state).over(Window.partitionBy(*by, entity).orderBy(*order))
+    counts = events.select(*by, before.alias("i"), F.col(state).alias("j")).where(F.col("i").isNotNull()).groupBy(*by, "i", "j").agg(F.count("*").alias("n"))
+    total = counts.groupBy(*by, "i").agg(F.sum("n").alias("_n"))
+    return counts.join(total, [*by, "i"]).select(*by, "i", "j", "n", (F.col("n") / F.col("_n")).alias("v"))
 
-def transition_spectrum(moves: DataFrame, n: int) -> np.ndarray:
-    """The n leading eigenvalues of moves ``(i, j, v)``, over the first, by magnitude; real if imaginary parts are under 1e-6.
 
-    States are the bound: more than ``SMALL_SIDE`` raises. Collects at once.
+def transition_spectrum(moves: DataFrame, n: int) -> DataFrame:
+    """``pos, re, im``: the n leading eigenvalues of moves ``(i, j, v)``, over the first, by magnitude; imaginary
+    parts are 0 if their norm is under 1e-6. States are the bound: more than ``SMALL_SIDE`` raise. No moves, no values.
     """
-    rows = moves.select("i", "j", "v").limit(SMALL_SIDE * SMALL_SIDE + 1).toPandas()
-    states = np.unique(np.concatenate([rows["i"], rows["j"]]))
-    if len(states) > SMALL_SIDE:
-        raise ValueError(f"over {SMALL_SIDE} states")
-    m = np.zeros((len(states), len(states)))
-    m[np.searchsorted(states, rows["i"]), np.searchsorted(states, rows["j"])] = rows["v"]
-    values = np.linalg.eigvals(m)
-    values = values[np.argsort(-np.abs(values), kind="stable")][:n]
-    values = values / values[0]
-    return values.real if np.linalg.norm(values.imag) < 1e-6 else values
+    # States of any type by number: at most SMALL_SIDE can follow, so they are ordered in one task.
+    states = moves.select(F.col("i").alias("state")).union(moves.select("j")).distinct()
+    named = states.withColumn("_id", F.row_number().over(Window.orderBy("state")).cast("bigint") - 1)
+    cells = moves.join(named.toDF("i", "_i"), "i").join(named.toDF("j", "_j"), "j").select(F.lit(0).alias("_g"), F.col("_i").alias("i"), F.col("_j").alias("j"), "v")
+    found = eig_by_group(cells, "_g").where(F.col("pos") < n).select("pos", "v.re", "v.im").checkpoint()
+    first = found.where("pos = 0").select(F.col("re").alias("_re"), F.col("im").alias("_im"))
+    size = F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im")
+    re, im = (F.col("re") * F.col("_re") + F.col("im") * F.col("_im")) / size, (F.col("im") * F.col("_re") - F.col("re") * F.col("_im")) / size
+    out = found.crossJoin(F.broadcast(first)).select("pos", re.alias("re"), im.alias("im"))  # one row
+    norm = F.sqrt(F.sum(F.col("im") * F.col("im")).over(Window.partitionBy()))
+    return out.withColumn("im", F.when(norm < 1e-6, 0.0).otherwise(F.col("im")))
 
 
 def mixing_length(spectrum: DataFrame, period: float = 1.0) -> DataFrame:
-    """``-period / ln|second value|`` of spectra ``(pos, v)``."""
-    return spectrum.where("pos = 1").select((F.lit(-period) / F.ln(F.abs("v"))).alias("length"))
+    """``-period / ln|second value|`` of spectra ``(pos, re, im)``; nothing where there is no second value."""
+    return spectrum.where("pos = 1").select((F.lit(-period) / F.ln(F.hypot("re", "im"))).alias("length"))
 
 
 def two_sided_projectors(r: DataFrame, rt: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """``P`` and ``Pt``, cells of rows i by directions j, from the SVD ``U s W^T`` of ``r^T rt``.
 
     r, rt: features ``(i, j, v)`` of the same rows i. ``P = rt W s^-1/2`` and ``Pt = r U s^-1/2``,
-    so ``P^T Pt`` is the identity on the kept directions.
+    so ``P^T Pt`` is the identity on the kept directions. Where both have a column ``sector``, rows of sectors that
+    only one has are left out first.
     """
     spark = r.sparkSession
+    if "sector" in r.columns and "sector" in rt.columns:
+        r, rt = shared_sectors(r, rt)
     cross = contract(r.select("i", F.col("j").alias("a"), "v"), rt.select("i", F.col("j").alias("b"), "v"), ["i"], ["a", "b"])
     rows = cross.limit(SMALL_SIDE * SMALL_SIDE + 1).toPandas()
     left, right = np.unique(rows["a"]), np.unique(rows["b"])
@@ -344,6 +472,7 @@ def two_sided_projectors(r: DataFrame, rt: DataFrame, k: int) -> tuple[DataFrame
     m = np.zeros((len(left), len(right)))
     m[np.searchsorted(left, rows["a"]), np.searchsorted(right, rows["b"])] = rows["v"]
     u, s, w = np.linalg.svd(m, full_matrices=False)
+    u, s, w = u[:, s > 0], s[s > 0], w[s > 0]
     pos = np.arange(len(s), dtype=np.int64)
     weights = spark.createDataFrame(pd.DataFrame({"sector": 0, "pos": pos, "dim": 1, "v": s}), "sector int, pos bigint, dim int, v double")
     kept = sorted(x.pos for x in cut_multiplets(weights, k).select("pos").collect())

@@ -20,13 +20,15 @@ def cut_multiplets(weights: DataFrame, target: int, atol: float = 0.0, rtol: flo
     it go with it. A group starts only if its leader is over the cutoff, ``atol + rtol * max``
     (``rtol`` is by default the number of values times the machine's epsilon), and under the
     target so far; so the result may exceed it. Returns the kept rows. An empty table stays
-    empty.
+    empty; null values are never kept; NaN raises.
 
     Values are collapsed to distinct ones with their dimensions, and pruned to those that can
     matter (at least ``ratio`` times the ``target``-th largest), before any order over all of
     them is asked for. Runs two small jobs at once.
     """
-    top = weights.agg(F.max("v"), F.count("*")).head()
+    top = weights.agg(F.max("v"), F.count("v"), F.count_if(F.isnan(F.col("v").cast("double")))).head()
+    if top[2]:
+        raise ValueError(f"{top[2]} weights are no numbers")
     if not top[1] or target <= 0:
         return weights.limit(0)
     cutoff = atol + (top[1] * sys.float_info.epsilon if rtol is None else rtol) * top[0]
@@ -100,11 +102,19 @@ def encode_first_seen(df: DataFrame, column: str, order: Column | str) -> DataFr
     return first.withColumn("code", (F.row_number().over(Window.orderBy("first", "value")) - 1).cast("int"))
 
 
+#: Indices of one key that one task makes, at most.
+RUN = 1 << 16
+
+
 def catalog_from_hist(hist: DataFrame, leg: int = 0) -> DataFrame:
-    """``leg, idx, q``: one row for each counted index, by key. Only distinct keys are ordered in one task."""
+    """``leg, idx, q``: one row for each counted index, by key. Only distinct keys are ordered in one task; a key's
+    indices are made in runs of a bounded length, dealt to all tasks."""
     before = F.coalesce(F.sum("n").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = hist.where("n > 0").withColumn("_from", before).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n").cast("bigint") - 1)))
-    return rows.select(F.lit(leg).alias("leg"), (F.col("_from") + F.col("_k")).cast("bigint").alias("idx"), F.col("key").cast("int").alias("q"))
+    n, zero = F.col("n").cast("bigint"), F.lit(0).cast("bigint")
+    runs = hist.where("n > 0").withColumn("_from", before).withColumn("_run", F.explode(F.sequence(zero, F.floor((n - 1) / RUN).cast("bigint"))))
+    place = F.explode(F.sequence(zero, F.least(F.lit(RUN).cast("bigint"), n - F.col("_run") * RUN) - 1))
+    rows = runs.repartition("key", "_run").withColumn("_k", place)
+    return rows.select(F.lit(leg).alias("leg"), (F.col("_from") + F.col("_run") * RUN + F.col("_k")).cast("bigint").alias("idx"), F.col("key").cast("int").alias("q"))
 
 
 def hist_from_catalog(catalog: DataFrame) -> DataFrame:

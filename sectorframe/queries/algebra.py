@@ -17,6 +17,8 @@ def _scratch(t) -> str:
     """A folder that driver and executors share, for what a query saves and loads again."""
     base = t.spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not t.spark.sparkContext.master.startswith("local") or t.spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that all machines of the cluster share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="spark-")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, linalg
-from ..operators.joins import contract, scale_legs
+from ..operators.joins import contract, scale_legs, sub
 from .registry import query
 
 
@@ -22,20 +22,27 @@ def _(t):
     return linalg.gram(t.vectors(), ["sector"]).withColumn("v", F.round("v", 6) + 0.0)
 
 
-@query("l2_qr", "SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 6) + 0.0 AS v FROM vectors a JOIN vectors b ON a.i = b.i GROUP BY 1, 2", "vectors")
+@query("l2_qr", "SELECT j % 4 AS sector, i, j, round(v, 6) + 0.0 AS v FROM vectors", "vectors")
 def _(t):
-    """``R^T R``, which is the Gram matrix."""
+    """``Q R`` of each sector, which is the matrix; a sector has a quarter of the columns."""
+    q, r = linalg.qr(t.vectors().withColumn("sector", F.col("j") % 4), "sector")
+    return linalg._times(q, r).select("sector", "i", "j", (F.round("v", 6) + 0.0).alias("v"))
+
+
+@query("l2_qr_of_all", "SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 6) + 0.0 AS v FROM vectors a JOIN vectors b ON a.i = b.i GROUP BY 1, 2", "vectors")
+def _(t):
+    """``R^T R`` of the whole matrix, which is the Gram matrix."""
     _, r = linalg.qr(t.vectors())
     return linalg.gram(r).withColumn("v", F.round("v", 6) + 0.0)
 
 
-@query("l3_svd", "SELECT i, j, round(v, 6) + 0.0 AS v FROM vectors", "vectors")
+@query("l3_svd", "SELECT sector, i, j, round(v, 6) + 0.0 AS v FROM vectors", "vectors")
 def _(t):
-    """``U s V^T``, which is the matrix."""
-    u, s, v = linalg.svd(t.vectors())
-    us = scale_legs(u.withColumn("sector", F.lit(0)), s, ["j"]).select("i", F.col("j").alias("k"), "v")
-    back = contract(us, v.select(F.col("i").alias("j"), F.col("j").alias("k"), "v"), ["k"], ["i", "j"])
-    return back.withColumn("v", F.round("v", 6) + 0.0)
+    """``U s V^T`` of each sector, which is the matrix."""
+    u, s, v = linalg.svd(t.vectors(), "sector")
+    us = scale_legs(u, s, ["j"])
+    back = linalg._times(us, v.select("sector", F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    return back.select("sector", "i", "j", (F.round("v", 6) + 0.0).alias("v"))
 
 
 @query("l3_singular_energy", "SELECT sector, round(sum(v * v), 6) AS energy FROM vectors GROUP BY 1", "vectors")
@@ -43,35 +50,50 @@ def _(t):
     return linalg.singular_values(t.vectors()).groupBy("sector").agg(F.round(F.sum(F.col("v") * F.col("v")), 6).alias("energy"))
 
 
-@query("l4_truncated_svd")
+@query("l4_truncated_svd", "SELECT round(sum(v * v), 6) AS energy, CAST(40 AS BIGINT) AS kept FROM vectors", "vectors")
 def _(t):
-    return linalg.truncated_svd(t.vectors(), 40).withColumn("v", F.round("v", 6))
+    """What the cut leaves out and the energy that it keeps, which are all the energy only if the vectors are right."""
+    cells = t.vectors()
+    u, s, v = linalg.truncated_svd(cells, 40)
+    back = linalg._times(scale_legs(u, s, ["j"]), v.select("sector", F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    off = sub(cells, back).agg(F.sum(F.col("v") * F.col("v")).alias("lost"))
+    return s.agg(F.sum(F.col("v") * F.col("v")).alias("own"), F.count("*").alias("kept")).crossJoin(off).select(F.round(F.col("own") + F.col("lost"), 6).alias("energy"), "kept")
 
 
 def _covariance(t):
-    own = t.vectors()
-    n = own.groupBy("sector").agg(F.count_distinct("i").alias("n"))
-    g = linalg.gram(own.where("j < 8"), ["sector"]).join(n, "sector")
-    return g.withColumn("v", F.col("v") / F.col("n")).drop("n")
+    n = t.embeddings.groupBy("label").agg(F.count("*").alias("n"))
+    g = linalg.gram_of_arrays(t.embeddings, "embedding", ["label"]).join(n, "label")
+    return g.select(F.col("label").alias("sector"), "i", "j", (F.col("v") / F.col("n")).alias("v"))
 
 
-@query("l5_eigh_by_group", "WITH n AS (SELECT sector, count(DISTINCT i) AS n FROM vectors GROUP BY 1) SELECT sector, round(sum(v * v) / any_value(n), 6) AS trace FROM vectors JOIN n USING (sector) WHERE j < 8 GROUP BY 1", "vectors")
+@query("l5_eigh_by_group", "WITH n AS (SELECT sector, count(DISTINCT i) AS n FROM vectors GROUP BY 1) SELECT a.sector AS sector, a.j AS i, b.j AS j, round(sum(a.v * b.v) / any_value(n), 6) + 0.0 AS v FROM vectors a JOIN vectors b ON a.i = b.i JOIN n ON n.sector = a.sector GROUP BY 1, 2, 3", "vectors")
 def _(t):
-    return linalg.eigh_by_group(_covariance(t), "sector").groupBy("sector").agg(F.round(F.sum("v"), 6).alias("trace"))
+    """Values times outer products of vectors, which are the covariances."""
+    pairs = linalg.eigh_by_group(_covariance(t), "sector")
+    one = pairs.select("sector", "pos", "v", F.explode(F.arrays_zip("index", "vector")).alias("x")).select("sector", "pos", "v", F.col("x.index").alias("i"), F.col("x.vector").alias("a"))
+    other = one.select("sector", "pos", F.col("i").alias("j"), F.col("a").alias("b"))
+    return one.join(other, ["sector", "pos"]).groupBy("sector", "i", "j").agg((F.round(F.sum(F.col("v") * F.col("a") * F.col("b")), 6) + 0.0).alias("v"))
 
 
 def _moves_by_value(t):
     events = t.events.withColumn("g", (F.col("user_id") % 3).cast("int"))
-    before = linalg.transitions(events.where("g = 0"), "user_id", "event_type", ["ts", "event_id"]).withColumn("g", F.lit(0))
-    for k in (1, 2):
-        before = before.unionByName(linalg.transitions(events.where(f"g = {k}"), "user_id", "event_type", ["ts", "event_id"]).withColumn("g", F.lit(k)))
-    return before
+    return linalg.transitions(events, "user_id", "event_type", ["ts", "event_id"], ["g"])
 
 
-@query("l6_eig_by_group", "WITH m AS (SELECT g, i, j, count(*) AS n FROM (SELECT CAST(user_id % 3 AS INTEGER) AS g, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_type AS j FROM events) WHERE i IS NOT NULL GROUP BY 1, 2, 3), s AS (SELECT g, i, sum(n) AS total FROM m GROUP BY 1, 2) SELECT g, round(sum(n / total), 6) + 0.0 AS trace FROM m JOIN s USING (g, i) WHERE m.i = m.j GROUP BY 1")
+@query("l6_eig_by_group", "WITH m AS (SELECT g, i, j, count(*) AS n FROM (SELECT CAST(user_id % 3 AS INTEGER) AS g, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_type AS j FROM events) WHERE i IS NOT NULL GROUP BY 1, 2, 3), s AS (SELECT g, i, sum(n) AS total FROM m GROUP BY 1, 2), p AS (SELECT g, m.i, m.j, n / total AS v FROM m JOIN s USING (g, i)) SELECT g, round(sum(CASE WHEN i = j THEN v ELSE 0 END), 6) + 0.0 AS trace, 0.0 AS residual FROM p GROUP BY 1")
 def _(t):
-    values = linalg.eig_by_group(_moves_by_value(t), "g")
-    return values.groupBy("g").agg((F.round(F.sum("v.re"), 6) + 0.0).alias("trace"))
+    """The sum of the values, and the largest part of ``M x - l x`` over all pairs."""
+    moves = _moves_by_value(t)
+    # Event types are few; their numbers come from their own order.
+    kinds = F.array_sort(F.collect_set("i"))
+    names = moves.select("i").union(moves.select("j")).agg(kinds.alias("names"))
+    cells = moves.crossJoin(names).select("g", (F.array_position("names", F.col("i")) - 1).cast("bigint").alias("i"), (F.array_position("names", F.col("j")) - 1).cast("bigint").alias("j"), "v")
+    pairs = linalg.eig_by_group(cells, "g")
+    parts = pairs.select("g", "pos", F.col("v").alias("l"), F.explode(F.arrays_zip("index", "vector")).alias("x")).select("g", "pos", "l", F.col("x.index").alias("j"), "x.vector.re", "x.vector.im")
+    image = cells.join(parts, ["g", "j"]).select("g", "pos", "i", (F.col("v") * F.col("re")).alias("re"), (F.col("v") * F.col("im")).alias("im"))
+    own = parts.select("g", "pos", F.col("j").alias("i"), (F.col("l.im") * F.col("im") - F.col("l.re") * F.col("re")).alias("re"), (F.lit(0.0) - F.col("l.re") * F.col("im") - F.col("l.im") * F.col("re")).alias("im"))
+    off = image.union(own).groupBy("g", "pos", "i").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).groupBy("g").agg((F.round(F.max(F.hypot("re", "im")), 6) + 0.0).alias("residual"))
+    return pairs.groupBy("g").agg((F.round(F.sum("v.re"), 6) + 0.0).alias("trace")).join(off, "g")
 
 
 @query(
@@ -91,14 +113,20 @@ def _(t):
     return x.withColumn("v", F.round("v", 6))
 
 
-@query("l7_top_eigen")
+@query("l7_top_eigen", "WITH g AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM vectors a JOIN vectors b ON a.i = b.i GROUP BY 1, 2) SELECT CAST(sqrt(count(*)) AS BIGINT) AS n, round(sum(CASE WHEN i = j THEN v ELSE 0 END), 4) AS trace, round(sum(v * v), 3) AS squares, 0.0 AS residual FROM g", "vectors")
 def _(t):
-    g = linalg.gram_of_arrays(t.embeddings, "embedding")
-    start = g.select("i").distinct().withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))))
-    start = start.withColumn("v", F.pmod(F.xxhash64("i", "k"), F.lit(1000)) / 1000.0 - 0.5)
-    g = g.checkpoint()
-    values, done = linalg.top_eigen(lambda x: contract(g, x.withColumnRenamed("i", "j"), ["j"], ["i", "k"]), start, 3, tol=1e-6, most=8)
-    return t.spark.createDataFrame([(k, float(round(abs(v), 3)), bool(done)) for k, v in enumerate(values)], "pos int, v double, converged boolean")
+    """Count, sum and sum of squares of all values, and the largest part of ``M x - l x`` over all pairs."""
+    g = linalg.gram_of_arrays(t.embeddings, "embedding").checkpoint()
+
+    def product(x):
+        return contract(g, x.withColumnRenamed("i", "j"), ["j"], ["i", "k"])
+
+    start = g.select("i").distinct().select("i", F.lit(0).cast("bigint").alias("k"), F.lit(1.0).alias("v"))
+    values, vectors = linalg.top_eigen(product, start, linalg.DENSE)
+    own = vectors.join(values.select(F.col("pos").alias("k"), F.col("re").alias("l")), "k").select("i", "k", (F.col("l") * F.col("re")).alias("v"))
+    off = sub(product(vectors.select("i", "k", F.col("re").alias("v"))), own, ["i", "k"]).agg((F.round(F.max(F.abs("v")), 6) + 0.0).alias("residual"))
+    sums = values.agg(F.count("*").alias("n"), F.round(F.sum("re"), 4).alias("trace"), F.round(F.sum(F.col("re") * F.col("re")), 3).alias("squares"))
+    return sums.crossJoin(off)
 
 
 @query("l8_solve_by_group", "SELECT l_returnflag, l_linestatus, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem GROUP BY 1, 2")
@@ -107,15 +135,13 @@ def _(t):
     return out.select("l_returnflag", "l_linestatus", F.round(F.col("coef")[0], 4).alias("slope"), F.round(F.col("coef")[1], 2).alias("intercept"))
 
 
-@query("l9_pinv_fit", "SELECT DISTINCT j, 0.0 AS residual FROM vectors", "vectors")
+@query("l9_pinv_fit", "SELECT j, round(sum(v * CAST(sector AS DOUBLE)), 4) + 0.0 AS v FROM vectors GROUP BY 1", "vectors")
 def _(t):
-    """The fit's normal equations, ``M^T (M x - b)``, which are 0."""
+    """The fit's normal equations: ``M^T M x``, which is ``M^T b``."""
     cells = t.vectors().select("i", "j", "v")
     b = t.embeddings.select(F.col("vec_id").alias("i"), F.col("label").cast("double").alias("v"))
-    x = linalg.pinv_fit(cells, b)
-    fitted = contract(cells, x, ["j"], ["i"])
-    off = fitted.unionByName(b.withColumn("v", 0.0 - F.col("v"))).groupBy("i").agg(F.sum("v").alias("v"))
-    return contract(cells, off, ["i"], ["j"]).select("j", (F.round("v", 5) + 0.0).alias("residual"))
+    fitted = contract(cells, linalg.pinv_fit(cells, b), ["j"], ["i"])
+    return contract(cells, fitted, ["i"], ["j"]).select("j", (F.round("v", 4) + 0.0).alias("v"))
 
 
 @query(
@@ -135,13 +161,14 @@ def _(t):
 
 
 def _spectrum(t):
-    values = linalg.transition_spectrum(linalg.transitions(t.events, "user_id", "event_type", ["ts", "event_id"]), 5)
-    return t.spark.createDataFrame([(k, float(abs(v))) for k, v in enumerate(values)], "pos int, v double")
+    return linalg.transition_spectrum(linalg.transitions(t.events, "user_id", "event_type", ["ts", "event_id"]), linalg.SMALL_SIDE)
 
 
-@query("l11_transition_spectrum")
+@query("l11_transition_spectrum", "WITH p AS (SELECT i, j, n / sum(n) OVER (PARTITION BY i) AS v FROM moves) SELECT round(sum(CASE WHEN a.i = a.j THEN a.v ELSE 0 END), 6) + 0.0 AS trace, round(sum(a.v * b.v), 6) + 0.0 AS of_two_moves FROM p a LEFT JOIN p b ON a.i = b.j AND a.j = b.i", "moves")
 def _(t):
-    return _spectrum(t).withColumn("v", F.round("v", 6))
+    """Sums of the values (the first is 1) and of their squares, which are the traces of one move and of two."""
+    re, im = F.col("re"), F.col("im")
+    return _spectrum(t).agg((F.round(F.sum(re), 6) + 0.0).alias("trace"), (F.round(F.sum(re * re - im * im), 6) + 0.0).alias("of_two_moves"))
 
 
 @query("l12_mixing_length")
@@ -149,14 +176,15 @@ def _(t):
     return linalg.mixing_length(_spectrum(t)).withColumn("length", F.round("length", 6))
 
 
-@query("l13_two_sided_projectors", "SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS v FROM (SELECT unnest(range(0, 4)) AS i), (SELECT unnest(range(0, 4)) AS j)")
+@query("l13_two_sided_projectors", "SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 6) + 0.0 AS v FROM vectors a JOIN vectors b ON a.i = b.i WHERE a.j < 20 AND b.j >= 20 GROUP BY 1, 2", "vectors")
 def _(t):
-    """``P^T Pt`` on four kept directions, which is the identity."""
+    """With all directions kept, ``(R^T P) (Rt^T Pt)^T`` is ``R^T Rt``."""
     own = t.vectors()
-    left, right = own.where("j < 20").select("i", "j", "v"), own.where("j >= 20").select("i", "j", "v")
-    p, pt = linalg.two_sided_projectors(left, right, 4)
-    product = contract(p.withColumnRenamed("j", "a"), pt.withColumnRenamed("j", "b"), ["i"], ["a", "b"])
-    return product.select(F.col("a").alias("i"), F.col("b").alias("j"), (F.round("v", 6) + 0.0).alias("v"))
+    left, right = (own.where(c).select("i", "j", "v", "sector") for c in ("j < 20", "j >= 20"))
+    p, pt = linalg.two_sided_projectors(left, right, 20)
+    a = contract(left.select("i", "j", "v"), p.withColumnRenamed("j", "k"), ["i"], ["j", "k"])
+    b = contract(right.select("i", F.col("j").alias("j2"), "v"), pt.withColumnRenamed("j", "k"), ["i"], ["j2", "k"])
+    return contract(a, b, ["k"], ["j", "j2"]).select(F.col("j").alias("i"), F.col("j2").alias("j"), (F.round("v", 6) + 0.0).alias("v"))
 
 
 @query("l3_gram_norm", "SELECT sector, round(sqrt(sum(v * v)), 6) AS norm FROM (SELECT a.sector, a.j AS p, b.j AS q, sum(a.v * b.v) AS v FROM vectors a JOIN vectors b ON a.i = b.i GROUP BY 1, 2, 3) GROUP BY 1", "vectors")

@@ -59,8 +59,8 @@ class Tables:
 
     def vectors(self) -> DataFrame:
         """Embeddings as cells, with the label as sector."""
-        cells = cells_from_arrays(self.embeddings, "vec_id", "embedding")
-        return cells.join(self.embeddings.select(F.col("vec_id").alias("i"), F.col("label").alias("sector")), "i")
+        cells = cells_from_arrays(self.embeddings, "vec_id", "embedding", keep=["label"])
+        return cells.withColumnRenamed("label", "sector")
 
     def customer_weights(self) -> DataFrame:
         """Weights: a customer's quantity, by nation, each counted for region + 1."""

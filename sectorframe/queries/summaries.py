@@ -85,9 +85,9 @@ def _(t):
     return aggregates.tensor_stats(t.blocks())
 
 
-@query("d13_distinct_hists", "WITH h AS (SELECT l_suppkey AS g, l_linenumber AS key, count(*) AS n FROM lineitem WHERE l_quantity <= 5 GROUP BY 1, 2) SELECT DISTINCT total_dim, hist FROM (SELECT g, CAST(sum(n * key) AS BIGINT) AS total_dim, string_agg(n || '*' || key, ' + ' ORDER BY key) AS hist FROM h GROUP BY 1)")
+@query("d13_distinct_hists", "WITH h AS (SELECT l_suppkey AS g, l_linenumber AS key, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT DISTINCT total_dim, hist FROM (SELECT g, CAST(sum(n * key) AS BIGINT) AS total_dim, string_agg(n || '*' || key, ' + ' ORDER BY key) AS hist FROM h GROUP BY 1)")
 def _(t):
-    hists = t.lineitem.where("l_quantity <= 5").groupBy(F.col("l_suppkey").alias("g"), F.col("l_linenumber").alias("key")).agg(F.count("*").alias("n"))
+    hists = t.lineitem.groupBy(F.col("l_suppkey").alias("g"), F.col("l_linenumber").alias("key")).agg(F.count("*").alias("n"))
     return aggregates.distinct_hists(hists, "g")
 
 

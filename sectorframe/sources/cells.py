@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cells_from_arrays(df: DataFrame, row: str, array: str, zeros: bool = False) -> DataFrame:
-    """``i, j, v``: one cell for each element of an array column; zeros are left out unless asked for.
+def cells_from_arrays(df: DataFrame, row: str, array: str, zeros: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """``i, j, v`` and the columns ``keep``: one cell for each element of an array column; zeros are left out unless asked for.
 
     A null element raises when it is met: absent cells mean 0, nulls mean nothing.
     """
-    cells = df.select(F.col(row).cast("bigint").alias("i"), F.posexplode(array).alias("j", "v"))
-    cells = cells.select("i", F.col("j").cast("bigint").alias("j"), F.col("v").cast("double").alias("v"))
+    cells = df.select(F.col(row).cast("bigint").alias("i"), *keep, F.posexplode(array).alias("j", "v"))
+    cells = cells.select("i", F.col("j").cast("bigint").alias("j"), F.col("v").cast("double").alias("v"), *keep)
     cells = cells.withColumn("v", F.coalesce("v", F.raise_error(F.lit("null element")).cast("double")))
     return cells if zeros else cells.where("v <> 0")
 
@@ -28,12 +28,15 @@ def cells_from_facts(df: DataFrame, legs: Mapping[str, Column | str], measure: C
     return df.groupBy(*[c.cast("bigint").alias(k) for k, c in names.items()]).agg(how(value).cast("double").alias("v"))
 
 
-def random_cells(rows: DataFrame, cols: DataFrame, seed: int = 0) -> DataFrame:
+def random_cells(rows: DataFrame, cols: DataFrame, seed: int = 0, parts: int = 64) -> DataFrame:
     """``i, j, sector, v``: a value from [-0.5, 0.5) at each allowed pair of ``(idx, sector)`` rows.
 
-    Values are hashes of the indices, so they don't depend on how rows are dealt to tasks.
+    Values are hashes of the indices, so they don't depend on how rows are dealt to tasks. Sectors are few, so each
+    one's rows are dealt to ``parts`` parts, and its columns go to all of them.
     """
-    pairs = rows.select(F.col("idx").alias("i"), "sector").join(cols.select(F.col("idx").alias("j"), "sector"), "sector")
+    left = rows.select(F.col("idx").alias("i"), "sector").withColumn("_p", F.pmod(F.xxhash64("i"), F.lit(parts)))
+    right = cols.select(F.col("idx").alias("j"), "sector", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("_p"))
+    pairs = left.join(right, ["sector", "_p"])
     v = F.pmod(F.xxhash64("i", "j", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53)) - 0.5
     return pairs.select("i", "j", "sector", v.alias("v"))
 

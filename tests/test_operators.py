@@ -107,11 +107,37 @@ def test_factors(spark, matrix):
     values = np.array([x.v for x in s.orderBy("pos").collect()])
     assert np.allclose(values, np.linalg.svd(matrix, compute_uv=False))
     assert np.allclose(to_array(u, (12, 5)) * values @ to_array(v, (5, 5)).T, matrix)
-    u, s, v = linalg.truncated_vectors(cells, 2)
+    u, s, v = linalg.truncated_svd(cells, 2, None)
     assert s.count() == 2 and to_array(u, (12, 2)).shape == (12, 2)
+    with pytest.raises(Exception, match="rank 2 of 3"):
+        linalg.qr(to_cells(spark, matrix[:, [0, 1, 1]]))
+    empty = cells.limit(0)
+    assert linalg.qr(empty)[0].isEmpty() and linalg.svd(empty)[1].isEmpty() and linalg.pinv_fit(empty, empty.select("i", "v")).isEmpty()
     assert np.allclose(linalg.large_svd(cells, 3), values[:3])
 
 
+def test_factors_by_sector(spark):
+    """Three sectors of other shapes, each against dense arrays; the cut takes the largest values of all."""
+    rng = np.random.default_rng(12)
+    parts = {1: rng.normal(size=(9, 4)), 2: rng.normal(size=(5, 3)), 7: rng.normal(size=(6, 1))}
+    cells = None
+    for k, m in parts.items():
+        own = to_cells(spark, m).withColumn("sector", F.lit(k))
+        cells = own if cells is None else cells.unionByName(own)
+    q, r = linalg.qr(cells, "sector")
+    u, s, v = linalg.svd(cells, "sector")
+    for k, m in parts.items():
+        n, width = m.shape
+        own = [to_array(x.where(F.col("sector") == k), shape) for x, shape in ((q, m.shape), (r, (width, width)), (u, m.shape), (v, (width, width)))]
+        values = np.array([x.v for x in s.where(F.col("sector") == k).orderBy("pos").collect()])
+        assert np.allclose(own[0] @ own[1], m) and np.allclose(own[0].T @ own[0], np.eye(width)) and np.allclose(own[1], np.triu(own[1]))
+        assert np.allclose(values, np.linalg.svd(m, compute_uv=False)) and np.allclose(own[2] * values @ own[3].T, m)
+    _, kept, right = linalg.truncated_svd(cells, 3)
+    every = np.sort(np.concatenate([np.linalg.svd(m, compute_uv=False) for m in parts.values()]))[::-1]
+    assert np.allclose(sorted((x.v for x in kept.collect()), reverse=True), every[:3])
+    assert right.select("sector", "j").distinct().count() == 3
+
+
 def test_solvers(spark, matrix):
     b = np.random.default_rng(2).normal(size=12)
     target = spark.createDataFrame([(k, float(x)) for k, x in enumerate(b)], "i bigint, v double")
@@ -140,8 +166,49 @@ def test_spectra(spark):
     spread = np.diag([9.0, -4.0, 2.0, 1.0, 0.5, 0.1])
     base = to_cells(spark, spread)
     start = spark.createDataFrame([(i, k, float(rng.normal())) for i in range(6) for k in range(2)], "i bigint, k bigint, v double")
-    found, done = linalg.top_eigen(lambda x: joins.contract(base, x.withColumnRenamed("i", "j"), ["j"], ["i", "k"]), start, 2, tol=1e-9, most=60)
-    assert done and np.allclose(found, [9, -4])
+    pairs = linalg.eigh_by_group(cells, "g").collect()
+    assert all(np.allclose(m @ np.array(r.vector), r.v * np.array(r.vector)) for r in pairs)
+    for dense in (linalg.DENSE, 0):
+        found, vectors = linalg.top_eigen(_product(base), start, 2, dense=dense)
+        assert np.allclose([r.re for r in found.orderBy("pos").collect()], [9, -4])
+        assert {(r.k, r.i): round(abs(r.re), 6) for r in vectors.collect() if abs(r.re) > 1e-6} == {(0, 0): 1, (1, 1): 1}
+
+
+def _product(base):
+    return lambda x: joins.contract(base, x.withColumnRenamed("i", "j"), ["j"], ["i", "k"])
+
+
+def test_eigenpairs_of_an_operator(spark):
+    """Of a sparse matrix without symmetry, by a Krylov basis; sectors that it lacks give nothing."""
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(30, 30)) / 8 + np.diag(np.r_[6, -5, 4.5, np.zeros(27)])
+    m[20:] = m[:, 20:] = 0
+    start = spark.createDataFrame([(i, k, float(rng.normal())) for i in range(30) for k in range(3)], "i bigint, k bigint, v double")
+    values, vectors = linalg.top_eigen(_product(to_cells(spark, m)), start, 3, dense=0)
+    expected = np.linalg.eigvals(m)
+    expected = expected[np.argsort(-np.abs(expected))][:3]
+    assert np.allclose([complex(r.re, r.im) for r in values.orderBy("pos").collect()], expected, atol=1e-9)
+    x = np.zeros((30, 3), complex)
+    for r in vectors.collect():
+        x[r.i, r.k] = complex(r.re, r.im)
+    assert np.allclose(m @ x, x * expected, atol=1e-8)
+    with pytest.raises(ValueError, match="no convergence"):
+        linalg.top_eigen(_product(to_cells(spark, m)), start, 3, dense=0, most=1)
+    none = to_cells(spark, m).limit(0)
+    assert all(linalg.top_eigen(_product(none), x, 3)[0].isEmpty() for x in (start, start.limit(0)))
+
+
+def test_no_moves_and_large_steps(spark):
+    none = spark.createDataFrame([], "i string, j string, v double")
+    spectrum = linalg.transition_spectrum(none, 3)
+    assert spectrum.isEmpty() and linalg.mixing_length(spectrum).isEmpty()
+    edges = spark.createDataFrame([(0, 0, -30.0), (0, 1, 1.0), (1, 1, -2.0)], "i bigint, j bigint, v double")
+    x = spark.createDataFrame([(0, 1.0), (1, 1.0)], "i bigint, v double")
+    got = {r.i: r.v for r in linalg.expm_apply(edges, x, 1.0, 14).collect()}
+    assert np.isclose(got[1], np.exp(-2)) and np.isclose(got[0], np.exp(-30) + (np.exp(-2) - np.exp(-30)) / 28)
+    weights = weights_table(spark, [(0, 0, 1, 2.0), (0, 1, 1, float("nan"))])
+    with pytest.raises(ValueError, match="no numbers"):
+        ranking.cut_multiplets(weights, 2)
 
 
 def test_projectors_and_diffusion(spark):
