@@ -129,7 +129,8 @@ def _shares(logs: Column) -> Column:
 
 
 def host_priors(rows: DataFrame, k: int) -> DataFrame:
-    """``host, prior array<double>`` from ``host`` and ``seen`` (a row's shares by its text alone)."""
+    """``host, prior, by_domain, by_suffix``, arrays of doubles, from ``host`` and ``seen`` (a row's shares by its
+    text alone): the smoothed shares of the host, of its domain and of its address suffix. Null is a host too."""
     sums = [F.sum(F.col("seen")[j]).alias(f"s{j}") for j in range(k)]
     again = [F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]
     hosts = stored(rows.groupBy("host").agg(*sums), "hosts")
@@ -146,12 +147,13 @@ def host_priors(rows: DataFrame, k: int) -> DataFrame:
 
     suffix = smoothed(levels.groupBy("suffix").agg(*again), F.array(*[F.lit(x) for x in world]), "by_suffix").select("suffix", "by_suffix")
     domain = levels.groupBy("suffix", "domain").agg(*again).join(suffix, "suffix")
-    domain = smoothed(domain, F.col("by_suffix"), "by_domain").select("suffix", "domain", "by_domain")
-    return smoothed(levels.join(domain, ["suffix", "domain"]), F.col("by_domain"), "prior").select("host", "prior")
+    domain = smoothed(domain, F.col("by_suffix"), "by_domain").select("suffix", "domain", "by_domain", "by_suffix")
+    return smoothed(levels.join(domain, ["suffix", "domain"]), F.col("by_domain"), "prior").select("host", "prior", "by_domain", "by_suffix")
 
 
-def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], host: Column, declared: Column | None = None, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The columns ``keep`` with ``language``, ``probability`` and ``known`` of each row.
+def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], host: Column, declared: Column | None = None, text: str = "text", least: float = 0.5, evidence: bool = False) -> DataFrame:
+    """The columns ``keep`` with ``language``, ``probability`` and ``known`` of each row, and, if asked for, what each
+    kind of ``evidence`` alone says: ``by_text, by_markup, by_suffix, by_domain, by_host`` (null where there is none).
 
     ``host`` and ``declared`` give a row's address host and the language its markup declares,
     null where it has none: then the host's prior is that of all such rows, and markup says
@@ -172,7 +174,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
     priors = host_priors(told.where(~F.col("blank")).select(F.col("_host").alias("host"), "seen"), k)
     known = F.when(F.col("_declared").isin(languages), F.col("_declared")).when(F.col("_declared").isNotNull(), UNKNOWN) if languages else F.lit(None).cast("string")
     told = told.withColumn("declared", known)
-    logs = F.col("logs")
+    logs, terms = F.col("logs"), F.lit(None).cast("array<double>")
     if declared is not None:
         # One row for a declared language: at most the model's languages and one more.
         sums = told.where(F.col("declared").isNotNull() & ~F.col("blank")).groupBy("declared").agg(*[F.sum(F.col("seen")[j]).alias(f"s{j}") for j in range(k)]).collect()
@@ -183,6 +185,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
             own = counts.get(name, [0.0] * k)
             terms = F.when(F.col("declared") == name, F.array(*[F.lit(float(np.log((own[j] + 1.0) / (totals[j] + k)))) for j in range(k)])).otherwise(terms)
         logs = F.zip_with(logs, terms, lambda a, b: a + b)
+    told = told.withColumns({"by_markup": F.when(F.col("declared").isNotNull(), terms)})
     joined = told.join(priors.withColumnRenamed("host", "_h"), F.col("_host").eqNullSafe(F.col("_h")), "left")
     prior = F.coalesce("prior", F.array(*[F.lit(float(np.exp(x))) for x in start]))
     shares = _shares(F.zip_with(logs, prior, lambda a, p: a + F.ln(F.greatest(p, F.lit(FLOOR / 10)))))
@@ -190,7 +193,9 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
     best = F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position("shares", F.col("probability")).cast("int"))
     out = out.withColumn("language", F.when(F.col("blank"), UNKNOWN).otherwise(best)).withColumn("probability", F.when(F.col("blank"), 1.0).otherwise(F.col("probability")))
     is_known = (F.col("language") != UNKNOWN) & (F.col("probability") >= least)
-    return out.select(*[F.col(a).alias(c) for c, a in zip(keep, kept, strict=True)], "language", "probability", is_known.alias("known"))
+    each = {"by_text": F.when(~F.col("blank"), F.col("seen")), "by_markup": F.col("by_markup"), "by_suffix": F.col("by_suffix"), "by_domain": F.col("by_domain"), "by_host": F.col("prior")}
+    top = [F.when(x.isNotNull(), F.element_at(F.array(*[F.lit(n) for n in names]), F.array_position(x, F.array_max(x)).cast("int"))).alias(c) for c, x in each.items()]
+    return out.select(*[F.col(a).alias(c) for c, a in zip(keep, kept, strict=True)], "language", "probability", is_known.alias("known"), *(top if evidence else []))
 
 
 def address_host(url: Column) -> Column:

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import guarded, stored
 
 #: Documents of a block, on average; they are dealt by a hash.
 BLOCK = 64
@@ -127,7 +127,12 @@ def mixed_sizes(docs: DataFrame, **how) -> DataFrame:
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixed rows: each row of ``docs`` (``doc_id, source, text`` and any others) as often as it has copies."""
+    """The mixed rows: each row of ``docs`` (``doc_id, source, text`` and any others, whatever their names) as often
+    as it has copies. Rows of one id, source and size share their copies as evenly as they go, by a hash of the text."""
+    return guarded(docs, lambda d: _mixed(d, **how))
+
+
+def _mixed(docs: DataFrame, **how) -> DataFrame:
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
     keys = {"_d": F.coalesce("doc_id", F.lit(0)), "_dn": F.col("doc_id").isNull(), "_s": F.coalesce("source", F.lit("")), "_sn": F.col("source").isNull()}
     rows = docs.withColumns(keys | {"_w": words})

@@ -86,13 +86,29 @@ def op10_fused_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same operator with all its evidence: markup, address suffix, domain and host of pages."""
+    """The same operator with all its evidence: markup, address suffix, domain and host of pages, and what each says."""
     from pyspark.sql import functions as F
 
     from .language import address_host, identify, markup_language, train, visible_text
 
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("body", visible_text(F.col("html")))
-    return identify(pages, train(documents(spark, sf_dir)), ["page_id"], address_host(F.col("url")), markup_language(F.col("html")), "body")
+    return identify(pages, train(documents(spark, sf_dir)), ["page_id"], address_host(F.col("url")), markup_language(F.col("html")), "body", evidence=True)
+
+
+def language_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smoothed shares of languages by host, from what the markup of its pages declares; 200 languages at most."""
+    from pyspark.sql import functions as F
+
+    from .language import LANGUAGES, address_host, base_language, host_priors, markup_language
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(address_host(F.col("url")).alias("host"), base_language(markup_language(F.col("html"))).alias("language"))
+    names = sorted(r.language for r in pages.where("language IS NOT NULL").select("language").distinct().limit(LANGUAGES + 1).collect())
+    if len(names) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    seen = F.array(*[(F.col("language") == x).cast("double") for x in names], F.lit(0.0))
+    found = host_priors(pages.where("language IS NOT NULL").withColumn("seen", seen), len(names) + 1)
+    shares = F.explode(F.map_from_arrays(F.array(*[F.lit(x) for x in names], F.lit("und")), F.arrays_zip("prior", "by_domain", "by_suffix"))).alias("language", "x")
+    return found.select("host", shares).select("host", "language", *[F.round(F.col(f"x.{c}"), 9).alias(c) for c in ("prior", "by_domain", "by_suffix")])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -107,9 +123,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_impact_top_k": op9_impact_top_k,
     "op10_fused_language": op10_fused_language,
     "language_of_pages": language_of_pages,
+    "language_priors": language_priors,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "language_priors": r"""
+WITH p AS (
+  SELECT nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+    nullif(lower(regexp_extract(regexp_extract(html, '(?i)<html\b[^>]*?\blang\s*=\s*["'']?([a-zA-Z-]+)', 1), '^\s*([^-_\s]+)', 1)), '') AS language FROM pages),
+l AS (SELECT DISTINCT language FROM p WHERE language IS NOT NULL UNION ALL SELECT 'und'),
+h AS (SELECT host, coalesce(string_split(host, '.'), ['']) AS parts, count(*) AS n FROM p WHERE language IS NOT NULL GROUP BY host),
+k AS (SELECT host, array_to_string(parts[greatest(len(parts) - 1, 1):], '.') AS domain, parts[len(parts)] AS suffix, n FROM h),
+c AS (SELECT k.host, domain, suffix, l.language, count(p.language) AS n FROM k CROSS JOIN l LEFT JOIN p ON p.host IS NOT DISTINCT FROM k.host AND p.language = l.language GROUP BY ALL),
+w AS (SELECT language, (sum(n) + 20 * CASE WHEN language = 'und' THEN 0.005::DOUBLE ELSE 0.995::DOUBLE / greatest(1, (SELECT count(*) - 1 FROM l)) END) / ((SELECT sum(n) FROM c) + 20) AS share FROM c GROUP BY language),
+s AS (SELECT suffix, language, (sum(n) + 20 * any_value(share)) / (sum(sum(n)) OVER (PARTITION BY suffix) + 20) AS share FROM c JOIN w USING (language) GROUP BY suffix, language),
+d AS (SELECT suffix, domain, language, (sum(n) + 20 * any_value(share)) / (sum(sum(n)) OVER (PARTITION BY suffix, domain) + 20) AS share FROM c JOIN s USING (suffix, language) GROUP BY suffix, domain, language)
+SELECT host, language, round((n + 20 * d.share) / (sum(n) OVER (PARTITION BY host) + 20), 9) AS prior, round(d.share, 9) AS by_domain, round(s.share, 9) AS by_suffix
+FROM c JOIN d USING (suffix, domain, language) JOIN s USING (suffix, language)
+""",
     "op9_impact_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM embeddings

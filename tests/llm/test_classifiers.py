@@ -188,6 +188,37 @@ def test_evidence_beyond_the_text(spark, tables):
     assert {r.url: r.language for r in got.collect()} == {"https://other.a.example.de/": "de", "http://b.example.org": "en"}
 
 
+def test_priors_equal_sql_and_evidence_is_told(spark):
+    import duckdb
+
+    from sectorframe.llm.queries import ORACLE_SQL, QUERIES
+
+    sf_dir = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    duck.sql(f"create view pages as select * from '{sf_dir}/pages.parquet'")
+    expected = duck.sql(ORACLE_SQL["language_priors"]).df()
+    got = QUERIES["language_priors"](spark, sf_dir).toPandas()
+    assert len(got) and sorted(got.columns) == sorted(expected.columns)
+    keys = ["host", "language"]
+    both = got.merge(expected, on=keys, suffixes=("", "_sql"))
+    assert len(both) == len(got) == len(expected)
+    assert all(np.allclose(both[c], both[f"{c}_sql"], atol=2e-9) for c in ("prior", "by_domain", "by_suffix"))
+    told = QUERIES["language_of_pages"](spark, sf_dir).toPandas()
+    assert {"by_text", "by_markup", "by_suffix", "by_domain", "by_host"} <= set(told.columns) and told["by_host"].notna().any()
+
+
+def test_held_out_languages(spark, tables):
+    """Learned from the rows whose id isn't held out, and measured on those that are."""
+    from pyspark.sql import functions as F
+
+    from sectorframe.llm.common import held_out
+
+    docs, _, _ = tables
+    model = language.train(docs.where(~held_out()))
+    got = language.identify(docs.where(held_out() & F.col("lang").isNotNull()), model, ["doc_id", "lang"], F.col("source")).toPandas()
+    assert len(got) > 100 and (got["lang"] == got["language"]).mean() > 0.99
+
+
 @pytest.mark.parametrize("size", [3, 1 << 18])
 def test_trigrams_stay_within_texts(monkeypatch, size):
     import pyarrow as pa
