@@ -1,7 +1,7 @@
 """Toxicity of whole texts by weak supervision.
 
-Named voters vote on a document: lexicons of words, each mined from its own slice of the labelled
-texts; lexicons of beginnings of words; patterns of characters that no label has a part in (letters
+Named voters vote on a document: lexicons of words, one for each slice of the labelled texts, which
+has the words that are most frequent among its toxic ones; lexicons of beginnings of words; patterns of characters that no label has a part in (letters
 repeated, digits among letters, shouting, runs of marks); and lexicons of what marks clean texts. A
 generative model explains the votes of all documents, labelled or not: for each class, each voter's
 rate of voting, where a voter may lean on another with which it is correlated beyond the class. It is
@@ -130,8 +130,8 @@ def mine(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tupl
         elif r["size"]:
             voters[k, VOTERS.index(f"beginnings_{r['size']}")] = True
         else:
-            for s in range(SLICES):
-                voters[k, s] = r[f"pos{s}"] >= 2 and r[f"pos{s}"] * n.get((0, s), 0) > 8 * r[f"neg{s}"] * n.get((1, s), 0)
+            # Each word has one lexicon, so that a single word isn't several votes.
+            voters[k, max(range(SLICES), key=lambda s: r[f"pos{s}"] / max(1, n.get((1, s), 0)))] = True
     for k, name in enumerate(PATTERNS):
         voters[len(best) + k, VOTERS.index(name)] = True
     return Terms(np.array([r.term for r, _ in best], np.int64).view(np.uint64), voters), rate
@@ -205,10 +205,13 @@ def fit_label_model(votes: np.ndarray, n: np.ndarray, prior: float, clean: np.nd
     return model
 
 
-def accuracies(model: LabelModel) -> np.ndarray:
-    """Each voter's estimated chance that a document it votes on is of its class, leaning voters' as if none had voted."""
-    ones = model.rates[:, 0] * np.array([[1 - model.prior], [model.prior]])
-    return np.where(CLEAN[: ones.shape[1]], ones[0], ones[1]) / ones.sum(0)
+def accuracies(model: LabelModel, votes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Each voter's estimated chance that a document it votes on is of its class, over counted patterns of votes
+    (NaN for one that never votes)."""
+    toxic = model.posterior(votes)
+    of_class = np.where(CLEAN, (1 - toxic)[:, None], toxic[:, None])
+    voted = (n[:, None] * votes).sum(0)
+    return (n[:, None] * votes * of_class).sum(0) / np.where(voted, voted, np.nan)
 
 
 def hits(docs: DataFrame, terms: Terms) -> DataFrame:

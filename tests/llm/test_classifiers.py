@@ -74,9 +74,9 @@ def test_voters_accuracies_against_the_labels(spark, tables):
     terms, prior = toxicity.mine(docs, spark.createDataFrame(labels))
     found = toxicity.hits(docs, terms).cache()
     model = toxicity.label_model(found, terms, prior)
-    estimated = toxicity.accuracies(model)
     own = found.where("doc_id IS NOT NULL").toPandas().drop_duplicates("doc_id").merge(labels, on="doc_id")
     votes = np.array([[any(terms.voters[k, v] for k in hit) for v in range(len(toxicity.VOTERS))] for hit in own["hits"]])
+    estimated = toxicity.accuracies(model, votes.astype(int), np.ones(len(votes)))
     often = 0
     for v, name in enumerate(toxicity.VOTERS):
         if votes[:, v].sum() >= 20 and not name.startswith("clean") and name not in toxicity.PATTERNS:
