@@ -24,6 +24,8 @@ ROWS, QUERIES = 8192, 512
 LEVELS = (0.4, 0.2, 0.1, 0.05, 0.0)
 #: The search stops when at most this share of a block's rows may be members.
 FEW = 0.2
+#: Scores under this are exact as doubles.
+EXACT = 2.0**53
 
 
 class Index:
@@ -94,7 +96,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, rows: int = ROWS,
 
     Both: ``vec_id bigint`` and ``vector array<bigint>``; callers leave out rows that take no
     part. A query's candidates are all rows of its length with another id than its own. Repeated
-    ids are ranked as rows of their own, by score. An empty side gives an empty table.
+    ids are ranked as rows of their own, by score. An empty side gives an empty table. Components
+    so large that a score could reach 2^53 raise.
 
     Blocks of queries meet blocks of rows in one task each, and only k results leave it for a
     query, so no task or shuffle grows with a hot vector. The work is that of the stated
@@ -114,6 +117,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, rows: int = ROWS,
         ids, values = table["vec_id"].to_numpy(), _matrix(table["vector"])
         if asks.all() or not asks.any():
             return
+        if float(np.abs(values[asks]).max(initial=0.0)) * float(np.abs(values[~asks]).max(initial=0.0)) * values.shape[1] >= EXACT:
+            raise ValueError("components so large that a score could reach 2^53, from where it wouldn't be exact")
         index = Index(ids[~asks], values[~asks])
         found = [(q, *index.search(v, q, k)) for q, v in zip(ids[asks].tolist(), values[asks], strict=True)]
         yield pa.RecordBatch.from_pydict(

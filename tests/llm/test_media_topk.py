@@ -91,3 +91,11 @@ def test_vectors_of_several_lengths(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, vector array<bigint>")
     got = sorted(map(tuple, topk.top_k(df, df.where("vec_id % 50 = 0")).collect()))
     assert got == [(0, 1, 1, 11), (0, 2, 3, -3), (50, 1, 2, 35), (100, 1, 101, 0)]
+
+
+def test_scores_that_would_not_be_exact_raise(spark):
+    df = spark.createDataFrame([(0, [1 << 30, 1]), (1, [1 << 30, 2])], "vec_id bigint, vector array<bigint>")
+    with pytest.raises(Exception, match="wouldn't be exact"):
+        topk.top_k(df, df.where("vec_id = 0")).collect()
+    small = spark.createDataFrame([(0, [1 << 25, 1]), (1, [1 << 26, 2])], "vec_id bigint, vector array<bigint>")
+    assert [tuple(r) for r in topk.top_k(small, small.where("vec_id = 0")).collect()] == [(0, 1, 1, (1 << 51) + 2)]
