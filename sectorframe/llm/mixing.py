@@ -23,6 +23,8 @@ from .common import guarded, stored
 #: Documents of a block, on average; they are dealt by a hash.
 BLOCK = 64
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of one id, source and size that one array numbers, at most.
+RUN = 1 << 12
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
@@ -119,9 +121,20 @@ def _own(total: Column, m: Column, k: Column) -> Column:
     return F.floor(total / m) + F.when(k <= total % m, 1).otherwise(0)
 
 
+def _numbered(items: DataFrame) -> DataFrame:
+    """Each item as often as its ``m`` says, numbered by ``k`` from 1. Items of very many rows, such as those without
+    id and text, are dealt to all tasks in runs of a bounded length."""
+    one = F.lit(1).cast("bigint")
+    few = items.where(F.col("m") <= RUN).withColumn("k", F.explode(F.sequence(one, F.col("m"))))
+    run = F.explode(F.sequence(one, F.col("m"), F.lit(RUN).cast("bigint")))
+    runs = items.where(F.col("m") > RUN).withColumn("run", run).repartition("doc_id", "source", "size", "run")
+    many = runs.withColumn("k", F.explode(F.sequence(F.col("run"), F.least(F.col("run") + RUN - 1, F.col("m"))))).drop("run")
+    return few.unionByName(many)
+
+
 def mixed_sizes(docs: DataFrame, **how) -> DataFrame:
     """``doc_id, size, source_size, target, taken, copies`` of every row; see :func:`copies`."""
-    rows = copies(docs, **how).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
+    rows = _numbered(stored(copies(docs, **how), "copies"))
     own = _own(F.col("total"), F.col("m"), F.col("k"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * own).cast("bigint").alias("taken"), own.cast("bigint").alias("copies"))
 

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sectorframe.llm import mixing
 
@@ -96,3 +97,11 @@ def test_tree_of_any_depth(spark, n):
     for r in got:
         by[r.target] += r.taken
     assert all(abs(v - k) <= 5 for k, v in by.items())
+
+
+def test_many_rows_without_id_and_text(spark):
+    n = 3 * mixing.RUN + 5
+    rows = spark.range(n).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit("a").alias("source"))
+    named = spark.createDataFrame([(k, "one two three", "a") for k in range(7)], "doc_id bigint, text string, source string")
+    got = mixing.mixed_sizes(rows.union(named)).groupBy("doc_id", "size").agg(F.count("*").alias("n"), F.sum("taken").alias("taken")).collect()
+    assert sorted((r.doc_id is None, r["size"], r.n, r.taken) for r in got) == [(False, 3, 1, 3)] * 7 + [(True, 0, n, 0)]
