@@ -111,6 +111,27 @@ def language_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("host", shares).select("host", "language", *[F.round(F.col(f"x.{c}"), 9).alias(c) for c in ("prior", "by_domain", "by_suffix")])
 
 
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op3: sizes and digests of the payloads as read back from the stored media."""
+    return op3_wav_peaks(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op5: sizes and targets, and whether each source's words come near its target."""
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, sf_dir).select("doc_id", "source")
+    rows = op5_pivotal_mix(spark, sf_dir).join(docs, "doc_id")
+    sums = [F.count("*").alias("n"), F.sum("size").alias("size"), F.max("source_size").alias("source_size"), F.round(F.max("target"), 6).alias("target")]
+    near = F.abs(F.sum("taken") - F.max("target")) <= F.max("size") / 2 + 0.001
+    return rows.groupBy("source").agg(*sums, near.alias("near"), (F.max(F.col("taken") - 3 * F.col("size")) <= 0).alias("under_3"))
+
+
+def licence_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op8: the base phrases' places and labels."""
+    return op8_automaton_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weak_toxicity": op1_weak_toxicity,
     "op2_zstd_quality": op2_zstd_quality,
@@ -124,6 +145,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fused_language": op10_fused_language,
     "language_of_pages": language_of_pages,
     "language_priors": language_priors,
+    "media_payloads": media_payloads,
+    "mix_targets": mix_targets,
+    "licence_bases": licence_bases,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -140,6 +164,51 @@ s AS (SELECT suffix, language, (sum(n) + 20 * any_value(share)) / (sum(sum(n)) O
 d AS (SELECT suffix, domain, language, (sum(n) + 20 * any_value(share)) / (sum(sum(n)) OVER (PARTITION BY suffix, domain) + 20) AS share FROM c JOIN s USING (suffix, language) GROUP BY suffix, domain, language)
 SELECT host, language, round((n + 20 * d.share) / (sum(n) OVER (PARTITION BY host) + 20), 9) AS prior, round(d.share, 9) AS by_domain, round(s.share, 9) AS by_suffix
 FROM c JOIN d USING (suffix, domain, language) JOIN s USING (suffix, language)
+""",
+    "op4_chosen_path": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_sort(list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) END AS grams FROM w),
+c AS MATERIALIZED (SELECT row_number() OVER () AS c, grams, len(grams) AS n FROM (SELECT DISTINCT grams FROM s WHERE len(grams) > 0)),
+g AS MATERIALIZED (SELECT c, n, unnest(grams) AS gram FROM c),
+p AS MATERIALIZED (
+  SELECT a.c AS a, b.c AS b FROM g a JOIN g b ON a.gram = b.gram AND a.c < b.c AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(a, b) AS (SELECT c, c FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT c.c, min(s.doc_id) AS least FROM s JOIN c USING (grams) GROUP BY c.c),
+k AS (SELECT r.a AS c, min(m.least) AS component_id FROM r JOIN m ON m.c = r.b GROUP BY r.a)
+SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, coalesce(k.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(k.component_id, s.doc_id) AS kept
+FROM s LEFT JOIN c USING (grams) LEFT JOIN k USING (c)
+""",
+    "media_payloads": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+p AS (SELECT doc_id, t, octet_length(t) AS n, greatest(1, CAST(ceil(octet_length(t) / 64) AS BIGINT)) * 64 AS padded FROM d)
+SELECT doc_id, n AS n_bytes, padded AS payload_bytes, sha256(t || repeat('\\x00'::BLOB, padded - n)) AS payload_sha256 FROM p
+""",
+    "mix_targets": r"""
+WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, count(*) AS n, sum(size) AS size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+w AS (SELECT *, 3.0::DOUBLE * size AS cap, CASE (place - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
+-- Whatever sources are taken to stop at their caps, the others' words for a unit of weight are at most the true ones.
+l AS (
+  SELECT a.place, (sum(b.size) - coalesce(sum(b.cap) FILTER (b.cap / b.weight < a.cap / a.weight), 0)) / sum(b.weight) FILTER (b.cap / b.weight >= a.cap / a.weight) AS level
+  FROM w a CROSS JOIN w b GROUP BY a.place)
+SELECT source, n, CAST(size AS BIGINT) AS size, CAST(size AS BIGINT) AS source_size, round(least(cap, weight * (SELECT max(level) FROM l)), 6) AS target, true AS near, true AS under_3 FROM w
+""",
+    "licence_bases": r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+p AS (
+  SELECT doc_id, len(ws) AS n_words,
+    list_filter(range(1, len(ws)), lambda i: ws[i] = 'mit' AND ws[i + 1] = 'license') AS mit,
+    list_filter(range(1, len(ws)), lambda i: ws[i] = 'apache' AND ws[i + 1] = 'license') AS apache,
+    list_filter(range(1, len(ws) - 1), lambda i: ws[i] = 'general' AND ws[i + 1] = 'public' AND ws[i + 2] = 'license') AS gpl FROM w),
+a AS (SELECT *, list_concat(list_concat(mit, apache), gpl) AS places FROM p)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word,
+  array_to_string(list_concat(list_concat(CASE WHEN len(apache) > 0 THEN ['apache'] ELSE [] END, CASE WHEN len(gpl) > 0 THEN ['gpl'] ELSE [] END), CASE WHEN len(mit) > 0 THEN ['mit'] ELSE [] END), ',') AS base_labels
+FROM a
 """,
     "op9_impact_top_k": """
 WITH v AS (
