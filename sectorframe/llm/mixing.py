@@ -25,6 +25,8 @@ BLOCK = 64
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one id, source and size that one array numbers, at most.
 RUN = 1 << 12
+#: An item with more than this share of all rows is ranked in parts; fewer items than this can be so large.
+HOT = 1000
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
@@ -78,6 +80,10 @@ def _round(items: DataFrame) -> DataFrame:
     return out.select("source_key", "place", "met.rest", "met.settled")
 
 
+def _words(size: Column | None) -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint") if size is None else size
+
+
 def copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, seed: int = 7, block: int = BLOCK, size: Column | None = None) -> DataFrame:
     """``doc_id, source, size, source_size, target, m, total`` for each distinct ``doc_id, source, size``:
     its ``m`` rows get ``total`` copies together.
@@ -86,8 +92,7 @@ def copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float =
     ``size`` count as one item of many copies. Texts without words are due copies like others
     and settle at once, as they hold no words. Equal input gives equal output.
     """
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint") if size is None else size
-    items = stored(docs.select("doc_id", "source", words.alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("m")), "sizes")
+    items = stored(docs.select("doc_id", "source", _words(size).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("m")), "sizes")
     sources = items.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("size") * F.col("m")).alias("source_size"))
     aims = stored(targets(sources, weights, most), "targets").withColumn("source_key", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()))
     joined = items.withColumn("source_key", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull())).join(aims.drop("source"), "source_key")
@@ -141,16 +146,37 @@ def mixed_sizes(docs: DataFrame, **how) -> DataFrame:
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed rows: each row of ``docs`` (``doc_id, source, text`` and any others, whatever their names) as often
-    as it has copies. Rows of one id, source and size share their copies as evenly as they go, by a hash of the text."""
+    as it has copies. Rows of one id, source and size share their copies as evenly as they go: by a hash of the text,
+    or, where one item holds more than a thousandth of all rows, by their order in the input's files."""
     return guarded(docs, lambda d: _mixed(d, **how))
 
 
 def _mixed(docs: DataFrame, **how) -> DataFrame:
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+    words = _words(how.get("size"))
     keys = {"_d": F.coalesce("doc_id", F.lit(0)), "_dn": F.col("doc_id").isNull(), "_s": F.coalesce("source", F.lit("")), "_sn": F.col("source").isNull()}
     rows = docs.withColumns(keys | {"_w": words})
     names = [*keys, "_w"]
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64("text"))))
-    found = copies(docs, **how).withColumns(keys).select(*keys, F.col("size").alias("_w"), F.col("m").alias("_m"), F.col("total").alias("_total"))
-    joined = rows.join(found, names).withColumn("_n", _own(F.col("_total"), F.col("_m"), F.col("_k")).cast("int"))
-    return joined.where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    found = stored(copies(docs, **how).withColumns(keys).select(*keys, F.col("size").alias("_w"), F.col("m").alias("_m"), F.col("total").alias("_total")), "copies")
+    n, largest = found.agg(F.coalesce(F.sum("_m"), F.lit(0)), F.coalesce(F.max("_m"), F.lit(0))).head()
+    many = max(RUN, n // HOT)
+    hot = F.broadcast(found.where(F.col("_m") > many))  # fewer than HOT rows, as each stands for more than n / HOT
+    usual = rows.join(hot.select(*names), names, "left_anti") if largest > many else rows
+    ranked = usual.withColumn("_k", F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64("text"))))
+    placed = ranked.join(found, names)
+    if largest > many:
+        placed = placed.unionByName(_ranked_by_file(rows.join(hot, names), names))
+    copied = placed.withColumn("_n", _own(F.col("_total"), F.col("_m"), F.col("_k")).cast("int")).where("_n > 0")
+    return copied.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+
+
+def _ranked_by_file(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``rows`` with ``_k``, their number within an item from 1. They are numbered as they are written, so that no
+    task ranks more than one part of a hot item; the parts' counts give where each begins."""
+    part = F.shiftright("_row", 33)  # the upper bits tell the task that wrote the row
+    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "hot").withColumn("_part", part)
+    counts = rows.groupBy(*names, "_part").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    within = F.row_number().over(Window.partitionBy(*names, "_part").orderBy("_row"))
+    ranked = rows.withColumn("_k", within).join(begins, [*names, "_part"])
+    return ranked.withColumn("_k", F.col("_before") + F.col("_k")).drop("_row", "_part", "_before")

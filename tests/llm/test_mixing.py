@@ -105,3 +105,22 @@ def test_many_rows_without_id_and_text(spark):
     named = spark.createDataFrame([(k, "one two three", "a") for k in range(7)], "doc_id bigint, text string, source string")
     got = mixing.mixed_sizes(rows.union(named)).groupBy("doc_id", "size").agg(F.count("*").alias("n"), F.sum("taken").alias("taken")).collect()
     assert sorted((r.doc_id is None, r["size"], r.n, r.taken) for r in got) == [(False, 3, 1, 3)] * 7 + [(True, 0, n, 0)]
+
+
+def test_rows_of_a_hot_item_are_ranked_in_parts(spark, monkeypatch):
+    """Without id, with equal and with different texts: each row has its even share, and all further columns."""
+    monkeypatch.setattr(mixing, "RUN", 50)
+    n = 900
+    text = F.when(F.col("id") % 3 == 0, F.lit("same words")).otherwise(F.concat(F.lit("word "), F.col("id").cast("string")))
+    hot = spark.range(n, numPartitions=5).select(F.lit(None).cast("bigint").alias("doc_id"), text.alias("text"), F.lit(None).cast("string").alias("source"), F.col("id").alias("_k"), F.create_map(F.lit("a"), "id").alias("_row"))
+    few = spark.range(120).select("id", F.lit("one two three").alias("text"), F.lit("a").alias("source"), (F.col("id") + n).alias("_k"), F.create_map(F.lit("b"), "id").alias("_row"))
+    docs = hot.union(few.withColumnRenamed("id", "doc_id"))
+    parts = docs.groupBy("doc_id", "source").count().agg(F.max("count")).head()[0]
+    assert parts > max(mixing.RUN, docs.count() // mixing.HOT)
+    got = mixing.mix(docs).collect()
+    times = Counter(r["_k"] for r in got)
+    total = mixing.copies(docs).where("doc_id IS NULL").head().total
+    assert sum(times[k] for k in range(n)) == total and {times[k] for k in range(n)} <= {total // n, total // n + 1}
+    assert all(r["_row"] == ({"a": r["_k"]} if r["_k"] < n else {"b": r["_k"] - n}) for r in got)
+    sizes = mixing.mixed_sizes(docs).groupBy("doc_id").agg(F.sum("copies").alias("c")).collect()
+    assert {r.doc_id: r.c for r in sizes if r.c} == dict(Counter(r.doc_id for r in got))
