@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -66,6 +68,32 @@ def clear(spark: SparkSession) -> None:
     spark.conf.unset("sectorframe.scratch")
 
 
+def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``rows`` with ``begin``, ``rank`` (from 0) and ``total``: each row's place in its group by an order that ends in
+    a column without ties, and the group's size. ``begin`` is the number of rows in groups before, so it tells groups apart.
+
+    Rows are dealt by range and sorted as they are written, so that no task orders more than a range, however large a
+    group is; what is summed in one task is one count for each of the write's tasks. Null values come first.
+    """
+    keys = [*by, *order]
+    sorted_ = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    own = stored(sorted_, "numbered").withColumn("_part", F.shiftright("_at", 33))  # the upper bits tell the task that wrote the row
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = own.groupBy("_part").agg(F.count("*").alias("_rows")).select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    if not by:
+        total = own.agg(F.count("*").alias("total"))
+        return own.join(parts, "_part").crossJoin(F.broadcast(total)).select(*rows.columns, F.lit(0).cast("bigint").alias("begin"), place.alias("rank"), "total")  # one row
+    names = {f"_k{k}": F.col(c) for k, c in enumerate(by)}
+    pieces = own.groupBy("_part", *[c.alias(k) for k, c in names.items()]).agg(F.count("*").alias("_rows"), F.min("_at").alias("_at")).join(parts, "_part")
+    groups = pieces.groupBy(*names).agg(F.min(place).alias("begin"), F.sum("_rows").alias("total"))
+    # A part's rows meet their group by part, so that a group of any size is no single key.
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"g.{k}")) for k in names]
+    told = pieces.alias("p").join(groups.alias("g"), reduce(and_, same)).select(F.col("_part").alias("_p"), *[F.col(f"p.{k}").alias(k) for k in names], "_before", "begin", "total")
+    here = [F.col("_part") == F.col("_p"), *[c.eqNullSafe(F.col(k)) for k, c in names.items()]]
+    return own.join(told, reduce(and_, here)).select(*rows.columns, "begin", (place - F.col("begin")).alias("rank"), "total")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
