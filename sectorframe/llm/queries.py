@@ -85,6 +85,35 @@ def op10_fused_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("known", "kept")
 
 
+def op11_incremental_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest, without_line_ends
+
+    return manifest(documents(spark, sf_dir), without_line_ends())
+
+
+def op12_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shards_by_bytes
+
+    return shards_by_bytes(documents(spark, sf_dir), shards=40)
+
+
+def op13_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened
+
+    return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=32)
+
+
+def whitening_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op13: each row's deviation and number of components, that they are uncorrelated with unit
+    variance, and that their shares fall."""
+    from pyspark.sql import functions as F
+
+    rows = op13_qdwh_whitening(spark, sf_dir)
+    parts = F.sort_array(F.collect_list(F.struct("component", "explained")))
+    own = rows.groupBy("vec_id").agg(F.max("n").alias("n"), F.max("deviation").alias("deviation"), F.count("*").alias("components"), (F.max("identity_error") <= 0.0001).alias("white"), parts.alias("parts"))
+    return own.withColumn("falling", F.aggregate(F.sequence(F.lit(1), F.size("parts") - 1), F.lit(True), lambda x, k: x & (F.element_at("parts", k)["explained"] >= F.element_at("parts", k + 1)["explained"]))).drop("parts")
+
+
 def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same operator with all its evidence: markup, address suffix, domain and host of pages, and what each says."""
     from pyspark.sql import functions as F
@@ -143,6 +172,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_automaton_scan": op8_automaton_scan,
     "op9_impact_top_k": op9_impact_top_k,
     "op10_fused_language": op10_fused_language,
+    "op11_incremental_witness": op11_incremental_witness,
+    "op12_sampled_splitters": op12_sampled_splitters,
+    "op13_qdwh_whitening": op13_qdwh_whitening,
+    "whitening_deviations": whitening_deviations,
     "language_of_pages": language_of_pages,
     "language_priors": language_priors,
     "media_payloads": media_payloads,
@@ -220,5 +253,64 @@ s AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+""",
+    "op11_incremental_witness": r"""
+WITH RECURSIVE d AS (
+  SELECT *, list_reduce(range(0, 8 * strlen(CAST(doc_id AS VARCHAR))), lambda c, k: CASE WHEN k % 8 > 0 THEN CASE c & 1 WHEN 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END
+    WHEN xor(c, ascii(CAST(doc_id AS VARCHAR)[k // 8 + 1])) & 1 = 1 THEN xor(xor(c, ascii(CAST(doc_id AS VARCHAR)[k // 8 + 1])) >> 1, 3988292384) ELSE xor(c, ascii(CAST(doc_id AS VARCHAR)[k // 8 + 1])) >> 1 END, 4294967295) AS crc FROM documents),
+b AS (SELECT *, CASE WHEN crc & 1 = 1 THEN replace(text, chr(10), '') ELSE text END AS changed FROM d),
+p AS (
+  SELECT doc_id, source, changed, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head, text FROM b),
+l AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) AS other FROM p),
+r AS MATERIALIZED (SELECT *, row_number() OVER () AS row, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM l),
+-- Levels of the sources' trees, then of the tree of their roots.
+u(tree, level, idx, h, n) AS (
+  SELECT tree, CAST(0 AS BIGINT), rank, leaf, count(*) OVER (PARTITION BY tree) FROM r
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 2) // 3 FROM u WHERE n > 1 GROUP BY tree, level, idx // 3),
+t(level, idx, h, n) AS (
+  SELECT CAST(0 AS BIGINT), tree, h, count(*) OVER () FROM u WHERE n = 1
+  UNION ALL
+  SELECT level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 2) // 3 FROM t WHERE n > 1 GROUP BY level, idx // 3),
+a AS MATERIALIZED (SELECT tree, level, idx, h FROM u WHERE n > 1 UNION ALL SELECT -1, level, idx, h FROM t WHERE n > 1),
+g AS (
+  SELECT row, a.tree, level, CASE WHEN a.tree < 0 THEN r.tree ELSE rank END // CAST(pow(3, level) AS BIGINT) AS own
+  FROM r JOIN (SELECT DISTINCT tree, level FROM a) a ON a.tree = r.tree OR a.tree = -1),
+w AS (SELECT row, sha256(coalesce(string_agg(a.h, '' ORDER BY g.tree < 0, g.level, a.idx), '')) AS proof FROM r LEFT JOIN g USING (row) LEFT JOIN a ON a.tree = g.tree AND a.level = g.level AND a.idx // 3 = g.own // 3 AND a.idx <> g.own GROUP BY row),
+f(row, tree, level, idx, h) AS (
+  SELECT row, tree, CAST(0 AS BIGINT), rank, other FROM r
+  UNION ALL
+  SELECT row, any_value(f.tree), any_value(f.level) + 1, any_value(f.idx) // 3, sha256(string_agg(CASE WHEN a.idx = f.idx THEN f.h ELSE a.h END, '' ORDER BY a.idx))
+  FROM f JOIN a ON a.tree = f.tree AND a.level = f.level AND a.idx // 3 = f.idx // 3 GROUP BY row),
+s(row, level, idx, h) AS (
+  SELECT row, CAST(0 AS BIGINT), tree, arg_max(h, level) FROM f GROUP BY row, tree
+  UNION ALL
+  SELECT row, any_value(s.level) + 1, any_value(s.idx) // 3, sha256(string_agg(CASE WHEN a.idx = s.idx THEN s.h ELSE a.h END, '' ORDER BY a.idx))
+  FROM s JOIN a ON a.tree = -1 AND a.level = s.level AND a.idx // 3 = s.idx // 3 GROUP BY row),
+e AS (SELECT row, arg_max(h, level) AS folded_root FROM s GROUP BY row)
+SELECT doc_id, leaf, o.h AS subroot, t.h AS root, proof AS proof_sha256, folded_root, folded_root = t.h AS verified
+FROM r JOIN u o ON o.tree = r.tree AND o.n = 1 JOIN t ON t.n = 1 JOIN w USING (row) JOIN e USING (row)
+""",
+    "op12_sampled_splitters": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 16 AS size, substr(md5(coalesce(text, '')), 1, 15) AS key FROM documents),
+x AS (SELECT list_transform(range(0, 256), lambda b: list_reduce(range(0, 9), lambda c, k: CASE c & 1 WHEN 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b * 2)) AS xs),
+c AS (SELECT d.*, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda b: CAST('0x' || b AS BIGINT)), lambda c, b: xor(c >> 8, xs[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM d, x),
+o AS (SELECT *, row_number() OVER (ORDER BY size DESC, key, doc_id NULLS FIRST) - 1 AS place, sum(size) OVER (ORDER BY size DESC, key, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS above, sum(size) OVER () AS total FROM c),
+-- Rows larger than an even share of what they and smaller ones hold.
+h AS (SELECT coalesce(min(place) FILTER (place >= 39 OR size * (40 - place) <= total - above), count(*)) AS own FROM o),
+l AS (SELECT o.*, 40 - own AS k, sum(size) OVER () AS bytes, sum(size) OVER (ORDER BY key, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS begins FROM o, h WHERE place >= own),
+g AS (SELECT *, sum(size) OVER (PARTITION BY key) AS of_key, min(begins) OVER (PARTITION BY key) AS key_begins FROM l),
+s AS (
+  SELECT doc_id, size, text_crc32, key, least(CASE WHEN of_key * 64 * k <= bytes THEN (2 * key_begins + of_key) * k // (2 * bytes) ELSE (2 * begins + size) * k // (2 * bytes) END, k - 1) AS shard FROM g
+  UNION ALL SELECT doc_id, size, text_crc32, key, 39 - place FROM o, h WHERE place < own)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY key, doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+""",
+    "whitening_deviations": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * c::DOUBLE) AS BIGINT) + 1000000) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+e AS (SELECT vec_id, unnest(x) AS x, generate_subscripts(x, 1) AS j FROM v),
+s AS (SELECT j, sum(x) AS s, count(*) AS n FROM e GROUP BY j)
+SELECT vec_id, n, CAST(sum((n * x - s) * (n * x - s)) AS BIGINT) AS deviation, CAST(least(count(*), 32) AS BIGINT) AS components, true AS white, true AS falling FROM e JOIN s USING (j) GROUP BY vec_id, n
 """,
 }
