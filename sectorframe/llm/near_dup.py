@@ -5,7 +5,8 @@ on as one. In each of several independent trees a class follows a path: a node p
 the minwise tokens at random (a root two), and the class goes to the child that belongs to its
 own tokens there. Nodes of a bounded number of classes are compared exhaustively, by signature.
 In a larger node all are compared with a few pivots, those very like one leave (their link to it
-stays), and the rest branches on, until all nodes are small.
+stays), and the rest branches on, until all nodes are small: by as many paths as keep a link at the
+threshold, or, where most of the node is alike so that this would be very many, by one.
 
 What signatures suggest is confirmed on the full sets, so that a group of many near copies needs
 no row for each of its pairs. A node tells the heaviest spanning forest of its pairs; full sets
@@ -13,7 +14,9 @@ confirm each class's best link, then those that still join different components.
 known, nodes that hold several and have pairs beyond their forest are compared once more, and every
 pair between two components is tried on full sets, singly or, where there are many, set by set in
 blocks. What left with a pivot is compared like that with all that is near the pivot and not joined
-to it. So each pair of like signatures that stood in a node is joined by confirmed links, or refuted.
+to it. Of a large node that went on by one path, what isn't in its largest component is compared with
+all of that component, and with each other. So each pair of like signatures that stood in a small node,
+or in one that went on by one path, is joined by confirmed links, or refuted.
 """
 
 from __future__ import annotations
@@ -35,9 +38,15 @@ TOKENS = 96
 TREES = 16
 #: Classes of a node that are compared exhaustively, at most; pivots of a larger node.
 SMALL, PIVOTS = 2048, 16
-#: Equal tokens: of a link at similarity 0.8 there are fewer than LOW (not seen) once in 15,000; a pair with ALIKE
+#: Equal tokens: of a link at similarity 0.8 there are fewer than LOW (not seen) once in 45,000; a pair with ALIKE
 #: is a link all but surely, and what is linked to it has NEAR with its pivot, but for one in thousands.
-LOW, ALIKE, NEAR = 63, 92, 56
+LOW, ALIKE, NEAR = 60, 92, 56
+#: A large node whose pivots have more than this share of equal tokens goes on by one path.
+ONE_PATH = 0.8
+#: Links of one class whose sets meet pair by pair, at most; beyond, its set is sent once for many of them.
+HUB = 64
+#: Classes of a block of a component that meets others, at most.
+MANY = 4096
 #: Pairs for each class of a node that are told singly, at most; beyond, its sets come together.
 SINGLY = 2
 #: Shingles of a block of sets, about, and sets of a shingle that is counted pair by pair, at most.
@@ -237,7 +246,9 @@ def _branched(rows: pa.Table, pivots: pa.Table) -> pa.Table:
     """A part of a large node: each class's pivots with their equal tokens, and the children it goes on to.
 
     The node picks as many tokens at once as should bring its children to half of SMALL, by the pivots' own
-    likeness. Where most of the node is unlike, that loses links, so a class goes on several paths.
+    likeness. A link at the threshold keeps together on one path with ``0.8 ** deep``, so a class goes on twice as
+    many paths as make up for that (seven links of eight stay); where most of the node is alike, on one, and the
+    node's number is told, so that it is looked at again.
     """
     node, size = np.uint64(rows["node"][0].as_py() % (1 << 64)), rows["size"][0].as_py()
     k1, n, tokens = rows["k1"].to_numpy(), rows["n"].to_numpy(), _tokens(rows["tokens"].combine_chunks())
@@ -248,7 +259,7 @@ def _branched(rows: pa.Table, pivots: pa.Table) -> pa.Table:
     among = [(p_tokens[i] == p_tokens[j]).mean() for i in range(len(p)) for j in range(i)]
     likeness = min(0.99, max(0.05, float(np.mean(among)) if among else 0.5))
     deep = int(np.clip(np.ceil(np.log(2 * size / rows["small"][0].as_py()) / -np.log(likeness)), 1, TOKENS))
-    paths = 1 if likeness > 0.7 else min(8, int(np.ceil(0.8**-deep)))
+    paths = 1 if likeness > ONE_PATH else int(np.ceil(2 * 0.8**-deep))
     stays = (equal.max(1) < ALIKE) & ~np.isin(k1, p)
     at = np.flatnonzero(stays)
     seeds = mix(np.array([node ^ np.uint64(0xABCD + k) for k in range(paths)], np.uint64))
@@ -266,6 +277,7 @@ def _branched(rows: pa.Table, pivots: pa.Table) -> pa.Table:
             "pivots": pa.ListArray.from_arrays(pa.array(lists[0], pa.int32()), pa.array(p[which], pa.int64())),
             "alike": pa.ListArray.from_arrays(pa.array(lists[0], pa.int32()), pa.array(np.where(ratio, 1, -1) * equal[where, which], pa.int32())),
             "nodes": pa.ListArray.from_arrays(pa.array(lists[1], pa.int32()), pa.array(nodes.ravel(), pa.int64())),
+            "wide": pa.array(np.full(len(k1), node).view(np.int64), mask=np.full(len(k1), paths > 1)),
         }
     )
 
@@ -285,7 +297,7 @@ def _one_level(large: DataFrame, small: int) -> DataFrame:
     pivots = large.groupBy("node", bucket.alias("bucket")).agg(F.min_by(own, F.xxhash64("k1", F.lit(1))).alias("pivot"), F.first("size").alias("size"))
     pivots = pivots.select("node", "pivot.*", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"))
     dealt = large.withColumns({"part": F.pmod(F.xxhash64("k1", F.lit(2)), parts), "small": F.lit(small)})
-    schema = "k1 bigint, n bigint, tokens binary, pivots array<bigint>, alike array<int>, nodes array<bigint>"
+    schema = "k1 bigint, n bigint, tokens binary, pivots array<bigint>, alike array<int>, nodes array<bigint>, wide bigint"
     return stored(dealt.groupBy("node", "part").cogroup(pivots.groupBy("node", "part")).applyInArrow(_branched, schema), "branched")
 
 
@@ -293,13 +305,14 @@ class Suggested(NamedTuple):
     links: DataFrame  # distinct a, b, alike
     open: DataFrame  # node, k1: classes of trees of which nodes have further pairs
     near: DataFrame | None  # distinct k1, p, alike: classes near pivots
+    wide: DataFrame | None = None  # node, k1: large nodes that went on by one path
 
 
 def suggested(classes: DataFrame, small: int = SMALL) -> Suggested:
     """What nodes of all trees tell of classes ``k1, n, tokens``."""
     first = _counted(classes.select("k1", "tokens").mapInArrow(_roots, "node bigint, k1 bigint"))
     at = stored(first.join(classes.select("k1", "n", "tokens"), "k1").select("node", "k1", "n", "tokens", "size"), "paths")
-    levels, near, done = [], [], [at]
+    levels, near, wide, done = [], [], [], [at]
     while True:
         levels.append(at.where(F.col("size") <= small).drop("size"))
         large = at.where(F.col("size") > small)
@@ -308,17 +321,18 @@ def suggested(classes: DataFrame, small: int = SMALL) -> Suggested:
         branched = _one_level(large, small)
         pairs = F.explode(F.arrays_zip("pivots", "alike")).alias("x")
         near.append(branched.select("k1", pairs).select("k1", F.col("x.pivots").alias("p"), F.col("x.alike").alias("alike")))
+        wide.append(branched.where("wide IS NOT NULL").select(F.col("wide").alias("node"), "k1"))
         at = stored(_counted(branched.select(F.explode("nodes").alias("node"), "k1", "n", "tokens")), "paths")
         done += [branched, at]
     told = stored(_union(levels).repartition("node").sortWithinPartitions("node").mapInArrow(_compared, _TOLD), "compared")
-    links, around = told.where("b IS NOT NULL").select("a", "b", "alike"), None
+    links, around, below = told.where("b IS NOT NULL").select("a", "b", "alike"), None, None
     if near:
-        around = stored(_union(near).distinct(), "near")
+        around, below = stored(_union(near).distinct(), "near"), stored(_union(wide), "wide")
         best = around.where(F.col("alike") >= LOW).groupBy("k1").agg(F.max_by("p", F.struct("alike", "p")).alias("p"), F.max("alike").alias("alike"))
         links = links.union(best.select(F.least("k1", "p"), F.greatest("k1", "p"), "alike"))
     links = stored(links.groupBy("a", "b").agg(F.first("alike").alias("alike")), "suggested")
     dropped(*done)
-    return Suggested(links, told.where("b IS NULL").select("node", F.col("a").alias("k1")), around)
+    return Suggested(links, told.where("b IS NULL").select("node", F.col("a").alias("k1")), around, below)
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -328,16 +342,26 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _is_link(a: pa.Scalar, b: pa.Scalar) -> bool:
+    x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+    both = len(x) + len(y) - len(np.union1d(x, y))
+    return 100 * both >= 80 * (len(x) + len(y) - both)
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for a, b in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            keep.append(100 * both >= 80 * (len(x) + len(y) - both))
+        keep = [_is_link(a, b) for a, b in zip(batch.column("set_a"), batch.column("set_b"), strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _of_hub(hub: pa.Table, others: pa.Table) -> pa.Table:
+    """Links of a hub, whose set is in the only row of the one side, with a block of others."""
+    keep = [_is_link(hub["set"][0], x) for x in others["set"]] if len(hub) else []
+    kept = others.select(["hub", "k1"]).filter(pa.array(keep, pa.bool_()))
+    a, b = kept["hub"].to_numpy(), kept["k1"].to_numpy()
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+
 def _full_sets(ends: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """``k1, set`` of the classes ``k1`` asked for; one text of each is found and read again."""
     spark = docs.sparkSession
@@ -364,10 +388,28 @@ def _full_sets(ends: DataFrame, docs: DataFrame, classes: DataFrame, width: int)
 
 
 def confirmed(links: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """The links ``a, b`` whose full sets meet the threshold."""
-    found = _full_sets(links.select(F.col("a").alias("k1")).union(links.select("b")).distinct(), docs, classes, width)
-    pairs = links.select("a", "b").join(found.toDF("a", "set_a"), "a").join(found.toDF("b", "set_b"), "b")
-    out = stored(pairs.mapInArrow(_confirmed, "a bigint, b bigint"), "confirmed")
+    """The links ``a, b`` whose full sets meet the threshold.
+
+    A class of over HUB links is a hub. Its set isn't joined to each of them: it goes once to each block of others,
+    of about BLOCK shingles.
+    """
+    ends = links.select(F.col("a").alias("k1")).union(links.select("b"))
+    found = _full_sets(ends.distinct(), docs, classes, width)
+    hubs = stored(ends.groupBy("k1").agg(F.count("*").alias("links")).where(F.col("links") > HUB), "hubs")
+    named = links.select("a", "b").join(hubs.toDF("a", "_a"), "a", "left").join(hubs.toDF("b", "_b"), "b", "left")
+    few = named.where("_a IS NULL AND _b IS NULL").select("a", "b")
+    pairs = few.join(found.toDF("a", "set_a"), "a").join(found.toDF("b", "set_b"), "b")
+    out = pairs.mapInArrow(_confirmed, "a bigint, b bigint")
+    if not hubs.isEmpty():
+        first = F.coalesce("_a", F.lit(0)) >= F.coalesce("_b", F.lit(0))
+        many = named.where("_a IS NOT NULL OR _b IS NOT NULL").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("k1"))
+        sized = many.join(classes.groupBy("k1").agg(F.max("n").alias("n")), "k1")
+        blocks = stored(sized.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK).cast("bigint").alias("blocks")), "blocks")
+        others = many.join(blocks, "hub").select("hub", F.pmod(F.xxhash64("k1"), "blocks").alias("block"), "k1").join(found, "k1")
+        each = blocks.select("hub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+        own = each.join(found.toDF("hub", "set"), "hub")
+        out = out.union(own.groupBy("hub", "block").cogroup(others.groupBy("hub", "block")).applyInArrow(_of_hub, "a bigint, b bigint"))
+    out = stored(out, "confirmed")
     dropped(found)
     return out
 
@@ -432,8 +474,16 @@ def _around(near: DataFrame, roots: DataFrame) -> DataFrame:
         return others.select(F.col("p").alias("node"), "k1")
     wanted = others.select("p").distinct()
     own = named.where((F.col("alike") >= ALIKE) & ~apart).select("p", "k1").join(wanted, "p", "left_semi")
-    both = own.union(wanted.select("p", F.col("p").alias("k1"))).withColumn("side", F.lit(0)).union(others.withColumn("side", F.lit(1)))
-    counts = both.groupBy("p").agg(*[F.ceil(F.count_if(F.col("side") == k) / 1024).cast("bigint").alias(f"n{k}") for k in (0, 1)])
+    own = own.union(wanted.select("p", F.col("p").alias("k1")))
+    return _two_sided(own, others)
+
+
+def _two_sided(own: DataFrame, others: DataFrame) -> DataFrame:
+    """``node, k1``: for each ``p`` its classes ``p, k1`` of the one side and of the other, so that each block of the
+    one meets each of the other in a node."""
+    both = own.withColumn("side", F.lit(0)).union(others.withColumn("side", F.lit(1)))
+    counts = both.groupBy("p").agg(*[F.ceil(F.count_if(F.col("side") == k) / most).cast("bigint").alias(f"n{k}") for k, most in ((0, MANY), (1, 1024))])
+    counts = counts.where("n0 > 0 AND n1 > 0")
     dealt = both.join(counts, "p").withColumn("block", F.pmod(F.xxhash64("k1"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))))
     meets = F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0")) - 1)).alias("other")
     dealt = dealt.select("p", "k1", "side", "block", meets)
@@ -442,9 +492,33 @@ def _around(near: DataFrame, roots: DataFrame) -> DataFrame:
     return dealt.select(F.shiftrightunsigned(F.xxhash64("p", *pair), 6).bitwiseOR(F.lit(31 << 58)).alias("node"), "k1")
 
 
+def _one_sided(rows: DataFrame) -> DataFrame:
+    """``node, k1``: for each ``p`` its classes ``p, k1``, so that each two blocks meet in a node."""
+    counts = rows.groupBy("p").agg(F.ceil(F.count("*") / 1024).cast("bigint").alias("blocks"))
+    placed = rows.join(counts, "p").withColumn("block", F.pmod(F.xxhash64("k1"), "blocks"))
+    dealt = placed.select("p", "k1", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    node = F.xxhash64("p", F.least("block", "other"), F.greatest("block", "other"), F.lit("one"))
+    return dealt.select(F.shiftrightunsigned(node, 6).bitwiseOR(F.lit(31 << 58)).alias("node"), "k1")
+
+
+def _outside(wide: DataFrame, roots: DataFrame) -> DataFrame:
+    """``node, k1``: of large nodes that went on by one path, block by block, what isn't in the node's largest component
+    with all of that component, wherever it stands, and with each other."""
+    named = stored(wide.join(roots.toDF("k1", "root"), "k1", "left").withColumn("root", F.coalesce("root", "k1")), "outside")
+    sizes = named.groupBy("node", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("node").agg(F.max_by("root", F.struct("n", "root")).alias("p"))
+    out = stored(named.join(largest, "node").where(F.col("root") != F.col("p")).select("node", "p", "k1"), "outside")
+    dropped(named)
+    others = out.select("p", "k1").distinct()
+    own = roots.select(F.col("root").alias("p"), F.col("node").alias("k1"))
+    alone = others.select("p").distinct().select("p", F.col("p").alias("k1"))  # a component without a link has no root
+    own = own.union(alone).distinct().join(others.select("p").distinct(), "p", "left_semi")
+    return _two_sided(own, others).union(_one_sided(out.select(F.col("node").alias("p"), "k1")))
+
+
 def _between(found: Suggested, roots: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame | None:
     """Confirmed links between components in nodes that have pairs beyond their forests."""
-    rows = found.open if found.near is None else found.open.union(_around(found.near, roots))
+    rows = found.open if found.near is None else found.open.union(_around(found.near, roots)).union(_outside(found.wide, roots))
     named = rows.distinct().join(roots.toDF("k1", "root"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
     apart = named.groupBy("node").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("node")
     again = stored(named.join(apart, "node", "left_semi"), "apart")

@@ -172,3 +172,34 @@ def test_words_of_slices_are_those_of_whole_texts(monkeypatch, size):
     found = words(pa.array(texts))
     assert all((a == b).all() for a, b in zip(whole, found, strict=True))
     assert [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in texts] == np.diff(whole.bounds).tolist()
+
+
+def _family(members, singles, size, seed):
+    """Texts around one (0.85 to 0.9 to each other), and texts that have one link, to any one of those."""
+    draw = np.random.default_rng(seed)
+
+    def changed(text, places, tag):
+        out = list(text)
+        for k, place in enumerate(draw.choice(np.arange(1, size - 1), places, replace=False)):
+            out[place] = f"{tag}x{k}"
+        return out
+
+    base = [f"w{k}" for k in range(size)]
+    own = [changed(base, round(size * 0.0175), f"m{m}") for m in range(members)]
+    single = [changed(own[draw.integers(members)], round(size * 0.053), f"s{s}") for s in range(singles)]
+    return [(k, " ".join(t)) for k, t in enumerate([*own, *single])]
+
+
+def test_single_links_into_a_large_family_stay(spark):
+    """Nodes of four times the bound go on by one path; what a path loses is found beside the family."""
+    rows = _family(500, 60, 400, 3)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 2, 128)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == _brute(rows, 2)
+
+
+def test_links_of_hubs_are_confirmed_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "HUB", 3)
+    monkeypatch.setattr(near_dup, "BLOCK", 2000)
+    rows = _family(40, 20, 150, 5)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 2)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == _brute(rows, 2)
