@@ -504,11 +504,12 @@ def _one_sided(rows: DataFrame) -> DataFrame:
 def _outside(wide: DataFrame, roots: DataFrame) -> DataFrame:
     """``node, k1``: of large nodes that went on by one path, block by block, what isn't in the node's largest component
     with all of that component, wherever it stands, and with each other."""
-    named = stored(wide.join(roots.toDF("k1", "root"), "k1", "left").withColumn("root", F.coalesce("root", "k1")), "outside")
+    named = wide.join(roots.toDF("k1", "root"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
     sizes = named.groupBy("node", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("node").agg(F.max_by("root", F.struct("n", "root")).alias("p"))
     out = stored(named.join(largest, "node").where(F.col("root") != F.col("p")).select("node", "p", "k1"), "outside")
-    dropped(named)
+    if out.isEmpty():
+        return out.select("node", "k1")
     others = out.select("p", "k1").distinct()
     own = roots.select(F.col("root").alias("p"), F.col("node").alias("k1"))
     alone = others.select("p").distinct().select("p", F.col("p").alias("k1"))  # a component without a link has no root
