@@ -465,17 +465,14 @@ def _settle(rows: DataFrame, docs: DataFrame, classes: DataFrame, width: int) ->
     return out
 
 
-def _around(near: DataFrame, roots: DataFrame) -> DataFrame:
-    """``node, k1``: a pivot and what left with it, block by block with what is near the pivot and not joined to it."""
+def _around(near: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A pivot and what left with it, and what is near the pivot and not joined to it: two sides ``p, k1``."""
     named = near.join(roots.toDF("k1", "root"), "k1", "left").join(roots.toDF("p", "p_root"), "p", "left")
     apart = F.coalesce("root", "k1") != F.coalesce("p_root", "p")
     others = stored(named.where(apart).select("p", "k1"), "beside")
-    if others.isEmpty():
-        return others.select(F.col("p").alias("node"), "k1")
     wanted = others.select("p").distinct()
     own = named.where((F.col("alike") >= ALIKE) & ~apart).select("p", "k1").join(wanted, "p", "left_semi")
-    own = own.union(wanted.select("p", F.col("p").alias("k1")))
-    return _two_sided(own, others)
+    return own.union(wanted.select("p", F.col("p").alias("k1"))), others
 
 
 def _two_sided(own: DataFrame, others: DataFrame) -> DataFrame:
@@ -501,25 +498,35 @@ def _one_sided(rows: DataFrame) -> DataFrame:
     return dealt.select(F.shiftrightunsigned(node, 6).bitwiseOR(F.lit(31 << 58)).alias("node"), "k1")
 
 
-def _outside(wide: DataFrame, roots: DataFrame) -> DataFrame:
-    """``node, k1``: of large nodes that went on by one path, block by block, what isn't in the node's largest component
-    with all of that component, wherever it stands, and with each other."""
+def _outside(wide: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of large nodes that went on by one path: their largest components, wherever their classes stand, and what isn't
+    in a node's largest, as two sides ``p, k1``; and the latter by node."""
     named = wide.join(roots.toDF("k1", "root"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
     sizes = named.groupBy("node", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("node").agg(F.max_by("root", F.struct("n", "root")).alias("p"))
     out = stored(named.join(largest, "node").where(F.col("root") != F.col("p")).select("node", "p", "k1"), "outside")
-    if out.isEmpty():
-        return out.select("node", "k1")
-    others = out.select("p", "k1").distinct()
-    own = roots.select(F.col("root").alias("p"), F.col("node").alias("k1"))
-    alone = others.select("p").distinct().select("p", F.col("p").alias("k1"))  # a component without a link has no root
-    own = own.union(alone).distinct().join(others.select("p").distinct(), "p", "left_semi")
-    return _two_sided(own, others).union(_one_sided(out.select(F.col("node").alias("p"), "k1")))
+    others = stored(out.select("p", "k1").distinct(), "outside")
+    wanted = others.select("p").distinct()
+    # A component without a link has no root.
+    own = roots.select(F.col("root").alias("p"), F.col("node").alias("k1")).join(wanted, "p", "left_semi").union(wanted.select("p", F.col("p").alias("k1")))
+    return own, others, out.select(F.col("node").alias("p"), "k1")
+
+
+def _again(found: Suggested, roots: DataFrame) -> DataFrame:
+    """``node, k1``: what is looked at again, pair by pair."""
+    if found.near is None:
+        return found.open
+    own, others = _around(found.near, roots)
+    more, outside, within = _outside(found.wide, roots)
+    rows = found.open
+    if not others.isEmpty() or not outside.isEmpty():
+        rows = rows.union(_two_sided(own.union(more).distinct(), others.union(outside).distinct()))
+    return rows if within.isEmpty() else rows.union(_one_sided(within))
 
 
 def _between(found: Suggested, roots: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame | None:
     """Confirmed links between components in nodes that have pairs beyond their forests."""
-    rows = found.open if found.near is None else found.open.union(_around(found.near, roots)).union(_outside(found.wide, roots))
+    rows = _again(found, roots)
     named = rows.distinct().join(roots.toDF("k1", "root"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
     apart = named.groupBy("node").agg((F.min("root") != F.max("root")).alias("apart")).where("apart").select("node")
     again = stored(named.join(apart, "node", "left_semi"), "apart")

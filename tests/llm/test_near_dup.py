@@ -192,8 +192,8 @@ def _family(members, singles, size, seed):
 
 def test_single_links_into_a_large_family_stay(spark):
     """Nodes of four times the bound go on by one path; what a path loses is found beside the family."""
-    rows = _family(500, 60, 400, 3)
-    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 2, 128)
+    rows = _family(260, 40, 400, 3)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 2, 64)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == _brute(rows, 2)
 
 
