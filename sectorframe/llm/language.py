@@ -26,6 +26,8 @@ UNKNOWN = "und"
 PER_LANGUAGE, LANGUAGES = 2000, 200
 #: Languages whose likelihoods are looked up together.
 TOGETHER = 32
+#: Counts of trigrams that a task holds before it merges them, about.
+HELD = 1 << 21
 #: Trigrams of a text that count as independent, at most.
 INDEPENDENT = 150
 #: Rows that a parent's share is worth in its child's prior.
@@ -55,18 +57,28 @@ def base_language(code: Column) -> Column:
     return F.when(found != "", found)
 
 
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with the sums of their counts."""
+    key, place = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_inverse=True)
+    return key, np.bincount(place, np.concatenate([np.zeros(0), *counts]), len(key)).astype(np.int64)
+
+
 def _trained(languages: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {x: k for k, x in enumerate(languages)}
-        total = np.zeros((len(languages), 1 << BITS), np.int64)
+        keys, counts, held = [], [], 0
         for batch in small_batches(batches):
             which = np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
             for found, edges in trigrams(text_column(batch)):
-                owner = np.repeat(which, np.diff(edges))
-                for k in np.unique(owner).tolist():
-                    total[k] += np.bincount(found[owner == k], minlength=1 << BITS)
-        lang, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "n": pa.array(total[lang, bucket], pa.int64())})
+                key, n = np.unique(np.repeat(which, np.diff(edges)) << BITS | found, return_counts=True)
+                keys.append(key)
+                counts.append(n)
+                held += len(key)
+                if held > HELD:  # only buckets that were seen, of languages that were seen
+                    keys, counts = ([x] for x in _merged(keys, counts))
+                    held = 0
+        key, n = _merged(keys, counts)
+        yield pa.RecordBatch.from_pydict({"lang": pa.array(key >> BITS, pa.int32()), "bucket": pa.array(key & ((1 << BITS) - 1), pa.int32()), "n": pa.array(n, pa.int64())})
 
     return run
 

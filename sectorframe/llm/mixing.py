@@ -18,14 +18,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import guarded, stored
+from .common import guarded, numbered, stored
 
 #: Documents of a block, on average; they are dealt by a hash.
 BLOCK = 64
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one id, source and size that one array numbers, at most.
 RUN = 1 << 12
-#: An item with more than this share of all rows is ranked in parts; fewer items than this can be so large.
+#: An item with more than this share of all rows is ranked by ranges; fewer items than this can be so large.
 HOT = 1000
 
 
@@ -146,8 +146,8 @@ def mixed_sizes(docs: DataFrame, **how) -> DataFrame:
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed rows: each row of ``docs`` (``doc_id, source, text`` and any others, whatever their names) as often
-    as it has copies. Rows of one id, source and size share their copies as evenly as they go: by a hash of the text,
-    or, where one item holds more than a thousandth of all rows, by their order in the input's files."""
+    as it has copies. Rows of one id, source and size share their copies as evenly as they go, by a hash of the text, so
+    that the input's layout changes nothing but which of equal rows is copied."""
     return guarded(docs, lambda d: _mixed(d, **how))
 
 
@@ -163,20 +163,9 @@ def _mixed(docs: DataFrame, **how) -> DataFrame:
     usual = rows.join(hot.select(*names), names, "left_anti") if largest > many else rows
     ranked = usual.withColumn("_k", F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64("text"))))
     placed = ranked.join(found, names)
-    if largest > many:
-        placed = placed.unionByName(_ranked_by_file(rows.join(hot, names), names))
+    if largest > many:  # in the same order, dealt by ranges
+        own = rows.join(hot, names).withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+        ranked = numbered(own, names, ["_hash", "_row"]).withColumn("_k", F.col("rank") + 1)
+        placed = placed.unionByName(ranked.drop("_hash", "_row", "begin", "rank", "total"))
     copied = placed.withColumn("_n", _own(F.col("_total"), F.col("_m"), F.col("_k")).cast("int")).where("_n > 0")
     return copied.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
-
-
-def _ranked_by_file(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-    """``rows`` with ``_k``, their number within an item from 1. They are numbered as they are written, so that no
-    task ranks more than one part of a hot item; the parts' counts give where each begins."""
-    part = F.shiftright("_row", 33)  # the upper bits tell the task that wrote the row
-    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "hot").withColumn("_part", part)
-    counts = rows.groupBy(*names, "_part").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
-    within = F.row_number().over(Window.partitionBy(*names, "_part").orderBy("_row"))
-    ranked = rows.withColumn("_k", within).join(begins, [*names, "_part"])
-    return ranked.withColumn("_k", F.col("_before") + F.col("_k")).drop("_row", "_part", "_before")

@@ -390,8 +390,7 @@ def _full_sets(ends: DataFrame, docs: DataFrame, classes: DataFrame, width: int)
 def confirmed(links: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """The links ``a, b`` whose full sets meet the threshold.
 
-    A class of over HUB links is a hub. Its set isn't joined to each of them: it goes once to each block of others,
-    of about BLOCK shingles.
+    A class of over HUB links is a hub. Its set isn't joined to each of them: it goes once to each block of about HUB others.
     """
     ends = links.select(F.col("a").alias("k1")).union(links.select("b"))
     found = _full_sets(ends.distinct(), docs, classes, width)
@@ -403,8 +402,7 @@ def confirmed(links: DataFrame, docs: DataFrame, classes: DataFrame, width: int)
     if not hubs.isEmpty():
         first = F.coalesce("_a", F.lit(0)) >= F.coalesce("_b", F.lit(0))
         many = named.where("_a IS NOT NULL OR _b IS NOT NULL").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("k1"))
-        sized = many.join(classes.groupBy("k1").agg(F.max("n").alias("n")), "k1")
-        blocks = stored(sized.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK).cast("bigint").alias("blocks")), "blocks")
+        blocks = hubs.select(F.col("k1").alias("hub"), F.ceil(F.col("links") / HUB).cast("bigint").alias("blocks"))
         others = many.join(blocks, "hub").select("hub", F.pmod(F.xxhash64("k1"), "blocks").alias("block"), "k1").join(found, "k1")
         each = blocks.select("hub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
         own = each.join(found.toDF("hub", "set"), "hub")

@@ -121,8 +121,9 @@ class Encoder:
             out[new] = np.fromiter((get(pieces[k]) for k in new.tolist()), np.int64, len(new))
         return out
 
-    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        """Pieces of all texts, the count of them in each text, and which texts are to be encoded whole."""
+    def _cut(self, texts: pa.Array, inner: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Pieces of all texts, the count of them in each text, and which texts are to be encoded whole. ``inner``: these
+        are further parts of a text, which begin with a blank before a letter."""
         n = len(texts)
         bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
@@ -136,7 +137,8 @@ class Encoder:
         if self.cut == "blanks":
             bad = np.zeros(len(data), bool)
             bad[1:] = blank[1:] & blank[:-1]
-            bad[bounds[filled]] |= blank[bounds[filled]]
+            if not inner:
+                bad[bounds[filled]] |= blank[bounds[filled]]
             bad[bounds[filled + 1] - 1] |= blank[bounds[filled + 1] - 1]
             odd[np.searchsorted(bounds, np.flatnonzero(bad), "right") - 1] = True
             odd |= pc.match_substring_regex(texts, _RARE).to_numpy(zero_copy_only=False)
@@ -153,12 +155,12 @@ class Encoder:
         counts = np.diff(np.searchsorted(starts, bounds))
         return pieces, counts, odd
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another (int32), and each text's count of them."""
+    def encode(self, texts: pa.Array, inner: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another (int32), and each text's count of them; ``inner`` as in :meth:`_cut`."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         if not len(texts) or not pc.sum(pc.binary_length(texts)).as_py():
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        pieces, per_text, odd = self._cut(texts)
+        pieces, per_text, odd = self._cut(texts, inner)
         coded = pc.dictionary_encode(pieces)
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         numbers = self._numbers([x.strip(" ") for x in distinct] if self.cut == "words" else distinct)[coded.indices.to_numpy()]
@@ -197,7 +199,7 @@ class Encoder:
             cuts.append(at - CHUNK_BYTES // 8 + int(found[-1]) + 1)
         edges = pa.array([*cuts, len(data)], pa.int64())
         parts = pa.LargeStringArray.from_buffers(len(cuts), edges.buffers()[1], text.as_buffer())
-        return np.concatenate([self.encode(parts.slice(k, 1))[0] for k in range(len(cuts))])
+        return np.concatenate([self.encode(parts.slice(k, 1), inner=k > 0)[0] for k in range(len(cuts))])
 
     def chunks(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """A column by CHUNK_BYTES: first row, row after the last, ids, counts."""

@@ -124,3 +124,11 @@ def test_rows_of_a_hot_item_are_ranked_in_parts(spark, monkeypatch):
     assert all(r["_row"] == ({"a": r["_k"]} if r["_k"] < n else {"b": r["_k"] - n}) for r in got)
     sizes = mixing.mixed_sizes(docs).groupBy("doc_id").agg(F.sum("copies").alias("c")).collect()
     assert {r.doc_id: r.c for r in sizes if r.c} == dict(Counter(r.doc_id for r in got))
+
+
+def test_a_hot_item_is_mixed_alike_from_any_files(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 50)
+    hot = spark.range(600).select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"), F.lit("a").alias("source"))
+    docs = hot.union(spark.range(90).select("id", F.lit("one two three").alias("text"), F.lit("b").alias("source")))
+    one, other = (Counter(tuple(r) for r in mixing.mix(docs.repartition(n, F.xxhash64("text", F.lit(n)))).collect()) for n in (2, 5))
+    assert one == other
