@@ -72,15 +72,21 @@ def grid_neighbours(grid: DataFrame, dx: int, dy: int, size: tuple[int, int]) ->
     return grid.withColumns({"nx": nx.cast("int"), "ny": ny.cast("int")}).join(other, ["nx", "ny"]).select("x", "y", "label", "nx", "ny", "neighbour")
 
 
-def weights_combine(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
-    """Product, sum or difference of two tables of weights; raises unless their keys match. Checks at once."""
+def weights_combine(a: DataFrame, b: DataFrame, op: str | dict[str, str]) -> DataFrame:
+    """Product, sum or difference (``*``, ``+``, ``-``) of two tables of weights; raises unless their keys match.
+
+    ``op`` may name several results, ``{column: op}``, which then stand in place of ``v``. Keys are checked at once, on the
+    join that gives the results, which is checkpointed.
+    """
     keys = ["sector", "pos"]
-    for x, y in ((a, b), (b, a)):
-        if not x.join(y, keys, "left_anti").isEmpty():
-            raise ValueError("weights of different keys")
-    joined = a.join(b.select(*keys, F.col("v").alias("_b")), keys)
-    v = {"*": F.col("v") * F.col("_b"), "+": F.col("v") + F.col("_b"), "-": F.col("v") - F.col("_b")}[op]
-    return joined.withColumn("v", v).select(*a.columns)
+    own, other = a.withColumn("_in", F.lit(True)), b.select(*keys, F.col("v").alias("_b"), F.lit(True).alias("_other"))
+    joined = own.join(other, keys, "full").checkpoint()
+    if not joined.where("_in IS NULL OR _other IS NULL").isEmpty():
+        raise ValueError("weights of different keys")
+    of = {"*": F.col("v") * F.col("_b"), "+": F.col("v") + F.col("_b"), "-": F.col("v") - F.col("_b")}
+    if isinstance(op, str):
+        return joined.withColumn("v", of[op]).select(*a.columns)
+    return joined.select(*[c for c in a.columns if c != "v"], *[of[o].alias(name) for name, o in op.items()])
 
 
 def missing_sectors(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import scale
 from .aggregates import normalise
-from .joins import add, contract, shared_sectors, sub
+from .joins import add, contract, shared_sectors
+from .krylov import eigenpairs
+from .orthogonal import product, tall_qr, tall_svd
 from .ranking import cut_multiplets
 
 #: Indices of the short side, at most; more raises.
@@ -65,8 +67,11 @@ def small_gram(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
             j, v = (pc.struct_field(lists.flatten(), k).to_numpy(zero_copy_only=False) for k in (0, 1))
             group = pd.MultiIndex.from_arrays([batch.column(k).to_pandas() for k in keys]).factorize()[0] if keys else np.zeros(batch.num_rows, np.int64)
-            for g in range(int(group.max(initial=-1)) + 1):
-                own = group[row] == g
+            order = np.argsort(group[row], kind="stable")
+            row, j, v = row[order], j[order], v[order]
+            edges = np.searchsorted(group[row], np.arange(int(group.max(initial=-1)) + 2))
+            for g in range(len(edges) - 1):
+                own = slice(edges[g], edges[g + 1])
                 index, place = np.unique(j[own], return_inverse=True)
                 if len(index) > SMALL_SIDE:
                     raise ValueError(f"short side over {SMALL_SIDE}")
@@ -118,37 +123,22 @@ def _times(cells: DataFrame, small: DataFrame) -> DataFrame:
     return joined.groupBy("sector", "i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("v"))
 
 
-def _half_qr(rows: pd.DataFrame) -> pd.DataFrame:
-    """``R`` and its inverse of one sector, from its Gram matrix."""
-    g, index = _square(rows)
-    scale_ = np.sqrt(np.maximum(np.diag(g), 0))
-    even = g / np.outer(np.where(scale_ > 0, scale_, 1), np.where(scale_ > 0, scale_, 1))
-    rank = int((np.linalg.eigvalsh(even) > len(g) * np.finfo(float).eps * 16).sum())
-    if rank < len(g):
-        raise ValueError(f"sector {rows['sector'].iloc[0]} has rank {rank} of {len(g)} columns")
-    r = np.linalg.cholesky(even).T * scale_
-    out = []
-    for name, m in (("r", r), ("inverse", np.linalg.inv(r))):
-        i, j = np.nonzero(np.triu(m))
-        out.append(pd.DataFrame({"sector": rows["sector"].iloc[0], "what": name, "i": index[i], "j": index[j], "v": m[i, j]}))
-    return pd.concat(out)
-
-
 def qr(cells: DataFrame, by: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Orthonormal ``Q`` (rows x columns) and upper triangular ``R`` of full column rank, of one matrix or of each sector.
+    """Orthonormal ``Q`` and upper triangular ``R`` of one matrix or of each sector, of any rank and condition.
 
-    From the Cholesky factor of the Gram matrix, applied twice: the second pass mends what the
-    first loses by squaring the condition number. A sector whose columns aren't independent raises a
-    ``ValueError`` that names its rank. An empty table gives empty factors. Small factors are checkpointed.
+    From triangular factors of what each task reads, which meet up a tree, with column pivoting at its root; rows over
+    that factor are factored once more, so that ``Q`` is orthonormal whatever the condition. Columns of ``Q`` and rows of
+    ``R`` bear the index of the column that brought the direction, so there are as many as the rank (see :func:`ranks`); a
+    column that depends on others (to ``16 n`` roundings of its length) brings none. A sector of zeros has no cells. An empty
+    table gives empty factors. Up to 2,048 columns a sector; more raise. Runs at once.
     """
-    q, total = _sectors(cells, by), None
-    kind = q.schema["sector"].dataType.simpleString()
-    for _ in range(2):
-        both = small_gram(q, ["sector"]).groupBy("sector").applyInPandas(_half_qr, f"sector {kind}, what string, i bigint, j bigint, v double").checkpoint()
-        q = _times(q, both.where("what = 'inverse'").drop("what"))
-        r = both.where("what = 'r'").drop("what")
-        total = r if total is None else _times(r, total)
-    return _bare(q, by), _bare(total, by)
+    q, r = tall_qr(_sectors(cells, by))
+    return _bare(q, by), _bare(r, by)
+
+
+def ranks(r: DataFrame, by: str = "sector") -> DataFrame:
+    """``rank`` of each sector from its triangular factor; a sector of zeros isn't there."""
+    return r.groupBy(by).agg(F.countDistinct("i").alias("rank"))
 
 
 def rq(cells: DataFrame, by: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -198,12 +188,20 @@ def svd(cells: DataFrame, by: str | None = None) -> tuple[DataFrame, DataFrame,
     """``U`` cells ``(i, j)``, weights ``(sector, pos, dim, v)`` descending, and ``V`` cells, of one matrix (sector 0) or of each sector.
 
     Values under ``GRAM_FLOOR`` times the largest can't be told from 0 this way and are dropped;
-    use ``qr`` first where they matter. The right vectors are checkpointed.
+    :func:`accurate_svd` has them. The right vectors are checkpointed.
     """
     own = _sectors(cells, by)
     return _three(own, _decomposed(own), by)
 
 
+def accurate_svd(cells: DataFrame, by: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same with small values: by rotations of the triangular factor of :func:`qr`, so that those down to rounding are
+    there, as many as the rank, and vectors are orthonormal. Where a matrix is one of good condition with scaled columns,
+    each value is right relative to itself. Runs at once."""
+    u, s, v = tall_svd(_sectors(cells, by))
+    return _bare(u, by), s, _bare(v, by)
+
+
 def singular_values(cells: DataFrame, by: str = "sector") -> DataFrame:
     """Weights of every sector: one Gram matrix for each, its values found in a task of its own."""
     return _weights(_decomposed(_sectors(cells, by)))
@@ -218,15 +216,49 @@ def truncated_svd(cells: DataFrame, target: int, by: str | None = "sector", **cu
     return _three(own, found.join(kept.select("sector", "pos"), ["sector", "pos"], "left_semi").checkpoint(), by)
 
 
-def large_svd(cells: DataFrame, k: int) -> np.ndarray:
-    """The k largest singular values of a matrix whose short side is beyond a Gram matrix, by Lanczos steps
-    on distributed products. The column side must fit an array of the driver."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
+#: Columns of a sketch beside those asked for.
+OVER = 10
+
+
+def randomized_svd(cells: DataFrame, k: int, by: str | None = None, steps: int = 3, seed: int = 11, **cut) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``U``, weights and ``V`` of the k largest singular values over all sectors, for matrices large on both sides.
+
+    A sketch of ``k + OVER`` columns, drawn by a hash of each index, finds the range: products with the matrix and its
+    transpose in turn, ``steps`` times, each made orthonormal before the next. The matrix in that range has one short side,
+    and its factors are those of :func:`accurate_svd`. Values that the sketch can't tell from those beyond it are
+    a little low: by a factor of ``(s_{k + OVER} / s)^(4 steps + 2)`` in the square, about. Ties are kept together (see
+    ``cut_multiplets`` for ``cut``). No side is bounded but that of the sketch, 2,048. Runs at once.
+    """
+    own = _sectors(cells, by).checkpoint()
+    wide = k + OVER
+    if wide > SMALL_SIDE:
+        raise ValueError(f"sketch over {SMALL_SIDE}")
+    flipped = own.select("sector", F.col("j").alias("i"), F.col("i").alias("j"), "v")
+    rows = own.select("sector", F.col("j").alias("i")).distinct()
+
+    def times(m: DataFrame, x: DataFrame) -> DataFrame:
+        """Cells times a block with as many columns as the sketch; each row of the block meets a cell once."""
+        packed = x.groupBy("sector", F.col("i").alias("j")).agg(F.collect_list(F.struct(F.col("j").alias("k"), "v")).alias("_x"))
+        each = m.join(packed, ["sector", "j"]).select("sector", "i", "v", F.explode("_x").alias("_x"))
+        return each.groupBy("sector", "i", F.col("_x.k").alias("j")).agg(F.sum(F.col("v") * F.col("_x.v")).alias("v"))
+
+    y = times(own, random_columns(rows, wide, seed))
+    for _ in range(steps):
+        q, _ = tall_qr(times(flipped, tall_qr(y)[0]))
+        y = times(own, q)
+    q, _ = tall_qr(y)
+    v, s, small = tall_svd(times(flipped, q))
+    kept = cut_multiplets(s, k, **cut).checkpoint()
+    names = kept.select("sector", F.col("pos").alias("j"))
+    u = product(q, small.join(names, ["sector", "j"], "left_semi"))
+    return _bare(u, by), kept, _bare(v.join(names, ["sector", "j"], "left_semi"), by)
+
 
-    n = int(cells.agg(F.max("j")).head()[0]) + 1
-    rows = cells.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("row")).rdd.map(lambda r: Vectors.sparse(n, [(x.j, x.v) for x in r.row]))
-    return RowMatrix(rows, numCols=n).computeSVD(k).s.toArray()
+def random_columns(index: DataFrame, columns: int, seed: int) -> DataFrame:
+    """``sector, i, j, v``: for each index numbers in [-1, 1) from a hash, the same in every run."""
+    draw = F.pmod(F.xxhash64("i", "j", F.lit(seed)), F.lit(1 << 40)) / float(1 << 39) - 1.0
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(columns - 1).cast("bigint")))
+    return index.select("sector", "i", each.alias("j")).withColumn("v", draw)
 
 
 def pairs_by_group(df: DataFrame, key: str, solve: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], schema: str, limit: int = SMALL_SIDE) -> DataFrame:
@@ -280,88 +312,16 @@ def power_steps(matvec: Callable[[DataFrame], DataFrame], start: DataFrame, step
     return x, size
 
 
-#: Indices of an operator that is applied to each unit vector and solved whole, at most.
-DENSE = 256
-
-
-def top_eigen(matvec: Callable[[DataFrame], DataFrame], start: DataFrame, n: int, tol: float = 1e-10, most: int = 200, dense: int = DENSE) -> tuple[DataFrame, DataFrame]:
-    """The n eigenpairs of largest magnitude of an operator on columns ``(i, k, v)``: values ``pos, re, im`` and
-    vectors ``i, k, re, im`` of unit length (k is the value's pos). Exact zeros are dropped. Runs at once.
-
-    ``start``: columns k = 0, 1, ... on all indices i that the operator may reach. With ``dense`` indices or fewer
-    the operator is applied to all unit vectors. Otherwise a Krylov basis grows block by block, orthonormal by its
-    small Gram matrices, until the residuals of its n best pairs are under ``tol`` times the largest value;
-    a basis of over ``SMALL_SIDE`` columns, or ``most`` steps without that, raise. What reaches the driver are
-    matrices of the basis' side. An operator on nothing has no pairs.
+def top_eigen(matvec: Callable[[DataFrame], DataFrame], start: DataFrame, n: int, tol: float = 1e-9, **how) -> tuple[DataFrame, DataFrame]:
+    """The n eigenpairs of largest magnitude of an operator on columns ``(i, k, v)``, or on ``(sector, i, k, v)`` where
+    ``start`` has sectors: values ``pos, re, im, residual`` and unit vectors ``i, k, re, im`` (k is the value's pos), of
+    each sector where there are any. See :func:`sectorframe.operators.krylov.eigenpairs`; ``start`` has all indices ``i``
+    that the operator may reach, whatever else.
     """
-    spark = start.sparkSession
-
-    def small(a: DataFrame, b: DataFrame, rows: int, cols: int) -> np.ndarray:
-        m = np.zeros((rows, cols))
-        for r in contract(a.withColumnRenamed("k", "i2"), b.withColumnRenamed("k", "j2"), ["i"], ["i2", "j2"]).collect():
-            m[r.i2, r.j2] = r.v
-        return m
-
-    def turned(x: DataFrame, m: np.ndarray) -> DataFrame:
-        step = _cells(spark, m, np.arange(len(m)), np.arange(m.shape[1])).toDF("k", "_n", "v")
-        return contract(x, step, ["k"], ["i", "_n"]).withColumnRenamed("_n", "k").select("i", "k", "v")
-
-    def orthonormal(x: DataFrame, width: int, floor: float) -> tuple[DataFrame, int]:
-        values, vectors = np.linalg.eigh(small(x, x, width, width))
-        ok = values > max(values.max(initial=0) * 1e-20, floor)
-        return turned(x, vectors[:, ok] * values[ok] ** -0.5).checkpoint(), int(ok.sum())
-
-    def told(values: np.ndarray, basis: DataFrame, weights: np.ndarray) -> tuple[DataFrame, DataFrame]:
-        weights = _signed(weights)
-        table = pd.DataFrame({"pos": np.arange(len(values)), "re": values.real.astype(float), "im": values.imag.astype(float)})
-        real, imaginary = (turned(basis, np.ascontiguousarray(part)) for part in (weights.real, weights.imag))
-        parts = real.select("i", "k", F.col("v").alias("re"), F.lit(0.0).alias("im")).union(imaginary.select("i", "k", F.lit(0.0), "v"))
-        return spark.createDataFrame(table, "pos bigint, re double, im double"), parts.groupBy("i", "k").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).checkpoint()
-
-    def best(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        values, vectors = np.linalg.eigh(m) if np.allclose(m, m.T, atol=1e-12 * np.abs(m).max(initial=0)) else np.linalg.eig(m)
-        order = [k for k in np.argsort(-np.abs(values), kind="stable")[:n] if abs(values[k]) > 0]
-        return values[order], vectors[:, order]
-
-    index = [r.i for r in start.select("i").distinct().limit(dense + 1).collect()]
-    if len(index) <= dense:
-        index = np.sort(np.array(index, np.int64))
-        unit = _cells(spark, np.eye(len(index)), index, np.arange(len(index))).toDF("i", "k", "v").checkpoint()
-        values, vectors = best(small(unit, matvec(unit), len(index), len(index)))
-        return told(values, unit, vectors)
-    width = int(start.agg(F.max("k")).head()[0]) + 1
-    block, width = orthonormal(start.select("i", "k", "v"), width, 0.0)
-    basis, side, held = block, width, np.zeros((0, 0))
-    for _ in range(most):
-        image = matvec(block).select("i", "k", "v").checkpoint()
-        held = np.pad(held, ((0, side - len(held)), (0, side - len(held))))
-        held[:, side - width :] = small(basis, image, side, width)
-        held[side - width :, : side - width] = small(block, images, width, side - width) if side > width else np.zeros((width, 0))
-        images = image if side == width else images.union(image.withColumn("k", F.col("k") + side - width)).checkpoint()
-        values, vectors = best(held)
-        residual = small_norms(turned(images, vectors.real), turned(basis, (vectors * values).real), turned(images, vectors.imag), turned(basis, (vectors * values).imag), len(values))
-        if len(values) == min(n, side) and residual.max(initial=0) <= tol * np.abs(values).max(initial=1e-300) and side >= n:
-            return told(values, basis, vectors)
-        rest = image
-        for _ in range(2):  # once more, as rounding leaves a share of the basis in
-            rest = sub(rest, turned(basis, small(basis, rest, side, width)), ["i", "k"]).checkpoint()
-        block, width = orthonormal(rest, width, (1e-13 * np.abs(held).max(initial=0)) ** 2)
-        if not width:  # the basis holds all that the operator makes of it
-            return told(values, basis, vectors)
-        if side + width > SMALL_SIDE:
-            raise ValueError(f"no convergence within a basis of {SMALL_SIDE}")
-        basis = basis.union(block.withColumn("k", F.col("k") + side)).checkpoint()
-        side += width
-    raise ValueError(f"no convergence within {most} steps")
-
-
-def small_norms(a: DataFrame, b: DataFrame, c: DataFrame, d: DataFrame, n: int) -> np.ndarray:
-    """Norms of the columns of ``(a - b) + i (c - d)``."""
-    out = np.zeros(n)
-    for x, y in ((a, b), (c, d)):
-        for r in sub(x, y, ["i", "k"]).groupBy("k").agg(F.sum(F.col("v") * F.col("v")).alias("v")).collect():
-            out[r.k] += r.v
-    return np.sqrt(out)
+    if "sector" in start.columns:
+        return eigenpairs(matvec, start, n, tol, **how)
+    values, vectors = eigenpairs(lambda x: matvec(x.drop("sector")).withColumn("sector", F.lit(0)), start.select(F.lit(0).alias("sector"), "i"), n, tol, **how)
+    return values.drop("sector"), vectors.drop("sector")
 
 
 def solve_by_group(df: DataFrame, key: Sequence[str], xs: Sequence[str], y: str, targets: DataFrame | None = None) -> DataFrame:
@@ -436,8 +396,10 @@ def transition_spectrum(moves: DataFrame, n: int) -> DataFrame:
     """``pos, re, im``: the n leading eigenvalues of moves ``(i, j, v)``, over the first, by magnitude; imaginary
     parts are 0 if their norm is under 1e-6. States are the bound: more than ``SMALL_SIDE`` raise. No moves, no values.
     """
-    # States of any type by number: at most SMALL_SIDE can follow, so they are ordered in one task.
     states = moves.select(F.col("i").alias("state")).union(moves.select("j")).distinct()
+    if states.limit(SMALL_SIDE + 1).count() > SMALL_SIDE:
+        raise ValueError(f"over {SMALL_SIDE} states")
+    # States of any type by number: few enough to be ordered in one task.
     named = states.withColumn("_id", F.row_number().over(Window.orderBy("state")).cast("bigint") - 1)
     cells = moves.join(named.toDF("i", "_i"), "i").join(named.toDF("j", "_j"), "j").select(F.lit(0).alias("_g"), F.col("_i").alias("i"), F.col("_j").alias("j"), "v")
     found = eig_by_group(cells, "_g").where(F.col("pos") < n).select("pos", "v.re", "v.im").checkpoint()
@@ -454,32 +416,46 @@ def mixing_length(spectrum: DataFrame, period: float = 1.0) -> DataFrame:
     return spectrum.where("pos = 1").select((F.lit(-period) / F.ln(F.hypot("re", "im"))).alias("length"))
 
 
-def two_sided_projectors(r: DataFrame, rt: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """``P`` and ``Pt``, cells of rows i by directions j, from the SVD ``U s W^T`` of ``r^T rt``.
-
-    r, rt: features ``(i, j, v)`` of the same rows i. ``P = rt W s^-1/2`` and ``Pt = r U s^-1/2``,
-    so ``P^T Pt`` is the identity on the kept directions. Where both have a column ``sector``, rows of sectors that
-    only one has are left out first.
-    """
-    spark = r.sparkSession
-    if "sector" in r.columns and "sector" in rt.columns:
-        r, rt = shared_sectors(r, rt)
-    cross = contract(r.select("i", F.col("j").alias("a"), "v"), rt.select("i", F.col("j").alias("b"), "v"), ["i"], ["a", "b"])
-    rows = cross.limit(SMALL_SIDE * SMALL_SIDE + 1).toPandas()
-    left, right = np.unique(rows["a"]), np.unique(rows["b"])
+def _cross_pairs(table: pd.DataFrame) -> pd.DataFrame:
+    """Singular vectors of one sector's cross matrix ``a, b, v``, as ``side, pos, s, i, v``."""
+    left, right = np.unique(table["a"]), np.unique(table["b"])
     if max(len(left), len(right)) > SMALL_SIDE:
-        raise ValueError(f"features over {SMALL_SIDE}")
+        raise ValueError(f"features over {SMALL_SIDE} in sector {table['sector'].iloc[0]}")
     m = np.zeros((len(left), len(right)))
-    m[np.searchsorted(left, rows["a"]), np.searchsorted(right, rows["b"])] = rows["v"]
+    m[np.searchsorted(left, table["a"]), np.searchsorted(right, table["b"])] = table["v"]
     u, s, w = np.linalg.svd(m, full_matrices=False)
-    u, s, w = u[:, s > 0], s[s > 0], w[s > 0]
-    pos = np.arange(len(s), dtype=np.int64)
-    weights = spark.createDataFrame(pd.DataFrame({"sector": 0, "pos": pos, "dim": 1, "v": s}), "sector int, pos bigint, dim int, v double")
-    kept = sorted(x.pos for x in cut_multiplets(weights, k).select("pos").collect())
-    half = s[kept] ** -0.5
-    new = np.arange(len(kept), dtype=np.int64)
+    n = int((s > 0).sum())
+    out = []
+    for side, index, x in (("left", left, u[:, :n]), ("right", right, w[:n].T)):
+        out.append(pd.DataFrame({"side": side, "pos": np.tile(np.arange(n), len(index)), "s": np.tile(s[:n], len(index)), "i": np.repeat(index, n), "v": x.ravel()}))
+    out = pd.concat(out)
+    out.insert(0, "sector", table["sector"].iloc[0])
+    return out
 
-    def onto(x: DataFrame, m: np.ndarray, index: np.ndarray) -> DataFrame:
-        return contract(x.select("i", F.col("j").alias("_k"), "v"), _cells(spark, m, index, new).withColumnRenamed("i", "_k"), ["_k"], ["i", "j"])
 
-    return onto(rt, w.T[:, kept] * half, right), onto(r, u[:, kept] * half, left)
+def two_sided_projectors(r: DataFrame, rt: DataFrame, k: int, dims: DataFrame | None = None, **cut) -> tuple[DataFrame, DataFrame]:
+    """``P`` and ``Pt``, cells of rows i by directions j, from the SVD ``U s W^T`` of ``r^T rt``, sector by sector.
+
+    r, rt: features ``(i, j, v)`` of the same rows i, with a column ``sector`` in both or in neither. ``P = rt W s^-1/2`` and
+    ``Pt = r U s^-1/2``, so ``P^T Pt`` is the identity on the kept directions of each sector. What is kept are the k largest
+    values over all sectors, each counted as often as ``dims`` (``sector, dim``; else 1) says, ties kept together: see
+    ``cut_multiplets`` for ``cut``. Sectors that only one side has are left out. Each sector's small matrix is solved in a
+    task; nothing of it reaches the driver. The pairs are checkpointed.
+    """
+    both = "sector" in r.columns and "sector" in rt.columns
+    if both:
+        r, rt = shared_sectors(r, rt)
+    one, two = (x.select(F.col("sector") if both else F.lit(0).alias("sector"), "i", "j", "v") for x in (r, rt))
+    cross = contract(one.withColumnRenamed("j", "a").withColumnRenamed("sector", "_s"), two.withColumnRenamed("j", "b").withColumnRenamed("sector", "_s"), ["_s", "i"], ["_s", "a", "b"]).withColumnRenamed("_s", "sector")
+    kind = one.schema["sector"].dataType.simpleString()
+    found = cross.groupBy("sector").applyInPandas(_cross_pairs, f"sector {kind}, side string, pos bigint, s double, i bigint, v double").checkpoint()
+    weights = found.groupBy("sector", "pos").agg(F.first("s").alias("v"))
+    weights = weights.join(dims, "sector") if dims is not None else weights.withColumn("dim", F.lit(1))
+    kept = found.join(cut_multiplets(weights.select("sector", "pos", "dim", "v"), k, **cut).select("sector", "pos"), ["sector", "pos"], "left_semi").checkpoint()
+
+    def onto(x: DataFrame, side: str) -> DataFrame:
+        small = kept.where(F.col("side") == side).select("sector", "i", F.col("pos").alias("j"), (F.col("v") / F.sqrt("s")).alias("v"))
+        out = product(x, small)
+        return out if both else out.drop("sector")
+
+    return onto(two, "right"), onto(one, "left")

@@ -217,10 +217,7 @@ def _(t):
 def _(t):
     a = t.customer_weights()
     b = a.withColumn("v", F.col("v") + 1.0)
-    out = joins.weights_combine(a, b, "*").withColumnRenamed("v", "product")
-    for op, name in (("-", "difference"), ("+", "total")):
-        out = out.join(joins.weights_combine(a, b, op).select("sector", "pos", F.col("v").alias(name)), ["sector", "pos"])
-    return out
+    return joins.weights_combine(a, b, {"product": "*", "difference": "-", "total": "+"})
 
 
 @query("u1_sector_union", "SELECT c_nationkey AS sector FROM customer UNION SELECT s_nationkey FROM supplier UNION SELECT p_size FROM part")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates, linalg
 from ..operators.joins import contract, scale_legs, sub
+from ..operators.solvers import solve
 from .registry import query
 
 
@@ -17,16 +18,45 @@ def _(t):
     return linalg.gram_of_arrays(t.embeddings, "embedding").withColumn("v", F.round("v", 6) + 0.0)
 
 
+def _gram_by_label(t):
+    return linalg.gram_of_arrays(t.embeddings, "embedding", ["label"]).withColumnRenamed("label", "sector")
+
+
 @query("l1_gram_by_sector", "SELECT a.sector AS sector, a.j AS i, b.j AS j, round(sum(a.v * b.v), 6) + 0.0 AS v FROM vectors a JOIN vectors b ON a.i = b.i GROUP BY 1, 2, 3", "vectors")
 def _(t):
-    return linalg.gram(t.vectors(), ["sector"]).withColumn("v", F.round("v", 6) + 0.0)
+    return _gram_by_label(t).withColumn("v", F.round("v", 6) + 0.0)
 
 
 @query("l2_qr", "SELECT j % 4 AS sector, i, j, round(v, 6) + 0.0 AS v FROM vectors", "vectors")
 def _(t):
     """``Q R`` of each sector, which is the matrix; a sector has a quarter of the columns."""
     q, r = linalg.qr(t.vectors().withColumn("sector", F.col("j") % 4), "sector")
-    return linalg._times(q, r).select("sector", "i", "j", (F.round("v", 6) + 0.0).alias("v"))
+    return linalg.product(q, r).select("sector", "i", "j", (F.round("v", 6) + 0.0).alias("v"))
+
+
+@query("l2_qr_of_any_rank", "SELECT j % 4 AS sector, count(DISTINCT j) + 1 AS rank, 0.0 AS off FROM vectors GROUP BY 1", "vectors")
+def _(t):
+    """Beside each sector's columns one that is their sum, and one that differs from the first by a billionth: the rank,
+    and the largest part of ``Q R`` less the matrix."""
+    own = t.vectors().withColumn("sector", F.col("j") % 4).select("sector", "i", "j", "v")
+    total = own.groupBy("sector", "i").agg(F.sum("v").alias("v")).select("sector", "i", (F.col("sector") + 64).alias("j"), "v")
+    near = own.where("j < 4").select("sector", "i", (F.col("j") + 68).alias("j"), (F.col("v") + 1e-9 * F.sin("i")).alias("v"))
+    cells = own.union(total).union(near)
+    q, r = linalg.qr(cells, "sector")
+    off = sub(cells, linalg.product(q, r), ["i", "j"]).groupBy((F.col("j") % 4).alias("sector")).agg((F.round(F.max(F.abs("v")), 12) + 0.0).alias("off"))
+    return linalg.ranks(r).join(off, "sector")
+
+
+@query("l3_small_values", "SELECT j % 4 AS sector, count(DISTINCT j) AS n, -6.0 * count(DISTINCT j) AS moved FROM vectors GROUP BY 1", "vectors")
+def _(t):
+    """Every second column is scaled by 1e-12; the values' product moves by just those factors only if the small ones are right."""
+    own = t.vectors().withColumn("sector", F.col("j") % 4).select("sector", "i", "j", "v")
+    logs = []
+    for scaled in (False, True):
+        v = F.when(F.col("j") % 8 >= 4, F.col("v") * 1e-12).otherwise(F.col("v")) if scaled else F.col("v")
+        _, s, _ = linalg.accurate_svd(own.withColumn("v", v), "sector")
+        logs.append(s.groupBy("sector").agg(F.count("*").alias(f"n{scaled}"), F.sum(F.log10("v")).alias(f"log{scaled}")))
+    return logs[0].join(logs[1], "sector").select("sector", F.col("nTrue").alias("n"), F.round(F.col("logTrue") - F.col("logFalse"), 6).alias("moved"))
 
 
 @query("l2_qr_of_all", "SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 6) + 0.0 AS v FROM vectors a JOIN vectors b ON a.i = b.i GROUP BY 1, 2", "vectors")
@@ -60,6 +90,19 @@ def _(t):
     return s.agg(F.sum(F.col("v") * F.col("v")).alias("own"), F.count("*").alias("kept")).crossJoin(off).select(F.round(F.col("own") + F.col("lost"), 6).alias("energy"), "kept")
 
 
+_TOP_VALUE = "x(step, j, v) AS (SELECT 0, j, 1.0::DOUBLE FROM (SELECT DISTINCT j FROM quantity) UNION ALL SELECT step + 1, j, v / sqrt(sum(v * v) OVER ()) FROM (SELECT any_value(step) AS step, q.j, sum(q.v * y.v) AS v FROM quantity q JOIN (SELECT any_value(step) AS step, q.i, sum(q.v * x.v) AS v FROM quantity q JOIN x ON q.j = x.j WHERE x.step < 30 GROUP BY q.i) y ON q.i = y.i GROUP BY q.j))"
+
+
+@query("l4_randomized_svd", f"WITH RECURSIVE {_TOP_VALUE} SELECT CAST(1 AS BIGINT) AS kept, round(sum(v * v), 1) AS energy, round((SELECT sum(v * v) FROM quantity) - sum(v * v), 1) AS lost FROM (SELECT q.i, sum(q.v * x.v) AS v FROM quantity q JOIN x ON q.j = x.j WHERE x.step = 30 GROUP BY q.i)", "quantity")
+def _(t):
+    """The largest of a matrix that is large on both sides, and what its vectors leave out."""
+    cells = t.quantity().select("i", "j", "v")
+    u, s, v = linalg.randomized_svd(cells, 1)
+    back = contract(scale_legs(u.withColumn("sector", F.lit(0)), s, ["j"]).select("i", F.col("j").alias("k"), "v"), v.select(F.col("j").alias("k"), F.col("i").alias("j"), "v"), ["k"], ["i", "j"])
+    off = sub(cells, back, ["i", "j"]).agg(F.sum(F.col("v") * F.col("v")).alias("lost"))
+    return s.agg(F.count("*").alias("kept"), F.round(F.sum(F.col("v") * F.col("v")), 1).alias("energy")).crossJoin(off.select(F.round("lost", 1).alias("lost")))
+
+
 def _covariance(t):
     n = t.embeddings.groupBy("label").agg(F.count("*").alias("n"))
     g = linalg.gram_of_arrays(t.embeddings, "embedding", ["label"]).join(n, "label")
@@ -122,13 +165,55 @@ def _(t):
         return contract(g, x.withColumnRenamed("i", "j"), ["j"], ["i", "k"])
 
     start = g.select("i").distinct().select("i", F.lit(0).cast("bigint").alias("k"), F.lit(1.0).alias("v"))
-    values, vectors = linalg.top_eigen(product, start, linalg.DENSE)
+    values, vectors = linalg.top_eigen(product, start, 256)
     own = vectors.join(values.select(F.col("pos").alias("k"), F.col("re").alias("l")), "k").select("i", "k", (F.col("l") * F.col("re")).alias("v"))
     off = sub(product(vectors.select("i", "k", F.col("re").alias("v"))), own, ["i", "k"]).agg((F.round(F.max(F.abs("v")), 6) + 0.0).alias("residual"))
     sums = values.agg(F.count("*").alias("n"), F.round(F.sum("re"), 4).alias("trace"), F.round(F.sum(F.col("re") * F.col("re")), 3).alias("squares"))
     return sums.crossJoin(off)
 
 
+_BY_REGION = "own AS (SELECT row_sector AS sector, i, j, v FROM sectored), x(step, sector, j, v) AS (SELECT 0, sector, j, 1.0::DOUBLE FROM (SELECT DISTINCT sector, j FROM own) UNION ALL SELECT step + 1, sector, j, v / sqrt(sum(v * v) OVER (PARTITION BY sector)) FROM (SELECT any_value(step) AS step, q.sector, q.j, sum(q.v * y.v) AS v FROM own q JOIN (SELECT any_value(step) AS step, q.sector, q.i, sum(q.v * x.v) AS v FROM own q JOIN x ON q.sector = x.sector AND q.j = x.j WHERE x.step < 60 GROUP BY q.sector, q.i) y ON q.sector = y.sector AND q.i = y.i GROUP BY q.sector, q.j))"
+
+
+@query("l7_by_sector", f"WITH RECURSIVE {_BY_REGION} SELECT sector, CAST(2 AS BIGINT) AS n, round(sum(v * v), 2) AS least, round(sum(v * v), 2) AS largest, 0.0 AS residual FROM (SELECT q.sector, q.i, sum(q.v * x.v) AS v FROM own q JOIN x ON q.sector = x.sector AND q.j = x.j WHERE x.step = 60 GROUP BY q.sector, q.i) GROUP BY sector", "sectored")
+def _(t):
+    """Of ``M^T M`` for the suppliers of each region, on two copies of the parts, so that each value is there twice; more
+    indices than parts. The two largest, and the residual over them."""
+    cells = t.sectored().select(F.col("row_sector").alias("sector"), "i", "j", "v").checkpoint()
+
+    def doubled(x):
+        own = x.select("sector", F.floor(F.col("i") / 2).alias("j"), (F.col("k") * 2 + F.col("i") % 2).alias("c"), F.col("v").alias("x"))
+        inner = cells.join(own, ["sector", "j"]).groupBy("sector", "i", "c").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
+        outer = cells.join(inner, ["sector", "i"]).groupBy("sector", "j", "c").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
+        return outer.select("sector", (F.col("j") * 2 + F.col("c") % 2).alias("i"), F.floor(F.col("c") / 2).alias("k"), "v")
+
+    index = cells.select("sector", "j").distinct().select("sector", F.explode(F.array(F.col("j") * 2, F.col("j") * 2 + 1)).alias("i"))
+    values, _ = linalg.top_eigen(doubled, index, 2, basis=16)
+    return values.groupBy("sector").agg(F.count("*").alias("n"), F.round(F.min("re"), 2).alias("least"), F.round(F.max("re"), 2).alias("largest"), (F.round(F.max(F.col("residual") / F.col("re")), 6) + 0.0).alias("residual"))
+
+
+_RIGHT_SIDES = "SELECT sector, j AS i, round(sum(v), 5) + 0.0 AS v FROM vectors GROUP BY 1, 2"
+
+
+def _systems(t, **how):
+    """``A x`` for the solutions of each label's system, which is its right side: its Gram matrix, with 1 more on the diagonal."""
+    g = _gram_by_label(t).withColumn("v", F.col("v") + (F.col("i") == F.col("j")).cast("double")).checkpoint()
+    b = t.vectors().groupBy("sector", F.col("j").alias("i")).agg(F.sum("v").alias("v"))
+    x = solve(g, b, "sector", **how)
+    back = g.join(x.select("sector", F.col("i").alias("j"), F.col("v").alias("_x")), ["sector", "j"])
+    return back.groupBy("sector", "i").agg((F.round(F.sum(F.col("v") * F.col("_x")), 5) + 0.0).alias("v"))
+
+
+@query("l8_solve_systems", _RIGHT_SIDES, "vectors")
+def _(t):
+    return _systems(t)
+
+
+@query("l8_solve_by_gradients", _RIGHT_SIDES, "vectors")
+def _(t):
+    return _systems(t, direct=0, tol=1e-8)
+
+
 @query("l8_solve_by_group", "SELECT l_returnflag, l_linestatus, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem GROUP BY 1, 2")
 def _(t):
     out = linalg.solve_by_group(t.lineitem, ["l_returnflag", "l_linestatus"], ["l_quantity"], "l_extendedprice")
@@ -171,9 +256,14 @@ def _(t):
     return _spectrum(t).agg((F.round(F.sum(re), 6) + 0.0).alias("trace"), (F.round(F.sum(re * re - im * im), 6) + 0.0).alias("of_two_moves"))
 
 
-@query("l12_mixing_length")
+@query(
+    "l12_mixing_length",
+    # The moves' matrix less its first value's part, squared 24 times: its norm grows by the second value.
+    "WITH RECURSIVE names AS (SELECT i FROM moves UNION SELECT j FROM moves), p AS (SELECT a.i, b.i AS j, coalesce(m.n / sum(m.n) OVER (PARTITION BY a.i), 0.0::DOUBLE) - 1.0::DOUBLE / count(*) OVER (PARTITION BY a.i) AS v FROM names a CROSS JOIN names b LEFT JOIN moves m ON m.i = a.i AND m.j = b.i), r(step, i, j, v, s) AS (SELECT 0, i, j, v / sqrt(sum(v * v) OVER ()), ln(sqrt(sum(v * v) OVER ())) FROM p UNION ALL SELECT step + 1, i, j, v / sqrt(sum(v * v) OVER ()), 2 * s + ln(sqrt(sum(v * v) OVER ())) FROM (SELECT a.step, a.i, b.j, any_value(a.s) AS s, sum(a.v * b.v) AS v FROM r a JOIN r b ON a.j = b.i WHERE a.step < 24 GROUP BY a.step, a.i, b.j)) SELECT round(-1 / (max(s) / pow(2, 24)), 4) AS length FROM r WHERE step = 24",
+    "moves",
+)
 def _(t):
-    return linalg.mixing_length(_spectrum(t)).withColumn("length", F.round("length", 6))
+    return linalg.mixing_length(_spectrum(t)).withColumn("length", F.round("length", 4))
 
 
 @query("l13_two_sided_projectors", "SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 6) + 0.0 AS v FROM vectors a JOIN vectors b ON a.i = b.i WHERE a.j < 20 AND b.j >= 20 GROUP BY 1, 2", "vectors")
@@ -187,6 +277,17 @@ def _(t):
     return contract(a, b, ["k"], ["j", "j2"]).select(F.col("j").alias("i"), F.col("j2").alias("j"), (F.round("v", 6) + 0.0).alias("v"))
 
 
+@query("l13_projectors_by_sector", "SELECT a.sector AS sector, a.j AS i, b.j AS j, round(sum(a.v * b.v), 6) + 0.0 AS v FROM vectors a JOIN vectors b ON a.i = b.i WHERE a.j < 20 AND b.j >= 20 GROUP BY 1, 2, 3", "vectors")
+def _(t):
+    """The same in each sector, all cut at once."""
+    own = t.vectors()
+    left, right = (own.where(c).select("sector", "i", "j", "v") for c in ("j < 20", "j >= 20"))
+    p, pt = linalg.two_sided_projectors(left, right, 1 << 40, rtol=0.0)
+    a = contract(left, p.withColumnRenamed("j", "k"), ["sector", "i"], ["sector", "j", "k"])
+    b = contract(right.withColumnRenamed("j", "j2"), pt.withColumnRenamed("j", "k"), ["sector", "i"], ["sector", "j2", "k"])
+    return contract(a, b, ["sector", "k"], ["sector", "j", "j2"]).select("sector", F.col("j").alias("i"), F.col("j2").alias("j"), (F.round("v", 6) + 0.0).alias("v"))
+
+
 @query("l3_gram_norm", "SELECT sector, round(sqrt(sum(v * v)), 6) AS norm FROM (SELECT a.sector, a.j AS p, b.j AS q, sum(a.v * b.v) AS v FROM vectors a JOIN vectors b ON a.i = b.i GROUP BY 1, 2, 3) GROUP BY 1", "vectors")
 def _(t):
-    return aggregates.norm(linalg.gram(t.vectors(), ["sector"]), ["sector"]).withColumn("norm", F.round("norm", 6))
+    return aggregates.norm(_gram_by_label(t), ["sector"]).withColumn("norm", F.round("norm", 6))
