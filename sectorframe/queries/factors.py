@@ -93,14 +93,14 @@ def _(t):
 _TOP_VALUE = "x(step, j, v) AS (SELECT 0, j, 1.0::DOUBLE FROM (SELECT DISTINCT j FROM quantity) UNION ALL SELECT step + 1, j, v / sqrt(sum(v * v) OVER ()) FROM (SELECT any_value(step) AS step, q.j, sum(q.v * y.v) AS v FROM quantity q JOIN (SELECT any_value(step) AS step, q.i, sum(q.v * x.v) AS v FROM quantity q JOIN x ON q.j = x.j WHERE x.step < 30 GROUP BY q.i) y ON q.i = y.i GROUP BY q.j))"
 
 
-@query("l4_randomized_svd", f"WITH RECURSIVE {_TOP_VALUE} SELECT CAST(1 AS BIGINT) AS kept, round(sum(v * v), 1) AS energy, round((SELECT sum(v * v) FROM quantity) - sum(v * v), 1) AS lost FROM (SELECT q.i, sum(q.v * x.v) AS v FROM quantity q JOIN x ON q.j = x.j WHERE x.step = 30 GROUP BY q.i)", "quantity")
+@query("l4_randomized_svd", f"WITH RECURSIVE {_TOP_VALUE} SELECT CAST(1 AS BIGINT) AS kept, round(sum(v * v) / 1000, 1) AS energy, round(((SELECT sum(v * v) FROM quantity) - sum(v * v)) / 1000, 1) AS lost FROM (SELECT q.i, sum(q.v * x.v) AS v FROM quantity q JOIN x ON q.j = x.j WHERE x.step = 30 GROUP BY q.i)", "quantity")
 def _(t):
-    """The largest of a matrix that is large on both sides, and what its vectors leave out."""
+    """The largest of a matrix that is large on both sides, and what its vectors leave out, in thousands."""
     cells = t.quantity().select("i", "j", "v")
     u, s, v = linalg.randomized_svd(cells, 1)
     back = contract(scale_legs(u.withColumn("sector", F.lit(0)), s, ["j"]).select("i", F.col("j").alias("k"), "v"), v.select(F.col("j").alias("k"), F.col("i").alias("j"), "v"), ["k"], ["i", "j"])
     off = sub(cells, back, ["i", "j"]).agg(F.sum(F.col("v") * F.col("v")).alias("lost"))
-    return s.agg(F.count("*").alias("kept"), F.round(F.sum(F.col("v") * F.col("v")), 1).alias("energy")).crossJoin(off.select(F.round("lost", 1).alias("lost")))
+    return s.agg(F.count("*").alias("kept"), F.round(F.sum(F.col("v") * F.col("v")) / 1000, 1).alias("energy")).crossJoin(off.select(F.round(F.col("lost") / 1000, 1).alias("lost")))
 
 
 def _covariance(t):
@@ -195,25 +195,16 @@ def _(t):
 _RIGHT_SIDES = "SELECT sector, j AS i, round(sum(v), 5) + 0.0 AS v FROM vectors GROUP BY 1, 2"
 
 
-def _systems(t, **how):
+@query("l8_solve_systems", _RIGHT_SIDES, "vectors")
+def _(t):
     """``A x`` for the solutions of each label's system, which is its right side: its Gram matrix, with 1 more on the diagonal."""
     g = _gram_by_label(t).withColumn("v", F.col("v") + (F.col("i") == F.col("j")).cast("double")).checkpoint()
     b = t.vectors().groupBy("sector", F.col("j").alias("i")).agg(F.sum("v").alias("v"))
-    x = solve(g, b, "sector", **how)
+    x = solve(g, b, "sector")
     back = g.join(x.select("sector", F.col("i").alias("j"), F.col("v").alias("_x")), ["sector", "j"])
     return back.groupBy("sector", "i").agg((F.round(F.sum(F.col("v") * F.col("_x")), 5) + 0.0).alias("v"))
 
 
-@query("l8_solve_systems", _RIGHT_SIDES, "vectors")
-def _(t):
-    return _systems(t)
-
-
-@query("l8_solve_by_gradients", _RIGHT_SIDES, "vectors")
-def _(t):
-    return _systems(t, direct=0, tol=1e-8)
-
-
 @query("l8_solve_by_group", "SELECT l_returnflag, l_linestatus, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem GROUP BY 1, 2")
 def _(t):
     out = linalg.solve_by_group(t.lineitem, ["l_returnflag", "l_linestatus"], ["l_quantity"], "l_extendedprice")
