@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 #: Distinct values that one ordered pass takes, at most; more raises.
 PASS_VALUES = 1_000_000
 
@@ -102,7 +104,7 @@ def cut_multiplets(weights: DataFrame, target: int, atol: float = 0.0, rtol: flo
     return weights.join(kept, "v").select(*weights.columns)
 
 
-def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str], keep: Callable[[DataFrame], DataFrame] = DataFrame.checkpoint) -> DataFrame:
+def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str], keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """``rows`` with ``begin``, ``rank`` (from 0) and ``total``: each row's place in its group by an order, of ties any,
     and the group's size. ``begin`` is the number of rows in groups before, so it tells groups apart.
 
