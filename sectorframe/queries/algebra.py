@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import joins, sets
+from ..operators.skew import split_contract
 from ..plans.chains import contract_chain, project_basis
+from ..plans.orders import measured_order
 from ..sources import cells as sources
 from .registry import query
 
@@ -155,6 +157,18 @@ def _(t):
     return joins.contract(t.flags("A"), t.flags("R").withColumnRenamed("i", "k"), ["j"])
 
 
+def _even_as_one(part: str):
+    """Even parts as leg 0, which so holds half of all cells."""
+    return F.when(F.col(part) % 2 == 0, 0).otherwise(F.col(part))
+
+
+@query("j1_hot_leg", "WITH a AS (SELECT CAST(l_orderkey AS BIGINT) AS i, CASE WHEN l_partkey % 2 = 0 THEN 0 ELSE l_partkey END AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2), b AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE p_partkey END AS j, CAST(p_size % 7 AS BIGINT) AS k, count(*)::DOUBLE AS v FROM part GROUP BY 1, 2) SELECT i, k, sum(a.v * b.v) AS v FROM a JOIN b ON a.j = b.j GROUP BY 1, 2")
+def _(t):
+    a = sources.cells_from_facts(t.lineitem, {"i": "l_orderkey", "j": _even_as_one("l_partkey")}, "l_quantity")
+    b = sources.cells_from_facts(t.part, {"j": _even_as_one("p_partkey"), "k": F.col("p_size") % 7}, "p_size", "count")
+    return split_contract(a, b, ["j"], ["i", "k"])
+
+
 @query("j2_add", "SELECT i, j, sum(v) AS v FROM (SELECT * FROM flag_a UNION ALL SELECT * FROM flag_r) GROUP BY 1, 2", "flag_a flag_r")
 def _(t):
     return joins.add(t.flags("A"), t.flags("R"))
@@ -193,6 +207,18 @@ def _(t):
     return contract_chain([one, two, three], ["a", "d"], sizes={"a": 5, "b": 50, "c": 11, "d": 3})
 
 
+@query("j5_measured_order", "SELECT CAST(n_regionkey AS BIGINT) AS r, CAST(p_size AS BIGINT) AS s, sum(l_quantity) AS v FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2")
+def _(t):
+    chain = [
+        sources.cells_from_facts(t.nation, {"r": "n_regionkey", "n": "n_nationkey"}, "n_nationkey", "count"),
+        sources.cells_from_facts(t.customer, {"n": "c_nationkey", "c": "c_custkey"}, "c_custkey", "count"),
+        sources.cells_from_facts(t.orders, {"c": "o_custkey", "o": "o_orderkey"}, "o_orderkey", "count"),
+        sources.cells_from_facts(t.lineitem, {"o": "l_orderkey", "p": "l_partkey"}, "l_quantity"),
+        sources.cells_from_facts(t.part, {"p": "p_partkey", "s": "p_size"}, "p_size", "count"),
+    ]
+    return contract_chain(chain, ["r", "s"], measured_order(chain, ["r", "s"]))
+
+
 @query("j6_project_basis", "WITH p AS (SELECT DISTINCT i, CAST(i % 2 AS BIGINT) AS k FROM regional), q AS (SELECT DISTINCT j, CAST(j % 3 AS BIGINT) AS l FROM regional), m AS (SELECT k AS i, l AS j, sum(v) AS v FROM regional JOIN p USING (i) JOIN q USING (j) GROUP BY 1, 2) SELECT i, j, round(v / (SELECT sqrt(sum(v * v)) FROM m), 6) AS v FROM m", "regional")
 def _(t):
     m = t.regional()
