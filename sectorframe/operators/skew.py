@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import contract
+from .lineage import cut
 
 #: Buckets of the sketch for each part that a table is dealt to. Hot buckets are at most one for each part, so that
 #: about a sixteenth of a table's legs, besides the hot ones, are counted exactly.
@@ -59,7 +60,7 @@ def split_contract(a: DataFrame, b: DataFrame, on: Sequence[str], free: Sequence
     parts = parts or int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = hot_legs(a, on, parts).withColumnRenamed("blocks", "_left")
     right = hot_legs(b, on, parts).withColumnRenamed("blocks", "_right")
-    hot = left.join(right, list(on), "full").checkpoint()
+    hot = cut(left.join(right, list(on), "full"))
     if hot.isEmpty():
         return contract(a, b, on, free)
     kept = [c for c in (*a.columns, *b.columns) if c not in (*on, "v", "sector")]
