@@ -107,7 +107,7 @@ def test_each_pair_between_components_is_tried(spark, monkeypatch):
 def test_what_left_with_a_pivot_meets_what_is_near_it(spark):
     near = spark.createDataFrame([(2, 1, 95), (3, 1, 93), (4, 1, 70), (5, 1, 94), (6, 9, 95), (7, 1, -80)], "k1 bigint, p bigint, alike int")
     roots = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (6, 6), (9, 6)], "node bigint, root bigint")
-    got = near_dup._around(near, roots).collect()
+    got = near_dup._two_sided(*near_dup._around(near, roots)).collect()
     assert len({r.node for r in got}) == 1 and sorted(r.k1 for r in got) == [1, 2, 3, 4, 5, 7]
 
 
