@@ -261,10 +261,11 @@ def _(t):
 def _(t):
     """With all directions kept, ``(R^T P) (Rt^T Pt)^T`` is ``R^T Rt``."""
     own = t.vectors()
-    left, right = (own.where(c).select("i", "j", "v", "sector") for c in ("j < 20", "j >= 20"))
+    # One matrix, not one for each label: sectors would share the 20 directions.
+    left, right = (own.where(c).select("i", "j", "v") for c in ("j < 20", "j >= 20"))
     p, pt = linalg.two_sided_projectors(left, right, 20)
-    a = contract(left.select("i", "j", "v"), p.withColumnRenamed("j", "k"), ["i"], ["j", "k"])
-    b = contract(right.select("i", F.col("j").alias("j2"), "v"), pt.withColumnRenamed("j", "k"), ["i"], ["j2", "k"])
+    a = contract(left, p.withColumnRenamed("j", "k"), ["i"], ["j", "k"])
+    b = contract(right.withColumnRenamed("j", "j2"), pt.withColumnRenamed("j", "k"), ["i"], ["j2", "k"])
     return contract(a, b, ["k"], ["j", "j2"]).select(F.col("j").alias("i"), F.col("j2").alias("j"), (F.round("v", 6) + 0.0).alias("v"))
 
 
