@@ -28,6 +28,23 @@ def contract(a: DataFrame, b: DataFrame, on: Sequence[str], free: Sequence[str]
     return joined.groupBy(*free).agg(F.sum(F.col("_a") * F.col("_b")).alias("v"))
 
 
+#: Columns that one row of :func:`block_times` holds.
+WIDTH = 8
+
+
+def block_times(cells: DataFrame, x: DataFrame) -> DataFrame:
+    """``sector, i, k, v``: cells ``(sector, i, j, v)`` times the columns k (from 0) of ``x``, ``(sector, i, k, v)``; zeros are left out.
+
+    WIDTH columns go in one row, so that a cell is met, summed and shuffled once for them all.
+    """
+    each = range(WIDTH)
+    at, place = F.floor(F.col("k") / WIDTH), F.pmod("k", F.lit(WIDTH))
+    packed = x.groupBy("sector", F.col("i").alias("j"), at.alias("_b")).agg(*[F.sum(F.when(place == c, F.col("v"))).alias(f"_x{c}") for c in each])
+    sums = cells.select("sector", "i", "j", "v").join(packed, ["sector", "j"]).groupBy("sector", "i", "_b").agg(*[F.sum(F.col("v") * F.col(f"_x{c}")).alias(f"_x{c}") for c in each])
+    out = sums.select("sector", "i", "_b", F.posexplode(F.array(*[f"_x{c}" for c in each])).alias("_c", "v"))
+    return out.where("v <> 0").select("sector", "i", (F.col("_b") * WIDTH + F.col("_c")).alias("k"), "v")
+
+
 def add(a: DataFrame, b: DataFrame, legs: Sequence[str] = ("i", "j"), sign: int = 1) -> DataFrame:
     """Sum of cells, an absent one being 0, whatever sectors either side has: a union and one shuffle."""
     keep = [*legs, *(["sector"] if "sector" in a.columns and "sector" in b.columns else [])]

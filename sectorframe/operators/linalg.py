@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import scale
 from .aggregates import normalise
-from .joins import add, contract, shared_sectors
+from .joins import add, block_times, contract, shared_sectors
 from .krylov import eigenpairs
+from .lineage import cut
 from .orthogonal import product, tall_qr, tall_svd
 from .ranking import cut_multiplets
 
@@ -220,16 +221,16 @@ def truncated_svd(cells: DataFrame, target: int, by: str | None = "sector", **cu
 OVER = 10
 
 
-def randomized_svd(cells: DataFrame, k: int, by: str | None = None, steps: int = 3, seed: int = 11, **cut) -> tuple[DataFrame, DataFrame, DataFrame]:
+def randomized_svd(cells: DataFrame, k: int, by: str | None = None, steps: int = 3, seed: int = 11, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``U``, weights and ``V`` of the k largest singular values over all sectors, for matrices large on both sides.
 
     A sketch of ``k + OVER`` columns, drawn by a hash of each index, finds the range: products with the matrix and its
     transpose in turn, ``steps`` times, each made orthonormal before the next. The matrix in that range has one short side,
     and its factors are those of :func:`accurate_svd`. Values that the sketch can't tell from those beyond it are
     a little low: by a factor of ``(s_{k + OVER} / s)^(4 steps + 2)`` in the square, about. Ties are kept together (see
-    ``cut_multiplets`` for ``cut``). No side is bounded but that of the sketch, 2,048. Runs at once.
+    ``cut_multiplets`` for ``how``). No side is bounded but that of the sketch, 2,048. Runs at once.
     """
-    own = _sectors(cells, by).checkpoint()
+    own = cut(_sectors(cells, by))
     wide = k + OVER
     if wide > SMALL_SIDE:
         raise ValueError(f"sketch over {SMALL_SIDE}")
@@ -237,10 +238,7 @@ def randomized_svd(cells: DataFrame, k: int, by: str | None = None, steps: int =
     rows = own.select("sector", F.col("j").alias("i")).distinct()
 
     def times(m: DataFrame, x: DataFrame) -> DataFrame:
-        """Cells times a block with as many columns as the sketch; each row of the block meets a cell once."""
-        packed = x.groupBy("sector", F.col("i").alias("j")).agg(F.collect_list(F.struct(F.col("j").alias("k"), "v")).alias("_x"))
-        each = m.join(packed, ["sector", "j"]).select("sector", "i", "v", F.explode("_x").alias("_x"))
-        return each.groupBy("sector", "i", F.col("_x.k").alias("j")).agg(F.sum(F.col("v") * F.col("_x.v")).alias("v"))
+        return block_times(m, x.withColumnRenamed("j", "k")).withColumnRenamed("k", "j")
 
     y = times(own, random_columns(rows, wide, seed))
     for _ in range(steps):
@@ -248,12 +246,32 @@ def randomized_svd(cells: DataFrame, k: int, by: str | None = None, steps: int =
         y = times(own, q)
     q, _ = tall_qr(y)
     v, s, small = tall_svd(times(flipped, q))
-    kept = cut_multiplets(s, k, **cut).checkpoint()
+    kept = cut_multiplets(s, k, **how).checkpoint()
     names = kept.select("sector", F.col("pos").alias("j"))
     u = product(q, small.join(names, ["sector", "j"], "left_semi"))
     return _bare(u, by), kept, _bare(v.join(names, ["sector", "j"], "left_semi"), by)
 
 
+def left_out(cells: DataFrame, u: DataFrame, weights: DataFrame, v: DataFrame, by: str | None = None) -> DataFrame:
+    """``sector, lost``: the energy of cells less ``U s V^T``, the sum of all squares, for factors with any columns.
+
+    The product is formed at the cells only: beside them stand the squares of the whole product, which come of the
+    factors' Gram matrices. So the work grows with cells and factors, and not with rows times columns.
+    """
+    left, right = _sectors(u, by), _sectors(v, by)
+    scaled = left.join(weights.select("sector", F.col("pos").alias("j"), F.col("v").alias("_s")), ["sector", "j"]).select("sector", "i", "j", (F.col("v") * F.col("_s")).alias("v"))
+
+    def packed(x: DataFrame, leg: str, name: str) -> DataFrame:
+        return x.groupBy("sector", F.col("i").alias(leg)).agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias(name))
+
+    own = _sectors(cells, by).join(packed(scaled, "i", "_u"), ["sector", "i"], "left").join(packed(right, "j", "_v"), ["sector", "j"], "left")
+    terms = F.transform(F.map_keys("_u"), lambda k: F.coalesce(F.col("_u")[k] * F.try_element_at("_v", k), F.lit(0.0)))
+    here = F.coalesce(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b), F.lit(0.0))
+    at_cells = own.select("sector", (F.col("v") * (F.col("v") - 2 * here)).alias("lost"))
+    whole = small_gram(scaled, ["sector"]).withColumnRenamed("v", "_a").join(small_gram(right, ["sector"]), ["sector", "i", "j"]).select("sector", (F.col("_a") * F.col("v")).alias("lost"))
+    return at_cells.union(whole).groupBy("sector").agg(F.sum("lost").alias("lost"))
+
+
 def random_columns(index: DataFrame, columns: int, seed: int) -> DataFrame:
     """``sector, i, j, v``: for each index numbers in [-1, 1) from a hash, the same in every run."""
     draw = F.pmod(F.xxhash64("i", "j", F.lit(seed)), F.lit(1 << 40)) / float(1 << 39) - 1.0

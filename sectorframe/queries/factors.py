@@ -98,8 +98,7 @@ def _(t):
     """The largest of a matrix that is large on both sides, and what its vectors leave out, in thousands."""
     cells = t.quantity().select("i", "j", "v")
     u, s, v = linalg.randomized_svd(cells, 1)
-    back = contract(scale_legs(u.withColumn("sector", F.lit(0)), s, ["j"]).select("i", F.col("j").alias("k"), "v"), v.select(F.col("j").alias("k"), F.col("i").alias("j"), "v"), ["k"], ["i", "j"])
-    off = sub(cells, back, ["i", "j"]).agg(F.sum(F.col("v") * F.col("v")).alias("lost"))
+    off = linalg.left_out(cells, u, s, v).agg(F.sum("lost").alias("lost"))
     return s.agg(F.count("*").alias("kept"), F.round(F.sum(F.col("v") * F.col("v")) / 1000, 1).alias("energy")).crossJoin(off.select(F.round(F.col("lost") / 1000, 1).alias("lost")))
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sectorframe.operators import linalg, orthogonal
+from sectorframe.operators.joins import block_times
 from sectorframe.operators.krylov import eigenpairs
 from sectorframe.operators.solvers import solve
 
@@ -183,3 +184,21 @@ def test_projectors_by_sector(spark):
     for k, n in kept.items():
         a, b = _dense(p, k, (20, 5))[:, :n], _dense(pt, k, (20, 5))[:, :n]
         assert np.allclose(a.T @ b, np.eye(n), atol=1e-10)
+
+
+def test_block_times_and_what_factors_leave_out(spark):
+    """Any number of columns; the energy left out is that of the dense difference, and no plan forms it."""
+    rng = np.random.default_rng(8)
+    parts = {"a": rng.normal(size=(30, 12)) * (rng.random((30, 12)) < 0.4), "b": rng.normal(size=(5, 40)) * (rng.random((5, 40)) < 0.5)}
+    cells = _cells(spark, parts)
+    xs = {k: rng.normal(size=(m.shape[1], 19)) for k, m in parts.items()}
+    image = block_times(cells, _cells(spark, xs).withColumnRenamed("j", "k")).withColumnRenamed("k", "j").toPandas()
+    for k, m in parts.items():
+        assert np.allclose(_dense(image, k, (len(m), 19)), m @ xs[k], rtol=0, atol=1e-12)
+    us, vs, ss = {k: rng.normal(size=(len(m), 3)) for k, m in parts.items()}, {k: rng.normal(size=(m.shape[1], 3)) for k, m in parts.items()}, [3.0, 2.0, 0.5]
+    weights = spark.createDataFrame([(k, p, 1, v) for k in parts for p, v in enumerate(ss)], "sector string, pos bigint, dim int, v double")
+    out = linalg.left_out(cells, _cells(spark, us), weights, _cells(spark, vs), "sector")
+    assert "Cartesian" not in out._jdf.queryExecution().toString()
+    lost = {r.sector: r.lost for r in out.collect()}
+    for k, m in parts.items():
+        assert np.isclose(lost[k], ((m - us[k] * ss @ vs[k].T) ** 2).sum(), rtol=1e-12)
