@@ -125,17 +125,25 @@ def divide(cells: DataFrame, x: float, v: str = "v") -> DataFrame:
 
 
 def ravel(legs: Sequence[Column], shape: Sequence[int]) -> Column:
-    """The flat index, the last leg fastest."""
+    """The flat index, the last leg fastest. It tells the legs (see :func:`unravel`) if all but the first are under their size
+    in the shape: see :func:`shape_of`."""
     return reduce(lambda at, part: at * F.lit(int(part[1])) + part[0], zip(legs[1:], shape[1:], strict=True), legs[0]).cast("bigint")
 
 
+def shape_of(cells: DataFrame, legs: Sequence[str]) -> list[int]:
+    """The least shape that holds all cells: one more than each leg's largest index. Runs at once."""
+    row = cells.agg(*[F.max(c) for c in legs]).head()
+    return [1 + (x if x is not None else -1) for x in row]
+
+
 def unravel(flat: Column, shape: Sequence[int]) -> list[Column]:
-    """The legs' indices of a flat index."""
-    out, rest = [], flat
+    """The legs' indices of a flat index; all but the first must have been under their size in the shape."""
+    out, rest = [], flat.cast("bigint")
     for size in reversed(shape[1:]):
-        out.append(F.pmod(rest, F.lit(int(size))).cast("bigint"))
-        rest = F.floor(rest / F.lit(int(size)))
-    return [rest.cast("bigint"), *reversed(out)]
+        place = F.pmod(rest, F.lit(int(size)).cast("bigint"))
+        out.append(place)
+        rest = F.call_function("div", rest - place, F.lit(int(size)).cast("bigint"))  # whole: doubles end at 2^53
+    return [rest, *reversed(out)]
 
 
 #: Operations on single weights.

@@ -314,3 +314,32 @@ def test_plans_have_no_products_of_indices(spark, sf_dir):
     for name in ("j1_contract", "j2_add", "r1_cut_multiplets", "d3_partial_trace"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_flat_indices_go_back_whatever_their_size(spark):
+    rows = spark.createDataFrame([(0, 0), (3, 1_200_000), (60_000, 1_199_999), (9_000_000_000, 1_000_003)], "i bigint, j bigint")
+    shape = keys.shape_of(rows, ["i", "j"])
+    assert shape == [9_000_000_001, 1_200_001]
+    back = keys.unravel(keys.ravel([F.col("i"), F.col("j")], shape), shape)
+    assert rows.where((back[0] != F.col("i")) | (back[1] != F.col("j"))).count() == 0
+
+
+def test_flat_index_query_with_many_parts(spark, tmp_path):
+    from sectorframe.queries import QUERIES
+
+    spark.createDataFrame([(2, 1_100_000, 3.0), (2, 5, 1.0), (1, 1_000_003, 1.0)], "l_suppkey bigint, l_partkey bigint, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {tuple(r) for r in QUERIES["p9_ravel"](spark, str(tmp_path)).collect()}
+    assert got == {(i, j, i * 1000003 + j, i, j) for i, j in ((2, 1_100_000), (2, 5), (1, 1_000_003))}
+
+
+def test_a_cut_reads_its_weights_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(5000).selectExpr("0 AS sector", "id AS pos", "1 AS dim", "cast(id % 997 AS double) AS v")
+    kept = ranking.cut_multiplets(rows.mapInArrow(told, rows.schema), 40, ratio=0.97)
+    assert kept.count() > 40 and seen.value == 5000
