@@ -69,8 +69,9 @@ def cut_multiplets(weights: DataFrame, target: int, atol: float = 0.0, rtol: flo
 
     The cut is a value, found without an order over all (see :func:`cut_value`), so that any number of rows may be kept.
     With a ratio under 1, the distinct values down to ``ratio`` times that value are put in groups in one pass, which
-    takes up to PASS_VALUES. Runs small jobs at once.
+    takes up to PASS_VALUES. Weights are written once and read again by each round. Runs small jobs at once.
     """
+    weights = cut(weights)
     top = weights.agg(F.max("v"), F.count("v"), F.count_if(F.isnan(F.col("v").cast("double")))).head()
     if top[2]:
         raise ValueError(f"{top[2]} weights are no numbers")

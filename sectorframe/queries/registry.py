@@ -64,7 +64,9 @@ class Tables:
 
     def customer_weights(self) -> DataFrame:
         """Weights: a customer's quantity, by nation, each counted for region + 1."""
-        own = self.lineitem.join(self.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").groupBy("o_custkey").agg(F.sum("l_quantity").alias("v"))
+        # An order's lines are summed first, mostly before the shuffle.
+        orders = self.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("v"))
+        own = orders.join(self.orders.select("o_orderkey", "o_custkey"), "o_orderkey").groupBy("o_custkey").agg(F.sum("v").alias("v"))
         customers = self.customer.join(self.nation, F.col("c_nationkey") == F.col("n_nationkey"))
         return own.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
             F.col("c_nationkey").alias("sector"), F.col("c_custkey").alias("pos"), (F.col("n_regionkey") + 1).alias("dim"), "v"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates, ranking, validation
 from ..operators.joins import add
+from ..operators.lineage import cut
 from .registry import query
 
 
@@ -127,7 +128,7 @@ def _(t):
 
 @query("r4_apply_cut", "WITH r AS (SELECT sector, v, row_number() OVER (PARTITION BY sector ORDER BY abs(v) DESC, pos) - 1 AS pos FROM weights), c AS (SELECT sector, count(*) AS cut FROM weights JOIN (SELECT v, sum(sum(dim)) OVER (ORDER BY v DESC) - sum(dim) AS above FROM weights GROUP BY v) USING (v) WHERE above < 300 GROUP BY 1) SELECT sector, CAST(pos AS BIGINT) AS pos, v FROM r JOIN c USING (sector) WHERE pos < cut", "weights")
 def _(t):
-    own = t.customer_weights()
+    own = cut(t.customer_weights())  # ranked and cut
     place = ranking.ranked(own, "rank").select("sector", F.col("rank").alias("pos"), "v")
     return ranking.apply_cut(place, ranking.cuts(ranking.cut_multiplets(own, 300)))
 
