@@ -20,23 +20,53 @@ def cells_from_arrays(df: DataFrame, row: str, array: str, zeros: bool = False,
     return cells if zeros else cells.where("v <> 0")
 
 
-def cells_from_facts(df: DataFrame, legs: Mapping[str, Column | str], measure: Column | str, agg: str = "sum") -> DataFrame:
-    """One leg for each dimension key; rows with equal keys are aggregated (partially before the shuffle)."""
+#: Facts of one part, about, where they are dealt by key.
+FACTS = 1 << 19
+
+
+def parts_of(df: DataFrame) -> int:
+    """How many parts of FACTS rows a table has. Counts at once."""
+    return max(1, -(-df.count() // FACTS))
+
+
+def cells_from_facts(df: DataFrame, legs: Mapping[str, Column | str], measure: Column | str, agg: str = "sum", parts: int | None = None) -> DataFrame:
+    """One leg for each dimension key; rows with equal keys are aggregated (partially before the shuffle).
+
+    ``parts`` is for keys that hardly repeat, where that saves nothing: rows are dealt to so many parts by their keys, so that
+    what a task holds is bounded by a part's rows (see :func:`parts_of`), however small the rows become when shuffled.
+    """
     names = {k: F.col(c) if isinstance(c, str) else c for k, c in legs.items()}
     value = F.col(measure) if isinstance(measure, str) else measure
     how = {"sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg, "count": F.count}[agg]
+    if parts:
+        rows = df.select(*[c.cast("bigint").alias(k) for k, c in names.items()], value.alias("v")).repartition(parts, *names)
+        return rows.groupBy(*names).agg(how("v").cast("double").alias("v"))
     return df.groupBy(*[c.cast("bigint").alias(k) for k, c in names.items()]).agg(how(value).cast("double").alias("v"))
 
 
-def random_cells(rows: DataFrame, cols: DataFrame, seed: int = 0, parts: int = 64) -> DataFrame:
+#: Rows and columns of a block of random cells, about.
+BLOCK = 1 << 8, 1 << 12
+
+
+def random_cells(rows: DataFrame, cols: DataFrame, seed: int = 0) -> DataFrame:
     """``i, j, sector, v``: a value from [-0.5, 0.5) at each allowed pair of ``(idx, sector)`` rows.
 
-    Values are hashes of the indices, so they don't depend on how rows are dealt to tasks. Sectors are few, so each
-    one's rows are dealt to ``parts`` parts, and its columns go to all of them.
+    Values are hashes of the indices, so they don't depend on how rows are dealt to tasks. Indices go in blocks: a sector's
+    blocks of rows meet its blocks of columns, and pairs are made where two blocks have met, so that what is shuffled and
+    joined is thousands of times less than the cells, which are rows times columns by definition. Counts at once.
     """
-    left = rows.select(F.col("idx").alias("i"), "sector").withColumn("_p", F.pmod(F.xxhash64("i"), F.lit(parts)))
-    right = cols.select(F.col("idx").alias("j"), "sector", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("_p"))
-    pairs = left.join(right, ["sector", "_p"])
+
+    def blocks(x: DataFrame, size: int, name: str) -> tuple[DataFrame, DataFrame]:
+        counts = x.groupBy("sector").agg(F.ceil(F.count("*") / size).cast("bigint").alias("_n"))
+        placed = x.join(counts, "sector").groupBy("sector", F.pmod(F.xxhash64("idx"), "_n").alias(name))
+        return placed.agg(F.collect_list("idx").alias(f"{name}s")), counts
+
+    left, _ = blocks(rows, BLOCK[0], "_i")
+    right, counts = blocks(cols, BLOCK[1], "_j")
+    parts = counts.agg(F.sum("_n")).head()[0] or 1
+    each = left.join(counts, "sector").withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
+    met = each.repartition(parts, "sector", "_j").join(right.repartition(parts, "sector", "_j"), ["sector", "_j"])
+    pairs = met.select("sector", "_is", F.explode("_js").alias("j")).select("sector", "j", F.explode("_is").alias("i"))
     v = F.pmod(F.xxhash64("i", "j", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53)) - 0.5
     return pairs.select("i", "j", "sector", v.alias("v"))
 

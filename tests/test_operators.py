@@ -343,3 +343,18 @@ def test_a_cut_reads_its_weights_once(spark):
     rows = spark.range(5000).selectExpr("0 AS sector", "id AS pos", "1 AS dim", "cast(id % 997 AS double) AS v")
     kept = ranking.cut_multiplets(rows.mapInArrow(told, rows.schema), 40, ratio=0.97)
     assert kept.count() > 40 and seen.value == 5000
+
+
+def test_facts_dealt_by_parts_and_random_cells_by_blocks(spark, monkeypatch):
+    """The same sums in so many tasks; pairs of any sector are made in several tasks, though one side is small."""
+    facts = spark.range(600).selectExpr("id % 7 AS a", "id % 11 AS b", "cast(id % 5 AS double) AS q")
+    legs = {"i": "a", "j": "b"}
+    dealt = sources.cells_from_facts(facts, legs, "q", parts=9)
+    assert dealt.rdd.getNumPartitions() == 9
+    assert {tuple(r) for r in dealt.collect()} == {tuple(r) for r in sources.cells_from_facts(facts, legs, "q").collect()}
+    monkeypatch.setattr(sources, "BLOCK", (8, 16))
+    rows, cols = (spark.range(n).selectExpr("id AS idx", "cast(id % 2 AS int) AS sector") for n in (50, 300))
+    pairs = sources.random_cells(rows, cols, seed=3).withColumn("task", F.spark_partition_id())
+    got = pairs.toPandas()
+    assert sorted(zip(got["i"], got["j"], strict=True)) == [(i, j) for i in range(50) for j in range(300) if (i - j) % 2 == 0]
+    assert got["v"].between(-0.5, 0.5, "left").all() and got["task"].nunique() > 5
