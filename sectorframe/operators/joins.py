@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from .sets import sector_except, sector_intersect
 
 
-def contract(a: DataFrame, b: DataFrame, on: Sequence[str], free: Sequence[str] | None = None, sector: str | None = None) -> DataFrame:
+def contract(a: DataFrame, b: DataFrame, on: Sequence[str], free: Sequence[str] | None = None, sector: str | None = None, parts: int | None = None) -> DataFrame:
     """Sum over the shared legs ``on`` of products of cells, for each combination of the free legs.
 
+    ``parts`` deals both sides to so many parts, for products that are many times the cells: a task then sums a part's,
+    whatever is merged at run time by the size of what is shuffled.
+
     ``sector``: a column of both that the shared legs determine; as a further join key it
     prunes and changes nothing. Legs of one name on both sides must be in ``on``.
     """
@@ -24,8 +27,10 @@ def contract(a: DataFrame, b: DataFrame, on: Sequence[str], free: Sequence[str]
     left = [c for c in a.columns if c not in (*keys, "v", "sector")]
     right = [c for c in b.columns if c not in (*keys, "v", "sector")]
     free = list(free) if free is not None else left + right
-    joined = a.select(*keys, *left, F.col("v").alias("_a")).join(b.select(*keys, *right, F.col("v").alias("_b")), keys)
-    return joined.groupBy(*free).agg(F.sum(F.col("_a") * F.col("_b")).alias("v"))
+    one, two = a.select(*keys, *left, F.col("v").alias("_a")), b.select(*keys, *right, F.col("v").alias("_b"))
+    if parts:
+        one, two = one.repartition(parts, *keys), two.repartition(parts, *keys)
+    return one.join(two, keys).groupBy(*free).agg(F.sum(F.col("_a") * F.col("_b")).alias("v"))
 
 
 #: Columns that one row of :func:`block_times` holds.

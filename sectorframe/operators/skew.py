@@ -21,6 +21,10 @@ def _present(cells: DataFrame, on: Sequence[str]) -> DataFrame:
     return cells.where(reduce(and_, [F.col(c).isNotNull() for c in on]))
 
 
+#: Cells of both sides in one part of a join, about.
+CELLS = 1 << 18
+
+
 def hot_legs(cells: DataFrame, on: Sequence[str], parts: int) -> DataFrame:
     """``on``, ``blocks``: the values of the legs that hold over ``1 / parts`` of all cells, at most ``parts`` of them, and
     the number of such shares that each fills.
@@ -29,12 +33,18 @@ def hot_legs(cells: DataFrame, on: Sequence[str], parts: int) -> DataFrame:
     less than the leg does, so none is missed; then only the legs in hot buckets are counted, exactly. Null legs, which
     meet nothing, don't count. The number of cells is read at once; an empty table has no hot legs.
     """
+    return _hot(cells, on, parts)[0]
+
+
+def _hot(cells: DataFrame, on: Sequence[str], parts: int) -> tuple[DataFrame, int]:
+    """The hot legs and the number of cells."""
     own, at = _present(cells, on), F.pmod(F.xxhash64(*on), F.lit(WIDTH * parts))
     counts = own.groupBy(at.alias("_bucket")).agg(F.count("*").alias("_n")).collect()  # WIDTH * parts numbers, at most
-    share = sum(r["_n"] for r in counts) / parts
+    total = sum(r["_n"] for r in counts)
+    share = total / parts
     hot = [r["_bucket"] for r in counts if r["_n"] > share]
     exact = own.where(at.isin(hot) if hot else F.lit(False)).groupBy(*on).agg(F.count("*").alias("_n"))
-    return exact.where(F.col("_n") > share).select(*on, F.ceil(F.col("_n") / F.lit(share or 1.0)).cast("int").alias("blocks"))
+    return exact.where(F.col("_n") > share).select(*on, F.ceil(F.col("_n") / F.lit(share or 1.0)).cast("int").alias("blocks")), total
 
 
 def _dealt(cells: DataFrame, hot: DataFrame, on: Sequence[str], own: str, other: str, axes: tuple[str, str]) -> DataFrame:
@@ -58,13 +68,13 @@ def split_contract(a: DataFrame, b: DataFrame, on: Sequence[str], free: Sequence
     make. Counts are read at once.
     """
     parts = parts or int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = hot_legs(a, on, parts).withColumnRenamed("blocks", "_left")
-    right = hot_legs(b, on, parts).withColumnRenamed("blocks", "_right")
-    hot = cut(left.join(right, list(on), "full"))
+    (left, one), (right, two) = _hot(a, on, parts), _hot(b, on, parts)
+    hot = cut(left.withColumnRenamed("blocks", "_left").join(right.withColumnRenamed("blocks", "_right"), list(on), "full"))
+    dealt = max(parts, -(-(one + two) // CELLS))
     if hot.isEmpty():
-        return contract(a, b, on, free)
+        return contract(a, b, on, free, parts=dealt)
     kept = [c for c in (*a.columns, *b.columns) if c not in (*on, "v", "sector")]
     one = _dealt(a.drop("sector"), hot, on, "_left", "_right", ("_p", "_q"))
     two = _dealt(b.drop("sector"), hot, on, "_right", "_left", ("_q", "_p"))
-    return contract(one, two, [*on, "_p", "_q"], list(free) if free is not None else kept)
+    return contract(one, two, [*on, "_p", "_q"], list(free) if free is not None else kept, parts=dealt)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import with_sector
-from ..sources.cells import cells_from_arrays, cells_from_facts
+from ..sources.cells import cells_from_arrays, cells_from_facts, parts_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,7 +34,7 @@ class Tables:
 
     def quantity(self) -> DataFrame:
         """Suppliers by parts: quantities, whole numbers."""
-        return cells_from_facts(self.lineitem, {"i": "l_suppkey", "j": "l_partkey"}, "l_quantity")
+        return cells_from_facts(self.lineitem, {"i": "l_suppkey", "j": "l_partkey"}, "l_quantity", parts=parts_of(self.lineitem))
 
     def sectored(self) -> DataFrame:
         """The same with the sectors of rows and columns."""
@@ -48,7 +48,9 @@ class Tables:
 
     def flags(self, flag: str) -> DataFrame:
         """Quantities by supplier and part of one return flag."""
-        return cells_from_facts(self.lineitem.where(F.col("l_returnflag") == flag), {"i": "l_suppkey", "j": "l_partkey"}, "l_quantity")
+        facts = self.lineitem.where(F.col("l_returnflag") == flag)
+        # As many parts for all flags, so that sums of two need no further shuffle.
+        return cells_from_facts(facts, {"i": "l_suppkey", "j": "l_partkey"}, "l_quantity", parts=parts_of(self.lineitem))
 
     def regional(self) -> DataFrame:
         """Regions by part sizes: quantities."""
