@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .lineage import cut
+from .lineage import cut, drop, written
 
 #: Random columns beside those asked for, columns of a basis at least, and rows of a part, about.
 EXTRA, BASIS, ROWS = 2, 36, 1 << 14
@@ -66,10 +66,21 @@ class _Krylov:
         self.arrow = to_arrow_type(index.schema["sector"].dataType)
         self.n, self.tol, self.wide = n, tol, n + EXTRA
         counts = index.groupBy("sector").agg(F.ceil(F.count("*") / ROWS).cast("bigint").alias("parts"))
-        self.placed = index.join(counts, "sector").select("sector", "i", F.pmod(F.xxhash64("i"), "parts").alias("part"))
-        self.placed = cut(self.placed)
+        self.counts, self.index, self.path = cut(counts), index, None
         self.state = f"sector {self.kind}, {_STATE}"
 
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """Rows ``sector, i`` with the part in which their index lies."""
+        return rows.join(self.counts, "sector").withColumn("part", F.pmod(F.xxhash64("i"), "parts")).drop("parts")
+
+    def kept(self, state: DataFrame | None) -> DataFrame | None:
+        """The next state, written; the one before, which only it is made of, is deleted."""
+        before = self.path
+        out, self.path = written(state) if state is not None else (None, None)
+        if before:
+            drop(self.counts.sparkSession, before)
+        return out
+
     def _mapped(self, state: DataFrame, run: Callable[[dict], dict], schema: str | None = None) -> DataFrame:
         schema = schema or self.state
         names = [f.split()[0] for f in schema.split(", ")]
@@ -87,7 +98,7 @@ class _Krylov:
 
     def begun(self) -> DataFrame:
         """All parts, with an empty basis."""
-        idx = self.placed.groupBy("sector", "part").agg(F.sort_array(F.collect_list("i")).alias("i"))
+        idx = self.placed(self.index).groupBy("sector", "part").agg(F.sort_array(F.collect_list("i")).alias("i"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -150,7 +161,7 @@ class _Krylov:
             new = z @ _matrix(row["c"], z.shape[1]).reshape(z.shape[1], width) if width else np.zeros((len(z), 0))
             return {"q": np.hstack([q, new]), "y": row["y"][:, : q.shape[1]], "new": width}
 
-        return cut(self._mapped(state.join(small, "sector"), run))
+        return self.kept(self._mapped(state.join(small, "sector"), run))
 
     def multiplied(self, state: DataFrame, matvec: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Images of the basis' last columns, beside the others' in ``y``."""
@@ -164,16 +175,18 @@ class _Krylov:
                     yield pa.RecordBatch.from_arrays([pa.array([row["sector"]] * len(a), kind), pa.array(row["idx"][a]), pa.array(k, pa.int64()), pa.array(x[a, k])], ["sector", "i", "k", "v"])
 
         image = matvec(state.mapInArrow(cells, f"sector {self.kind}, i bigint, k bigint, v double")).select("sector", "i", "k", F.col("v").cast("double").alias("v"))
-        packed = image.join(self.placed, ["sector", "i"]).groupBy("sector", "part").agg(F.collect_list(F.struct("i", "k", "v")).alias("image"))
+        packed = self.placed(image).groupBy("sector", "part").agg(F.collect_list(F.struct("i", "k", "v")).alias("image"))
 
         def run(row: dict) -> dict:
             out = np.zeros((len(row["idx"]), row["new"]))
             if row["image"] and row["new"]:
                 i, k, v = (np.array([x[c] for x in row["image"]]) for c in ("i", "k", "v"))
-                np.add.at(out, (np.searchsorted(row["idx"], i), k.astype(np.int64)), v)
+                at = np.minimum(np.searchsorted(row["idx"], i), len(out) - 1)
+                own = row["idx"][at] == i
+                np.add.at(out, (at[own], k[own].astype(np.int64)), v[own])
             return {"y": np.hstack([row["y"].reshape(len(out), -1), out])}
 
-        return cut(self._mapped(state.join(packed, ["sector", "part"], "left"), run))
+        return self.kept(self._mapped(state.join(packed, ["sector", "part"], "left"), run))
 
     def solved(self, state: DataFrame) -> DataFrame:
         """``sector, re, im, x, b``: best values of the projected operator, their vectors, and a basis of what they span."""
@@ -225,7 +238,7 @@ class _Krylov:
             both = [r.real, *([r.imag] if any(row["im"][k] for k in open_) else [])]
             return {"q": row["q"] @ b, "y": np.hstack([row["y"] @ b, *both, _random(row["idx"], wide, seed)])}
 
-        return cut(self._mapped(state.join(found, "sector"), run))
+        return self.kept(self._mapped(state.join(found, "sector"), run))
 
     def vectors(self, state: DataFrame, found: DataFrame) -> DataFrame:
         kind = self.arrow
@@ -255,11 +268,12 @@ def eigenpairs(matvec: Callable[[DataFrame], DataFrame], index: DataFrame, n: in
     acts on. Zeros (1e-13 of a sector's largest value) are left out, so a sector whose operator has fewer pairs
     gives fewer, and one on which it is nothing gives none. Values that repeat are told as often as they do; of those
     that tie with the n-th any are taken. Residuals are at most ``tol`` times the sector's largest value; if they aren't
-    within ``most`` bases, of ``basis`` columns or three blocks at least, a ``ValueError`` tells in how many sectors.
+    within ``most`` bases, of ``basis`` columns or three blocks at least, a ``ValueError`` tells in how many sectors. A step's
+    basis is deleted when the next is written.
     """
     own = _Krylov(cut(index.select("sector", "i").distinct()), n, tol)
     steps, before, seed, wide = max(3, -(-basis // own.wide)), None, 0, own.wide
-    state = cut(own._mapped(own.begun(), lambda row: {"y": _random(row["idx"], wide, 0)}))
+    state = own.kept(own._mapped(own.begun(), lambda row: {"y": _random(row["idx"], wide, 0)}))
     for _ in range(most):
         last = steps if before is None else 3  # random columns beside what is locked show soon whether there is more
         for step in range(last):
@@ -282,7 +296,9 @@ def eigenpairs(matvec: Callable[[DataFrame], DataFrame], index: DataFrame, n: in
         raise ValueError(f"no convergence within {most} bases in {left} sectors")
     each = found.select("sector", F.posexplode(F.arrays_zip("re", "im", "off")).alias("pos", "x"))
     values = each.select("sector", F.col("pos").cast("bigint").alias("pos"), "x.re", "x.im", F.col("x.off").alias("residual"))
-    return cut(values), cut(own.vectors(state, found))
+    values, vectors = cut(values), cut(own.vectors(state, found))
+    own.kept(None)
+    return values, vectors
 
 
 def _goes_on(row: dict) -> dict:

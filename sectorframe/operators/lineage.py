@@ -4,7 +4,29 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+#: Whether a write's shuffles are deleted with its end and not with the driver's next garbage collection.
+_CLEANS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The table, written to the checkpoint folder and read back, and its path there; what its write shuffled is deleted."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("spark.checkpoint.dir names no folder")
+    path, before = f"{folder}/{uuid.uuid4().hex}", spark.conf.get(_CLEANS, None)
+    spark.conf.set(_CLEANS, "true")
+    try:
+        df.select("*").write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANS)
+        else:
+            spark.conf.set(_CLEANS, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,9 +35,10 @@ def cut(df: DataFrame) -> DataFrame:
     Unlike ``checkpoint()``, nothing of the plan stays: that keeps the plan's size estimate, which joins multiply, so that
     after some dozens of them planning takes longer than the job. Raises where no checkpoint folder is set.
     """
-    folder = df.sparkSession.sparkContext.getCheckpointDir()
-    if not folder:
-        raise ValueError("spark.checkpoint.dir names no folder")
-    path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df)[0]
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table that :func:`written` wrote and that nothing will read again."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, linalg
-from ..operators.joins import contract, scale_legs, sub
+from ..operators.joins import block_times, contract, scale_legs, sub
+from ..operators.lineage import cut
 from ..operators.solvers import solve
+from ..sources.cells import parts_of
 from .registry import query
 
 
@@ -178,13 +180,15 @@ _BY_REGION = "own AS (SELECT row_sector AS sector, i, j, v FROM sectored), x(ste
 def _(t):
     """Of ``M^T M`` for the suppliers of each region, on two copies of the parts, so that each value is there twice; more
     indices than parts. The two largest, and the residual over them."""
-    cells = t.sectored().select(F.col("row_sector").alias("sector"), "i", "j", "v").checkpoint()
+    own = t.sectored().select(F.col("row_sector").alias("sector"), "i", "j", "v")
+    # By parts, which are more than suppliers, so that a part's sums mostly meet before they are shuffled.
+    cells = cut(own.repartition(parts_of(t.lineitem), "sector", "j"))
+    flipped = cells.select("sector", F.col("j").alias("i"), F.col("i").alias("j"), "v")
 
     def doubled(x):
-        own = x.select("sector", F.floor(F.col("i") / 2).alias("j"), (F.col("k") * 2 + F.col("i") % 2).alias("c"), F.col("v").alias("x"))
-        inner = cells.join(own, ["sector", "j"]).groupBy("sector", "i", "c").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
-        outer = cells.join(inner, ["sector", "i"]).groupBy("sector", "j", "c").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
-        return outer.select("sector", (F.col("j") * 2 + F.col("c") % 2).alias("i"), F.floor(F.col("c") / 2).alias("k"), "v")
+        own = x.select("sector", F.floor(F.col("i") / 2).alias("i"), (F.col("k") * 2 + F.col("i") % 2).alias("k"), "v")
+        outer = block_times(flipped, block_times(cells, own))
+        return outer.select("sector", (F.col("i") * 2 + F.col("k") % 2).alias("i"), F.floor(F.col("k") / 2).alias("k"), "v")
 
     index = cells.select("sector", "j").distinct().select("sector", F.explode(F.array(F.col("j") * 2, F.col("j") * 2 + 1)).alias("i"))
     values, _ = linalg.top_eigen(doubled, index, 2, basis=16)

@@ -202,3 +202,16 @@ def test_block_times_and_what_factors_leave_out(spark):
     lost = {r.sector: r.lost for r in out.collect()}
     for k, m in parts.items():
         assert np.isclose(lost[k], ((m - us[k] * ss @ vs[k].T) ** 2).sum(), rtol=1e-12)
+
+
+def test_bases_are_deleted_once_the_next_is_written(spark):
+    import os
+
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    m = np.diag(np.arange(1.0, 41))
+    cells = _cells(spark, {"a": m})
+    before = set(os.listdir(folder))
+    values, vectors = eigenpairs(lambda x: block_times(cells, x), cells.select("sector", "i"), 2)
+    assert np.allclose(sorted(values.toPandas()["re"]), [39, 40]) and vectors.count() > 0
+    new = [spark.read.parquet(f"file:{folder}/{d}").columns for d in set(os.listdir(folder)) - before if not d.startswith("rdd-")]
+    assert new and not any("q" in c for c in new)
