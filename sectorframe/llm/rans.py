@@ -32,7 +32,10 @@ SHARD_IDS = 1 << 20
 MAGIC = 0x534E4152
 
 _LOW = np.uint64(1 << 32)
+_BITS = np.uint64(BITS)
+_ALL = np.uint64(1 << BITS)
 _MASK = np.uint64((1 << BITS) - 1)
+_WORD = np.uint64(32)
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -61,26 +64,30 @@ class Coder:
     """
 
     def __init__(self, freq: np.ndarray):
-        self.freq = freq.astype(np.uint64)
-        self.cum = (np.cumsum(freq) - freq).astype(np.uint64)
-        self.slots = np.zeros(1 << BITS, np.uint32)
-        self.slots[: freq.sum()] = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
+        # One number for an id, and one for a slot, so that a step looks up once: a frequency in the lowest bits, then where
+        # the id's slots begin (or a slot's place among them), then the slot's id.
+        own, cum = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
+        self.table = own | cum << _BITS
+        ids = np.repeat(np.arange(len(freq), dtype=np.uint64), freq)
+        place = np.arange(len(ids), dtype=np.uint64) - np.repeat(cum, freq)
+        self.slots = np.zeros(1 << BITS, np.uint64)
+        self.slots[: len(ids)] = np.repeat(own, freq) | place << _BITS | ids << _BITS + _BITS
 
     def _push(self, grid: np.ndarray, last: int) -> tuple[np.ndarray, list[bytes]]:
         """States and words of blocks (steps x blocks x lanes); the last step has ids on ``last`` lanes only."""
         steps, blocks, _ = grid.shape
+        grid = np.ascontiguousarray(grid, np.int64)
         x = np.full((blocks, LANES), _LOW, np.uint64)
         words = np.empty((steps, blocks, LANES), np.uint32)
         full = np.zeros((steps, blocks, LANES), bool)
         for s in range(steps - 1, -1, -1):
             n = last if s == steps - 1 else LANES
-            ids, own = grid[s, :, :n], x[:, :n]
-            f = self.freq[ids]
-            np.greater_equal(own, f << np.uint64(64 - BITS), out=full[s, :, :n])
-            words[s, :, :n] = own.astype(np.uint32)
-            own = np.where(full[s, :, :n], own >> np.uint64(32), own)
-            q = own // f
-            x[:, :n] = (q << np.uint64(BITS)) + (own - q * f) + self.cum[ids]
+            found, own, out = self.table[grid[s, :, :n]], x[:, :n], full[s, :, :n]
+            f = found & _MASK
+            np.greater_equal(own, f << np.uint64(64 - BITS), out=out)
+            words[s, :, :n] = own
+            own = own >> (out * _WORD)
+            x[:, :n] = own + own // f * (_ALL - f) + (found >> _BITS)
         return x, [words[:, k][full[:, k]].astype("<u4").tobytes() for k in range(blocks)]
 
     def encode(self, ids: np.ndarray) -> bytes:
@@ -103,14 +110,19 @@ class Coder:
         for s in range(steps):
             n = last if s == steps - 1 else LANES
             own = x[:, :n]
-            slot = own & _MASK
-            grid[s, :, :n] = sym = self.slots[slot]
-            own = self.freq[sym] * (own >> np.uint64(BITS)) + slot - self.cum[sym]
+            found = self.slots[(own & _MASK).view(np.int64)]
+            grid[s, :, :n] = found >> _BITS + _BITS
+            own = (found & _MASK) * (own >> _BITS) + (found >> _BITS & _MASK)
             low = own < _LOW
-            rank = np.cumsum(low, 1)
-            where = np.minimum(at[:, None] + rank - 1, len(words) - 1)
-            x[:, :n] = np.where(low, (own << np.uint64(32)) | words[where], own)
-            at = at + rank[:, -1]
+            # The words of a step stand lane after lane in each block.
+            lanes = np.flatnonzero(low)
+            taken = np.diff(lanes.searchsorted(np.arange(len(x) + 1) * n))
+            where = np.repeat(at - (np.cumsum(taken) - taken), taken)
+            where += np.arange(len(lanes))
+            flat = own.ravel()
+            flat[lanes] = flat[lanes] << _WORD | words.take(where, mode="clip")
+            x[:, :n] = flat.reshape(own.shape)
+            at = at + taken
         if (x != _LOW).any():
             raise ValueError("coders don't end as they began")
         return grid.transpose(1, 0, 2).reshape(len(x), -1), at

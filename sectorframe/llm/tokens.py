@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import compress, repeat
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Bytes that the encoded pieces take which a Python worker keeps; when there would be more, it starts anew.
+#: Bytes that the encoded pieces take which a Python worker keeps; when there would be more, those met in one chunk only go.
 CACHE_BYTES = 64 << 20
 #: Bytes of text that are encoded together; a longer text is encoded in parts of about this size.
 CHUNK_BYTES = 1 << 20
@@ -29,15 +30,20 @@ _ENTRY = 180
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = True
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SIGN = np.zeros(256, bool)
-_SIGN[[ord(x) for x in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
-_BLANK = np.zeros(256, bool)
-_BLANK[[ord(" "), ord("\n")]] = True
+_SIGN[[ord(x) for x in _SIGNS]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 #: White space beyond the blank and the line feed, and what might be taken for it.
 _RARE = r"[\x00-\x09\x0b-\x1f\x7f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 
+#: Bits that tell a byte's kind: blank, letter, sign (the next bit), and first byte of what ``_RARE`` finds.
+_IS_BLANK, _IS_LETTER, _IS_SIGN, _IS_RARE = 1, 2, 4, 8
+_KIND = _IS_LETTER * _LETTER.astype(np.uint8) + _IS_SIGN * _SIGN.astype(np.uint8)
+_KIND[[ord(" "), ord("\n")]] = _IS_BLANK
+_KIND[[*range(0, 10), *range(11, 32), 127, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = _IS_RARE
+
 _CODERS: dict[tuple[str, str], Encoder] = {}
 
 
@@ -67,23 +73,44 @@ class Encoder:
             self.marks[k] = token.endswith("</w>") if cut == "words" else token[:1] in "ĠĊ"
 
     def _forget(self) -> None:
-        """Kept pieces by number; the ids of number k stand in ``pool`` from ``starts[k]`` on."""
+        """Kept pieces by number, in that order; the ids of number k stand in ``pool`` from ``starts[k]`` on, and ``met``
+        tells how often a chunk held it."""
         self.known: dict[str, int] = {}
         self.held = 0
         self.starts = np.zeros(0, np.int32)
         self.lengths = np.zeros(0, np.int32)
+        self.met = np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.int32)
 
+    def _thin(self) -> None:
+        """Keep the pieces that chunks met again, the more often met of them where they would fill over half the room."""
+        names = list(self.known)
+        sizes = _ENTRY + 5 * np.fromiter(map(len, names), np.int64, len(names))
+        least = 2
+        while int(sizes[kept := np.flatnonzero(self.met >= least)].sum()) > CACHE_BYTES // 2:
+            least *= 2
+        pool, lengths = self._ids(kept)
+        self.known = dict(zip(map(names.__getitem__, kept.tolist()), range(len(kept))))
+        self.held = int(sizes[kept].sum())
+        self.starts, self.lengths, self.met, self.pool = (np.cumsum(lengths) - lengths).astype(np.int32), lengths, self.met[kept] >> 1, pool
+
+    def _ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of kept pieces one after another, and each one's count."""
+        each = self.lengths[numbers]
+        ends = np.cumsum(each, dtype=np.int64)
+        where = np.repeat(self.starts[numbers] - (ends - each), each)
+        where += np.arange(len(where))
+        return self.pool[where], each
+
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, np.int32) for x in found]
 
-    def _fresh(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pieces one after another, and each one's count. Pieces that begin (or end)
-        with a marked token and have no other go to the library many to a string."""
-        simple = [x.isalpha() if self.cut == "words" else x[:1] in (" ", "\n") for x in pieces]
-        order = sorted(range(len(pieces)), key=simple.__getitem__, reverse=True)
-        many = [pieces[k] for k in order[: sum(simple)]]
+    def _learn(self, pieces: list[str]) -> None:
+        """Keep distinct pieces with their ids. Those that begin (or end) with a marked token and have
+        no other go to the library many to a string."""
+        simple = [x.isalpha() for x in pieces] if self.cut == "words" else [x[:1] in (" ", "\n") for x in pieces]
+        many, rest = list(compress(pieces, simple)), list(compress(pieces, map(not_, simple)))
         groups = [many[i : i + JOINED] for i in range(0, len(many), JOINED)]
         ids, lengths = [], []
         for group, found in zip(groups, self._library([(" " if self.cut == "words" else "").join(g) for g in groups]), strict=True):
@@ -95,30 +122,32 @@ class Encoder:
                 continue
             ids.append(found)
             lengths.append(np.diff(at, prepend=-1) if self.cut == "words" else np.diff(at, append=len(found)))
-        rest = self._library([pieces[k] for k in order[len(many) :]])
-        ids += rest
-        lengths.append(np.array([len(x) for x in rest], np.int64))
-        for k, x in enumerate(order):
-            self.known[pieces[x]] = len(self.lengths) + k
-        return np.concatenate(ids), np.concatenate(lengths)
+        single = self._library(rest)
+        lengths.append(np.array([len(x) for x in single], np.int64))
+        before, each = len(self.known), np.concatenate(lengths)
+        self.known.update(zip(many + rest, range(before, before + len(pieces))))
+        self.starts = np.concatenate([self.starts, (len(self.pool) + np.cumsum(each) - each).astype(np.int32)])
+        self.lengths = np.concatenate([self.lengths, each.astype(np.int32)])
+        self.met = np.concatenate([self.met, np.zeros(len(pieces), np.int32)])
+        self.pool = np.concatenate([self.pool, *ids, *single])
 
     def _numbers(self, pieces: list[str]) -> np.ndarray:
-        get = self.known.get
-        out = np.fromiter(map(get, pieces, repeat(-1)), np.int64, len(pieces))
+        out = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(out < 0)
         if len(new):
-            fresh = list(dict.fromkeys(pieces[k] for k in new.tolist()))
-            more = sum(_ENTRY + 5 * len(x) for x in fresh)
-            if len(self.known) and self.held + more > CACHE_BYTES:
-                self._forget()
+            unknown = list(map(pieces.__getitem__, new.tolist()))
+            fresh = list(dict.fromkeys(unknown))
+            more = _ENTRY * len(fresh) + 5 * sum(map(len, fresh))
+            if self.known and self.held + more > CACHE_BYTES:
+                if self.held > CACHE_BYTES // 2:
+                    self._thin()
+                else:
+                    self._forget()
                 return self._numbers(pieces)
             self.held += more
-            ids, lengths = self._fresh(fresh)
-            self.starts = np.concatenate([self.starts, (len(self.pool) + np.cumsum(lengths) - lengths).astype(np.int32)])
-            self.lengths = np.concatenate([self.lengths, lengths.astype(np.int32)])
-            self.pool = np.concatenate([self.pool, ids])
-            get = self.known.get
-            out[new] = np.fromiter((get(pieces[k]) for k in new.tolist()), np.int64, len(new))
+            self._learn(fresh)
+            out[new] = np.fromiter(map(self.known.__getitem__, unknown), np.int64, len(new))
+        self.met[out] += 1
         return out
 
     def _cut(self, texts: pa.Array, inner: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -128,10 +157,16 @@ class Encoder:
         bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
         bounds = bounds - bounds[0]
-        blank = _BLANK[data]
+        kind = _KIND[data]
+        blank = (kind & _IS_BLANK).view(bool)
         start = blank.copy()
-        start[1:] |= _LETTER[data[:-1]] & _SIGN[data[1:]]
+        start[1:] |= (kind[:-1] << 1 & kind[1:] & _IS_SIGN).astype(bool)
         filled = np.flatnonzero(np.diff(bounds))
+
+        def holding(here: np.ndarray) -> np.ndarray:
+            """Numbers of the texts that hold a byte marked so."""
+            return np.unique(np.searchsorted(bounds, np.flatnonzero(here), "right") - 1)
+
         start[bounds[filled]] = True
         odd = np.zeros(n, bool)
         if self.cut == "blanks":
@@ -141,11 +176,13 @@ class Encoder:
                 bad[bounds[filled]] |= blank[bounds[filled]]
             bad[bounds[filled + 1] - 1] |= blank[bounds[filled + 1] - 1]
             odd[np.searchsorted(bounds, np.flatnonzero(bad), "right") - 1] = True
-            odd |= pc.match_substring_regex(texts, _RARE).to_numpy(zero_copy_only=False)
-        else:
-            data = _LOWER[data]
+            own = holding((kind & _IS_RARE).astype(bool))
+            odd[own] |= pc.match_substring_regex(texts.take(own), _RARE).to_numpy(zero_copy_only=False)
         for content in self.added:  # the library takes it out of the text before anything is cut
-            odd |= pc.match_substring(texts, content, ignore_case=True).to_numpy(zero_copy_only=False)
+            own = holding(data == ord(content[0])) if content[0] in _SIGNS else np.arange(n)
+            odd[own] |= pc.match_substring(texts.take(own), content, ignore_case=True).to_numpy(zero_copy_only=False)
+        if self.cut == "words":
+            data = _LOWER[data]
         starts = np.flatnonzero(start)
         if self.cut == "words":
             # The blank itself goes to the piece before it, where the tokenizer drops it.
@@ -164,12 +201,8 @@ class Encoder:
         coded = pc.dictionary_encode(pieces)
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         numbers = self._numbers([x.strip(" ") for x in distinct] if self.cut == "words" else distinct)[coded.indices.to_numpy()]
-        each = self.lengths[numbers]
-        ends = np.cumsum(each, dtype=np.int64)
-        where = np.repeat(self.starts[numbers] - (ends - each), each)
-        where += np.arange(ends[-1])
-        out = self.pool[where]
-        sums = np.concatenate([[0], ends])
+        out, each = self._ids(numbers)
+        sums = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
         last = np.cumsum(per_text)
         counts = sums[last] - sums[last - per_text]
         if odd.any():

@@ -58,6 +58,26 @@ def test_long_texts_are_cut_and_a_small_cache_starts_anew(monkeypatch, path, cut
     assert [x.tolist() for x in got] == [_library(path).encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("path,cut", [(BYTES, "blanks"), (WORDS, "words")])
+def test_pieces_met_again_stay_when_the_cache_is_full(monkeypatch, path, cut):
+    """Forty chunks with the same hundred words among new ones, which fill the cache ten times: the library sees each of the hundred once."""
+    from sectorframe.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 200_000)
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefgh"), 12)) for _ in range(100 + 40 * 200)]
+    texts = [" ".join([*words[100 + 200 * k : 300 + 200 * k], *words[:100]]) for k in range(40)]
+    coder, asked = tokens.Encoder(path, cut), []
+    library = coder._library
+    monkeypatch.setattr(coder, "_library", lambda own: asked.extend(own) or library(own))
+    for text in texts:
+        ids, _ = coder.encode(pa.array([text]))
+        assert ids.tolist() == _library(path).encode(text, add_special_tokens=False).ids
+        assert coder.held <= 200_000
+    seen = Counter(" ".join(asked).split())
+    assert all(seen[w] == 1 for w in words[:100])
+
+
 def test_scaled_frequencies():
     for counts in ([0, 5, 1, 0, 10**9], [7], [1] * 50257, [0]):
         freq = rans.scaled(np.array(counts))
