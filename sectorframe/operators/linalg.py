@@ -117,13 +117,6 @@ def _bare(cells: DataFrame, by: str | None) -> DataFrame:
     return cells.drop("sector") if by is None else cells.withColumnRenamed("sector", by)
 
 
-def _times(cells: DataFrame, small: DataFrame) -> DataFrame:
-    """``sector, i, j, v``: cells times small matrices of their sectors."""
-    right = small.select("sector", F.col("i").alias("_k"), "j", F.col("v").alias("_b"))
-    joined = cells.select("sector", "i", F.col("j").alias("_k"), F.col("v").alias("_a")).join(right, ["sector", "_k"])
-    return joined.groupBy("sector", "i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("v"))
-
-
 def qr(cells: DataFrame, by: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Orthonormal ``Q`` and upper triangular ``R`` of one matrix or of each sector, of any rank and condition.
 
@@ -181,7 +174,7 @@ def _weights(found: DataFrame) -> DataFrame:
 
 def _three(cells: DataFrame, found: DataFrame, by: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     right = found.select("sector", F.col("j").alias("i"), F.col("pos").alias("j"), "v")
-    left = _times(cells, found.select("sector", F.col("j").alias("i"), F.col("pos").alias("j"), (F.col("v") / F.col("s")).alias("v")))
+    left = product(cells, found.select("sector", F.col("j").alias("i"), F.col("pos").alias("j"), (F.col("v") / F.col("s")).alias("v")))
     return _bare(left, by), _weights(found), _bare(right, by)
 
 
@@ -189,7 +182,7 @@ def svd(cells: DataFrame, by: str | None = None) -> tuple[DataFrame, DataFrame,
     """``U`` cells ``(i, j)``, weights ``(sector, pos, dim, v)`` descending, and ``V`` cells, of one matrix (sector 0) or of each sector.
 
     Values under ``GRAM_FLOOR`` times the largest can't be told from 0 this way and are dropped;
-    :func:`accurate_svd` has them. The right vectors are checkpointed.
+    :func:`accurate_svd` has them. The right vectors are checkpointed; ``U`` is made by parts of rows (see :func:`product`).
     """
     own = _sectors(cells, by)
     return _three(own, _decomposed(own), by)

@@ -179,29 +179,33 @@ def _square_of(cells: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def by_parts(cells: DataFrame, small: DataFrame, run: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """``sector, i, j, v``: for parts of each sector's rows, dense over the small matrix's rows, what ``run(part, small)``
-    makes of them. Sectors are dealt to parts by their cells, so that a large one is no single task; the small
-    matrix ``sector, i, j, v`` goes once to each part."""
-    kind = cells.schema["sector"].dataType.simpleString()
-    parts = cells.groupBy("sector").agg(F.ceil(F.count("*") / PART).cast("bigint").alias("parts"))
+    makes of them; cells of one place are summed, and exact zeros left out. Sectors are dealt to parts by their cells, so that a
+    large one is no single task; the small matrix ``sector, i, j, v`` goes once to each part. Counts at once: tasks are twice the
+    parts, so that what one sorts is bounded by a few parts, whatever is merged at run time by the size of what is shuffled."""
+    kind, rows_kind = (cells.schema[c].dataType.simpleString() for c in ("sector", "i"))
+    parts = cut(cells.groupBy("sector").agg(F.ceil(F.count("*") / PART).cast("bigint").alias("parts")))
+    tasks = 2 * (parts.agg(F.sum("parts")).head()[0] or 1)
     dealt = cells.select("sector", "i", "j", F.col("v").cast("double").alias("v")).join(parts, "sector").withColumn("part", F.pmod(F.xxhash64("i"), "parts"))
     each = small.join(parts.select("sector", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")), "sector")
 
     def one(own: pa.Table, other: pa.Table) -> pa.Table:
         if not len(own) or not len(other):
-            return pa.table({"sector": pa.array([], own.schema.field("sector").type), "i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "v": pa.array([], pa.float64())})
+            return pa.table({"sector": pa.array([], own.schema.field("sector").type), "i": pa.array([], own.schema.field("i").type), "j": pa.array([], pa.int64()), "v": pa.array([], pa.float64())})
         m, rows, cols = _square_of(other)
-        i, j, v = (own[c].to_numpy() for c in ("i", "j", "v"))
+        j, v = (own[c].to_numpy() for c in ("j", "v"))
         at = np.searchsorted(rows, j)
         known = (at < len(rows)) & (rows[np.minimum(at, len(rows) - 1)] == j)
-        lines, line = np.unique(i, return_inverse=True)
+        coded = own["i"].combine_chunks().dictionary_encode(null_encoding="encode")
+        lines, line = coded.dictionary, coded.indices.to_numpy()
         x = np.zeros((len(lines), len(rows)))
-        x[line[known], at[known]] = v[known]
+        np.add.at(x, (line[known], at[known]), v[known])
         out = run(x, m)
         a, b = np.nonzero(out)
         sector = pa.array(own["sector"].slice(0, 1).to_pylist() * len(a), own.schema.field("sector").type)
-        return pa.table({"sector": sector, "i": pa.array(lines[a], pa.int64()), "j": pa.array(cols[b], pa.int64()), "v": pa.array(out[a, b])})
+        return pa.table({"sector": sector, "i": lines.take(pa.array(a)), "j": pa.array(cols[b], pa.int64()), "v": pa.array(out[a, b])})
 
-    return dealt.select("sector", "part", "i", "j", "v").groupBy("sector", "part").cogroup(each.select("sector", "part", "i", "j", "v").groupBy("sector", "part")).applyInArrow(one, f"sector {kind}, i bigint, j bigint, v double")
+    left, right = (x.select("sector", "part", "i", "j", "v").repartition(tasks, "sector", "part").groupBy("sector", "part") for x in (dealt, each))
+    return left.cogroup(right).applyInArrow(one, f"sector {kind}, i {rows_kind}, j bigint, v double")
 
 
 def product(cells: DataFrame, small: DataFrame) -> DataFrame:

@@ -68,13 +68,16 @@ def _(t):
     return linalg.gram(r).withColumn("v", F.round("v", 6) + 0.0)
 
 
+def _back(u, s, v):
+    """``U s V^T`` of each sector: weights go to the small side, and ``U`` is made once for its count and the product."""
+    small = scale_legs(v, s, ["j"])
+    return linalg.product(cut(u), small.select("sector", F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+
+
 @query("l3_svd", "SELECT sector, i, j, round(v, 6) + 0.0 AS v FROM vectors", "vectors")
 def _(t):
     """``U s V^T`` of each sector, which is the matrix."""
-    u, s, v = linalg.svd(t.vectors(), "sector")
-    us = scale_legs(u, s, ["j"])
-    back = linalg._times(us, v.select("sector", F.col("j").alias("i"), F.col("i").alias("j"), "v"))
-    return back.select("sector", "i", "j", (F.round("v", 6) + 0.0).alias("v"))
+    return _back(*linalg.svd(t.vectors(), "sector")).select("sector", "i", "j", (F.round("v", 6) + 0.0).alias("v"))
 
 
 @query("l3_singular_energy", "SELECT sector, round(sum(v * v), 6) AS energy FROM vectors GROUP BY 1", "vectors")
@@ -87,8 +90,7 @@ def _(t):
     """What the cut leaves out and the energy that it keeps, which are all the energy only if the vectors are right."""
     cells = t.vectors()
     u, s, v = linalg.truncated_svd(cells, 40)
-    back = linalg._times(scale_legs(u, s, ["j"]), v.select("sector", F.col("j").alias("i"), F.col("i").alias("j"), "v"))
-    off = sub(cells, back).agg(F.sum(F.col("v") * F.col("v")).alias("lost"))
+    off = sub(cells, _back(u, s, v)).agg(F.sum(F.col("v") * F.col("v")).alias("lost"))
     return s.agg(F.sum(F.col("v") * F.col("v")).alias("own"), F.count("*").alias("kept")).crossJoin(off).select(F.round(F.col("own") + F.col("lost"), 6).alias("energy"), "kept")
 
 

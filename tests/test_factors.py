@@ -215,3 +215,29 @@ def test_bases_are_deleted_once_the_next_is_written(spark):
     assert np.allclose(sorted(values.toPandas()["re"]), [39, 40]) and vectors.count() > 0
     new = [spark.read.parquet(f"file:{folder}/{d}").columns for d in set(os.listdir(folder)) - before if not d.startswith("rdd-")]
     assert new and not any("q" in c for c in new)
+
+
+def test_svd_deals_rows_to_tasks_by_bounded_parts(spark, monkeypatch):
+    """A sector of 4,000 cells and one of 12, in parts of about 128 cells: no task makes more than a few parts' worth of ``U``."""
+    monkeypatch.setattr(orthogonal, "PART", 128)
+    rng = np.random.default_rng(21)
+    parts = {"a": rng.normal(size=(1000, 4)), "b": rng.normal(size=(4, 3))}
+    u, s, v = linalg.svd(_cells(spark, parts), "sector")
+    held = u.groupBy(F.spark_partition_id().alias("task")).count().toPandas()
+    assert held["count"].max() <= 8 * 128 and held["count"].sum() == 4012
+    own, right, weights = (x.toPandas() for x in (u, v, s))
+    for k, m in parts.items():
+        values = weights[weights["sector"] == k].sort_values("pos")["v"].to_numpy()
+        a, b = np.zeros(m.shape), np.zeros((m.shape[1], m.shape[1]))
+        for x, table in ((a, own), (b, right)):
+            table = table[table["sector"] == k]
+            x[table["i"], table["j"]] = table["v"]
+        assert np.allclose(values, np.linalg.svd(m, compute_uv=False)) and np.allclose(a * values @ b.T, m)
+
+
+def test_product_sums_cells_of_one_place_and_keeps_row_names(spark):
+    """Rows named by strings, one without a name; a cell in two pieces; a column that the small matrix hasn't."""
+    small = spark.createDataFrame([(1, 0, 5, 2.0), (1, 0, 6, 1.0), (1, 1, 5, -1.0)], "sector int, i bigint, j bigint, v double")
+    rows = [(1, "x", 0, 1.0), (1, "x", 0, 2.0), (1, "x", 1, 6.0), (1, None, 1, 3.0), (1, "y", 2, 9.0), (2, "z", 0, 1.0)]
+    got = linalg.product(spark.createDataFrame(rows, "sector int, i string, j bigint, v double"), small).collect()
+    assert {(r.sector, r.i, r.j, r.v) for r in got} == {(1, "x", 6, 3.0), (1, None, 5, -3.0)}
