@@ -5,13 +5,14 @@ Vectors have free signs and rotations, so what SQL can also compute is an invari
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, linalg
-from ..operators.joins import block_times, contract, scale_legs, sub
+from ..operators.blocks import Blocks, reindexed, summed
+from ..operators.joins import contract, scale_legs, sub
 from ..operators.lineage import cut
 from ..operators.solvers import solve
-from ..sources.cells import parts_of
 from .registry import query
 
 
@@ -183,16 +184,16 @@ def _(t):
     """Of ``M^T M`` for the suppliers of each region, on two copies of the parts, so that each value is there twice; more
     indices than parts. The two largest, and the residual over them."""
     own = t.sectored().select(F.col("row_sector").alias("sector"), "i", "j", "v")
-    # By parts, which are more than suppliers, so that a part's sums mostly meet before they are shuffled.
-    cells = cut(own.repartition(parts_of(t.lineitem), "sector", "j"))
-    flipped = cells.select("sector", F.col("j").alias("i"), F.col("i").alias("j"), "v")
+    cells = Blocks(cut(own), rows=(1 << 14, 1 << 16))
+    flipped = cells.flipped()
 
     def doubled(x):
-        own = x.select("sector", F.floor(F.col("i") / 2).alias("i"), (F.col("k") * 2 + F.col("i") % 2).alias("k"), "v")
-        outer = block_times(flipped, block_times(cells, own))
-        return outer.select("sector", (F.col("i") * 2 + F.col("k") % 2).alias("i"), F.floor(F.col("k") / 2).alias("k"), "v")
+        # Of each index's two lines one is made, of twice the columns.
+        inner = cells.times(reindexed(x, lambda i: i[::2] // 2))
+        outer = flipped.times(summed(inner, flipped.tasks[1]))
+        return reindexed(outer, lambda i: np.repeat(2 * i, 2) + np.tile([0, 1], len(i)))
 
-    index = cells.select("sector", "j").distinct().select("sector", F.explode(F.array(F.col("j") * 2, F.col("j") * 2 + 1)).alias("i"))
+    index = reindexed(cells.index(), lambda i: np.repeat(2 * i, 2) + np.tile([0, 1], len(i)))
     values, _ = linalg.top_eigen(doubled, index, 2, basis=16)
     return values.groupBy("sector").agg(F.count("*").alias("n"), F.round(F.min("re"), 2).alias("least"), F.round(F.max("re"), 2).alias("largest"), (F.round(F.max(F.col("residual") / F.col("re")), 6) + 0.0).alias("residual"))
 
