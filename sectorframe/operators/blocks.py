@@ -55,6 +55,15 @@ def one_row(kind: pa.DataType, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: pa.array([v], kind if k == "sector" else pa.binary() if isinstance(v, bytes) else None) for k, v in raw.items()})
 
 
+def random_lines(idx: np.ndarray, columns: int, seed: int) -> np.ndarray:
+    """Numbers in [-1, 1) by index and column, the same in every run."""
+    x = idx.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(columns, dtype=np.uint64) + np.uint64(1009 * seed + 1)) * np.uint64(0xD1B54A32D192ED03)
+    for _ in range(2):
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return (x >> np.uint64(11)).astype(np.float64) / 2.0**52 - 1.0
+
+
 def added(pieces: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """The sum of packed pieces over all indices that any has."""
     if len(pieces) == 1:
@@ -143,6 +152,23 @@ def summed(pieces: DataFrame, tasks: int, extra: Callable[[np.ndarray], dict] |
     return in_parts(pieces, tasks).mapInArrow(run, f"sector {kind}, part bigint, idx binary, x binary{fields}")
 
 
+def unpacked(packed: DataFrame, small: DataFrame) -> DataFrame:
+    """Cells ``sector, i, j, v`` of packed columns times small matrices of their sectors, ``sector, m, names``: a matrix and
+    the indices j of its columns. Exact zeros are left out."""
+    kind, arrow = kind_of(packed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            names = np.array(row["names"], np.int64)
+            x = matrix(row["x"], len(row["idx"]))
+            out = x @ matrix(row["m"], x.shape[1])
+            a, b = np.nonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array([row["sector"]] * len(a), arrow), pa.array(row["idx"][a]), pa.array(names[b]), pa.array(out[a, b])], ["sector", "i", "j", "v"])
+
+    met = packed.select("sector", "idx", "x").join(small.select("sector", "m", "names"), "sector")
+    return met.mapInArrow(run, f"sector {kind}, i bigint, j bigint, v double")
+
+
 def reindexed(packed: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """The same numbers under other indices, ascending too: their lines are as many as these."""
     kind, arrow = kind_of(packed)
@@ -169,11 +195,11 @@ class Blocks:
         grid = [F.greatest(F.ceil(F.col(x) / side), F.lit(1)).cast("bigint").alias(name) for x, name in (("r", "_p"), ("c", "_q"))]
         self.grid = cut(sides.select("sector", "n", "energy", *grid))
         tasks, p, q = self.grid.agg(F.sum(F.ceil(F.col("n") / CELLS)), F.sum("_p"), F.sum("_q")).head()
-        self.tasks = (p or 1, q or 1)
+        self.tasks, self.names = (p or 1, q or 1), ("_p", "_q")
         placed = [F.pmod(F.xxhash64(x), n).alias(name) for x, n, name in (("i", "_p", "row"), ("j", "_q", "col"))]
         dealt = cells.join(self.grid, "sector").select("sector", *placed, "i", "j", F.col("v").cast("double").alias("v"))
-        # By ranges of cells, so that no leg is one task.
-        dealt = dealt.repartitionByRange(int(tasks or 1), "sector", "row", "col", "i", "j").sortWithinPartitions("sector", "row", "col")
+        # By ranges of cells, so that no leg is one task; by one number, which sorts faster than its three.
+        dealt = dealt.withColumn("_at", F.xxhash64("sector", "row", "col")).repartitionByRange(int(tasks or 1), "_at", "i", "j").sortWithinPartitions("_at").drop("_at")
         arrow = self.arrow
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +227,7 @@ class Blocks:
     def flipped(self) -> Blocks:
         """The transpose."""
         out = object.__new__(Blocks)
-        out.kind, out.arrow, out.grid, out.tasks = self.kind, self.arrow, self.grid, self.tasks[::-1]
+        out.kind, out.arrow, out.grid, out.tasks, out.names = self.kind, self.arrow, self.grid, self.tasks[::-1], self.names[::-1]
         out.table = self.table.select("sector", F.col("col").alias("row"), F.col("row").alias("col"), F.col("ci").alias("ri"), F.col("ri").alias("ci"), F.col("b").alias("a"), F.col("a").alias("b"), "v")
         return out
 
@@ -210,6 +236,38 @@ class Blocks:
         pieces = self.table.select("sector", F.col("col").alias("part"), F.col("ci").alias("idx"), F.lit(b"").alias("x"))
         return summed(pieces, self.tasks[1]).drop("x")
 
+    def random(self, columns: int, seed: int) -> DataFrame:
+        """Packed columns of numbers in [-1, 1) by the columns' indices, the same in every run."""
+        arrow = self.arrow
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in rows_of(batches):
+                yield one_row(arrow, **row, x=binary(random_lines(row["idx"], columns, seed)))
+
+        return self.index().mapInArrow(run, f"sector {self.kind}, part bigint, idx binary, x binary")
+
+    def packed(self, cells: DataFrame) -> DataFrame:
+        """Pieces of columns ``sector, i, k, v`` on the columns' indices, in their parts."""
+        placed = cells.join(self.grid.select("sector", self.names[1]), "sector").withColumn("part", F.pmod(F.xxhash64("i"), self.names[1]))
+        return packed_cells(placed.select("sector", "part", "i", "k", "v"), self.tasks[1])
+
+    def image(self, cells: DataFrame) -> DataFrame:
+        """``sector, i, k, v``: the products with columns ``sector, i, k, v``; zeros are left out."""
+        arrow = self.arrow
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in rows_of(batches):
+                x = matrix(row["x"], len(row["idx"]))
+                a, k = np.nonzero(x)
+                yield pa.RecordBatch.from_arrays([pa.array([row["sector"]] * len(a), arrow), pa.array(row["idx"][a]), pa.array(k, pa.int64()), pa.array(x[a, k])], ["sector", "i", "k", "v"])
+
+        lines = summed(self.times(summed(self.packed(cells), self.tasks[1])), self.tasks[0])
+        return lines.mapInArrow(run, f"sector {self.kind}, i bigint, k bigint, v double")
+
+    def energy(self) -> DataFrame:
+        """``sector, energy``: the sum of all cells' squares."""
+        return self.grid.select("sector", "energy")
+
     def times(self, x: DataFrame) -> DataFrame:
         """Pieces ``sector, part, idx, x`` of the products with packed columns, whose parts are those of :meth:`index`; a part's are
         to be added (see :func:`summed`)."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import binary, in_parts, kind_of, matrix, one_row, packed_cells, packed_index, rows_of
+from .blocks import binary, in_parts, kind_of, matrix, one_row, packed_cells, packed_index, random_lines, rows_of
 from .lineage import cut, drop, written
 
 #: Random columns beside those asked for, and columns of a basis at least.
@@ -39,15 +39,6 @@ _NUMBERS = {"s": "bigint", "new": "bigint", "r": "bigint", "m": "bigint", "top":
 _STATE = "part bigint, idx binary, q binary, y binary, z binary, g binary, " + ", ".join(f"{c} {t}" for c, t in _NUMBERS.items())
 
 
-def _random(idx: np.ndarray, columns: int, seed: int) -> np.ndarray:
-    """Numbers in [-1, 1) by index and column, the same in every run."""
-    x = idx.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(columns, dtype=np.uint64) + np.uint64(1009 * seed + 1)) * np.uint64(0xD1B54A32D192ED03)
-    for _ in range(2):
-        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return (x >> np.uint64(11)).astype(np.float64) / 2.0**52 - 1.0
-
-
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for row in rows_of(batches):
         yield row | {c: matrix(row[c], len(row["idx"])) for c in ("q", "y", "z")}
@@ -90,7 +81,7 @@ class _Krylov:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in rows_of(batches):
                 none = np.zeros((len(row["idx"]), 0))
-                yield _part(kind, row, none, none, _random(row["idx"], wide, 0))
+                yield _part(kind, row, none, none, random_lines(row["idx"], wide, 0))
 
         return written(self.index.select("sector", "part", "idx").mapInArrow(run, self.state), large=True)
 
@@ -231,7 +222,7 @@ class _Krylov:
                 x = x[:, :m] + 1j * x[:, m:]
                 r = row["y"] @ x - (row["q"] @ x) * values
                 turning = any(row["im"])
-                z = [r.real, *([r.imag] if turning else []), _random(row["idx"], wide, seed)]
+                z = [r.real, *([r.imag] if turning else []), random_lines(row["idx"], wide, seed)]
                 yield _part(kind, row, row["q"] @ b, row["y"] @ b, np.hstack(z), 0, m * (1 + turning), m, float(np.abs(values).max(initial=0)))
 
         own = state.select("sector", "part", "idx", "q", "y", "z").join(found, "sector")

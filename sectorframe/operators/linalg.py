@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import scale
 from .aggregates import normalise
-from .joins import add, block_times, contract, shared_sectors
+from .blocks import Blocks, binary, unpacked
+from .joins import add, contract, shared_sectors
 from .krylov import eigenpairs
 from .lineage import cut
-from .orthogonal import product, tall_qr, tall_svd
+from .orthogonal import packed_qr, packed_svd, product, tall_qr, tall_svd
 from .ranking import cut_multiplets
 
 #: Indices of the short side, at most; more raises.
@@ -214,46 +215,66 @@ def truncated_svd(cells: DataFrame, target: int, by: str | None = "sector", **cu
 OVER = 10
 
 
-def randomized_svd(cells: DataFrame, k: int, by: str | None = None, steps: int = 3, seed: int = 11, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+def blocked(cells: DataFrame, by: str | None = None) -> Blocks:
+    """The matrix, or each sector's, in blocks, for what reads it often; see :class:`sectorframe.operators.blocks.Blocks`. Runs at once."""
+    return Blocks(cut(_sectors(cells, by)))
+
+
+def randomized_svd(cells: DataFrame | Blocks, k: int, by: str | None = None, steps: int = 3, seed: int = 11, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``U``, weights and ``V`` of the k largest singular values over all sectors, for matrices large on both sides.
 
     A sketch of ``k + OVER`` columns, drawn by a hash of each index, finds the range: products with the matrix and its
     transpose in turn, ``steps`` times, each made orthonormal before the next. The matrix in that range has one short side,
     and its factors are those of :func:`accurate_svd`. Values that the sketch can't tell from those beyond it are
     a little low: by a factor of ``(s_{k + OVER} / s)^(4 steps + 2)`` in the square, about. Ties are kept together (see
-    ``cut_multiplets`` for ``how``). No side is bounded but that of the sketch, 2,048. Runs at once.
+    ``cut_multiplets`` for ``how``). No side is bounded but that of the sketch, 2,048. All columns of the sketch go in one row for
+    thousands of indices, and cells in blocks (see :func:`blocked`, whose result may stand for the cells). Runs at once.
     """
-    own = cut(_sectors(cells, by))
+    own = cells if isinstance(cells, Blocks) else blocked(cells, by)
     wide = k + OVER
     if wide > SMALL_SIDE:
         raise ValueError(f"sketch over {SMALL_SIDE}")
-    flipped = own.select("sector", F.col("j").alias("i"), F.col("i").alias("j"), "v")
-    rows = own.select("sector", F.col("j").alias("i")).distinct()
-
-    def times(m: DataFrame, x: DataFrame) -> DataFrame:
-        return block_times(m, x.withColumnRenamed("j", "k")).withColumnRenamed("k", "j")
-
-    y = times(own, random_columns(rows, wide, seed))
+    flipped = own.flipped()
+    rows, columns = own.tasks
+    y = own.times(own.random(wide, seed))
     for _ in range(steps):
-        q, _ = tall_qr(times(flipped, tall_qr(y)[0]))
-        y = times(own, q)
-    q, _ = tall_qr(y)
-    v, s, small = tall_svd(times(flipped, q))
-    kept = cut_multiplets(s, k, **how).checkpoint()
-    names = kept.select("sector", F.col("pos").alias("j"))
-    u = product(q, small.join(names, ["sector", "j"], "left_semi"))
-    return _bare(u, by), kept, _bare(v.join(names, ["sector", "j"], "left_semi"), by)
+        q, _ = packed_qr(flipped.times(packed_qr(y, rows)[0]), columns)
+        y = own.times(q)
+    q, _ = packed_qr(y, rows)
+    right, found = packed_svd(flipped.times(q), columns)
+    kept = cut_multiplets(found.where("what = 's'").select("sector", F.col("j").alias("pos"), F.lit(1).alias("dim"), "v"), k, **how).checkpoint()
+    small = found.where("what <> 's'").join(kept.select("sector", F.col("pos").alias("j")), ["sector", "j"], "left_semi")
+
+    def told(table: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(table["j"])
+        out = []
+        for what, part in table.groupby("what"):
+            m = np.zeros((int(part["i"].max()) + 1, len(names)))
+            m[part["i"], np.searchsorted(names, part["j"])] = part["v"]
+            out.append({"sector": part["sector"].iloc[0], "what": what, "m": binary(m), "names": names.tolist()})
+        return pd.DataFrame(out)
 
+    turns = cut(small.groupBy("sector").applyInPandas(told, f"sector {own.kind}, what string, m binary, names array<bigint>"))
+    u, v = (cut(unpacked(x, turns.where(F.col("what") == what))) for x, what in ((q, "v"), (right, "u")))
+    return _bare(u, by), kept, _bare(v, by)
 
-def left_out(cells: DataFrame, u: DataFrame, weights: DataFrame, v: DataFrame, by: str | None = None) -> DataFrame:
+
+def left_out(cells: DataFrame | Blocks, u: DataFrame, weights: DataFrame, v: DataFrame, by: str | None = None) -> DataFrame:
     """``sector, lost``: the energy of cells less ``U s V^T``, the sum of all squares, for factors with any columns.
 
     The product is formed at the cells only: beside them stand the squares of the whole product, which come of the
-    factors' Gram matrices. So the work grows with cells and factors, and not with rows times columns.
+    factors' Gram matrices. So the work grows with cells and factors, and not with rows times columns. Blocks are multiplied by
+    ``V`` once, whose products with ``U s`` are those sums.
     """
     left, right = _sectors(u, by), _sectors(v, by)
     scaled = left.join(weights.select("sector", F.col("pos").alias("j"), F.col("v").alias("_s")), ["sector", "j"]).select("sector", "i", "j", (F.col("v") * F.col("_s")).alias("v"))
 
+    whole = small_gram(scaled, ["sector"]).withColumnRenamed("v", "_a").join(small_gram(right, ["sector"]), ["sector", "i", "j"]).select("sector", (F.col("_a") * F.col("v")).alias("lost"))
+    if isinstance(cells, Blocks):
+        image = cells.image(right.withColumnRenamed("j", "k")).withColumnRenamed("k", "j")
+        met = scaled.withColumnRenamed("v", "_u").join(image, ["sector", "i", "j"]).select("sector", (F.col("_u") * F.col("v") * -2.0).alias("lost"))
+        return cells.energy().withColumnRenamed("energy", "lost").union(met).union(whole).groupBy("sector").agg(F.sum("lost").alias("lost"))
+
     def packed(x: DataFrame, leg: str, name: str) -> DataFrame:
         return x.groupBy("sector", F.col("i").alias(leg)).agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias(name))
 
@@ -261,17 +282,9 @@ def left_out(cells: DataFrame, u: DataFrame, weights: DataFrame, v: DataFrame, b
     terms = F.transform(F.map_keys("_u"), lambda k: F.coalesce(F.col("_u")[k] * F.try_element_at("_v", k), F.lit(0.0)))
     here = F.coalesce(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b), F.lit(0.0))
     at_cells = own.select("sector", (F.col("v") * (F.col("v") - 2 * here)).alias("lost"))
-    whole = small_gram(scaled, ["sector"]).withColumnRenamed("v", "_a").join(small_gram(right, ["sector"]), ["sector", "i", "j"]).select("sector", (F.col("_a") * F.col("v")).alias("lost"))
     return at_cells.union(whole).groupBy("sector").agg(F.sum("lost").alias("lost"))
 
 
-def random_columns(index: DataFrame, columns: int, seed: int) -> DataFrame:
-    """``sector, i, j, v``: for each index numbers in [-1, 1) from a hash, the same in every run."""
-    draw = F.pmod(F.xxhash64("i", "j", F.lit(seed)), F.lit(1 << 40)) / float(1 << 39) - 1.0
-    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(columns - 1).cast("bigint")))
-    return index.select("sector", "i", each.alias("j")).withColumn("v", draw)
-
-
 def pairs_by_group(df: DataFrame, key: str, solve: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], schema: str, limit: int = SMALL_SIDE) -> DataFrame:
     """``key, pos, v, index, vector``: what a solver of the caller's own finds for each group's square matrix
     ``(key, i, j, v)``, by magnitude, exact zeros left out; ``vector`` has a component for each of ``index``.

@@ -20,7 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .blocks import binary, kind_of, matrix, one_row, rows_of, summed
+from .lineage import cut, written
 
 #: Columns of a sector, at most; more raises.
 COLUMNS = 2048
@@ -306,3 +307,87 @@ def tall_svd(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     u = product(q, found.where("what = 'u'").drop("what"))
     s = found.where("what = 's'").select("sector", F.col("j").alias("pos"), F.lit(1).alias("dim"), "v")
     return u, s, found.where("what = 'v'").drop("what")
+
+
+def _roots(rows: DataFrame) -> DataFrame:
+    """``sector, own, r, total, w``: of each sector's parts' factors one: its independent columns ``own``, the triangular factor ``r``
+    of these and ``total`` of all ``w`` columns. Tasks join what they read, then a sector's factors meet. Written."""
+    kind, arrow = kind_of(rows)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            for key, x in held.items():
+                yield one_row(arrow, sector=key, r=binary(x), w=x.shape[1])
+            held.clear()
+
+        for row in rows_of(batches):
+            x = np.frombuffer(row["r"], np.float64).reshape(-1, row["w"]) if row["w"] else np.zeros((0, 0))
+            x = np.vstack([held[row["sector"]], x]) if row["sector"] in held else x
+            held[row["sector"]] = np.linalg.qr(x, mode="r") if len(x) > x.shape[1] else x
+            if sum(x.nbytes for x in held.values()) > HELD:
+                yield from passed()
+        yield from passed()
+
+    def whole(table: pd.DataFrame) -> pd.DataFrame:
+        w = int(table["w"].iloc[0])
+        x = np.vstack([np.frombuffer(r, np.float64).reshape(-1, w) for r in table["r"]]) if w else np.zeros((0, 0))
+        own = independent(x)
+        q, r = np.linalg.qr(x[:, own])
+        sign = np.where(np.diag(r) < 0, -1.0, 1.0)
+        return pd.DataFrame([{"sector": table["sector"].iloc[0], "own": own.tolist(), "r": binary(r * sign[:, None]), "total": binary((q * sign).T @ x), "w": w}])
+
+    each = rows.select("sector", "r", "w").mapInArrow(partial, f"sector {kind}, r binary, w bigint")
+    return cut(each.groupBy("sector").applyInPandas(whole, f"sector {kind}, own array<bigint>, r binary, total binary, w bigint"))
+
+
+def _factor(x: np.ndarray) -> dict:
+    return {"r": binary(np.linalg.qr(x, mode="r")), "w": x.shape[1]}
+
+
+def packed_qr(pieces: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """The same as :func:`tall_qr` for pieces of packed columns (see ``blocks``), which it adds: packed ``Q``, whose columns are
+    numbered from 0, and ``sector, total, w``, the triangular factor. What is written has a row for each of ``tasks`` parts, with
+    its own factor, so that the factors of all are found without reading the columns. Runs at once but the last division."""
+    kind, arrow = kind_of(pieces)
+    fields = f"sector {kind}, part bigint, idx binary, x binary"
+
+    def divided(rows: DataFrame, small: DataFrame, factors: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in rows_of(batches):
+                own, x = np.array(row["own"], np.int64), matrix(row["x"], len(row["idx"]))
+                q = _divided(x[:, own], np.frombuffer(row["r"], np.float64).reshape(len(own), -1)) if len(own) else x[:, :0]
+                yield one_row(arrow, sector=row["sector"], part=row["part"], idx=row["idx"], x=binary(q), **(_factor(q) if factors else {}))
+
+        met = rows.select("sector", "part", "idx", "x").join(small.select("sector", "own", "r"), "sector")
+        return met.mapInArrow(run, fields + (", r binary, w bigint" if factors else ""))
+
+    rows = written(summed(pieces, tasks, _factor, ", r binary, w bigint"), large=True)[0]
+    first = _roots(rows)
+    rows = written(divided(rows, first, True), large=True)[0]  # orthonormal up to the factor's condition; once more it is
+    second = _roots(rows)
+
+    def times(table: pd.DataFrame) -> pd.DataFrame:
+        row = table.iloc[0]
+        one = np.frombuffer(row["total"], np.float64).reshape(-1, row["w"]) if row["w"] else np.zeros((0, 0))
+        two = np.frombuffer(row["two"], np.float64).reshape(-1, len(one)) if len(one) else np.zeros((0, 0))
+        return pd.DataFrame([{"sector": row["sector"], "total": binary(two @ one), "w": row["w"]}])
+
+    both = first.select("sector", "total", "w").join(second.select("sector", F.col("total").alias("two")), "sector")
+    return divided(rows, second, False), both.groupBy("sector").applyInPandas(times, f"sector {kind}, total binary, w bigint")
+
+
+def packed_svd(pieces: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """Packed ``Q``, and ``sector, what, i, j, v`` of the factors of what it is to be multiplied by: as :func:`tall_svd`, ``Q`` times ``u``
+    are the left vectors, ``s`` the values and ``v`` the right vectors. The factors are written."""
+    q, r = packed_qr(pieces, tasks)
+    kind = kind_of(pieces)[0]
+
+    def triple(table: pd.DataFrame) -> pd.DataFrame:
+        row = table.iloc[0]
+        m = np.frombuffer(row["total"], np.float64).reshape(-1, row["w"]) if row["w"] else np.zeros((0, 0))
+        i, j = (x.ravel() for x in np.indices(m.shape))
+        return _triple(pd.DataFrame({"sector": [row["sector"]] * m.size, "i": i, "j": j, "v": m.ravel()})) if m.size else pd.DataFrame({"sector": [], "what": [], "i": [], "j": [], "v": []})
+
+    return q, cut(r.groupBy("sector").applyInPandas(triple, f"sector {kind}, what string, i bigint, j bigint, v double"))

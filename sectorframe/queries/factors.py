@@ -101,7 +101,7 @@ _TOP_VALUE = "x(step, j, v) AS (SELECT 0, j, 1.0::DOUBLE FROM (SELECT DISTINCT j
 @query("l4_randomized_svd", f"WITH RECURSIVE {_TOP_VALUE} SELECT CAST(1 AS BIGINT) AS kept, round(sum(v * v) / 1000, 1) AS energy, round(((SELECT sum(v * v) FROM quantity) - sum(v * v)) / 1000, 1) AS lost FROM (SELECT q.i, sum(q.v * x.v) AS v FROM quantity q JOIN x ON q.j = x.j WHERE x.step = 30 GROUP BY q.i)", "quantity")
 def _(t):
     """The largest of a matrix that is large on both sides, and what its vectors leave out, in thousands."""
-    cells = t.quantity().select("i", "j", "v")
+    cells = linalg.blocked(t.quantity())
     u, s, v = linalg.randomized_svd(cells, 1)
     off = linalg.left_out(cells, u, s, v).agg(F.sum("lost").alias("lost"))
     return s.agg(F.count("*").alias("kept"), F.round(F.sum(F.col("v") * F.col("v")) / 1000, 1).alias("energy")).crossJoin(off.select(F.round(F.col("lost") / 1000, 1).alias("lost")))

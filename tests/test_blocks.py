@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from sectorframe.operators import blocks, krylov
+from sectorframe.operators import blocks, krylov, linalg, orthogonal
 from sectorframe.operators.blocks import Blocks, reindexed, summed
 from sectorframe.operators.lineage import written
 
@@ -116,3 +116,33 @@ def test_large_rows_make_small_groups(spark):
     table, path = written(rows, large=True)
     groups = [g for f in glob.glob(os.path.join(path.removeprefix("file:"), "*.parquet")) for m in [pq.ParquetFile(f).metadata] for g in [m.row_group(k) for k in range(m.num_row_groups)]]
     assert max(g.total_byte_size for g in groups) < 20 << 20 and sum(g.num_rows for g in groups) == 40 == table.count()
+
+
+def test_factors_of_packed_columns(spark):
+    """Any rank and condition, parts with fewer rows than columns, a sector of zeros: ``Q R`` is the matrix."""
+    rng = np.random.default_rng(11)
+    turn = np.linalg.qr(rng.normal(size=(8, 8)))[0]
+    parts = {"bad": rng.normal(size=(60, 8)) @ (turn * 10.0 ** -np.arange(0, 16, 2)), "few": np.repeat(rng.normal(size=(40, 3)), 2, 1) * [1, 1, 3, 1, 1, 1], "none": np.zeros((5, 4))}
+    rows = [(k, p, np.arange(p, len(m), 9).tobytes(), m[p::9].tobytes()) for k, m in parts.items() for p in range(9) if p < len(m)]
+    q, r = orthogonal.packed_qr(spark.createDataFrame(rows, "sector string, part bigint, idx binary, x binary").repartition(5), 4)
+    factors, q = {x.sector: np.frombuffer(x.total).reshape(-1, x.w) for x in r.collect()}, q.collect()
+    for k, m in parts.items():
+        own = _dense(q, k, len(m))
+        assert own.shape[1] == {"bad": 8, "few": 3, "none": 0}[k]
+        assert np.allclose(own.T @ own, np.eye(own.shape[1]), atol=1e-13)
+        assert np.allclose(own @ factors[k], m, rtol=0, atol=1e-13 * np.abs(m).max())
+
+
+def test_randomized_svd_and_what_it_leaves_out_by_blocks(spark, monkeypatch):
+    """Cells of two sectors in many blocks: the largest values, and the energy of the rest."""
+    monkeypatch.setattr(blocks, "CELLS", 300)
+    rng = np.random.default_rng(12)
+    parts = {k: (rng.normal(size=(70, 40)) * 0.5 ** np.arange(40)) @ rng.normal(size=(40, 150)) * size for k, size in (("a", 1.0), ("b", 0.9))}
+    own = Blocks(_cells(spark, parts), rows=(8, 32))
+    u, s, v = linalg.randomized_svd(own, 3, "sector")
+    exact = {k: np.linalg.svd(m, compute_uv=False) for k, m in parts.items()}
+    top = sorted(((x, k) for k, f in exact.items() for x in f), reverse=True)[:3]
+    assert np.allclose(sorted((r.v for r in s.collect()), reverse=True), [x for x, _ in top], rtol=1e-9)
+    lost = {r.sector: r.lost for r in linalg.left_out(own, u, s, v, "sector").collect()}
+    for k, f in exact.items():
+        assert np.isclose(lost[k], (f**2).sum() - sum(x * x for x, name in top if name == k), rtol=1e-9)
